@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, toxicity, winnow
 from .common import tune
 
-_QUERIES = [mixing.op4_mixing_sources]
-_ORACLES = {"op4_mixing_sources": mixing.ORACLE}
+_QUERIES = [
+    mixing.op4_mixing_sources,
+    winnow.op6_decontamination,
+    toxicity.op10_toxicity,
+]
+_ORACLES = {
+    "op4_mixing_sources": mixing.ORACLE,
+    "op6_decontamination": winnow.ORACLE,
+}
 
 
 def _tuned(f):
