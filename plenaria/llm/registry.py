@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, toxicity, winnow
+from . import mixing, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
+    warc.op2_warc,
     mixing.op4_mixing_sources,
     winnow.op6_decontamination,
     toxicity.op10_toxicity,
 ]
 _ORACLES = {
+    "op2_warc": warc.ORACLE,
     "op4_mixing_sources": mixing.ORACLE,
     "op6_decontamination": winnow.ORACLE,
 }
