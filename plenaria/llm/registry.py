@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, toxicity, warc, winnow
+from . import media, mixing, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
     warc.op2_warc,
     mixing.op4_mixing_sources,
     winnow.op6_decontamination,
+    media.op7_media_columns,
     toxicity.op10_toxicity,
 ]
 _ORACLES = {
