@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, mixing, toxicity, warc, winnow
+from . import html, media, mixing, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
     warc.op2_warc,
     mixing.op4_mixing_sources,
+    html.op5_html_extraction,
     winnow.op6_decontamination,
     media.op7_media_columns,
     toxicity.op10_toxicity,
