@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html, media, mixing, toxicity, warc, winnow
+from . import html, maxent, media, mixing, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
     warc.op2_warc,
+    maxent.op3_lm_scoring,
     mixing.op4_mixing_sources,
     html.op5_html_extraction,
     winnow.op6_decontamination,
