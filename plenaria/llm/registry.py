@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, maxent, media, mixing, toxicity, warc, winnow
+from . import html, jaccard, maxent, media, mixing, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
@@ -12,6 +12,7 @@ _QUERIES = [
     html.op5_html_extraction,
     winnow.op6_decontamination,
     media.op7_media_columns,
+    jaccard.op9_ngram_jaccard_join,
     toxicity.op10_toxicity,
 ]
 _ORACLES = {
