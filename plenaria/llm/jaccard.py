@@ -35,6 +35,9 @@ FREQUENT = 32
 TABLE_BITS = 24
 #: Postings that a task keeps before it sends them, and the partners of a set in one tree.
 HELD, BLOCK = 400_000, 256
+SIG_BITS = 512
+#: Rounds in which the sets of long lists are linked with their likeliest partner of another component.
+ROUNDS = 3
 
 POST = np.dtype([("tok", "<u8"), ("sid", "<u8"), ("end", "<u8"), ("n", "<u4"), ("p", "<u4")])
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("need", "<i4"), ("c", "<i4")])
@@ -72,8 +75,9 @@ def _sets(batches, column: int, k: int):
             yield part, gram_sets([t or b"" for t in part.column(column).to_pylist()], k)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def signature(s: np.ndarray) -> bytes:
+    """SIG_BITS parities of the n-grams: two sets differ in at least as many n-grams as their signatures in bits."""
+    return np.packbits(np.bincount((s & np.uint64(SIG_BITS - 1)).astype(np.int64), minlength=SIG_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def _ends(first: np.ndarray, n: int) -> np.ndarray:
@@ -116,9 +120,9 @@ def _has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts: int) -> tuple[DataFrame, np.ndarray]:
-    """((key, n, sid) of each row, the bit table of frequent n-grams)."""
+    """((key, n, sid, sig) of each row, the bit table of frequent n-grams)."""
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("t"))
-    schema = T.StructType([source.schema[0], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType())])
+    schema = T.StructType([source.schema[0], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     names = schema.names
 
     def run(batches):
@@ -128,14 +132,15 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
             toks = np.concatenate(held)
             d = _dealt(toks, toks, parts)
             n = d.num_rows
-            return pa.RecordBatch.from_arrays([pa.nulls(n, key_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), d.column(0), d.column(1)], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, key_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), d.column(0), d.column(1), pa.nulls(n, pa.binary())], names=names)
 
         key_type = None
         for part, sets in _sets(batches, 1, k):
             key_type = part.schema.field(0).type
-            ns, sids, seen = [], [], set()
+            ns, sids, sigs, seen = [], [], [], set()
             for s in sets:
                 ns.append(len(s))
+                sigs.append(signature(s))
                 sids.append(set_id(s))
                 if len(s) and sids[-1] not in seen:
                     seen.add(sids[-1])
@@ -143,7 +148,7 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
                     held.append(s[: prefix(len(s), percent) * 3 // 2])
                     size += len(held[-1])
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(sigs, pa.binary())], names=names)
             if size > 4 * HELD:
                 yield flush()
                 held, size = [], 0
@@ -159,7 +164,7 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
         yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64))], names=["tok"])
 
     frequent = out.where("part IS NOT NULL").select("part", "rows").repartition(parts, "part").mapInArrow(count, "tok long")
-    return out.where("part IS NULL").select("key", "n", "sid"), _bits(frequent, "tok")
+    return out.where("part IS NULL").select("key", "n", "sid", "sig"), _bits(frequent, "tok")
 
 
 def _lists(docs: DataFrame, text: str, k: int, percent: int, parts: int, frequent: np.ndarray) -> DataFrame:
@@ -282,26 +287,10 @@ def _swapped(p: np.ndarray) -> np.ndarray:
     return q
 
 
-def _rest(lists: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(a, b): all pairs of sets of different components that the counts of shared prefix n-grams let pass.
+def _long(lists: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Postings of the lists of more than FREQUENT sets, with signatures."""
 
-    Pairs inside a short list are paired at once; the sets of a long one get their components first."""
-
-    def small(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                rows = np.frombuffer(x, POST)
-                rows = rows[_list_sizes(rows) <= FREQUENT]
-                found = []
-                for gap in range(1, FREQUENT):
-                    same = rows["tok"][gap:] == rows["tok"][:-gap]
-                    if not same.any():
-                        break
-                    found.append(_pairs(rows[:-gap][same], rows[gap:][same], percent))
-                p = _summed(found)
-                yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
-
-    def long_rows(batches):
+    def rows_of(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
                 rows = np.frombuffer(x, POST)
@@ -309,10 +298,16 @@ def _rest(lists: DataFrame, labels: DataFrame, percent: int, parts: int) -> Data
                 cols = [np.ascontiguousarray(rows[c]).view(np.int64) for c in ("tok", "sid", "end")]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(rows["n"].astype(np.int64)), pa.array(rows["p"].astype(np.int64))], names=["tok", "sid", "end", "n", "p"])
 
-    rows = staged(lists.mapInArrow(long_rows, "tok long, sid long, end long, n long, p long"), "join-long")
-    rows = rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    return staged(lists.mapInArrow(rows_of, "tok long, sid long, end long, n long, p long").join(sigs, "sid"), "join-long")
+
+
+def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: bool) -> DataFrame:
+    """Pairs of sets of a long list whose components differ and whose signatures allow the threshold (dealt rows).
+
+    With best only the pair of the most equal signatures for each set. Lists inside one component cost nothing."""
+    rows = long.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = rows.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("tok")
-    rows = rows.join(mixed, "tok", "left_semi").select("tok", "sid", "end", "n", "p", "label")
+    rows = rows.join(mixed, "tok", "left_semi").select("tok", "sid", "end", "n", "p", "label", "sig")
 
     def cross(batches):
         found = [b for b in batches if b.num_rows]
@@ -323,28 +318,81 @@ def _rest(lists: DataFrame, labels: DataFrame, percent: int, parts: int) -> Data
         for c in ("tok", "sid", "end"):
             r[c] = t.column(c).to_numpy().view(np.uint64)
         r["n"], r["p"], label = t.column("n").to_numpy(), t.column("p").to_numpy(), t.column("label").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(r), -1)
         order = np.lexsort((r["sid"], r["n"], r["tok"]))
-        r, label = r[order], label[order]
+        r, label, sig = r[order], label[order], sig[order]
         first = np.flatnonzero(np.concatenate(([True], r["tok"][1:] != r["tok"][:-1])))
+        held, size = [], 0
         for a, b in zip(first, _ends(first, len(r)), strict=True):
-            own, lab, pairs, size = r[a:b], label[a:b], [], 0
-            top = np.searchsorted(own["n"].astype(np.int64) * percent, own["n"].astype(np.int64) * 100, "right")  # sets of fitting size follow
+            own, lab, s, n = r[a:b], label[a:b], sig[a:b], r["n"][a:b].astype(np.int64)
+            top = np.searchsorted(n * percent, n * 100, "right")  # up to there sizes fit
+            least, mate = np.full(len(own), 1 << 30), np.full(len(own), -1)
             for i in range(len(own)):
                 j = i + 1 + np.flatnonzero(lab[i + 1 : top[i]] != lab[i])
-                if len(j):
-                    pairs.append(_pairs(np.repeat(own[i : i + 1], len(j)), own[j], percent))
+                if not len(j):
+                    continue
+                apart = np.bitwise_count(s[j] ^ s[i]).sum(axis=1, dtype=np.int64)
+                ok = n[i] + n[j] - apart >= 2 * -(-percent * (n[i] + n[j]) // (100 + percent))
+                j, apart = j[ok], apart[ok]
+                if not len(j):
+                    continue
+                if best:
+                    x = int(apart.argmin())
+                    if apart[x] < least[i]:
+                        least[i], mate[i] = apart[x], j[x]
+                    nearer = apart < least[j]
+                    least[j[nearer]], mate[j[nearer]] = apart[nearer], i
+                else:
+                    held.append(_pairs(np.repeat(own[i : i + 1], len(j)), own[j], percent))
                     size += len(j)
-                if size > HELD or i == len(own) - 1 and pairs:
-                    p = np.concatenate(pairs)
+                if size > HELD:
+                    p = np.concatenate(held)
                     yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
-                    pairs, size = [], 0
+                    held, size = [], 0
+            if best and (mate >= 0).any():
+                x = np.flatnonzero(mate >= 0)
+                held.append(_pairs(own[x], own[mate[x]], percent))
+                size += len(x)
+        if size:
+            p = np.concatenate(held)
+            yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
+
+    return rows.repartition(parts, "tok").mapInArrow(cross, DEALT)
+
+
+def _likely(long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b): for each set of a long list its likeliest partner of another component."""
+
+    def each(batches):
+        p = _summed([_gathered(batches, PAIR)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["a"]).view(np.int64)), pa.array(np.ascontiguousarray(p["b"]).view(np.int64))], names=["a", "b"])
+
+    return _cross(long, labels, percent, parts, True).repartition(parts, "part").mapInArrow(each, "a long, b long")
+
+
+def _rest(lists: DataFrame, long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b): all pairs of sets of different components that the counts of shared prefix n-grams let pass."""
+
+    def small(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                rows = np.frombuffer(x, POST)
+                rows = rows[_list_sizes(rows) <= FREQUENT]
+                found = []
+                for gap in range(1, FREQUENT):
+                    same = rows["tok"][gap:] == rows["tok"][:-gap]
+                    if not same.any():
+                        break
+                    found.append(_pairs(rows[:-gap][same], rows[gap:][same], percent))
+                p = _summed(found)
+                yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
 
     def passed(batches):
         p = _summed([_gathered(batches, PAIR)])
         p = p[p["c"] >= p["need"]]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["a"]).view(np.int64)), pa.array(np.ascontiguousarray(p["b"]).view(np.int64))], names=["a", "b"])
 
-    both = lists.mapInArrow(small, DEALT).unionByName(rows.repartition(parts, "tok").mapInArrow(cross, DEALT))
+    both = lists.mapInArrow(small, DEALT).unionByName(_cross(long, labels, percent, parts, False))
     pairs = both.repartition(parts, "part").mapInArrow(passed, "a long, b long")
     for c in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left")
@@ -399,17 +447,11 @@ def traverse(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[in
     return sorted(found)
 
 
-def _verified(docs: DataFrame, key: str, text: str, firsts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are at the threshold.
+def _grams(docs: DataFrame, key: str, text: str, firsts: DataFrame, sids: DataFrame, k: int) -> DataFrame:
+    """(sid, grams) of the sets with the given ids, made again from the first document of each class.
 
-    Sets are made again from the documents, of the first document of each class that a pair names; a bit table of
-    fixed size tells which those are. A set with many partners gets a tree for each BLOCK of them."""
-    pairs = staged(pairs, "join-pairs")
-    if not pairs.limit(1).count():
-        return pairs
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    pairs = staged(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).alias("block")), "join-blocks")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(firsts, "sid")
+    A bit table of fixed size tells which documents those are; a document that shares its bit is made for nothing."""
+    wanted = sids.toDF("sid").distinct().join(firsts, "sid")
     bits = _bits(wanted.select(F.col("sid").bitwiseXOR(F.crc32(F.coalesce(F.col("first").cast("string"), F.lit("")).cast("binary"))).alias("mark")), "mark")
     source = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("t"))
 
@@ -421,8 +463,16 @@ def _verified(docs: DataFrame, key: str, text: str, firsts: DataFrame, pairs: Da
             at = np.flatnonzero(_has(bits, marks)) if len(own) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sids[at].view(np.int64)), pa.array([own[i].tobytes() for i in at], pa.binary())], names=["sid", "grams"])
 
-    made = staged(source.mapInArrow(make, "sid long, grams binary").dropDuplicates(["sid"]), "join-grams")
+    return staged(source.mapInArrow(make, "sid long, grams binary").dropDuplicates(["sid"]), "join-grams")
+
 
+def _verified(made: DataFrame, pairs: DataFrame, percent: int, parts: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are at the threshold; a set with many partners gets a tree for each BLOCK of them."""
+    pairs = staged(pairs, "join-pairs")
+    if not pairs.limit(1).count():
+        return pairs
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    pairs = staged(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).alias("block")), "join-blocks")
     left = pairs.select("a", "block").distinct().join(made.withColumnRenamed("sid", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "grams")
     right = pairs.join(made.withColumnRenamed("sid", "b"), "b").select("a", "block", "b", "grams")
 
@@ -464,10 +514,26 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows, frequent = classes_of(docs, key, text, k, percent, parts)
     firsts = staged(rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first")), "join-firsts")
     lists = _lists(docs, text, k, percent, parts, frequent)
-    one = _verified(docs, key, text, firsts, _near(lists, percent, parts), k, percent, parts)
-    labels = components(one)
-    two = _verified(docs, key, text, firsts, _rest(lists, labels, percent, parts), k, percent, parts)
-    labels = components(one.unionByName(two))
+    long = _long(lists, rows.where("n > 0").select("sid", "sig").dropDuplicates(["sid"]))
+    near = staged(_near(lists, percent, parts), "join-near")
+    # The sets that the first rounds compare are made in one pass over the documents.
+    grams = _grams(docs, key, text, firsts, near.select("a").union(near.select("b")).union(long.select("sid")), k)
+    links = _verified(grams, near, percent, parts)
+    labels = components(links)
+    for _ in range(ROUNDS):
+        more = _verified(grams, _likely(long, labels, percent, parts), percent, parts)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+    rest = staged(_rest(lists, long, labels, percent, parts), "join-rest")
+    if rest.limit(1).count():
+        known = grams.select(F.col("sid").alias("a"))
+        new = rest.select("a").union(rest.select("b")).distinct().join(known, "a", "left_anti")
+        if new.limit(1).count():
+            grams = grams.unionByName(_grams(docs, key, text, firsts, new, k))
+        links = links.unionByName(_verified(grams, rest, percent, parts))
+        labels = components(links)
     named = labels.join(firsts.withColumnRenamed("sid", "node"), "node")
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     least = named.join(least, "label").select(F.col("node").alias("sid"), "least")
