@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html, jaccard, maxent, media, mixing, toxicity, warc, winnow
+from . import html, jaccard, maxent, media, mixing, passages, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
+    passages.op1_substring_dedup,
     warc.op2_warc,
     maxent.op3_lm_scoring,
     mixing.op4_mixing_sources,
