@@ -11,13 +11,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on, so that its arrays stay small whatever an Arrow batch holds.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -115,25 +114,6 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there are not too many."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (splitmix64's last steps)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -153,13 +133,62 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+#: A-Z become lower case and ASCII white space becomes a space; other bytes stay.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least n of them."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.multiply.accumulate(p)
+    return _powers
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words between spaces, where they start), without making a string of any word.
+
+    The hash of a word is a polynomial in the base over a table of its bytes, taken from prefix sums over all bytes."""
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        to = len(data)
+        if to - at > STEP_BYTES:  # blocks end at a space; a longer word is a block of its own
+            to = data.rfind(b" ", at, at + STEP_BYTES) + 1
+            if to <= at:
+                to = (data.find(b" ", at) + 1) or len(data)
+        c = np.frombuffer(data, np.uint8, to - at, at)
+        word = np.zeros(len(c) + 2, np.int8)
+        word[1:-1] = c != 32
+        edge = np.diff(word)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _power_tables(len(c))
+        sums = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(_VALUES[c] * up[: len(c)], out=sums[1:])
+        h = (sums[end] - sums[start]) * down[start]
+        hashes.append(mixed(h + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        places.append(start + at)
+        at = to
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 class Batch:
-    """The words of several texts as one array of hashes, with the place where each text starts."""
+    """The words of several texts as one array of hashes, with the place where each text starts.
 
-    def __init__(self, texts: list[list[bytes]]):
-        self.counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
-        self.hashes = word_hashes([w for t in texts for w in t])
+    fold maps each byte to itself, its lower case, or a space between words."""
+
+    def __init__(self, texts: list[bytes], fold: bytes = LOWER):
+        self.hashes, at = word_hashes(b" ".join([t.translate(fold) for t in texts]))
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        self.starts = np.concatenate(([0], np.searchsorted(at, ends)))
+        self.counts = np.diff(self.starts)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of k words inside a text, and where they start."""
@@ -177,6 +206,26 @@ class Batch:
         return np.searchsorted(self.starts, at, "right") - 1
 
 
+def minimizers(h: np.ndarray, at: np.ndarray, owner: np.ndarray, span: int) -> np.ndarray:
+    """Which k-mers are the smallest of a window of span consecutive ones of one text (all, if several are equal)."""
+    n = len(h)
+    if n < span:
+        return np.zeros(n, bool)
+    low, width = h.copy(), 1
+    while width < span:  # low[i]: the least of width k-mers from i
+        step = min(width, span - width)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        width += step
+    whole = (at[span - 1 :] - at[: n - span + 1] == span - 1) & (owner[span - 1 :] == owner[: n - span + 1])
+    low = np.where(whole, low, 0)
+    high, width = np.concatenate((np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64))), 1
+    while width < span:  # high[i]: the greatest of the least of the windows that hold k-mer i
+        step = min(width, span - width)
+        high = np.maximum(high[: len(high) - step], high[step:])
+        width += step
+    return high[:n] == h
+
+
 def signed(h: np.ndarray) -> pa.Array:
     """Unsigned 64-bit numbers as Spark's bigint."""
     return pa.array(np.ascontiguousarray(h).view(np.int64))

@@ -35,7 +35,7 @@ FREQUENT = 32
 TABLE_BITS = 24
 #: Postings that a task keeps before it sends them, and the partners of a set in one tree.
 HELD, BLOCK = 400_000, 256
-SIG_BITS = 512
+SIG_BITS = 2048
 #: Rounds in which the sets of long lists are linked with their likeliest partner of another component.
 ROUNDS = 3
 
@@ -50,13 +50,13 @@ def prefix(n: int, percent: int) -> int:
 
 def gram_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """The set of each text as sorted hashes: of its runs of k words, or of all its words if they are fewer."""
-    split = [t.lower().split() for t in texts]
-    batch = Batch(split)
+    batch = Batch(texts)
     h, at = batch.grams(k)
     cut = np.searchsorted(at, batch.starts)
     for i, n in enumerate(batch.counts.tolist()):
         if n >= k:
-            yield np.unique(h[cut[i] : cut[i + 1]])
+            s = np.sort(h[cut[i] : cut[i + 1]])
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif n:
             yield gram_hashes(batch.hashes[batch.starts[i] : batch.starts[i + 1]], n) + np.uint64(n)
         else:
@@ -466,6 +466,23 @@ def _grams(docs: DataFrame, key: str, text: str, firsts: DataFrame, sids: DataFr
     return staged(source.mapInArrow(make, "sid long, grams binary").dropDuplicates(["sid"]), "join-grams")
 
 
+def _alike(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures allow the threshold; sigs is (sid, n, sig)."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sigs.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in (4, 5))
+                n = t.column(2).to_numpy() + t.column(3).to_numpy()
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                ok = n - apart >= 2 * -(-percent * n // (100 + percent))
+                yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(ok)), t.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verified(made: DataFrame, pairs: DataFrame, percent: int, parts: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are at the threshold; a set with many partners gets a tree for each BLOCK of them."""
     pairs = staged(pairs, "join-pairs")
@@ -514,10 +531,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows, frequent = classes_of(docs, key, text, k, percent, parts)
     firsts = staged(rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first")), "join-firsts")
     lists = _lists(docs, text, k, percent, parts, frequent)
-    long = _long(lists, rows.where("n > 0").select("sid", "sig").dropDuplicates(["sid"]))
-    near = staged(_near(lists, percent, parts), "join-near")
-    # The sets that the first rounds compare are made in one pass over the documents.
-    grams = _grams(docs, key, text, firsts, near.select("a").union(near.select("b")).union(long.select("sid")), k)
+    sigs = rows.where("n > 0").select("sid", "n", "sig").dropDuplicates(["sid"])
+    long = _long(lists, sigs.select("sid", "sig"))
+    alone = firsts.select(F.col("sid").alias("node"), F.col("sid").alias("label")).limit(0)
+    near = staged(_alike(_near(lists, percent, parts), sigs, percent).union(_likely(long, alone, percent, parts)).distinct(), "join-near")
+    # Sets without a likely partner in the first round have none later: components only grow.
+    grams = _grams(docs, key, text, firsts, near.select("a").union(near.select("b")), k)
+    long = staged(long.join(near.select(F.col("a").alias("sid")).union(near.select("b")).distinct(), "sid", "left_semi"), "join-long")
     links = _verified(grams, near, percent, parts)
     labels = components(links)
     for _ in range(ROUNDS):
@@ -526,7 +546,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             break
         links = links.unionByName(more)
         labels = components(links)
-    rest = staged(_rest(lists, long, labels, percent, parts), "join-rest")
+    rest = staged(_alike(_rest(lists, long, labels, percent, parts), sigs, percent), "join-rest")
     if rest.limit(1).count():
         known = grams.select(F.col("sid").alias("a"))
         new = rest.select("a").union(rest.select("b")).distinct().join(known, "a", "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batch, map_text, signed, staged, steps, table, without
+from .common import Batch, map_text, minimizers, signed, staged, steps, table, without
 
 #: Bytes below 128 that are no word characters become a space, A-Z become lower case, other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -38,21 +38,10 @@ FIELDS = [
 ]
 
 
-def words(text: bytes) -> list[bytes]:
-    """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case."""
-    return text.translate(_FOLD).split()
-
-
 def winnowed(batch: Batch, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and where they start: the smallest k-gram hash (leftmost of equals) of every window inside a text."""
+    """Fingerprints and where they start: the smallest k-gram hashes of every window inside a text."""
     h, at = batch.grams(k)
-    span = window - k + 1
-    if len(h) < span:
-        return h[:0], at[:0]
-    least = np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) + np.arange(len(h) - span + 1)
-    ok = at[span - 1 :] - at[: len(at) - span + 1] == span - 1  # all in one text
-    ok &= batch.text_of(at[: len(ok)]) == batch.text_of(at[span - 1 :])
-    keep = np.unique(least[ok])
+    keep = minimizers(h, at, batch.text_of(at), window - k + 1)
     return h[keep], at[keep]
 
 
@@ -60,15 +49,14 @@ class Index:
     """Fingerprints of benchmark items by span length: the window, and the length of each shorter item."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int, k: int):
-        split = [(i, w) for i, t in items if (w := words(t))]
-        self.ids, self.window, self.k = [i for i, _ in split], window, k
-        batch = Batch([w for _, w in split])
+        batch = Batch([t for _, t in items], _FOLD)
+        self.ids, self.window, self.k = [i for i, _ in items], window, k
         self.items = [batch.hashes[a:b] for a, b in zip(batch.starts[:-1], batch.starts[1:], strict=True)]
         self.posts: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         h, at = winnowed(batch, window, k)
         for fp, p, i in zip(h.tolist(), at.tolist(), batch.text_of(at).tolist(), strict=True):
             self.posts[window][fp].append((i, p - int(batch.starts[i])))
-        for n in sorted({len(w) for _, w in split if len(w) < window}):
+        for n in sorted({len(w) for w in self.items if 0 < len(w) < window}):
             h, at = batch.grams(n)
             for fp, i in zip(h.tolist(), batch.text_of(at).tolist(), strict=True):
                 if len(self.items[i]) == n:
@@ -102,12 +90,12 @@ class Index:
                         yield d, i, p - a - lo, p + b - lo
 
 
-def _report(split: list[list[bytes]], hits: list[tuple[int, str | None, int, int]]) -> list[pa.Array]:
-    marks = [None] * len(split)
-    items: list[set[str]] = [set() for _ in split]
+def _report(counts: np.ndarray, hits: list[tuple[int, str | None, int, int]]) -> list[pa.Array]:
+    marks = [None] * len(counts)
+    items: list[set[str]] = [set() for _ in counts]
     for d, name, a, b in hits:
         if marks[d] is None:
-            marks[d] = np.zeros(len(split[d]) + 1, np.int32)
+            marks[d] = np.zeros(counts[d] + 1, np.int32)
         marks[d][a] += 1
         marks[d][b] -= 1
         if name is not None:
@@ -124,7 +112,7 @@ def _report(split: list[list[bytes]], hits: list[tuple[int, str | None, int, int
         spans.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
     names = [sorted(x) for x in items]
     return [
-        pa.array([len(w) for w in split], pa.int64()),
+        pa.array(counts, pa.int64()),
         pa.array(n_hit, pa.int64()),
         pa.array([len(x) for x in names], pa.int64()),
         pa.array(names, pa.list_(pa.string())),
@@ -150,9 +138,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     index = Index([(r[0], bytes(r[1])) for r in items.collect()], window, k)
 
     def work(texts: list[bytes]) -> list[pa.Array]:
-        split = [words(t) for t in texts]
-        batch = Batch(split)
-        return _report(split, [(d, index.ids[i], a, b) for d, i, a, b in index.hits(batch)])
+        batch = Batch(texts, _FOLD)
+        return _report(batch.counts, [(d, index.ids[i], a, b) for d, i, a, b in index.hits(batch)])
 
     index.posts = {n: dict(p) for n, p in index.posts.items()}
     return map_text(docs, text, keep, FIELDS, work)
@@ -167,7 +154,7 @@ def _fingerprints(df: DataFrame, key: str, text: str, window: int, k: int, lengt
         for b in batches:
             for at, count in steps(b.column(1)):
                 keys = b.column(0).slice(at, count)
-                batch = Batch([words(x or b"") for x in b.column(1).slice(at, count).to_pylist()])
+                batch = Batch([x or b"" for x in b.column(1).slice(at, count).to_pylist()], _FOLD)
                 for n in [window, *lengths]:
                     h, p = winnowed(batch, n, k) if n == window else batch.grams(n)
                     d = batch.text_of(p)
@@ -194,10 +181,10 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, keep: list[str], windo
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                split = words(b.column(len(keep))[i].as_py() or b"")
+                batch = Batch([b.column(len(keep))[i].as_py() or b""], _FOLD)
                 index = Index([(x["item_id"], x["item"]) for x in b.column(len(keep) + 1)[i].as_py() or []], window, k)
-                hits = [(0, index.ids[x], a, e) for _, x, a, e in index.hits(Batch([split]))] if index.ids else []
-                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, 1) for c in range(len(keep))] + _report([split], hits), names=schema.names)
+                hits = [(0, index.ids[x], a, e) for _, x, a, e in index.hits(batch)] if index.ids else []
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, 1) for c in range(len(keep))] + _report(batch.counts, hits), names=schema.names)
 
     return source.mapInArrow(run, schema)
 
