@@ -83,19 +83,23 @@ def map_text(
     text: str,
     keep: list[str],
     fields: list[T.StructField],
-    work: Callable[[list[bytes]], list[pa.Array]],
+    work: Callable[..., list[pa.Array]],
+    also: str | None = None,
 ) -> DataFrame:
     """One row out for each row in: the kept columns, then what work returns for the texts.
 
-    work gets the UTF-8 bytes of at most about STEP_BYTES of texts (one text, however long, is never cut); null is empty."""
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text__"))
+    work gets the UTF-8 bytes of at most about STEP_BYTES of texts (one text, however long, is never cut); null is empty.
+    With also it gets the strings of that column beside them, null as empty."""
+    more = [F.coalesce(F.col(f"`{also}`").cast("string"), F.lit("")).alias("__also__")] if also else []
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text__"), *more)
     schema = T.StructType([source.schema[i] for i in range(len(keep))] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep))
             for at, n in steps(texts):
-                own = work([x or b"" for x in texts.slice(at, n).to_pylist()])
+                given = [[x or b"" for x in texts.slice(at, n).to_pylist()]] + [batch.column(len(keep) + 1).slice(at, n).to_pylist() for _ in more]
+                own = work(*given)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, n) for i in range(len(keep))] + own, names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)

@@ -563,5 +563,16 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return some.unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies: that of the smallest key; rows and columns as they are.
+
+    Texts without words have no copies. Of rows that repeat both key and text one stays; rows without a key can't be
+    told apart and all stay."""
+    best = jaccard_classes(docs, key, text, k, percent).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key__")).distinct()
+    best = staged(best, "join-kept")
+    kept = docs.where(F.col(key).isNotNull()).join(best, F.col(key) == F.col("__key__"), "left_semi").withColumn("__same__", F.xxhash64(text))
+    return kept.dropDuplicates([key, "__same__"]).drop("__same__").unionByName(docs.where(F.col(key).isNull()))
+
+
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))

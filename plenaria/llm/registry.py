@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, jaccard, maxent, media, mixing, passages, toxicity, warc, winnow
+from . import html, jaccard, maxent, media, mixing, passages, secrets, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
@@ -13,6 +13,7 @@ _QUERIES = [
     html.op5_html_extraction,
     winnow.op6_decontamination,
     media.op7_media_columns,
+    secrets.op8_secret_scans,
     jaccard.op9_ngram_jaccard_join,
     toxicity.op10_toxicity,
 ]
