@@ -24,9 +24,21 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _catalogue():
+    from . import catalogue  # registers its queries when it is imported
+
+    return catalogue
+
+
 def queries() -> dict[str, Query]:
+    _catalogue()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _catalogue()
     return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalogue().flagship(spark, sf_dir)
