@@ -527,7 +527,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Repeated rows and equal texts are one class; a null key is no component's smallest while there is another; an
     empty table gives an empty result. Other columns are left out. Sets are told apart by 64-bit hashes."""
     spark = docs.sparkSession
-    parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows, frequent = classes_of(docs, key, text, k, percent, parts)
     firsts = staged(rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first")), "join-firsts")
     lists = _lists(docs, text, k, percent, parts, frequent)
