@@ -186,7 +186,8 @@ def namespaced(nodes: DataFrame, edges: DataFrame, shared: list[str] = SHARED) -
 
 def upserted(nodes: DataFrame, order: str) -> DataFrame:
     """One node for each id over all sessions; later properties overlay earlier ones key by key."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "label", "type", "subtype", "schicht", "props"))), lambda x: x["props"])
+    entries = F.array_sort(F.map_entries("props")).alias("e")  # maps have no order, their entries do
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, entries))), lambda x: F.map_from_entries(x["e"]))
     merged = F.aggregate(parts, F.expr("map()").cast("map<string,string>"), lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
     return nodes.groupBy("id").agg(F.max_by("label", order).alias("label"), F.max_by("type", order).alias("type"), F.max_by("subtype", order).alias("subtype"), F.max_by("schicht", order).alias("schicht"), merged.alias("props"))
 

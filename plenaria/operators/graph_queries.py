@@ -35,7 +35,7 @@ class Graph:
         """Resolutions with their vote (the last one, if several lead to them) and citation."""
         v = self.of("Abstimmung", "vote")
         led = self.rel("FUEHRT_ZU", "vote", "res").join(v, ["session_id", "vote"])
-        led = led.groupBy("session_id", "res").agg(F.max(F.struct("vote", "vote_sub", "vote_props")).alias("v"))
+        led = led.groupBy("session_id", "res").agg(F.max_by(F.struct("vote_sub", "vote_props"), "vote").alias("v"))
         b = self.of("Beschluss", "res").join(led, ["session_id", "res"], "left").join(self.citations("res"), ["session_id", "res"], "left")
         p = F.col("v.vote_props")
         return b.select("session_id", F.col("res_props")["nummer"].alias("beschluss"), F.col("res_props")["text"].alias("text"), p["ja"].alias("ja"), p["nein"].alias("nein"), p["enthaltung"].alias("enthaltung"), F.col("v.vote_sub").alias("ergebnis"), "cited")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.sequence import buckets, merged_runs, without_repeats, with_runs
+from ..operators.sequence import buckets, carried, merged_runs, without_repeats, with_runs
 
 TRANSCRIPT = (
     "audio_file string, language string, duration_sec double, asr_model string, diarization_model string, "
@@ -78,10 +78,12 @@ def caption_segments(files: DataFrame) -> DataFrame:
 
 def rolling_segments(files: DataFrame, lines: int = 12) -> DataFrame:
     """Rolling captions: repeated lines go, then so many lines make a segment, from the first line's start to the last's."""
-    c = _cues(files).select("session_id", "block", "start", F.posexplode(F.split("body", "\n")).alias("line", "raw"))
+    lines_of = files.select("session_id", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("line", "raw"))
+    stamp = F.when(F.col("raw").rlike(_STAMP + ".*-->"), X.seconds(F.regexp_extract("raw", _STAMP, 1)))
+    c = carried(lines_of.withColumn("stamp", stamp), F.col("stamp"), ["session_id"], ["line"], "start").where("stamp IS NULL AND start IS NOT NULL")
     c = c.withColumn("text", F.trim(F.regexp_replace("raw", "<[^>]*>", ""))).where(~F.col("text").rlike("^(WEBVTT|Kind:|Language:)"))
-    kept = buckets(without_repeats(c, "text", ["session_id"], ["block", "line"]), lines, ["session_id"], ["block", "line"])
-    parts = F.array_sort(F.collect_list(F.struct("block", "line", "text")))
+    kept = buckets(without_repeats(c, "text", ["session_id"], ["line"]), lines, ["session_id"], ["line"])
+    parts = F.array_sort(F.collect_list(F.struct("line", "text")))
     return kept.groupBy("session_id", F.col("bucket").alias("idx")).agg(F.min("start").alias("start"), F.max("start").alias("end"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
 
 

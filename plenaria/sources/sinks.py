@@ -14,7 +14,9 @@ _LEAD = {"node": ["id", "label", "type", "subtype", "schicht"], "edge": ["source
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(session_id, value): each session's graph as one document {metadata, nodes, relationships}."""
-    n = nodes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", "label", "type", "subtype", "schicht", "props"))).alias("nodes"))
+    lead = ["id", "label", "type", "subtype", "schicht"]
+    own = F.array_sort(F.collect_list(F.struct(*lead, F.array_sort(F.map_entries("props")).alias("e"))))
+    n = nodes.groupBy("session_id").agg(F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in lead], F.map_from_entries(x["e"]).alias("props"))).alias("nodes"))
     e = edges.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "target_id", "relationship_type"))).alias("relationships"))
     both = n.join(e, "session_id", "left")
     meta = F.struct(F.size("nodes").alias("node_count"), F.coalesce(F.size("relationships"), F.lit(0)).alias("relationship_count"))
