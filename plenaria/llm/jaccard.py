@@ -557,7 +557,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     named = labels.join(firsts.withColumnRenamed("sid", "node"), "node")
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     least = named.join(least, "label").select(F.col("node").alias("sid"), "least")
-    of = firsts.join(least, "sid", "left").select("sid", F.coalesce("least", "first").alias("component_id"))
+    of = staged(firsts.join(least, "sid", "left").select("sid", F.coalesce("least", "first").alias("component_id")), "join-of")
+    # A class of very many copies is one key of this join alone, which Spark can split.
     some = rows.where("n > 0").join(of, "sid").select("key", "n", "component_id")
     none = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return some.unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
