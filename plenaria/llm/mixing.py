@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 #: Buckets of the exponential key: a unit of key has COARSE buckets, a coarse one has FINE; keys beyond LAST share a bucket.
-COARSE, FINE, LAST = 256, 1024, 16
+COARSE, FINE, LAST = 32, 1024, 16
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
