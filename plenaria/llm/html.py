@@ -147,14 +147,16 @@ def parse(page: str) -> Tree:
             ended, scope = SIBLINGS[tag]
             for name in ended:
                 close(name, scope)
-        flush()
+        if tag not in RAW or tag in ("textarea", "title"):
+            flush()
         if tag == "hr":
             continue
-        own = t.add(stack[-1], tag, _hints(m[3]) if m[3] else (), None, 0)
-        if tag in RAW:
+        if tag in RAW:  # never text of the page
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif not m[3].endswith("/") or tag not in ("svg", "path"):
+            continue
+        own = t.add(stack[-1], tag, _hints(m[3]) if m[3] else (), None, 0)
+        if not m[3].endswith("/") or tag not in ("svg", "path"):
             stack.append(own)
             in_a = False
     flush()
@@ -174,50 +176,62 @@ def features(t: Tree) -> list[list[str]]:
     return out
 
 
+#: Elements that stand for something beside the text.
+BOXES = frozenset("nav aside footer form header button select menu dialog".split())
+PAGE = frozenset(("#root", "html", "body", "head"))
+
+
+def kinds(t: Tree) -> list[int]:
+    """0 plain element, 1 run of text, 2 box (by its tag or a hint of something beside the text), 3 the page itself."""
+    out = []
+    for tag, hints, text in zip(t.tag, t.hints, t.text, strict=True):
+        out.append(1 if text is not None else 3 if tag in PAGE else 2 if tag in BOXES or any(h != "main" for h in hints) else 0)
+    return out
+
+
 class Model:
-    """Log-likelihoods of features by label, and log-potentials of (parent label, child label, kind of child)."""
+    """Log-likelihood ratios of features, and log-potentials of (kind of parent, kind of child, parent label, child label)."""
 
     def __init__(self, pages: list[tuple[Tree, list[int]]], smooth: float = 0.5):
         seen, size, pair = Counter(), Counter(), Counter()
         names: dict[str, set[str]] = {}
         for t, y in pages:
+            kind = kinds(t)
             for i, fs in enumerate(features(t)):
                 for f in fs:
                     seen[f, y[i]] += 1
                     names.setdefault(f.partition("=")[0], set()).add(f)
                 if i:
-                    pair[y[t.parent[i]], y[i], t.text[i] is not None] += 1
+                    pair[kind[t.parent[i]], kind[i], y[t.parent[i]], y[i]] += 1
                 size[y[i], t.text[i] is not None] += 1
         self.unary: dict[str, float] = {}
-        for kind, fs in names.items():
-            is_text = kind in ("link", "size", "stop")
+        for name, fs in names.items():
+            is_text = name in ("link", "size", "stop")
             for f in fs:
                 p, q = ((seen[f, y] + smooth) / (size[y, is_text] + smooth * (len(fs) + 1)) for y in (1, 0))
                 self.unary[f] = float(np.log(p / q))
-        self.pair = np.zeros((2, 2, 2))
-        for k in (0, 1):
-            for a in (0, 1):
-                n = sum(pair[a, b, bool(k)] for b in (0, 1)) + 2 * smooth
-                for b in (0, 1):
-                    self.pair[k, a, b] = np.log((pair[a, b, bool(k)] + smooth) / n)
-        self.ratio = [[[float(np.exp(self.pair[k, a, b])) for b in (0, 1)] for a in (0, 1)] for k in (0, 1)]
+        self.pair = np.zeros((4, 4, 2, 2))
+        for k in range(4):
+            for c in range(4):
+                for a in (0, 1):
+                    n = sum(pair[k, c, a, b] for b in (0, 1)) + 2 * smooth
+                    self.pair[k, c, a] = [np.log((pair[k, c, a, b] + smooth) / n) for b in (0, 1)]
+        self.ratio = np.exp(self.pair).tolist()
 
     def marginals(self, t: Tree) -> list[float]:
         """P(content) of each node: messages upward (children to parents), then downward, each as the odds of label 1 to 0."""
-        n, get = len(t.parent), self.unary.get
+        n, get, kind = len(t.parent), self.unary.get, kinds(t)
         exp, log = math.exp, math.log
-        own = [0.0] * n  # log-odds of a node's features and of all messages from its children
-        for i, fs in enumerate(features(t)):
-            own[i] = sum([get(f, 0.0) for f in fs])
+        own = [sum([get(f, 0.0) for f in fs]) for fs in features(t)]  # log-odds of a node's features, then of its children's messages too
+        own[0] -= 20.0  # the document itself is no content
         up = [0.0] * n
         for i in range(n - 1, 0, -1):
-            r = self.ratio[t.text[i] is not None]
+            r = self.ratio[kind[t.parent[i]]][kind[i]]
             o = exp(max(-60.0, min(60.0, own[i])))
             up[i] = log((r[1][0] + r[1][1] * o) / (r[0][0] + r[0][1] * o))
             own[t.parent[i]] += up[i]
-        own[0] -= 20.0  # the document itself is no content
         for i in range(1, n):
-            r = self.ratio[t.text[i] is not None]
+            r = self.ratio[kind[t.parent[i]]][kind[i]]
             o = exp(max(-60.0, min(60.0, own[t.parent[i]] - up[i])))  # the parent's belief without this child's message
             own[i] += log((r[0][1] + r[1][1] * o) / (r[0][0] + r[1][0] * o))
         return [1 / (1 + exp(-max(-60.0, min(60.0, x)))) for x in own]
