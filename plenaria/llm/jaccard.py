@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batch, gram_hashes, staged, steps, table
+from .common import Batch, gram_hashes, staged, steps, table, trimmed
 from .components import components
 
 GRAM, PERCENT = 4, 85
@@ -34,7 +34,7 @@ GRAM, PERCENT = 4, 85
 FREQUENT = 32
 TABLE_BITS = 24
 #: Postings that a task keeps before it sends them, and the partners of a set in one tree.
-HELD, BLOCK = 400_000, 256
+HELD, BLOCK = 200_000, 256
 SIG_BITS = 2048
 #: Rounds in which the sets of long lists are linked with their likeliest partner of another component.
 ROUNDS = 3
@@ -125,6 +125,7 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
     schema = T.StructType([source.schema[0], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     names = schema.names
 
+    @trimmed
     def run(batches):
         held, size = [], 0
 
@@ -157,6 +158,7 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
 
     out = staged(source.mapInArrow(run, schema), "join-sets")
 
+    @trimmed
     def count(batches):
         toks = np.sort(_gathered(batches, "<u8"))
         first = np.flatnonzero(np.concatenate(([True], toks[1:] != toks[:-1]))) if len(toks) else np.empty(0, np.int64)
@@ -171,13 +173,14 @@ def _lists(docs: DataFrame, text: str, k: int, percent: int, parts: int, frequen
     """(rows): for each n-gram that the prefixes of several sets have, its postings, sorted by size."""
     source = docs.select(F.col(text).cast("binary").alias("t"))
 
+    @trimmed
     def post(batches):
         held, size, sent = [], 0, set()
         for _, sets in _sets(batches, 0, k):
             for s in sets:
                 if not len(s) or (sid := set_id(s)) in sent:
                     continue
-                if len(sent) < 500_000:
+                if len(sent) < 100_000:
                     sent.add(sid)
                 last = _has(frequent, s)
                 order = np.concatenate((s[~last], s[last]))[: (p := prefix(len(s), percent))]
@@ -195,6 +198,7 @@ def _lists(docs: DataFrame, text: str, k: int, percent: int, parts: int, frequen
             rows = np.concatenate(held)
             yield _dealt(rows, rows["tok"], parts)
 
+    @trimmed
     def gather(batches):
         rows = _gathered(batches, POST)
         rows = rows[np.lexsort((rows["sid"], rows["n"], rows["tok"]))]
@@ -244,6 +248,7 @@ def _summed(pairs: list[np.ndarray]) -> np.ndarray:
 def _near(lists: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b): for each set the neighbour and the list head that it meets most often; a guess, what it misses is found later."""
 
+    @trimmed
     def run(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
@@ -258,6 +263,7 @@ def _near(lists: DataFrame, percent: int, parts: int) -> DataFrame:
                 both = np.concatenate((p, _swapped(p), q, _swapped(q)))
                 yield _dealt(both, both["b"], parts)
 
+    @trimmed
     def best(batches):
         p = _gathered(batches, PAIR)  # keyed by b, with the numbers of several rows
         found = []
@@ -290,6 +296,7 @@ def _swapped(p: np.ndarray) -> np.ndarray:
 def _long(lists: DataFrame, sigs: DataFrame) -> DataFrame:
     """Postings of the lists of more than FREQUENT sets, with signatures."""
 
+    @trimmed
     def rows_of(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
@@ -309,6 +316,7 @@ def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: b
     mixed = rows.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("tok")
     rows = rows.join(mixed, "tok", "left_semi").select("tok", "sid", "end", "n", "p", "label", "sig")
 
+    @trimmed
     def cross(batches):
         found = [b for b in batches if b.num_rows]
         if not found:
@@ -363,6 +371,7 @@ def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: b
 def _likely(long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b): for each set of a long list its likeliest partner of another component."""
 
+    @trimmed
     def each(batches):
         p = _summed([_gathered(batches, PAIR)])
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["a"]).view(np.int64)), pa.array(np.ascontiguousarray(p["b"]).view(np.int64))], names=["a", "b"])
@@ -373,6 +382,7 @@ def _likely(long: DataFrame, labels: DataFrame, percent: int, parts: int) -> Dat
 def _rest(lists: DataFrame, long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b): all pairs of sets of different components that the counts of shared prefix n-grams let pass."""
 
+    @trimmed
     def small(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
@@ -387,6 +397,7 @@ def _rest(lists: DataFrame, long: DataFrame, labels: DataFrame, percent: int, pa
                 p = _summed(found)
                 yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
 
+    @trimmed
     def passed(batches):
         p = _summed([_gathered(batches, PAIR)])
         p = p[p["c"] >= p["need"]]
@@ -455,6 +466,7 @@ def _grams(docs: DataFrame, key: str, text: str, firsts: DataFrame, sids: DataFr
     bits = _bits(wanted.select(F.col("sid").bitwiseXOR(F.crc32(F.coalesce(F.col("first").cast("string"), F.lit("")).cast("binary"))).alias("mark")), "mark")
     source = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("t"))
 
+    @trimmed
     def make(batches):
         for part, sets in _sets(batches, 1, k):
             own = list(sets)
@@ -471,6 +483,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     for c in ("a", "b"):
         pairs = pairs.join(sigs.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
 
+    @trimmed
     def run(batches):
         for t in batches:
             if t.num_rows:
@@ -493,6 +506,7 @@ def _verified(made: DataFrame, pairs: DataFrame, percent: int, parts: int) -> Da
     left = pairs.select("a", "block").distinct().join(made.withColumnRenamed("sid", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "grams")
     right = pairs.join(made.withColumnRenamed("sid", "b"), "b").select("a", "block", "b", "grams")
 
+    @trimmed
     def walk(batches):
         group, probe, names, sets = None, None, [], []
 

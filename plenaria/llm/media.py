@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, steps, table
+from .common import staged, steps, table, trimmed
 
 UNIT = 64
 LEAST, MASK_BITS, MOST = 2048, 13, 65536
@@ -118,6 +118,7 @@ def repeated(texts: DataFrame) -> np.ndarray:
 
     Bytes stay where they are: only 8 bytes of each chunk's digest are counted."""
 
+    @trimmed
     def run(batches):
         for _, own in _texts(batches, 0):
             keys = [int.from_bytes(hashlib.sha256(c).digest()[:8], "little", signed=True) for t in own for c in chunks(wav(payload_of(t)))]
@@ -139,6 +140,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     known = repeated(source.select("text"))
 
+    @trimmed
     def run(batches):
         for part, own in _texts(batches, 2):
             rows, sent = [], set()
@@ -186,6 +188,7 @@ def load(packs: DataFrame, shared: DataFrame, media: bool = False) -> DataFrame:
     both = plain.unionByName(mixed).drop("rid").select("key", "n_bytes", "digests", "lens", "own", "got")
     schema = T.StructType([both.schema[0], *_READ] + ([T.StructField("media", T.BinaryType())] if media else []))
 
+    @trimmed
     def run(batches):
         for b in batches:
             rows = []

@@ -18,7 +18,7 @@ from .common import map_text, table, without
 GRAMS = (3, 4, 5)
 BITS = 18
 #: At most so many labelled texts of each class are used to fit, those of smallest hash.
-FIT_ROWS = 2000
+FIT_ROWS = 1500
 THRESHOLD = 0.7
 
 FIELDS = [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batch, map_text, minimizers, signed, staged, steps, table, without
+from .common import Batch, map_text, minimizers, signed, staged, steps, table, trimmed, without
 
 #: Bytes below 128 that are no word characters become a space, A-Z become lower case, other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -150,6 +150,7 @@ def _fingerprints(df: DataFrame, key: str, text: str, window: int, k: int, lengt
     source = df.select(key, F.col(text).cast("binary").alias("t"))
     schema = T.StructType([source.schema[0], T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType())])
 
+    @trimmed
     def run(batches):
         for b in batches:
             for at, count in steps(b.column(1)):
@@ -178,6 +179,7 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, keep: list[str], windo
     source = both.select(*keep, F.col(text).cast("binary").alias("__text__"), "__items__")
     schema = T.StructType([source.schema[i] for i in range(len(keep))] + FIELDS)
 
+    @trimmed
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
