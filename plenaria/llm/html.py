@@ -361,3 +361,14 @@ def extract(pages: DataFrame, model: Model | None = None, page: str = "html") ->
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: The main text of pages whose article is marked as such, holds headings, paragraphs and inline tags, and no boxes.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|h1)>')) AS b,
+  generate_subscripts(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|h1)>'), 1) AS i FROM pages),
+t AS (SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS x FROM a),
+j AS (SELECT page_id, url, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (x <> ''), '') AS text FROM t GROUP BY 1, 2)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM j
+"""

@@ -591,3 +591,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT r, r AS o FROM d UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.o)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY 1) c ON c.r = d.r
+"""

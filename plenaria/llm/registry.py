@@ -20,7 +20,9 @@ _QUERIES = [
 _ORACLES = {
     "op2_warc": warc.ORACLE,
     "op4_mixing_sources": mixing.ORACLE,
+    "op5_html_extraction": html.ORACLE,
     "op6_decontamination": winnow.ORACLE,
+    "op9_ngram_jaccard_join": jaccard.ORACLE,
 }
 
 
