@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import sys
 import tempfile
 import uuid
@@ -22,6 +24,7 @@ STEP_BYTES = 1 << 20
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
@@ -46,13 +49,24 @@ def scratch(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="plenaria-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has."""
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what this driver's calls wrote to the shared folder; results that still read it must be saved before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

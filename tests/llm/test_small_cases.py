@@ -346,6 +346,16 @@ def test_chains_against_all_subsets():
         assert abs(got - max(score)) < 1e-9
 
 
+def test_forget_deletes_what_was_staged(spark):
+    df = common.staged(spark.range(5).toDF("x"), "t")
+    assert df.count() == 5
+    path = common._written[-1]
+    common.forget(spark)
+    import os
+
+    assert not os.path.exists(path) and not common._written
+
+
 def test_components(spark):
     from plenaria.llm.components import components
 
