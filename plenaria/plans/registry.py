@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -16,7 +18,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a function of (spark, sf_dir) under a name."""
 
     def keep(f: Query) -> Query:
-        _QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = run
         if oracle:
             _ORACLES[name] = oracle
         return f
