@@ -8,9 +8,7 @@ import shutil
 import sys
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,26 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: Bytes of text that one numpy step works on, so that its arrays stay small whatever an Arrow batch holds.
 STEP_BYTES = 1 << 20
 
 _own: dict[str, str] = {}
-_shipped: set[str] = set()
 _written: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, as a batch of long documents must fit into a Python worker beside the JVM; and the package for the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        package = Path(__file__).resolve().parent.parent
-        made = f"{tempfile.mkdtemp(prefix='plenaria-')}/{package.name}.zip"  # the driver serves it to the workers
-        with zipfile.ZipFile(made, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f"{package.name}/{f.relative_to(package)}")
-        sc.addPyFile(made)
+    ship(spark)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, table, without
+from .common import map_text, staged, table, without
 
 GRAMS = (3, 4, 5)
 BITS = 18
@@ -95,8 +95,15 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, smooth: float = 1.
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> Model:
     """Fits on labelled rows whose crc32(doc_id as text) mod 3 is not 1: of each class the fit_rows of smallest hash."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (held_out(F.col("doc_id")) == F.lit(False))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    y = y.withColumn("h", F.xxhash64("doc_id"))
-    some = y.where("toxic = 1").orderBy("h", "doc_id").limit(fit_rows).unionByName(y.where("toxic = 0").orderBy("h", "doc_id").limit(fit_rows))
+    y = staged(y.withColumn("h", F.xxhash64("doc_id", F.lit("fit"))), "toxicity-labels")
+    many = {r[0]: r[1] for r in y.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
+    parts = []
+    for label in (0, 1):
+        own = y.where(F.col("toxic") == label)
+        if many.get(label, 0) > 2 * fit_rows:  # the smallest hashes are among these; the others need not be sorted
+            own = own.where(F.col("h") < int(-(1 << 63) + 2.0 * fit_rows / many[label] * (1 << 64)))
+        parts.append(own.orderBy("h", "doc_id").limit(fit_rows))
+    some = parts[0].unionByName(parts[1])
     some = F.broadcast(some.select("doc_id", "toxic"))  # 2 * fit_rows rows at most
     rows = map_text(docs.join(some, "doc_id"), text, ["doc_id", "toxic"], [T.StructField("f", T.BinaryType())], lambda texts: [pa.array([features(t).tobytes() for t in texts], pa.binary())])
     found = sorted(rows.collect(), key=lambda x: (x[0], x[2]))
