@@ -274,3 +274,29 @@ def seconds(stamp: Column) -> Column:
     part = [F.regexp_extract(stamp, p, i).cast("int") for i in (1, 2, 3)]
     ms = F.regexp_extract(stamp, p, 4).cast("int")
     return F.when(stamp.rlike(p), part[0] * 3600 + part[1] * 60 + part[2] + ms / 1000.0)
+
+
+# How reactions and verdicts are put into words.
+REACTION_WORDS = {"Beifall": "Beifall", "Heiterkeit": "Heiterkeit", "Lachen": "Gelächter", "Widerspruch": "Widerspruch", "Zwischenruf": "Zwischenruf", "Missfallen": "Missfallen", "Unruhe": "Unruhe"}
+VERDICT_PHRASES = {"bestätigt": "ist bestätigt", "teilweise": "trifft teilweise zu", "irreführend": "ist irreführend", "falsch": "ist falsch", "unbelegt": "ist nicht belegt"}
+
+
+def in_words(value: Column, words: dict[str, str]) -> Column:
+    """The words for a value, or the value itself."""
+    return F.coalesce(literal_map(words)[value], value)
+
+
+def json_in(text: Column, schema: str) -> Column:
+    """The first to the last brace of a text read as JSON; null where that fails."""
+    return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
+
+
+def session_ids(period: Column, number: Column) -> Column:
+    """Names of a session: file (amt_21_005), prefix and label."""
+    name = F.format_string("amt_%d_%03d", period, number)
+    return F.struct(name.alias("file"), F.concat(name, F.lit(":")).alias("prefix"), F.format_string("Plenarprotokoll %d/%d", period, number).alias("label"))
+
+
+def clip_title(topic: Column, top: Column, index: Column) -> Column:
+    """The subject of a clip, else its agenda item, else its number."""
+    return F.coalesce(F.nullif(F.trim(topic), F.lit("")), F.nullif(F.trim(top), F.lit("")), F.format_string("TOP %d", index + 1))

@@ -454,6 +454,134 @@ def revenue_rollup(spark, d):
     return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("menge"))
 
 
+_SAID = "list_extract(['Fraktion der CDU', 'CSU', 'Bündnis 90', 'Die GRÜNEN', 'SPD-Fraktion', 'Freie Demokraten', 'Sahra Wagenknecht', 'Freie  Wähler'], (c_custkey % 8 + 1)::INT)"
+_CANON = "list_extract(['CDU/CSU', 'CDU/CSU', 'BÜNDNIS 90/DIE GRÜNEN', 'BÜNDNIS 90/DIE GRÜNEN', 'SPD', 'FDP', 'BSW', 'Freie Wähler'], (c_custkey % 8 + 1)::INT)"
+
+
+@query("party_canonical", f"SELECT c_custkey, {_CANON} AS fraktion FROM customer")
+def party_canonical(spark, d):
+    """Canonical parties."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ["Fraktion der CDU", "CSU", "Bündnis\u00a090", "Die GRÜNEN", "SPD-Fraktion", "Freie Demokraten", "Sahra Wagenknecht", "Freie  Wähler"]]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return t(spark, d, "customer").select("c_custkey", X.party(said).alias("fraktion"))
+
+
+@query("reaction_classify", "SELECT event_id, list_extract(['Beifall', 'Zwischenruf', 'Heiterkeit', 'Kommentar'], (event_id % 4 + 1)::INT) AS typ, list_extract(['SPD', 'AfD', NULL, NULL], (event_id % 4 + 1)::INT) AS urheber FROM events")
+def reaction_classify(spark, d):
+    """C20: kinds of comments and who makes them."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ["(Beifall bei der SPD)", "(Zuruf von der AfD: Nein)", "(Heiterkeit)", "(Glocke)"]]), (F.col("event_id") % 4 + 1).cast("int"))
+    return t(spark, d, "events").select("event_id", X.reaction_type(said).alias("typ"), X.reaction_giver(said).alias("urheber"))
+
+
+@query("timecodes", "SELECT event_id, printf('%02d:%02d', (event_id // 60)::INT, (event_id % 60)::INT) AS timecode FROM events")
+def timecodes(spark, d):
+    """Minutes and seconds, minutes of any length."""
+    return t(spark, d, "events").select("event_id", X.timecode(F.col("event_id").cast("double"), F.lit("audio")).alias("timecode"))
+
+
+@query("vote_counts", "SELECT o_orderkey, (o_orderkey % 11)::INT AS ja, (o_orderkey % 3 + 1)::INT AS nein, 1 AS enthaltung FROM orders")
+def vote_counts(spark, d):
+    """Votes from number words and digits."""
+    names = ["null", "eine", "Zwei", "drei", "vier", "fünf", "sechs", "sieben", "ACHT", "neun", "zehn"]
+    yes = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("o_orderkey") % 11 + 1).cast("int"))
+    said = F.concat(F.lit("Ergebnis: "), yes, F.lit(" Jastimmen, "), (F.col("o_orderkey") % 3 + 1).cast("string"), F.lit(" Gegenstimmen, eine Enthaltung."))
+    return t(spark, d, "orders").select("o_orderkey", X.votes_before(said, "Jastimmen?").alias("ja"), X.votes_before(said, "(?:Gegenstimmen?|Neinstimmen?)").alias("nein"), X.votes_before(said, "Enthaltung").alias("enthaltung"))
+
+
+@query("shortened_text", r"WITH x AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 200 THEN rtrim(substr(s, 1, 199)) || '…' ELSE s END AS kurz FROM x")
+def shortened_text(spark, d):
+    """Titles of at most 200 characters."""
+    return t(spark, d, "documents").select("doc_id", X.shortened(F.col("text")).alias("kurz"))
+
+
+@query("query_terms", r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-zÄÖÜäöüß][\p{L}\p{N}_-]+') AS w FROM documents), s AS (SELECT doc_id, w, list_filter(w, lambda x: (regexp_matches(x, '^\p{Lu}') AND NOT list_contains(['the', 'der'], lower(x))) OR regexp_matches(x, '[0-9]')) AS s FROM w) SELECT doc_id, coalesce(array_to_string((CASE WHEN len(s) < 3 THEN list_filter(w, lambda x: NOT list_contains(['the', 'der'], lower(x))) ELSE s END)[1:8], ' '), '') AS terms FROM s")
+def query_terms(spark, d):
+    """Words of a search query."""
+    return t(spark, d, "documents").select("doc_id", X.query_terms(F.col("text"), ["the", "der"]).alias("terms"))
+
+
+@query("full_text_terms", r"SELECT item_id, CASE WHEN len(f) > 0 THEN array_to_string(f, ' OR ') ELSE text END AS terms FROM (SELECT item_id, text, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: length(x) > 3) AS f FROM benchmark)")
+def full_text_terms(spark, d):
+    """A question as terms joined by OR."""
+    return t(spark, d, "benchmark").select("item_id", X.full_text_terms(F.col("text")).alias("terms"))
+
+
+@query("safe_labels", "SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') AS ok FROM part")
+def safe_labels(spark, d):
+    """Labels that may stand in a statement."""
+    return t(spark, d, "part").select("p_partkey", X.safe_label(F.col("p_name")).alias("ok"))
+
+
+@query("upsert_nodes", f"WITH {_GRAPH_BASE} SELECT 'n' || (c_custkey % 50) AS id, arg_max(c_name, c_custkey) AS label, count(DISTINCT 'k' || (c_custkey % 3)) AS keys, arg_max(c_custkey::VARCHAR, c_custkey) AS last FROM c GROUP BY 1")
+def upsert_nodes(spark, d):
+    """H6: merged nodes, later properties over earlier ones."""
+    c = t(spark, d, "customer")
+    props = F.create_map(F.concat(F.lit("k"), (F.col("c_custkey") % 3).cast("string")), F.col("c_custkey").cast("string"), F.lit("last"), F.col("c_custkey").cast("string"))
+    n = c.select(F.concat(F.lit("n"), (F.col("c_custkey") % 50).cast("string")).alias("id"), F.col("c_name").alias("label"), F.lit("T").alias("type"), F.lit("").alias("subtype"), F.lit("x").alias("schicht"), props.alias("props"), F.col("c_custkey").alias("ord"))
+    return G.upserted(n, "ord").select("id", "label", (F.size("props") - 1).cast("long").alias("keys"), F.col("props")["last"].alias("last"))
+
+
+@query("structural_graph", f"WITH {_GRAPH_BASE} SELECT count(*) AS nodes FROM c")
+def structural_graph(spark, d):
+    """The graph without a kind of nodes."""
+    n, e = G.structural(*_graph(spark, d), "Tagesordnungspunkt")
+    return n.agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("resolved_edges", "SELECT 'person_' || c_custkey AS source_id, 'top_' || c_nationkey AS target_id FROM customer WHERE c_mktsegment = 'BUILDING'")
+def resolved_edges(spark, d):
+    """Edges whose ends both exist."""
+    nodes, edges = _graph(spark, d)
+    return G.resolved_edges(nodes.where("type != 'Person' OR subtype = 'BUILDING'"), edges).select("source_id", "target_id")
+
+
+@query("clip_coverage", "SELECT d::INT AS nr FROM range(1, 367) r(d) WHERE d NOT IN (SELECT DISTINCT dayofyear(ts) FROM events)")
+def clip_coverage(spark, d):
+    """Numbers of a range that are missing."""
+    from . import jobs
+
+    return jobs.coverage(t(spark, d, "events").select(F.dayofyear("ts").alias("nr")), 1, 366)
+
+
+@query("figure_peaks", "WITH f AS (SELECT user_id, count(*) AS n, max(event_id) AS m FROM events GROUP BY 1) SELECT 'n' AS figure, arg_min(user_id, row(-n, user_id)) AS user_id, max(n)::BIGINT AS value FROM f UNION ALL SELECT 'm', arg_min(user_id, row(-m, user_id)), max(m)::BIGINT FROM f")
+def figure_peaks(spark, d):
+    """Where each figure is largest."""
+    from . import jobs
+
+    f = t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("m"))
+    return jobs.peaks(f, ["n", "m"], "user_id")
+
+
+@query("passage_buckets", "SELECT conv_id, turn, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / greatest(1, floor(count(*) OVER (PARTITION BY conv_id) / 3)))::BIGINT AS passage FROM conversations")
+def passage_buckets(spark, d):
+    """Passages of about equal length."""
+    return sequence.passages(t(spark, d, "conversations"), 3, ["conv_id"], ["turn"]).select("conv_id", "turn", "passage")
+
+
+@query("json_in_text", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_in_text(spark, d):
+    """JSON out of a text around it."""
+    said = F.concat(F.lit("Antwort: "), F.col("props"), F.lit(" Ende"))
+    return t(spark, d, "events").select("event_id", X.json_in(said, "k string")["k"].alias("k"))
+
+
+@query("session_ids", "SELECT n_nationkey, printf('amt_21_%03d', n_nationkey) AS file, printf('Plenarprotokoll 21/%d', n_nationkey) AS label FROM nation")
+def session_ids(spark, d):
+    """Names of sessions."""
+    return t(spark, d, "nation").withColumn("i", X.session_ids(F.lit(21), F.col("n_nationkey"))).select("n_nationkey", "i.file", "i.label")
+
+
+@query("thousands", "SELECT o_orderkey, replace(format('{:,}', (o_totalprice::BIGINT)), ',', '.') AS preis FROM orders WHERE o_totalprice = round(o_totalprice)")
+def thousands(spark, d):
+    """Thousands with points."""
+    return t(spark, d, "orders").where("o_totalprice = round(o_totalprice)").select("o_orderkey", X.thousands(F.col("o_totalprice").cast("long")).alias("preis"))
+
+
+@query("ordered_numbers", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS nr FROM events WHERE event_type = 'signup'")
+def ordered_numbers(spark, d):
+    """numbers in order."""
+    return sequence.numbered(t(spark, d, "events").where("event_type = 'signup'"), ["user_id"], ["ts", "event_id"], "nr", 1).select("user_id", "event_id", "nr")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts by speaker: statements against the evidence, every one with a source."""
     s = t(spark, d, "documents").select("doc_id", "source", "text")

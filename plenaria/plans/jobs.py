@@ -109,3 +109,23 @@ def corpus_errors(errors: DataFrame) -> DataFrame:
     """One row over sessions of block errors (session_id, edits, n_ref): mean, least and most, and all edits by all words."""
     s = errors.groupBy("session_id").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref")).withColumn("wer", F.col("edits") / F.greatest("n_ref", F.lit(1)))
     return s.agg(F.avg("wer").alias("wer_mittel"), F.min("wer").alias("wer_min"), F.max("wer").alias("wer_max"), (F.sum("edits") / F.sum("n_ref")).alias("wer_gesamt"), F.sum("n_ref").alias("woerter"))
+
+
+def load_sessions(sessions: list[dict[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of several built sessions with namespaced ids, shared nodes once."""
+    nodes = edges = None
+    for lists in sessions:
+        n, e = graph.namespaced(lists["nodes"], lists["edges"])
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    return graph.upserted(nodes, "session_id"), edges.dropDuplicates(["source_id", "target_id", "relationship_type"])
+
+
+def coverage(found: DataFrame, first: int, last: int) -> DataFrame:
+    """Numbers of a range that a table (nr) lacks."""
+    return found.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("nr")).join(found.select("nr"), "nr", "left_anti")
+
+
+def peaks(figures: DataFrame, values: list[str], key: str = "session_id") -> DataFrame:
+    """(figure, key, value): where each figure is largest, the smallest key of equals."""
+    long = figures.select(key, F.explode(F.array(*[F.struct(F.lit(v).alias("figure"), F.col(v).cast("long").alias("value")) for v in values])).alias("x")).select(key, "x.*")
+    return long.groupBy("figure").agg(F.min_by(F.struct(key, "value"), F.struct((-F.col("value")).alias("v"), F.col(key))).alias("p")).select("figure", f"p.{key}", "p.value")
