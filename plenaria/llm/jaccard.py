@@ -548,13 +548,18 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sigs = rows.where("n > 0").select("sid", "n", "sig").dropDuplicates(["sid"])
     long = _long(lists, sigs.select("sid", "sig"))
     alone = firsts.select(F.col("sid").alias("node"), F.col("sid").alias("label")).limit(0)
-    near = staged(_alike(_near(lists, percent, parts), sigs, percent).union(_likely(long, alone, percent, parts)).distinct(), "join-near")
+    near = _alike(_near(lists, percent, parts), sigs, percent)
+    rounds = ROUNDS if long.limit(1).count() else 0
+    if rounds:
+        near = near.union(_likely(long, alone, percent, parts)).distinct()
+    near = staged(near, "join-near")
     # Sets without a likely partner in the first round have none later: components only grow.
     grams = _grams(docs, key, text, firsts, near.select("a").union(near.select("b")), k)
-    long = staged(long.join(near.select(F.col("a").alias("sid")).union(near.select("b")).distinct(), "sid", "left_semi"), "join-long")
+    if rounds:
+        long = staged(long.join(near.select(F.col("a").alias("sid")).union(near.select("b")).distinct(), "sid", "left_semi"), "join-long")
     links = _verified(grams, near, percent, parts)
     labels = components(links)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         more = _verified(grams, _likely(long, labels, percent, parts), percent, parts)
         if not more.limit(1).count():
             break
