@@ -109,8 +109,8 @@ def _bits(df: DataFrame, column: str, bits: int = TABLE_BITS) -> np.ndarray:
     bit = F.col(column).bitwiseAND((1 << bits) - 1)
     words = df.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")))
     out = np.zeros(1 << (bits - 6), np.int64)
-    for w, x in words.collect():  # 2^(bits - 6) rows at most
-        out[w] = x
+    t = words.toArrow()  # 2^(bits - 6) rows at most
+    out[t.column(0).to_numpy()] = t.column(1).to_numpy()
     return out.view(np.uint64)
 
 

@@ -128,8 +128,8 @@ def repeated(texts: DataFrame) -> np.ndarray:
     bit = F.col("key").bitwiseAND((1 << TABLE_BITS) - 1)
     words = many.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("bits"))
     out = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    for r in words.collect():  # 2^(TABLE_BITS - 6) rows at most
-        out[r[0]] = r[1]
+    t = words.toArrow()  # 2^(TABLE_BITS - 6) rows at most
+    out[t.column(0).to_numpy()] = t.column(1).to_numpy()
     return out.view(np.uint64)
 
 

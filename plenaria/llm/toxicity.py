@@ -7,6 +7,8 @@ regression is trained on the scaled presences (Wang and Manning's interpolated N
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +43,15 @@ def features(text: bytes, grams: tuple[int, ...] = GRAMS, bits: int = BITS) -> n
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def packed(f: np.ndarray) -> bytes:
+    """Sorted indices as compressed gaps."""
+    return zlib.compress(np.diff(f, prepend=0).astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(b), np.uint32).astype(np.int32))
+
+
 class Model:
     """intercept + the sum of the weights of a text's features, through the logistic function."""
 
@@ -52,8 +63,8 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z + self.intercept, -50, 50)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, smooth: float = 1.0, least: float = 2.5, decay: float = 1e-3, epochs: int = 80, rate: float = 0.05) -> Model:
-    """Log-count ratios, then full-batch Adagrad on the class-balanced logistic loss with an L2 penalty.
+def fit(rows: list[tuple[bytes, int]], bits: int = BITS, smooth: float = 1.0, least: float = 2.5, decay: float = 1e-3, epochs: int = 80, rate: float = 0.05) -> Model:
+    """Fits rows of (packed features, label): log-count ratios, then full-batch Adagrad on the class-balanced logistic loss with an L2 penalty.
 
     N-grams whose ratio is less than `least` standard errors from 0 get no weight. The same rows give the same model."""
     y = np.array([label for _, label in rows], np.float64)
@@ -61,7 +72,7 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, smooth: float = 1.
         return Model(np.zeros(1 << bits, np.float32), 3.0 if len(y) and y[0] == 1 else -3.0)
     p, q = np.full(1 << bits, smooth), np.full(1 << bits, smooth)
     for f, label in rows:
-        (p if label == 1 else q)[f] += 1
+        (p if label == 1 else q)[unpacked(f)] += 1
     ratio = np.log((p / (y.sum() + 2 * smooth)) / (q / ((1 - y).sum() + 2 * smooth)))
     ratio[np.abs(ratio) < least * np.sqrt(1 / p + 1 / q)] = 0.0
     used = np.flatnonzero(ratio)
@@ -70,7 +81,7 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, smooth: float = 1.
     r = ratio[used].astype(np.float32)
     blocks = []  # of some texts at a time, so that no array over all features of all texts is made
     for lo in range(0, len(rows), 256):
-        own = [(x := place[f])[x >= 0] for f, _ in rows[lo : lo + 256]]
+        own = [(x := place[unpacked(f)])[x >= 0] for f, _ in rows[lo : lo + 256]]
         blocks.append((lo, np.array([len(x) for x in own]), np.concatenate(own)))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, b = np.zeros(len(used)), 0.0
@@ -105,9 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
         parts.append(own.orderBy("h", "doc_id").limit(fit_rows))
     some = parts[0].unionByName(parts[1])
     some = F.broadcast(some.select("doc_id", "toxic"))  # 2 * fit_rows rows at most
-    rows = map_text(docs.join(some, "doc_id"), text, ["doc_id", "toxic"], [T.StructField("f", T.BinaryType())], lambda texts: [pa.array([features(t).tobytes() for t in texts], pa.binary())])
-    found = sorted(rows.collect(), key=lambda x: (x[0], x[2]))
-    return fit([(np.frombuffer(x[2], np.int32), x[1]) for x in found])
+    rows = map_text(docs.join(some, "doc_id"), text, ["doc_id", "toxic"], [T.StructField("f", T.BinaryType())], lambda texts: [pa.array([packed(features(t)) for t in texts], pa.binary())])
+    t = rows.toArrow()  # 2 * fit_rows rows at most, some kilobytes each
+    found = sorted(zip(*(t.column(i).to_pylist() for i in range(3)), strict=True))
+    return fit([(f, label) for _, label, f in found])
 
 
 def held_out(doc_id):
