@@ -17,6 +17,9 @@ from .common import staged, table
 #: Buckets of the exponential key: a unit of key has COARSE buckets, a coarse one has FINE; keys beyond LAST share a bucket.
 COARSE, FINE, LAST = 32, 1024, 16
 
+#: Tables of a row for each source go to every task up to so many sources; more are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,8 +102,11 @@ def mix(
     plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size").cast("double"))
     plan = staged(plan, "mix-plan")
 
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+
     def on(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
         b = b.withColumnRenamed("source", "__source__")
+        b = F.broadcast(b) if few else b
         return a.join(b, F.col("source").eqNullSafe(F.col("__source__")), how).drop("__source__")
 
     coarse = on(d.groupBy("source", "b1").agg(F.sum("size").alias("n")), plan.select("source", "budget")).withColumn("before", F.lit(0).cast("long"))
