@@ -36,6 +36,8 @@ TABLE_BITS = 24
 #: Postings that a task keeps before it sends them, and the partners of a set in one tree.
 HELD, BLOCK = 200_000, 256
 SIG_BITS = 2048
+#: Sets of a long list that one task compares with each other or with as many others.
+CROSS = 1024
 #: Rounds in which the sets of long lists are linked with their likeliest partner of another component.
 ROUNDS = 3
 
@@ -158,11 +160,13 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
 
     out = staged(source.mapInArrow(run, schema), "join-sets")
 
+    most = FREQUENT
+
     @trimmed
     def count(batches):
         toks = np.sort(_gathered(batches, "<u8"))
         first = np.flatnonzero(np.concatenate(([True], toks[1:] != toks[:-1]))) if len(toks) else np.empty(0, np.int64)
-        often = toks[first][(_ends(first, len(toks)) - first) > FREQUENT]
+        often = toks[first][(_ends(first, len(toks)) - first) > most]
         yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64))], names=["tok"])
 
     frequent = out.where("part IS NOT NULL").select("part", "rows").repartition(parts, "part").mapInArrow(count, "tok long")
@@ -295,13 +299,14 @@ def _swapped(p: np.ndarray) -> np.ndarray:
 
 def _long(lists: DataFrame, sigs: DataFrame) -> DataFrame:
     """Postings of the lists of more than FREQUENT sets, with signatures."""
+    most = FREQUENT
 
     @trimmed
     def rows_of(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
                 rows = np.frombuffer(x, POST)
-                rows = rows[_list_sizes(rows) > FREQUENT]
+                rows = rows[_list_sizes(rows) > most]
                 cols = [np.ascontiguousarray(rows[c]).view(np.int64) for c in ("tok", "sid", "end")]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(rows["n"].astype(np.int64)), pa.array(rows["p"].astype(np.int64))], names=["tok", "sid", "end", "n", "p"])
 
@@ -311,10 +316,12 @@ def _long(lists: DataFrame, sigs: DataFrame) -> DataFrame:
 def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: bool) -> DataFrame:
     """Pairs of sets of a long list whose components differ and whose signatures allow the threshold (dealt rows).
 
-    With best only the pair of the most equal signatures for each set. Lists inside one component cost nothing."""
+    With best only the pair of the most equal signatures for each set. Lists inside one component cost nothing; a list of
+    more than CROSS sets is cut into blocks, and each pair of blocks is a group of its own."""
     rows = long.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = rows.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("tok")
-    rows = rows.join(mixed, "tok", "left_semi").select("tok", "sid", "end", "n", "p", "label", "sig")
+    mixed = rows.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / CROSS).alias("blocks")).where("x != y").select("tok", "blocks")
+    rows = rows.join(mixed, "tok").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sid", "end", "n", "p", "label", "sig")
 
     @trimmed
     def cross(batches):
@@ -327,16 +334,19 @@ def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: b
             r[c] = t.column(c).to_numpy().view(np.uint64)
         r["n"], r["p"], label = t.column("n").to_numpy(), t.column("p").to_numpy(), t.column("label").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(r), -1)
-        order = np.lexsort((r["sid"], r["n"], r["tok"]))
-        r, label, sig = r[order], label[order], sig[order]
-        first = np.flatnonzero(np.concatenate(([True], r["tok"][1:] != r["tok"][:-1])))
+        x, y, block = (t.column(c).to_numpy() for c in ("x", "y", "block"))
+        order = np.lexsort((r["sid"], r["n"], y, x, r["tok"]))
+        r, label, sig, x, y, block = r[order], label[order], sig[order], x[order], y[order], block[order]
+        first = np.flatnonzero(np.concatenate(([True], (r["tok"][1:] != r["tok"][:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
         held, size = [], 0
         for a, b in zip(first, _ends(first, len(r)), strict=True):
-            own, lab, s, n = r[a:b], label[a:b], sig[a:b], r["n"][a:b].astype(np.int64)
+            own, lab, s, n, blk, apart_only = r[a:b], label[a:b], sig[a:b], r["n"][a:b].astype(np.int64), block[a:b], x[a] != y[a]
             top = np.searchsorted(n * percent, n * 100, "right")  # up to there sizes fit
             least, mate = np.full(len(own), 1 << 30), np.full(len(own), -1)
             for i in range(len(own)):
                 j = i + 1 + np.flatnonzero(lab[i + 1 : top[i]] != lab[i])
+                if apart_only:  # pairs inside a block have a group of their own
+                    j = j[blk[j] != blk[i]]
                 if not len(j):
                     continue
                 apart = np.bitwise_count(s[j] ^ s[i]).sum(axis=1, dtype=np.int64)
@@ -345,9 +355,9 @@ def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: b
                 if not len(j):
                     continue
                 if best:
-                    x = int(apart.argmin())
-                    if apart[x] < least[i]:
-                        least[i], mate[i] = apart[x], j[x]
+                    at = int(apart.argmin())
+                    if apart[at] < least[i]:
+                        least[i], mate[i] = apart[at], j[at]
                     nearer = apart < least[j]
                     least[j[nearer]], mate[j[nearer]] = apart[nearer], i
                 else:
@@ -358,14 +368,14 @@ def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: b
                     yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
                     held, size = [], 0
             if best and (mate >= 0).any():
-                x = np.flatnonzero(mate >= 0)
-                held.append(_pairs(own[x], own[mate[x]], percent))
-                size += len(x)
+                at = np.flatnonzero(mate >= 0)
+                held.append(_pairs(own[at], own[mate[at]], percent))
+                size += len(at)
         if size:
             p = np.concatenate(held)
             yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
 
-    return rows.repartition(parts, "tok").mapInArrow(cross, DEALT)
+    return rows.repartition(parts, "tok", "x", "y").mapInArrow(cross, DEALT)
 
 
 def _likely(long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -381,15 +391,16 @@ def _likely(long: DataFrame, labels: DataFrame, percent: int, parts: int) -> Dat
 
 def _rest(lists: DataFrame, long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b): all pairs of sets of different components that the counts of shared prefix n-grams let pass."""
+    most = FREQUENT
 
     @trimmed
     def small(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
                 rows = np.frombuffer(x, POST)
-                rows = rows[_list_sizes(rows) <= FREQUENT]
+                rows = rows[_list_sizes(rows) <= most]
                 found = []
-                for gap in range(1, FREQUENT):
+                for gap in range(1, most):
                     same = rows["tok"][gap:] == rows["tok"][:-gap]
                     if not same.any():
                         break

@@ -234,6 +234,7 @@ def test_secret_forest_on_held_out_findings():
 def test_jaccard_against_brute_force(spark, monkeypatch, k, percent):
     monkeypatch.setattr(jaccard, "FREQUENT", 4)  # long lists, rounds and crossings on a small table
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "CROSS", 6)
     rng = random.Random(5)
     base = [prose(n, rng=rng).split() for n in (3, 12, 40, 80, 80, 200)]
     rows = []
