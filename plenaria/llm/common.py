@@ -28,7 +28,7 @@ _written: list[str] = []
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, as a batch of long documents must fit into a Python worker beside the JVM; and the package for the workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     ship(spark)
 
 
@@ -69,7 +69,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        # Small row groups: a writer holds one in memory, beside the Python workers.
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -152,7 +152,7 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
                     size += len(held[-1])
             n = len(ns)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(sigs, pa.binary())], names=names)
-            if size > 4 * HELD:
+            if size > 2 * HELD:
                 yield flush()
                 held, size = [], 0
         if size:
