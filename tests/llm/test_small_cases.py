@@ -332,6 +332,43 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_with_scattered_edits(spark):
+    """Passages of 50 words and more with at least 80% equal words, wherever the words that differ stand."""
+    rng = random.Random(11)
+    text = lambda n: prose(n, "abcdefghijklmnopqrstuvwxyz", rng).split()
+    kinds = [(60, {12}), (60, {15}), (55, {7, 30}), *((n, set(range(k - 1, n, k))) for n in (52, 60, 100) for k in (5, 6, 8, 10, 12)), *((n, "cut") for n in (60, 100)), *((n, "put") for n in (60, 100))]
+    rows = []
+    for i, (n, places) in enumerate(kinds * 3):
+        one = text(n)
+        if places == "cut":
+            two = [w for j, w in enumerate(one) if j % 9 != 8]
+        elif places == "put":
+            two = [v for j, w in enumerate(one) for v in ([w, f"zz{rng.randint(0, 9999)}"] if j % 9 == 8 else [w])]
+        else:
+            two = [f"zz{rng.randint(0, 9999)}" if j in places else w for j, w in enumerate(one)]
+        rows += [(2 * i, " ".join(text(40) + one + text(30))), (2 * i + 1, " ".join(text(70) + two + text(90)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(len(rows) // 2)}
+    # A passage that ends in other words than its neighbours in the chain is cut out of it.
+    x = passages.np.array([0, 1, 2, 3, *range(50, 110)])
+    assert list(passages.stretches(x, x + 5, 50, 0.8)) == [(50, 110, 55, 115, 60)]
+
+
+def test_passages_shared_by_later_documents_only(spark):
+    """A run whose short seeds are all first in other documents is found between the later ones."""
+    rng = random.Random(12)
+    text = lambda n: prose(n, "abcdefghijklmnopqrstuvwxyz", rng).split()
+    rows, wanted = [], set()
+    for g in range(20):
+        run = text(56)
+        for i, at in enumerate(range(0, 44, 4)):  # earlier documents hold 14 words each, so no passage
+            rows.append((100 * g + i, " ".join(text(20) + run[at : at + 14] + text(20))))
+        rows += [(100 * g + i, " ".join(text(30) + run + text(25))) for i in (50, 51)]
+        wanted.add((100 * g + 51, 100 * g + 50))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in got} == wanted
+
+
 def test_chains_against_all_subsets():
     """The Fenwick chaining against the quadratic recurrence."""
     rng = random.Random(8)
