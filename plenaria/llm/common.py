@@ -22,6 +22,9 @@ from ..shipping import ship
 #: Bytes of text that one numpy step works on, so that its arrays stay small whatever an Arrow batch holds.
 STEP_BYTES = 1 << 20
 
+#: Bytes of text whose postings a shuffle partition holds, at first and at most, and the partitions beyond which they grow.
+PART_BYTES, LARGE_PART, MANY_PARTS = 4 << 20, 64 << 20, 4096
+
 _own: dict[str, str] = {}
 _written: list[str] = []
 
@@ -33,15 +36,19 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and
+    the driver runs the tasks itself. On a cluster without that setting this is an error: no local folder is shared there."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = sc.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="plenaria-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(_own[app])
+        sc.setCheckpointDir(_own[app])
     return _own[app]
 
 
@@ -52,11 +59,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes what this driver's calls wrote to the shared folder; results that still read it must be saved before."""
+def written() -> int:
+    """How many tables this driver's calls have written so far."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what this driver's calls wrote to the shared folder after the first `since` tables, but for those of the
+    names in keep; results that still read it must be saved before."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = [p for p in _written[since:] if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in keep]
+    for p in gone:
+        _written.remove(p)
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -80,6 +95,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(docs: DataFrame, text: str) -> int:
+    """Partitions for shuffles of what is gathered from the texts, by their counted bytes: so many that one holds PART_BYTES
+    of text, up to LARGE_PART where that would be more than MANY_PARTS; no fewer than the session's."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    per = min(max(PART_BYTES, -(-size // MANY_PARTS)), LARGE_PART)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The columns of df that don't clash with result columns; a result column replaces an input column of its name."""
     taken = {n.lower() for n in names}
@@ -115,13 +138,14 @@ def map_text(
     more = [F.coalesce(F.col(f"`{also}`").cast("string"), F.lit("")).alias("__also__")] if also else []
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text__"), *more)
     schema = T.StructType([source.schema[i] for i in range(len(keep))] + fields)
+    beside = len(more)
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep))
             for at, n in steps(texts):
-                given = [[x or b"" for x in texts.slice(at, n).to_pylist()]] + [batch.column(len(keep) + 1).slice(at, n).to_pylist() for _ in more]
+                given = [[x or b"" for x in texts.slice(at, n).to_pylist()]] + [batch.column(len(keep) + 1).slice(at, n).to_pylist() for _ in range(beside)]
                 own = work(*given)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, n) for i in range(len(keep))] + own, names=[f.name for f in schema])
 

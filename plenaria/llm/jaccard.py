@@ -5,13 +5,16 @@ Documents with equal n-gram sets are one class. Classes are joined exactly:
 1. Each set is put into one global order (frequent n-grams last, else by hash). Two sets at or above the threshold
    share an n-gram among their first few, so these prefixes are the only ones posted. Which n-grams are frequent is
    told by a bit table of fixed size; any order is a right one, a better order only makes the lists shorter.
-2. Lists of the sets that post the same n-gram give few links at first: every set with its neighbours in the list
-   by size. Most copies meet here, and their components are known.
-3. Then all pairs of a list whose components differ are counted over all lists, and a pair is kept only if the
-   n-grams posted by both, and all that can follow, reach the overlap that the threshold asks for.
-4. Pairs are verified by a prefix tree: the partners of a set are stored as paths of n-grams in order, shared
-   beginnings once, and one traversal adds up overlaps and leaves a subtree as soon as the n-grams that remain on
-   either side can't reach the threshold.
+2. Each posting of an n-gram that several sets have carries the path of the n-grams that follow it in the order. The
+   paths under one n-gram are a prefix tree, dealt by n-gram. All sets walk the tree level by level: sets that share a
+   beginning are compared with it once, an overlap goes down with the walk, and a subtree is left as soon as the
+   n-grams that remain on either side can't add up to the overlap that the threshold asks for. In the tree of the first
+   n-gram that two sets share the walk sees all that they have in common so far, so no pair is lost; sets whose n-gram
+   before is the same one meet in that one's tree and are left to it.
+3. An n-gram of many sets has a long list. Its sets are first paired with two hubs of the list, which joins most copies, and
+   lists inside one component cost nothing more. In the others the sets outside the largest component walk the trees of
+   the list's blocks, subtrees inside their own component are left, and pairs whose signatures tell them apart are dropped.
+4. What the walks find is verified by a tree of the whole sets.
 """
 
 from __future__ import annotations
@@ -26,23 +29,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batch, gram_hashes, staged, steps, table, trimmed
+from .common import Batch, forget, gram_hashes, mixed, parts_of, signed, staged, steps, table, trimmed, written
 from .components import components
 
 GRAM, PERCENT = 4, 85
-#: An n-gram in the prefixes of more sets is frequent; lists of up to so many sets are paired without regard to components.
+#: An n-gram in the prefixes of more sets is frequent, and its list long.
 FREQUENT = 32
 TABLE_BITS = 24
 #: Postings that a task keeps before it sends them, and the partners of a set in one tree.
 HELD, BLOCK = 200_000, 256
 SIG_BITS = 2048
-#: Sets of a long list that one task compares with each other or with as many others.
-CROSS = 1024
-#: Rounds in which the sets of long lists are linked with their likeliest partner of another component.
-ROUNDS = 3
+#: N-grams of a path that go with a posting; what may follow them counts as shared until the sets are verified.
+PATH = 32
+#: Marks the end of a path.
+END = np.uint32((1 << 32) - 1)
+#: Sets of a block of a long list, sets of a tree, and pairs of sets and lists that walk it at a time.
+CROSS, STEP_ROWS, STEP_PAIRS = 1024, 1 << 14, 1 << 20
 
-POST = np.dtype([("tok", "<u8"), ("sid", "<u8"), ("end", "<u8"), ("n", "<u4"), ("p", "<u4")])
-PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("need", "<i4"), ("c", "<i4")])
+POST = np.dtype([("tok", "<u8"), ("sid", "<u8"), ("n", "<u4")])
+TALLY = np.dtype([("tok", "<u8"), ("c", "<u4")])
+#: Marks the size of a set in the postings of a long list.
+LONG = np.uint32(1 << 31)
+MEMBER = np.dtype([("tok", "<u8"), ("sid", "<u8"), ("prev", "<u8"), ("n", "<u4"), ("beyond", "<u4"), ("size", "<u2")])
 
 
 def prefix(n: int, percent: int) -> int:
@@ -122,23 +130,29 @@ def _has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts: int) -> tuple[DataFrame, np.ndarray]:
-    """((key, n, sid, sig) of each row, the bit table of frequent n-grams)."""
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("t"))
-    schema = T.StructType([source.schema[0], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    """((key, mark, n, sid, sig) of each row, the bit table of frequent n-grams); mark is a hash of the text."""
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("t"))
+    rest = [T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType())]
+    schema = T.StructType([source.schema[0], T.StructField("mark", T.LongType()), *rest])
     names = schema.names
 
     @trimmed
     def run(batches):
-        held, size = [], 0
+        held, size, key_type = ([], []), 0, None
 
         def flush():
-            toks = np.concatenate(held)
-            d = _dealt(toks, toks, parts)
+            # Counts before anything is sent. A prefix may reach beyond its window where n-grams of it are frequent, so
+            # those after the window are sent too if they come several times here: they may be frequent themselves.
+            window, rest = (np.sort(np.concatenate(x)) for x in held)
+            toks, counts = np.unique(np.concatenate((window, rest)), return_counts=True)
+            some = (counts > 1) | (window[np.minimum(np.searchsorted(window, toks), len(window) - 1)] == toks)
+            rows = np.empty(int(some.sum()), TALLY)
+            rows["tok"], rows["c"] = toks[some], counts[some]
+            d = _dealt(rows, rows["tok"], parts)
             n = d.num_rows
-            return pa.RecordBatch.from_arrays([pa.nulls(n, key_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), d.column(0), d.column(1), pa.nulls(n, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, key_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), d.column(0), d.column(1)], names=names)
 
-        key_type = None
-        for part, sets in _sets(batches, 1, k):
+        for part, sets in _sets(batches, 2, k):
             key_type = part.schema.field(0).type
             ns, sids, sigs, seen = [], [], [], set()
             for s in sets:
@@ -147,14 +161,15 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
                 sids.append(set_id(s))
                 if len(s) and sids[-1] not in seen:
                     seen.add(sids[-1])
-                    # Half as many again as the prefix: frequent n-grams that leave it let later ones in.
-                    held.append(s[: prefix(len(s), percent) * 3 // 2])
-                    size += len(held[-1])
+                    window = prefix(len(s), percent) * 3 // 2
+                    held[0].append(s[:window])
+                    held[1].append(s[window:])
+                    size += len(s)
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(sigs, pa.binary())], names=names)
-            if size > 2 * HELD:
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            if size > 4 * HELD:
                 yield flush()
-                held, size = [], 0
+                held, size = ([], []), 0
         if size:
             yield flush()
 
@@ -164,22 +179,41 @@ def classes_of(docs: DataFrame, key: str, text: str, k: int, percent: int, parts
 
     @trimmed
     def count(batches):
-        toks = np.sort(_gathered(batches, "<u8"))
-        first = np.flatnonzero(np.concatenate(([True], toks[1:] != toks[:-1]))) if len(toks) else np.empty(0, np.int64)
-        often = toks[first][(_ends(first, len(toks)) - first) > most]
-        yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64))], names=["tok"])
+        rows = _gathered(batches, TALLY)
+        rows = rows[np.argsort(rows["tok"])]
+        first = np.flatnonzero(np.concatenate(([True], rows["tok"][1:] != rows["tok"][:-1]))) if len(rows) else np.empty(0, np.int64)
+        often = rows["tok"][first][np.add.reduceat(rows["c"], first) > most] if len(first) else rows["tok"]
+        yield pa.RecordBatch.from_arrays([signed(often)], names=["tok"])
 
     frequent = out.where("part IS NOT NULL").select("part", "rows").repartition(parts, "part").mapInArrow(count, "tok long")
-    return out.where("part IS NULL").select("key", "n", "sid", "sig"), _bits(frequent, "tok")
+    return out.where("part IS NULL").select("key", "mark", "n", "sid", "sig"), _bits(frequent, "tok")
+
+
+def _new_runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any column."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
 
+def _postings(docs: DataFrame, text: str, k: int, percent: int, parts: int, frequent: np.ndarray) -> DataFrame:
+    """Dealt POST rows of the prefix n-grams that several sets have, all of one set in one part, LONG added to n if the list is long.
 
-def _lists(docs: DataFrame, text: str, k: int, percent: int, parts: int, frequent: np.ndarray) -> DataFrame:
-    """(rows): for each n-gram that the prefixes of several sets have, its postings, sorted by size."""
+    Frequent n-grams are known to have long lists: their postings are salted by set and never meet."""
+    most = FREQUENT
     source = docs.select(F.col(text).cast("binary").alias("t"))
 
     @trimmed
     def post(batches):
         held, size, sent = [], 0, set()
+
+        def flush():
+            rows = np.concatenate(held)
+            often = _has(frequent, rows["tok"])
+            return _dealt(rows, np.where(often, mixed(rows["tok"] ^ rows["sid"]), rows["tok"]), parts)
+
         for _, sets in _sets(batches, 0, k):
             for s in sets:
                 if not len(s) or (sid := set_id(s)) in sent:
@@ -187,245 +221,317 @@ def _lists(docs: DataFrame, text: str, k: int, percent: int, parts: int, frequen
                 if len(sent) < 100_000:
                     sent.add(sid)
                 last = _has(frequent, s)
-                order = np.concatenate((s[~last], s[last]))[: (p := prefix(len(s), percent))]
+                p = prefix(len(s), percent)
                 rows = np.empty(p, POST)
-                rows["tok"], rows["sid"], rows["n"], rows["p"] = order, sid, len(s), p
-                e = int(order[-1])
-                rows["end"] = (e >> 1) | (int(_has(frequent, order[-1:])[0]) << 63)  # place of the last one in the global order
+                rows["tok"], rows["sid"], rows["n"] = np.concatenate((s[~last], s[last]))[:p], sid, len(s)
                 held.append(rows)
                 size += p
             if size > HELD:
-                rows = np.concatenate(held)
-                yield _dealt(rows, rows["tok"], parts)
+                yield flush()
                 held, size = [], 0
         if size:
-            rows = np.concatenate(held)
-            yield _dealt(rows, rows["tok"], parts)
+            yield flush()
 
     @trimmed
-    def gather(batches):
+    def several(batches):
         rows = _gathered(batches, POST)
-        rows = rows[np.lexsort((rows["sid"], rows["n"], rows["tok"]))]
-        if len(rows):
-            new = np.concatenate(([True], (rows["tok"][1:] != rows["tok"][:-1]) | (rows["sid"][1:] != rows["sid"][:-1])))
-            rows = rows[new]
-            first = np.flatnonzero(np.concatenate(([True], rows["tok"][1:] != rows["tok"][:-1])))
-            count = _ends(first, len(rows)) - first
-            rows, count = rows[np.repeat(count > 1, count)], count[count > 1]
-            cut = np.concatenate(([0], np.cumsum(count)))
-            at = 0
-            while at < len(count):  # whole lists, some megabytes in a row
-                to = max(at + 1, int(np.searchsorted(cut, cut[at] + 50_000)))
-                to = min(to, len(count))
-                yield pa.RecordBatch.from_arrays([pa.array([rows[cut[at] : cut[to]].tobytes()], pa.binary())], names=["rows"])
-                at = to
-
-    return staged(source.mapInArrow(post, DEALT).repartition(parts, "part").mapInArrow(gather, "rows binary"), "join-lists")
-
-
-def _pairs(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of postings whose sizes fit the threshold, with the number of shared prefix n-grams that they need."""
-    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    ok = (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & (x["sid"] != y["sid"])
-    x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
-    out = np.empty(len(x), PAIR)
-    out["a"], out["b"] = np.minimum(x["sid"], y["sid"]), np.maximum(x["sid"], y["sid"])
-    overlap = -(-percent * (nx + ny) // (100 + percent))
-    # Beyond the prefix that ends first in the global order, no more than the rest of its set can be shared.
-    rest = np.where(x["end"] <= y["end"], nx - x["p"], ny - y["p"])
-    out["need"], out["c"] = overlap - rest, 1
-    return out
+        rows = rows[np.lexsort((rows["sid"], rows["tok"]))]
+        rows = rows[_new_runs(rows["tok"], rows["sid"])]
+        first = np.flatnonzero(_new_runs(rows["tok"]))
+        count = _ends(first, len(rows)) - first
+        often = _has(frequent, rows["tok"])
+        rows["n"][often | np.repeat(count > most, count)] |= LONG
+        rows = rows[often | np.repeat(count > 1, count)]
+        yield _dealt(rows, mixed(rows["sid"]), parts)
 
+    return source.mapInArrow(post, DEALT).repartition(parts, "part").mapInArrow(several, DEALT).repartition(parts, "part")
 
-def _summed(pairs: list[np.ndarray]) -> np.ndarray:
-    """Each pair once, with the number of its rows."""
-    p = np.concatenate(pairs) if pairs else np.empty(0, PAIR)
-    if not len(p):
-        return p
-    p = p[np.lexsort((p["b"], p["a"]))]
-    first = np.flatnonzero(np.concatenate(([True], (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1]))))
-    out = p[first].copy()
-    out["c"] = np.add.reduceat(p["c"], first)
-    return out
 
+PATHS = "part int, rows binary, codes binary, tok long, sid long, prev long, n long, beyond long, size int, whole int, path binary"
 
-def _near(lists: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(a, b): for each set the neighbour and the list head that it meets most often; a guess, what it misses is found later."""
 
-    @trimmed
-    def run(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                rows = np.frombuffer(x, POST)
-                beside = []
-                for gap in (1, 2):
-                    same = rows["tok"][gap:] == rows["tok"][:-gap]
-                    beside.append(_pairs(rows[:-gap][same], rows[gap:][same], percent))
-                p = _summed(beside)
-                q = _summed([_pairs(rows[_heads(rows, percent)], rows, percent)])
-                q["need"], p["need"] = 1, 0  # from here on the kind of the pair
-                both = np.concatenate((p, _swapped(p), q, _swapped(q)))
-                yield _dealt(both, both["b"], parts)
+def _paths(postings: DataFrame, percent: int, parts: int, frequent: np.ndarray) -> DataFrame:
+    """For each posting the path of the set's next PATH n-grams in the global order, and the one before: rows of long lists one by one,
+    the others dealt by n-gram. An n-gram that no other set has can't be shared and is left out of paths."""
+    most = PATH
 
     @trimmed
-    def best(batches):
-        p = _gathered(batches, PAIR)  # keyed by b, with the numbers of several rows
-        found = []
-        for kind in (0, 1):
-            q = _summed([p[p["need"] == kind]])
-            q = q[np.lexsort((q["a"], -q["c"], q["b"]))]
-            found.append(q[np.concatenate(([True], q["b"][1:] != q["b"][:-1]))] if len(q) else q)
-        q = np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(q["a"], q["b"]).view(np.int64)), pa.array(np.maximum(q["a"], q["b"]).view(np.int64))], names=["a", "b"])
-
-    return lists.mapInArrow(run, DEALT).repartition(parts, "part").mapInArrow(best, "a long, b long").distinct()
-
-
-def _heads(rows: np.ndarray, percent: int) -> np.ndarray:
-    """For each posting the first of its list whose size fits (lists are sorted by size)."""
-    out = np.empty(len(rows), np.int64)
-    first = np.flatnonzero(np.concatenate(([True], rows["tok"][1:] != rows["tok"][:-1]))) if len(rows) else np.empty(0, np.int64)
-    for a, b in zip(first.tolist(), _ends(first, len(rows)).tolist(), strict=True):
-        n = rows["n"][a:b].astype(np.int64)
-        out[a:b] = a + np.searchsorted(n * 100, n * percent)
+    def run(batches):
+        rows = _gathered(batches, POST).copy()
+        often = _has(frequent, rows["tok"])
+        order = np.lexsort((rows["tok"], often, rows["sid"]))
+        rows, often = rows[order], often[order]
+        long = (rows["n"] & LONG) > 0
+        rows["n"] &= LONG - np.uint32(1)
+        if not len(rows):
+            return
+        codes = np.minimum((rows["tok"] >> np.uint64(33)).astype(np.uint32) | (often.astype(np.uint32) << np.uint32(31)), END - 1)
+        first = np.flatnonzero(_new_runs(rows["sid"]))
+        end = np.repeat(_ends(first, len(rows)), _ends(first, len(rows)) - first)
+        whole = end - np.repeat(first, _ends(first, len(rows)) - first)  # n-grams of the prefix that other sets have
+        at = np.arange(len(rows))
+        n = rows["n"].astype(np.int64)
+        p = n + 1 - -(-percent * n // 100)
+        size = np.minimum(end - at - 1, most)
+        out = np.empty(len(rows), MEMBER)
+        out["tok"], out["sid"], out["n"], out["size"] = rows["tok"], rows["sid"], rows["n"], size
+        out["prev"][first], out["prev"][1:][~_new_runs(rows["sid"])[1:]] = 0, rows["tok"][:-1][~_new_runs(rows["sid"])[1:]]
+        out["beyond"] = end - at - 1 - size + n - p
+        for a in range(0, len(rows), 1 << 15):
+            part = slice(a, a + (1 << 15))
+            cold, hot = at[part][~long[part]], at[part][long[part]]
+            d = _dealt_paths(out[cold], _windows(codes, cold, size[cold]), parts)
+            paths = [codes[i + 1 : i + 1 + s].tobytes() for i, s in zip(hot.tolist(), size[hot].tolist(), strict=True)]
+            m = d.num_rows
+            yield pa.RecordBatch.from_arrays([*d.columns, *(pa.nulls(m, pa.int64()) for _ in range(5)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            m, h = len(hot), out[hot]
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), signed(h["tok"]), signed(h["sid"]), signed(h["prev"]), pa.array(h["n"].astype(np.int64)), pa.array(h["beyond"].astype(np.int64)), pa.array(h["size"].astype(np.int32)), pa.array((1000 * whole[hot] // p[hot]).astype(np.int32)), pa.array(paths, pa.binary())], names=names)
+
+    names = [x.split()[0] for x in PATHS.split(", ")]
+    return staged(postings.mapInArrow(run, PATHS), "join-paths")
+
+
+def _windows(codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The codes that follow each place, so many of each, one after the other."""
+    begin = np.repeat(at + 1 - (np.cumsum(size) - size), size)
+    return codes[begin + np.arange(len(begin))]
+
+
+def _dealt_paths(rows: np.ndarray, codes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row for each part: its members, and their paths one after the other."""
+    part = ((rows["tok"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.cumsum(rows["size"], dtype=np.int64) - rows["size"]
+    rows, part = rows[order], part[order]
+    codes = _windows(codes, cut[order] - 1, rows["size"].astype(np.int64))
+    first = np.flatnonzero(_new_runs(part))
+    ends, sums = _ends(first, len(rows)), np.concatenate(([0], np.cumsum(rows["size"], dtype=np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[first].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([codes[sums[a] : sums[b]].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())],
+        names=["part", "rows", "codes"],
+    )
+
+
+class Tree:
+    """A prefix tree over the paths of sets that post the same n-gram, one root for each n-gram (or part of its list).
+
+    The sets are sorted by root and path, so that a node of depth d is a run of sets that share their first d n-grams.
+    root, n, beyond (n-grams that a set may share after its path), label, size and prev (the n-gram before, or 0) go with
+    the rows of codes, whose unused places hold END."""
+
+    def __init__(self, root, n, beyond, label, size, prev, codes):
+        key = np.empty((len(root), 8 + 4 * PATH), np.uint8)
+        key[:, :8] = np.ascontiguousarray(root.astype(">u8")).view(np.uint8).reshape(-1, 8)
+        key[:, 8:] = np.ascontiguousarray(codes.astype(">u4")).view(np.uint8).reshape(len(root), -1)
+        self.order = np.argsort(key.view(f"S{8 + 4 * PATH}").ravel(), kind="stable")
+        self.root, self.n, self.beyond, self.label, self.size, self.prev = (x[self.order] for x in (root, n.astype(np.int64), beyond.astype(np.int64), label, size.astype(np.int64), prev))
+        self.codes = np.concatenate((codes[self.order], np.full((len(root), 1), END, np.uint32)), axis=1)
+        same = self.codes[1:] == self.codes[:-1]
+        self.shared = np.concatenate(([-1], np.where(self.root[1:] == self.root[:-1], np.where(same.all(axis=1), PATH + 1, same.argmin(axis=1)), -1)))[: len(root)]
+
+    def pairs(self, percent: int, probes: Tree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(probes, sets) whose n-grams can reach the threshold, by the place of both in their trees.
+
+        All probes walk the tree at once, a level at a time. A probe carries its overlap with the path of a node, which
+        all sets below share, and leaves a subtree if what remains of the probe, or of the sets below, can't add up to the
+        overlap that the smallest set below needs, or if all of them are in the probe's component already. Without probes
+        the sets are joined with those after them."""
+        own = probes is None
+        q = self if own else probes
+        held = q.codes != END
+        row, column = np.nonzero(held)
+        known = (row.astype(np.uint64) << np.uint64(32)) | q.codes[row, column]  # sorted
+        start = np.concatenate(([0], np.cumsum(held.sum(axis=1))))
+        last = np.where(q.size > 0, q.codes[np.arange(len(q.n)), np.maximum(q.size - 1, 0)].astype(np.int64), -1)
+        top = np.flatnonzero(self.shared < 0)
+        roots = self.root[top]
+        at = np.minimum(np.searchsorted(roots, q.root), len(roots) - 1)
+        walkers = np.flatnonzero(roots[at] == q.root) if len(roots) else np.empty(0, np.int64)
+        at = at[walkers]
+        work = np.cumsum((_ends(top, len(self.n)) - top)[at])
+        a = 0
+        while a < len(walkers):
+            to = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + STEP_PAIRS, "right")))
+            yield self._walk(q, own, percent, walkers[a:to], at[a:to], known, start, last)
+            a = to
+
+    def _walk(self, q: Tree, own: bool, percent: int, p: np.ndarray, at: np.ndarray, known: np.ndarray, start: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pairs() for the probes p, which stand at the roots at; known has their n-grams, last the last of each."""
+        out_p, out_m, node = [], [], np.flatnonzero(self.shared < 0)
+        have, passed = np.ones(len(p), np.int64), np.zeros(len(p), np.int64)
+        for depth in range(PATH + 1):
+            if not len(p):
+                break
+            begin, end = node, _ends(node, len(self.n))
+            node = np.flatnonzero(self.shared <= depth)
+            stop = _ends(node, len(self.n))
+            low, high = np.searchsorted(node, begin[at]), np.searchsorted(node, end[at])
+            count = high - low
+            p, have, passed = np.repeat(p, count), np.repeat(have, count), np.repeat(passed, count)
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(p))
+            rest = self.size + self.beyond - depth
+            least, most = np.minimum.reduceat(self.n, node), np.maximum.reduceat(rest, node)
+            first, other = np.minimum.reduceat(self.label, node), np.maximum.reduceat(self.label, node)
+            ok = (first[at] != q.label[p]) | (other[at] != q.label[p])
+            if own:
+                ok &= stop[at] > p + 1
+            p, at, have, passed = p[ok], at[ok], have[ok], passed[ok]
+            code = self.codes[node[at], depth].astype(np.int64)
+            done = (code == END) | (code > last[p])
+            # Paths that end here, on either side: what is left of both is all that can be shared beyond.
+            e = np.flatnonzero(done)
+            left = np.where(code[e] == END, q.size[p[e]] - passed[e], 0) + q.beyond[p[e]]
+            count = stop[at[e]] - node[at[e]]
+            m = np.repeat(node[at[e]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            x, most_left, so_far = np.repeat(p[e], count), np.repeat(left, count), np.repeat(have[e], count)
+            nx, ny = q.n[x], self.n[m]
+            good = ((q.prev[x] == 0) | (q.prev[x] != self.prev[m])) & (so_far + np.minimum(most_left, rest[m]) >= needed(nx, ny, percent)) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & (q.label[x] != self.label[m])
+            if own:
+                good &= m > x
+            out_p.append(x[good])
+            out_m.append(m[good])
+            p, at, have, passed, code = p[~done], at[~done], have[~done], passed[~done], code[~done]
+            key = (p.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64)
+            i = np.searchsorted(known, key, "right")
+            have = have + (known[np.maximum(i - 1, 0)] == key) if len(known) else have
+            passed = i - start[p]
+            ok = have + np.minimum(q.size[p] - passed + q.beyond[p], most[at] - 1) >= needed(q.n[p], least[at], percent)
+            p, at, have, passed = p[ok], at[ok], have[ok], passed[ok]
+        return np.concatenate(out_p) if out_p else p, np.concatenate(out_m) if out_m else p
+
+
+def needed(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams that sets of these sizes share at the threshold."""
+    return -(-percent * (nx + ny) // (100 + percent))
+
+
+def _matrix(size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    out = np.full((len(size), PATH), END, np.uint32)
+    out[np.arange(PATH) < size[:, None]] = codes
     return out
 
 
-def _swapped(p: np.ndarray) -> np.ndarray:
-    q = p.copy()
-    q["a"], q["b"] = p["b"], p["a"]
-    return q
-
-
-def _long(lists: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Postings of the lists of more than FREQUENT sets, with signatures."""
-    most = FREQUENT
-
-    @trimmed
-    def rows_of(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                rows = np.frombuffer(x, POST)
-                rows = rows[_list_sizes(rows) > most]
-                cols = [np.ascontiguousarray(rows[c]).view(np.int64) for c in ("tok", "sid", "end")]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(rows["n"].astype(np.int64)), pa.array(rows["p"].astype(np.int64))], names=["tok", "sid", "end", "n", "p"])
-
-    return staged(lists.mapInArrow(rows_of, "tok long, sid long, end long, n long, p long").join(sigs, "sid"), "join-long")
-
+def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Each pair of set ids once."""
+    x, y = x.view(np.int64), y.view(np.int64)
+    a, b = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = _new_runs(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
-def _cross(long: DataFrame, labels: DataFrame, percent: int, parts: int, best: bool) -> DataFrame:
-    """Pairs of sets of a long list whose components differ and whose signatures allow the threshold (dealt rows).
 
-    With best only the pair of the most equal signatures for each set. Lists inside one component cost nothing; a list of
-    more than CROSS sets is cut into blocks, and each pair of blocks is a group of its own."""
-    rows = long.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = rows.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / CROSS).alias("blocks")).where("x != y").select("tok", "blocks")
-    rows = rows.join(mixed, "tok").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sid", "end", "n", "p", "label", "sig")
+def _cold_pairs(paths: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b): the pairs of sets that meet below an n-gram which isn't frequent and can be at the threshold."""
 
     @trimmed
-    def cross(batches):
-        found = [b for b in batches if b.num_rows]
+    def run(batches):
+        found = [(np.frombuffer(r, MEMBER), np.frombuffer(c, np.uint32)) for b in batches for r, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         if not found:
             return
-        t = pa.Table.from_batches(found)
-        r = np.empty(t.num_rows, POST)
-        for c in ("tok", "sid", "end"):
-            r[c] = t.column(c).to_numpy().view(np.uint64)
-        r["n"], r["p"], label = t.column("n").to_numpy(), t.column("p").to_numpy(), t.column("label").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(r), -1)
-        x, y, block = (t.column(c).to_numpy() for c in ("x", "y", "block"))
-        order = np.lexsort((r["sid"], r["n"], y, x, r["tok"]))
-        r, label, sig, x, y, block = r[order], label[order], sig[order], x[order], y[order], block[order]
-        first = np.flatnonzero(np.concatenate(([True], (r["tok"][1:] != r["tok"][:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-        held, size = [], 0
-        for a, b in zip(first, _ends(first, len(r)), strict=True):
-            own, lab, s, n, blk, apart_only = r[a:b], label[a:b], sig[a:b], r["n"][a:b].astype(np.int64), block[a:b], x[a] != y[a]
-            top = np.searchsorted(n * percent, n * 100, "right")  # up to there sizes fit
-            least, mate = np.full(len(own), 1 << 30), np.full(len(own), -1)
-            for i in range(len(own)):
-                j = i + 1 + np.flatnonzero(lab[i + 1 : top[i]] != lab[i])
-                if apart_only:  # pairs inside a block have a group of their own
-                    j = j[blk[j] != blk[i]]
-                if not len(j):
-                    continue
-                apart = np.bitwise_count(s[j] ^ s[i]).sum(axis=1, dtype=np.int64)
-                ok = n[i] + n[j] - apart >= 2 * -(-percent * (n[i] + n[j]) // (100 + percent))
-                j, apart = j[ok], apart[ok]
-                if not len(j):
-                    continue
-                if best:
-                    at = int(apart.argmin())
-                    if apart[at] < least[i]:
-                        least[i], mate[i] = apart[at], j[at]
-                    nearer = apart < least[j]
-                    least[j[nearer]], mate[j[nearer]] = apart[nearer], i
-                else:
-                    held.append(_pairs(np.repeat(own[i : i + 1], len(j)), own[j], percent))
-                    size += len(j)
-                if size > HELD:
-                    p = np.concatenate(held)
-                    yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
-                    held, size = [], 0
-            if best and (mate >= 0).any():
-                at = np.flatnonzero(mate >= 0)
-                held.append(_pairs(own[at], own[mate[at]], percent))
-                size += len(at)
-        if size:
-            p = np.concatenate(held)
-            yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
-
-    return rows.repartition(parts, "tok", "x", "y").mapInArrow(cross, DEALT)
-
-
-def _likely(long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(a, b): for each set of a long list its likeliest partner of another component."""
+        rows, codes = (np.concatenate(x) for x in zip(*found, strict=True))
+        cut = np.cumsum(rows["size"], dtype=np.int64) - rows["size"]
+        order = np.argsort(rows["tok"], kind="stable")
+        rows, cut = rows[order], cut[order]
+        first = np.flatnonzero(_new_runs(rows["tok"]))
+        ends = _ends(first, len(rows))
+        at = 0
+        while at < len(first):  # whole lists, some thousand sets at a time
+            to = max(at + 1, int(np.searchsorted(ends, first[at] + STEP_ROWS)))
+            own = slice(first[at], ends[min(to, len(first)) - 1])
+            r = rows[own]
+            tree = Tree(r["tok"], r["n"], r["beyond"], r["sid"], r["size"], r["prev"], _matrix(r["size"], _windows(codes, cut[own] - 1, r["size"].astype(np.int64))))
+            for x, y in tree.pairs(percent):
+                yield _pair_batch(tree.label[x], tree.label[y])
+            at = to
+
+    cold = paths.where("part IS NOT NULL").select("part", "rows", "codes").repartition(parts, "part")
+    return cold.mapInArrow(run, "a long, b long")
+
+
+def _hub_pairs(hot: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set of a long list with two others of the list, the one that has most of the list's n-grams in common
+    with others and one by hash. A guess that joins most copies; what it misses is found later."""
+    hubs = hot.groupBy("tok").agg(F.max(F.struct("whole", "sid", "n")).alias("u"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("v"))
+    hubs = hubs.select("tok", F.explode(F.array(F.struct("u.sid", "u.n"), F.struct("v.sid", "v.n"))).alias("hub"))
+    both = hot.select("tok", "sid", "n").join(hubs, "tok").where(f"sid != hub.sid AND least(n, hub.n) * 100 >= greatest(n, hub.n) * {percent}")
+    return both.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
+
+
+def _mixed_lists(hot: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Sets of the long lists that hold several components, with component, signature, and the blocks of their list.
+
+    A list of more than CROSS sets is cut into blocks; only sets outside the list's largest component go to each block as
+    probes, so rows grow with the list and not with its square while it has a large component."""
+    rows = hot.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    counts = rows.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("c"))
+    lists = counts.groupBy("tok").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    lists = lists.select("tok", "most", F.ceil(F.col("all") / CROSS).alias("blocks"))
+    rows = rows.join(lists, "tok").join(sigs, "sid")
+    return staged(rows.select("tok", "sid", "prev", "n", "beyond", "size", "path", "label", "sig", "most", "blocks"), "join-mixed")
+
+
+def _hot_pairs(mixed_lists: DataFrame, percent: int, parts: int, best: bool) -> DataFrame:
+    """(a, b): pairs of sets of one long list, of different components, that can be at the threshold by their paths and
+    signatures; with best only the likeliest partner of each probe in a block."""
+    members = mixed_lists.select("*", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block"), F.lit(False).alias("probe"))
+    probes = mixed_lists.where("label != most").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"))
+    rows = members.unionByName(probes).select("tok", "block", "probe", "sid", "prev", "n", "beyond", "size", "path", "label", "sig").repartition(parts, "tok", "block").sortWithinPartitions("tok", "block")
+
+    def joined(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        root = np.cumsum(_new_runs(t.column("tok").to_numpy(), t.column("block").to_numpy())).astype(np.uint64)
+        size = t.column("size").to_numpy()
+        codes = _matrix(size, np.frombuffer(b"".join(t.column("path").to_pylist()), np.uint32))
+        n, beyond, label, sid, prev = (t.column(c).to_numpy() for c in ("n", "beyond", "label", "sid", "prev"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(sid), -1)
+        probe = t.column("probe").to_numpy()
+        probes, sets = np.flatnonzero(probe), np.flatnonzero(~probe)
+        x, y = (Tree(root[of], n[of], beyond[of], label[of], size[of], prev[of], codes[of]) for of in (probes, sets))
+        for i, j in y.pairs(percent, x):
+            i, j = probes[x.order][i], sets[y.order][j]
+            apart = np.empty(len(i), np.int64)
+            for a in range(0, len(i), 1 << 14):
+                part = slice(a, a + (1 << 14))
+                apart[part] = np.bitwise_count(sig[i[part]] ^ sig[j[part]]).sum(axis=1, dtype=np.int64)
+            ok = n[i] + n[j] - apart >= 2 * needed(n[i], n[j], percent)
+            i, j, apart = i[ok], j[ok], apart[ok]
+            if best:
+                order = np.lexsort((sid[j], apart, sid[i]))
+                i, j = i[order], j[order]
+                new = _new_runs(sid[i], root[i])
+                i, j = i[new], j[new]
+            yield sid[i], sid[j]
 
     @trimmed
-    def each(batches):
-        p = _summed([_gathered(batches, PAIR)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["a"]).view(np.int64)), pa.array(np.ascontiguousarray(p["b"]).view(np.int64))], names=["a", "b"])
-
-    return _cross(long, labels, percent, parts, True).repartition(parts, "part").mapInArrow(each, "a long, b long")
-
-
-def _rest(lists: DataFrame, long: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(a, b): all pairs of sets of different components that the counts of shared prefix n-grams let pass."""
-    most = FREQUENT
+    def run(batches):
+        for t in _groups(batches, ["tok", "block"], STEP_ROWS):
+            for x, y in joined(t):
+                yield _pair_batch(x, y)
 
-    @trimmed
-    def small(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                rows = np.frombuffer(x, POST)
-                rows = rows[_list_sizes(rows) <= most]
-                found = []
-                for gap in range(1, most):
-                    same = rows["tok"][gap:] == rows["tok"][:-gap]
-                    if not same.any():
-                        break
-                    found.append(_pairs(rows[:-gap][same], rows[gap:][same], percent))
-                p = _summed(found)
-                yield _dealt(p, p["a"] ^ (p["b"] << np.uint64(1)), parts)
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-    @trimmed
-    def passed(batches):
-        p = _summed([_gathered(batches, PAIR)])
-        p = p[p["c"] >= p["need"]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["a"]).view(np.int64)), pa.array(np.ascontiguousarray(p["b"]).view(np.int64))], names=["a", "b"])
 
-    both = lists.mapInArrow(small, DEALT).unionByName(_cross(long, labels, percent, parts, False))
-    pairs = both.repartition(parts, "part").mapInArrow(passed, "a long, b long")
-    for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left")
-    return pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def _groups(batches, keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of sorted rows, of about so many rows or one group."""
+    held: list[pa.RecordBatch] = []
 
+    def last(b):
+        return [b.column(b.schema.get_field_index(k))[b.num_rows - 1].as_py() for k in keys]
 
-def _list_sizes(rows: np.ndarray) -> np.ndarray:
-    """For each posting the length of its list."""
-    first = np.flatnonzero(np.concatenate(([True], rows["tok"][1:] != rows["tok"][:-1]))) if len(rows) else np.empty(0, np.int64)
-    count = _ends(first, len(rows)) - first
-    return np.repeat(count, count)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and sum(x.num_rows for x in held) >= rows:
+            now = last(held[-1])
+            same = np.logical_and.reduce([b.column(b.schema.get_field_index(k)).to_numpy() == v for k, v in zip(keys, now, strict=True)])
+            cut = int(same.sum())  # sorted: they come first
+            if cut < b.num_rows:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+                held = [b.slice(cut)]
+                continue
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def traverse(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
@@ -489,24 +595,6 @@ def _grams(docs: DataFrame, key: str, text: str, firsts: DataFrame, sids: DataFr
     return staged(source.mapInArrow(make, "sid long, grams binary").dropDuplicates(["sid"]), "join-grams")
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures allow the threshold; sigs is (sid, n, sig)."""
-    for c in ("a", "b"):
-        pairs = pairs.join(sigs.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
-
-    @trimmed
-    def run(batches):
-        for t in batches:
-            if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in (4, 5))
-                n = t.column(2).to_numpy() + t.column(3).to_numpy()
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                ok = n - apart >= 2 * -(-percent * n // (100 + percent))
-                yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(ok)), t.column(1).filter(pa.array(ok))], names=["a", "b"])
-
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def _verified(made: DataFrame, pairs: DataFrame, percent: int, parts: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are at the threshold; a set with many partners gets a tree for each BLOCK of them."""
     pairs = staged(pairs, "join-pairs")
@@ -544,65 +632,65 @@ def _verified(made: DataFrame, pairs: DataFrame, percent: int, parts: int) -> Da
     return staged(both.mapInArrow(walk, "a long, b long"), "join-verified")
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) of each row of docs: the size of its set, and the smallest key that links reach.
-
-    Two rows link when 100 * shared >= percent * all of their sets of k-word shingles (A-Z in lower case); a text of
-    fewer words has one shingle of all of them. Null and empty texts have no shingles and are their own component.
-    Repeated rows and equal texts are one class; a null key is no component's smallest while there is another; an
-    empty table gives an empty result. Other columns are left out. Sets are told apart by 64-bit hashes."""
-    spark = docs.sparkSession
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _labelled(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """(key, mark, n, component, component_id) of each row of docs; component is null for texts without words."""
+    spark, before = docs.sparkSession, written()
+    parts = parts_of(docs, text)
     rows, frequent = classes_of(docs, key, text, k, percent, parts)
     firsts = staged(rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first")), "join-firsts")
-    lists = _lists(docs, text, k, percent, parts, frequent)
-    sigs = rows.where("n > 0").select("sid", "n", "sig").dropDuplicates(["sid"])
-    long = _long(lists, sigs.select("sid", "sig"))
-    alone = firsts.select(F.col("sid").alias("node"), F.col("sid").alias("label")).limit(0)
-    near = _alike(_near(lists, percent, parts), sigs, percent)
-    rounds = ROUNDS if long.limit(1).count() else 0
-    if rounds:
-        near = near.union(_likely(long, alone, percent, parts)).distinct()
-    near = staged(near, "join-near")
-    # Sets without a likely partner in the first round have none later: components only grow.
-    grams = _grams(docs, key, text, firsts, near.select("a").union(near.select("b")), k)
-    if rounds:
-        long = staged(long.join(near.select(F.col("a").alias("sid")).union(near.select("b")).distinct(), "sid", "left_semi"), "join-long")
-    links = _verified(grams, near, percent, parts)
+    paths = _paths(_postings(docs, text, k, percent, parts, frequent), percent, parts, frequent)
+    hot = paths.where("tok IS NOT NULL").drop("part", "rows", "codes")
+    pairs = staged(_cold_pairs(paths, percent, parts).union(_hub_pairs(hot, percent)).distinct(), "join-pairs")
+    grams = _grams(docs, key, text, firsts, pairs.select("a").union(pairs.select("b")), k)
+    tested, links = pairs, _verified(grams, pairs, percent, parts)
     labels = components(links)
-    for _ in range(rounds):
-        more = _verified(grams, _likely(long, labels, percent, parts), percent, parts)
-        if not more.limit(1).count():
-            break
-        links = links.unionByName(more)
-        labels = components(links)
-    rest = staged(_alike(_rest(lists, long, labels, percent, parts), sigs, percent), "join-rest")
-    if rest.limit(1).count():
-        known = grams.select(F.col("sid").alias("a"))
-        new = rest.select("a").union(rest.select("b")).distinct().join(known, "a", "left_anti")
+    sigs = rows.where("n > 0").select("sid", "sig").dropDuplicates(["sid"])
+    for best in (True, False):  # the likeliest partners first: what they join needs no comparison any more
+        lists = _mixed_lists(hot, labels, sigs)
+        pairs = staged(_hot_pairs(lists, percent, parts, best).join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        if not pairs.limit(1).count():
+            continue
+        new = pairs.select("a").union(pairs.select("b")).distinct().join(grams.select(F.col("sid").alias("a")), "a", "left_anti")
         if new.limit(1).count():
             grams = grams.unionByName(_grams(docs, key, text, firsts, new, k))
-        links = links.unionByName(_verified(grams, rest, percent, parts))
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(_verified(grams, pairs, percent, parts))
         labels = components(links)
     named = labels.join(firsts.withColumnRenamed("sid", "node"), "node")
     least = named.groupBy("label").agg(F.min("first").alias("least"))
-    least = named.join(least, "label").select(F.col("node").alias("sid"), "least")
-    of = staged(firsts.join(least, "sid", "left").select("sid", F.coalesce("least", "first").alias("component_id")), "join-of")
+    least = named.join(least, "label").select(F.col("node").alias("sid"), "label", "least")
+    of = firsts.join(least, "sid", "left").select("sid", F.coalesce("label", "sid").alias("component"), F.coalesce("least", "first").alias("component_id"))
     # A class of very many copies is one key of this join alone, which Spark can split.
-    some = rows.where("n > 0").join(of, "sid").select("key", "n", "component_id")
-    none = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    return some.unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    of = staged(of, "join-of")
+    forget(spark, before, ("join-sets", "join-of"))  # all that the result reads
+    some = rows.where("n > 0").join(of, "sid").select("key", "mark", "n", "component", "component_id")
+    none = rows.where("n = 0").select("key", "mark", "n", F.lit(None).cast("long").alias("component"), F.col("key").alias("component_id"))
+    return some.unionByName(none)
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id) of each row of docs: the size of its set, and the smallest key that links reach.
+
+    Two rows link when 100 * shared >= percent * all of their sets of k-word shingles (A-Z in lower case); a text of
+    fewer words has one shingle of all of them. Null and empty texts have no shingles and are their own component.
+    Repeated rows and equal texts are one class; a null key is no component's smallest while there is another; an
+    empty table gives an empty result. Other columns are left out. Sets are told apart by 64-bit hashes."""
+    return _labelled(docs, key, text, k, percent).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near copies: that of the smallest key; rows and columns as they are.
-
-    Texts without words have no copies. Of rows that repeat both key and text one stays; rows without a key can't be
-    told apart and all stay."""
-    best = jaccard_classes(docs, key, text, k, percent).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key__")).distinct()
-    best = staged(best, "join-kept")
-    kept = docs.where(F.col(key).isNotNull()).join(best, F.col(key) == F.col("__key__"), "left_semi").withColumn("__same__", F.xxhash64(text))
-    return kept.dropDuplicates([key, "__same__"]).drop("__same__").unionByName(docs.where(F.col(key).isNull()))
+    """One row of each group of near copies: that of the smallest key, and of its texts that with the smallest hash if a
+    key is repeated; rows and columns as they are.
+
+    Texts without words have no copies. Of rows that repeat both key and text one stays. A null key comes after all
+    others, so a group keeps a row without a key only if none of its rows has one."""
+    rows = _labelled(docs, key, text, k, percent)
+    # Keys and hashes before the groups: a group of very many copies is one row of each task.
+    best = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "mark")).alias("best")).select("best.key", "best.mark")
+    best = staged(best.union(rows.where("component IS NULL").select("key", "mark")).distinct().toDF("__key__", "__mark__"), "join-kept")
+    given = docs.withColumn("__same__", F.xxhash64(text))
+    kept = given.join(best, F.col(key).eqNullSafe(F.col("__key__")) & (F.col("__same__") == F.col("__mark__")), "left_semi")
+    return kept.dropDuplicates([key, "__same__"]).drop("__same__")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
