@@ -1,17 +1,18 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-Candidates are runs of token characters that hold a digit, values assigned to a telling name, and private-key
-blocks. The forest sees a candidate's length, its characters and their transitions, how much of it dictionary
-words cover, the words before it, and the path that it comes from; it is trained on labelled findings, which
-label_findings() draws by rule: keys, tokens and passwords, and what is often taken for them.
+Candidates are runs of token characters that hold a digit or begin like a known kind of token, values assigned to a
+telling name, and private-key blocks as far as their lines of base64 go. The forest sees a candidate's length, its
+characters and their transitions, how much of it dictionary words cover, the words before it, and the path that it
+comes from; it is trained on labelled findings, which label_findings() draws by rule: keys, tokens and passwords, and
+what is often taken for them. Candidates and their surroundings are seen whole, however long.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +25,20 @@ from .common import map_text, table, without
 
 #: Least vote of the forest for a secret.
 THRESHOLD = 0.5
-NAMES = rb"(?:pass(?:word|wd|phrase)?|pwd|secret|token|bearer|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key|client[_-]?secret)"
+NAMES = rb"(?:pass(?:word|wd|phrase)?|pwd|pw|secret|token|bearer|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key|client[_-]?secret)"
+_GAP = rb"(?:\s|\\[rn])*+"
 _CANDIDATE = re.compile(
-    rb"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
+    # A key block: header lines, lines of base64 (a short one only before the end line), the end line if there is one.
+    rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[ \t]*\r?\n[A-Za-z0-9-]+: [^\r\n]*)*(?:" + _GAP + rb"[A-Za-z0-9+/]{20,}+={0,2})+(?:" + _GAP + rb"[A-Za-z0-9+/]++={0,2}(?=" + _GAP + rb"-----END))?(?:" + _GAP + rb"-----END [A-Z0-9 ]*PRIVATE KEY-----)?"
     rb"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    rb"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9_+/-]{8,}={0,2}(?:\.[A-Za-z0-9_-]{16,}){0,2}",
-    re.S,
+    rb"|(?<![A-Za-z0-9_+/-])(?:gh[pousr]_|glpat-|xox[abeprs]-|sk[-_]|npm_|pypi-|AIza)[A-Za-z0-9_-]{16,}+"
+    rb"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{8})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+={0,2}(?:\.[A-Za-z0-9_-]{16,}+){0,2}"
 )
-_ASSIGNED = re.compile(rb"(?i)(?<![a-z])" + NAMES + rb"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
+_ASSIGNED = re.compile(rb"(?i)(?<![a-z])" + NAMES + rb"[\"']?\s*+(?:=>|:=|=|:)\s*+[\"']?([^\s\"'<>,;]{6,})")
 _BEFORE = re.compile(rb"[A-Za-z]+")
 
 #: Words before a candidate that speak for a secret, and those that speak for something else.
-FOR = frozenset(b"password passwd pwd pass passphrase secret token bearer key apikey auth authorization credential credentials private client access login".split())
+FOR = frozenset(b"password passwd pwd pw pass passphrase secret token bearer key apikey auth authorization credential credentials private client access login".split())
 AGAINST = frozenset(
     b"commit sha md5 checksum digest hash uuid guid revision build version isbn order invoice phone tel fax card iban id serial ticket page figure line image base integrity etag object blob tree parent http https www com org net html".split()
 )
@@ -55,6 +58,11 @@ _UUID = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 FEATURES = ["length", "digits", "upper", "lower", "symbols", "entropy", "hex", "transitions", "vowels", "run", "covered", "prefix", "uuid", "assigned", "quoted", "for", "against", "near_for", "in_path", "path_test", "path_sample", "path_lock"]
 
 
+_HEX, _VOWELS = b"0123456789abcdefABCDEF", b"aeiouAEIOU"
+#: Of each byte: 0 digit, 1 upper case, 2 lower case, 3 other.
+_KINDS = bytes(0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 for c in range(256))
+
+
 def candidates(text: bytes) -> Iterator[tuple[int, int]]:
     """(start, end) in bytes of each candidate, in order, none inside another."""
     spans = {m.span() for m in _CANDIDATE.finditer(text)}
@@ -66,33 +74,43 @@ def candidates(text: bytes) -> Iterator[tuple[int, int]]:
             end = b
 
 
-def features(text: bytes, a: int, b: int, path: str = "") -> list[float]:
-    own = text[a:b][:512]
+def words_of(text: bytes) -> tuple[list[int], list[bytes]]:
+    """(where they end, the words of letters in lower case) of a text."""
+    found = [(m.end(), m[0].lower()) for m in _BEFORE.finditer(text)]
+    return [e for e, _ in found], [w for _, w in found]
+
+
+def features(text: bytes, a: int, b: int, path: str = "", words: tuple[list[int], list[bytes]] | None = None) -> list[float]:
+    """What the forest sees of the candidate text[a:b]; words are words_of(text), where several candidates need them."""
+    own = text[a:b]
     n = len(own)
-    kinds = [0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 for c in own]
-    count = [kinds.count(k) / n for k in range(4)]
-    chars = [own.count(c) / n for c in set(own)]
-    run = best = 1
-    for x, y in zip(own, own[1:], strict=False):
-        run = run + 1 if x == y else 1
-        best = max(best, run)
-    before = text[max(0, a - 48) : a]
-    near = [w.lower() for w in _BEFORE.findall(before)][-4:]
+    ends, names = words or words_of(text)
+    kinds = np.frombuffer(own.translate(_KINDS), np.uint8)
+    bytes_ = np.frombuffer(own, np.uint8)
+    count = np.bincount(kinds, minlength=4) / n
+    chars = np.bincount(bytes_) / n
+    chars = chars[chars > 0]
+    other = np.flatnonzero(np.concatenate(([True], bytes_[1:] != bytes_[:-1], [True])))
+    at = bisect_right(ends, a)
+    near = names[max(0, at - 4) : at]
     last = near[-1] if near else b""
-    tail = before.rstrip(b" \t\"'")[-1:]
+    begin = a
+    while begin and text[begin - 1 : begin] in (b" ", b"\t", b'"', b"'"):
+        begin -= 1
+    tail = text[max(0, begin - 1) : begin]
     return [
-        float(min(b - a, 512)),
-        *count,
-        -sum(p * math.log2(p) for p in chars),
-        float(all(c in b"0123456789abcdefABCDEF" for c in own)),
-        sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
-        sum(c in b"aeiouAEIOU" for c in own) / n,
-        best / n,
+        float(n),
+        *count.tolist(),
+        -float((chars * np.log2(chars)).sum()),
+        float(not own.translate(None, _HEX)),
+        float((kinds[1:] != kinds[:-1]).sum()) / max(1, n - 1),
+        (n - len(own.translate(None, _VOWELS))) / n,
+        float(np.diff(other).max()) / n,
         sum(len(m) for m in _WORD.findall(own.lower())) / n,
         float(bool(_PREFIX.match(own))),
         float(bool(_UUID.match(own))),
         float(tail in (b"=", b":")),
-        float(before[-1:] in (b'"', b"'")),
+        float(a > 0 and text[a - 1 : a] in (b'"', b"'")),
         float(last in FOR),
         float(last in AGAINST),
         float(any(w in FOR for w in near)),
@@ -166,6 +184,10 @@ def label_findings(n: int = 2400, seed: int = 11) -> list[tuple[bytes, int, int,
         equal = rng.choice(["=", " = ", ": ", ":", " "])
         quote = rng.choice(["", '"', "'"])
         kind = rng.random()
+        if kind < 0.05:
+            lines = "\n".join(some(b64, 64) for _ in range(rng.randint(1, 25))) + "\n" + some(b64, rng.randint(2, 60)) + "=="
+            name = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+            return "", f"-----BEGIN {name}PRIVATE KEY-----\n{lines}" + rng.choice([f"\n-----END {name}PRIVATE KEY-----", ""])
         if kind < 0.25:
             return rng.choice(["", "key ", "aws_access_key_id = ", '"']), rng.choice(["AKIA", "ASIA"]) + some(string.ascii_uppercase + string.digits, 16)
         if kind < 0.4:
@@ -210,7 +232,8 @@ def label_findings(n: int = 2400, seed: int = 11) -> list[tuple[bytes, int, int,
         head, own = secret() if label else other()
         left = prose(rng.randint(0, 8)).encode() + rng.choice([b" ", b"\n", b" ", b"### "]) + head.encode()
         text = left + own.encode() + rng.choice([b" ", b'" ', b"\n", b"### ", b". "]) + prose(4).encode()
-        path = rng.choice(["", "", "src/app.py", "config/prod.env"] if label else ["", "", "src/app.py", "tests/fixture.json", "docs/example.md", "package-lock.json"])
+        # All kinds of paths hold both; tests, samples and lock files more often what is no secret.
+        path = rng.choice(["", "", "src/app.py", "config/prod.env", "tests/fixture.json", "docs/example.md"] if label else ["", "", "src/app.py", "config/prod.env", "tests/fixture.json", "docs/example.md", "package-lock.json"])
         out.append((text, len(left), len(left) + len(own), path, label))
     return out
 
@@ -228,7 +251,10 @@ FIELDS = [T.StructField("n_candidates", T.LongType(), False), T.StructField("n_s
 def _found(forest: Forest, texts: list[bytes], paths: list[str], threshold: float) -> list[tuple[int, list[tuple[int, int, float]]]]:
     """For each text the number of candidates and the secrets (start, end in bytes, score)."""
     spans = [list(candidates(t)) for t in texts]
-    rows = [features(t, a, b, p) for t, own, p in zip(texts, spans, paths, strict=True) for a, b in own]
+    rows = []
+    for t, own, p in zip(texts, spans, paths, strict=True):
+        words = words_of(t) if own else None
+        rows += [features(t, a, b, p, words) for a, b in own]
     scores = iter(forest.scores(np.array(rows)).tolist() if rows else [])
     return [(len(own), [(a, b, s) for a, b in own if (s := next(scores)) >= threshold]) for own in spans]
 
@@ -268,4 +294,5 @@ def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text", th
 
 
 def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    """The whole texts of documents; the path of a document is its source."""
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source").drop("text", "source")
