@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh_path, staged, table
 
@@ -23,8 +24,12 @@ BROADCAST_ROWS = 100_000
 
 
 def _line(name: str, value: Column) -> Column:
-    """A header line, or nothing for a null value; control characters, which would end the line, are percent-encoded."""
-    clean = F.regexp_replace(value.cast("string"), r"[\x00-\x1F\x7F]", "%0A")
+    """A header line, or nothing for a null value; control characters, which would end the line, are percent-encoded, each as its own code."""
+    given = value.cast("string")
+    clean = given
+    for c in [*range(32), 127]:
+        clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    clean = F.when(given.rlike(r"[\x00-\x1F\x7F]"), clean).otherwise(given)
     return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")))
 
 
@@ -62,13 +67,14 @@ def _header(name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between two magics: its file, the split and place it was read from, its bytes, and its header up to the blank line.
+    """What lies between two magics: its file, the split and place it was read from, its bytes, their hash, and its header up to the blank line.
 
-    seq only orders the pieces of one split."""
+    seq only orders the pieces of one split in one scan. Splits depend on how many cores there are just now, so a second
+    scan finds pieces by file and hash: a magic ends a piece wherever splits begin."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
     head = F.when(F.col("value").contains("\r\n\r\n"), F.substring_index("value", "\r\n\r\n", 1))
-    return raw.select("file", "block", "seq", F.col("value").cast("binary").alias("piece"), head.alias("head"))
+    return raw.select("file", "block", "seq", F.col("value").cast("binary").alias("piece"), F.sha1(F.col("value").cast("binary")).alias("mark"), head.alias("head"))
 
 
 #: Of a piece with columns piece, head and content: the header's bytes, and the payload as far as the piece holds it.
@@ -102,7 +108,7 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     p = _pieces(spark, path).withColumn("content", _header("Content-Length")).withColumn("content", F.when(F.col("content").rlike("^[0-9]{1,18}$"), content))
     whole = F.expr(f"octet_length(piece) >= {_HEAD_BYTES} + 4 + content + 4")
     found = [_header(v).alias(k) for k, v in _FIELDS.items()]
-    small = p.select("file", "block", "seq", length.alias("len"), F.expr(_HEAD_BYTES).cast("long").alias("h"), "content", *found, F.when(whole, F.sha1(F.expr(_PAYLOAD))).alias("sha1"))
+    small = p.select("file", "block", "seq", "mark", length.alias("len"), F.expr(_HEAD_BYTES).cast("long").alias("h"), "content", *found, F.when(whole, F.sha1(F.expr(_PAYLOAD))).alias("sha1"))
     small = staged(small, "warc-pieces")
 
     # A piece's place in its file: the bytes of the splits before its own, and of the pieces before it in its split.
@@ -124,10 +130,15 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     return staged(parts.withColumn("rec", F.col("r.off")).withColumn("size", F.col("r.succ") - F.col("r.off")).drop("r"), "warc-parts")
 
 
-def _glued(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
+def _bytes_of(spark: SparkSession, path: str, marks: DataFrame) -> DataFrame:
+    """(file, mark, piece) of the pieces with these files and hashes, each once, by a second scan."""
+    found = _pieces(spark, path).join(marks.select("file", "mark").distinct(), ["file", "mark"], "left_semi")
+    return found.groupBy("file", "mark").agg(F.first("piece").alias("piece"))
+
+
+def _glued(spark: SparkSession, path: str, several: DataFrame) -> DataFrame:
     """(file, off, payload) of records from all their pieces, put together with the magics between them."""
-    read = _pieces(spark, path).drop("head")
-    p = read.join(parts, ["file", "block", "seq"]).groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("off", "piece", "h", "content"))).alias("p"))
+    p = several.join(_bytes_of(spark, path, several), ["file", "mark"]).groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("off", "piece", "h", "content"))).alias("p"))
     magic = f"unhex('{MAGIC.encode().hex()}')"
     glue = f"aggregate(slice(p, 2, size(p)), p[0].piece, (a, x) -> concat(a, {magic}, x.piece))"
     p = p.select("file", F.col("rec").alias("off"), F.expr("p[0].h").alias("h"), F.expr("p[0].content").alias("content"), F.expr(glue).alias("piece"))
@@ -136,7 +147,7 @@ def _glued(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
 
 def _several(parts: DataFrame, broadcast_rows: int) -> DataFrame:
     """The pieces of records that lie in several, as a broadcast where they are few."""
-    several = staged(parts.where((F.col("off") != F.col("rec")) | (F.col("len") + len(MAGIC) < F.col("size"))).select("file", "block", "seq", "off", "rec", "h", "content"), "warc-several")
+    several = staged(parts.where((F.col("off") != F.col("rec")) | (F.col("len") + len(MAGIC) < F.col("size"))).select("file", "mark", "off", "rec", "h", "content"), "warc-several")
     return F.broadcast(several) if several.limit(broadcast_rows + 1).count() <= broadcast_rows else several
 
 
@@ -156,29 +167,33 @@ def read_warc(spark: SparkSession, path: str, broadcast_rows: int = BROADCAST_RO
     parts = _placed(spark, path)
     several = _several(parts, broadcast_rows)
     records = parts.where("off = rec")
-    own = _pieces(spark, path).drop("head").join(records.where(F.col("len") + len(MAGIC) >= F.col("size")), ["file", "block", "seq"])
+    whole = records.where(F.col("len") + len(MAGIC) >= F.col("size"))
+    own = whole.join(_bytes_of(spark, path, whole), ["file", "mark"])
     own = own.withColumn("payload", F.expr("substring(piece, CAST(h + 5 AS INT), CAST(content AS INT))"))
     more = records.where(F.col("len") + len(MAGIC) < F.col("size")).join(_glued(spark, path, several), ["file", "off"])
     cols = ["file", "off", *_FIELDS, F.col("content").alias("n"), F.sha1("payload").alias("sha1"), "payload"]
     return own.select(*cols).unionByName(more.select(*cols))
 
 
-def _page(urn: str) -> Column:
-    return F.regexp_extract(urn, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+def _page(urn: str, kind: T.DataType) -> Column:
+    return F.nullif(F.regexp_extract(urn, "^<urn:page:(.*)>$", 1), F.lit("")).try_cast(kind)
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
     """Writes pages (page_id, url, html) to an archive and returns what a reader finds in it: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's digest and length are those of the stored payload that it refers to."""
+    A revisit's digest and length are those of the stored payload that it refers to: the response of that id whose header
+    has the revisit's digest, so that rows which repeat an id with other payloads are told apart. A null page_id comes back
+    null, a null html is empty, repeated rows are repeated records, an empty table gives an empty result; other columns
+    are left out. page_id may have any type that a string can be cast to; control characters in it come back encoded."""
     write_warc(pages, path)
-    r = scan_warc(pages.sparkSession, path).select(_page("id").alias("page_id"), "id", F.col("type").alias("record_type"), "refers_to", "n", "sha1")
+    kind = pages.schema["page_id"].dataType
+    r = scan_warc(pages.sparkSession, path).select(_page("id", kind).alias("page_id"), "id", F.col("type").alias("record_type"), "refers_to", "digest", "n", "sha1")
     r = staged(r, "warc-records")
-    stored = r.where("record_type = 'response'").groupBy(F.col("id").alias("refers_to")).agg(F.max(F.struct("n", "sha1")).alias("s"))
-    stored = stored.where(F.col("refers_to").isNotNull())
-    response = r.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisit = r.where("record_type = 'revisit'").join(stored, "refers_to", "left")
-    revisit = revisit.select("page_id", F.col("s.n").alias("payload_bytes"), F.col("s.sha1").alias("payload_digest"), "record_type", _page("refers_to").alias("refers_to"))
+    stored = r.where("record_type = 'response' AND id IS NOT NULL").groupBy(F.col("id").alias("refers_to"), "digest").agg(F.max(F.struct("n", "sha1")).alias("s"))
+    response = r.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    revisit = r.where("record_type = 'revisit'").join(stored, ["refers_to", "digest"], "left")
+    revisit = revisit.select("page_id", F.col("s.n").alias("payload_bytes"), F.col("s.sha1").alias("payload_digest"), "record_type", _page("refers_to", kind).alias("refers_to"))
     return response.unionByName(revisit)
 
 
