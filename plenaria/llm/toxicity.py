@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed character n-grams (of its lower-cased code points) that occur in it. Each is
+A text's features are the hashed character n-grams (of its code points, A-Z in lower case) that occur in it. Each is
 scaled by the log ratio of its smoothed document counts in toxic and clean training texts, and a logistic
 regression is trained on the scaled presences (Wang and Manning's interpolated NBSVM, with a logistic loss).
 """
@@ -20,7 +20,7 @@ from .common import map_text, staged, table, without
 GRAMS = (3, 4, 5)
 BITS = 18
 #: At most so many labelled texts of each class are used to fit, those of smallest hash.
-FIT_ROWS = 1500
+FIT_ROWS = 2000
 THRESHOLD = 0.7
 
 FIELDS = [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)]
@@ -104,8 +104,13 @@ def fit(rows: list[tuple[bytes, int]], bits: int = BITS, smooth: float = 1.0, le
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on labelled rows whose crc32(doc_id as text) mod 3 is not 1: of each class the fit_rows of smallest hash."""
+    """Fits on labelled rows whose crc32(doc_id as text) mod 3 is not 1: of each class the fit_rows of smallest hash.
+
+    Only ids that docs has are drawn. An id of several labels is toxic if one says so; of an id's several texts one
+    counts, so that repeated rows weigh nothing and no more than 2 * fit_rows rows reach the driver. Null ids and null
+    labels are left out; null texts are empty; without labels of both classes every text gets the score of the one."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (held_out(F.col("doc_id")) == F.lit(False))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    y = y.join(docs.select("doc_id"), "doc_id", "left_semi")
     y = staged(y.withColumn("h", F.xxhash64("doc_id", F.lit("fit"))), "toxicity-labels")
     many = {r[0]: r[1] for r in y.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
     parts = []
@@ -116,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
         parts.append(own.orderBy("h", "doc_id").limit(fit_rows))
     some = parts[0].unionByName(parts[1])
     some = F.broadcast(some.select("doc_id", "toxic"))  # 2 * fit_rows rows at most
-    rows = map_text(docs.join(some, "doc_id"), text, ["doc_id", "toxic"], [T.StructField("f", T.BinaryType())], lambda texts: [pa.array([packed(features(t)) for t in texts], pa.binary())])
+    rows = map_text(docs.select("doc_id", text).join(some, "doc_id"), text, ["doc_id", "toxic"], [T.StructField("f", T.BinaryType())], lambda texts: [pa.array([packed(features(t)) for t in texts], pa.binary())])
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("f").alias("f"))
     t = rows.toArrow()  # 2 * fit_rows rows at most, some kilobytes each
     found = sorted(zip(*(t.column(i).to_pylist() for i in range(3)), strict=True))
     return fit([(f, label) for _, label, f in found])
