@@ -45,10 +45,18 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Where markup starts: a comment, a tag with its name, or what is read as a comment; and what ends a tag or opens a value.
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_STOP = re.compile(r">|=\s*+([\"'])")
+_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-label)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
+#: Elements of an article whose class may name their subject.
+PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd td figcaption".split())
+
+#: A header inside an article holds its headline, not the page's.
+HEADLINE = "article-header"
+
 #: Words of class, id and role by what they say about an element.
 HINTS = {
     "ad": "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion adsense adbox".split(),
@@ -84,20 +92,45 @@ class Tree:
 
 
 @lru_cache(4096)
-def _hints(attrs: str) -> tuple[str, ...]:
+def _hints(attrs: str, whole: bool = False) -> tuple[str, ...]:
+    """What an element's attributes say of it; with whole a name counts only if all its words are known, as in cookie-notice."""
     found = set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
             found.add("gone")
         elif name not in ("hidden", "style"):
-            found.update(_HINT[w] for w in _WORDS.findall(value) if w in _HINT)
+            for token in value.split():
+                words = _WORDS.findall(token)
+                if not whole or all(w in _HINT for w in words):
+                    found.update(_HINT[w] for w in words if w in _HINT)
     return tuple(sorted(found))
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at that place: after a > that stands in no quoted value.
+
+    A value that is never closed ends with the tag, at the next >; a tag that is never closed takes the rest."""
+    n = len(page)
+    while True:
+        m = _STOP.search(page, at)
+        if not m:
+            return n
+        if not m[1]:
+            return m.end()
+        shut = page.find(m[1], m.end())
+        if shut < 0:
+            return page.find(">", m.end()) + 1 or n
+        at = shut + 1
+
+
 def parse(page: str) -> Tree:
-    """The tree of block elements and runs of text; broken markup is mended as browsers mend it, as far as blocks go."""
+    """The tree of block elements and runs of text; broken markup is mended as browsers mend it, as far as blocks go.
+
+    Time grows in proportion to the page: a cursor passes each character once, and the open elements of each name are kept
+    apart, so that an end tag finds its element without a search."""
     t, stack, run, links, in_a, at, n = Tree(), [0], [], 0, False, 0, len(page)
+    places: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
 
     def flush() -> None:
         nonlocal run, links
@@ -108,16 +141,19 @@ def parse(page: str) -> Tree:
             run, links = [], 0
 
     def close(name: str, scope: set[str] | frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if t.tag[stack[i]] == name:
-                flush()
-                del stack[i:]
-                return
-            if t.tag[stack[i]] in scope:
-                return
-
+        own = places.get(name)
+        if not own or any(places.get(x) and places[x][-1] > own[-1] for x in scope):
+            return
+        flush()
+        to = own[-1]
+        while len(stack) > to:
+            places[names.pop()].pop()
+            stack.pop()
+
+    names = ["#root"]  # of the stack
+    places["#root"] = [0]
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
             run.append(piece)
@@ -125,13 +161,18 @@ def parse(page: str) -> Tree:
                 links += len(piece)
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        if not m[3]:
+            mark = "-->" if m[1] else "]]>" if page.startswith("<![CDATA[", m.start()) else ">"
+            end = page.find(mark, m.end())
+            at = end + len(mark) if end >= 0 else n
             continue
-        tag = m[2].lower()
-        if m[1]:
+        at = _tag_end(page, m.end())
+        tag, attrs = m[3].lower(), page[m.end() : at - 1]
+        if m[2]:
             if tag == "a":
                 in_a = False
+            elif tag == "header" and places.get(HEADLINE):
+                close(HEADLINE)
             elif tag not in INLINE and tag not in VOID:
                 close(tag, frozenset({"table"}) if tag in ("p", "li") else frozenset())
             continue
@@ -152,12 +193,16 @@ def parse(page: str) -> Tree:
         if tag == "hr":
             continue
         if tag in RAW:  # never text of the page
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 or n if end else n
             continue
-        own = t.add(stack[-1], tag, _hints(m[3]) if m[3] else (), None, 0)
-        if not m[3].endswith("/") or tag not in ("svg", "path"):
+        if tag == "header" and places.get("article"):
+            tag = HEADLINE
+        own = t.add(stack[-1], tag, _hints(attrs, tag in PROSE) if attrs else (), None, 0)
+        if not attrs.endswith("/") or tag not in ("svg", "path"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(own)
+            names.append(tag)
             in_a = False
     flush()
     return t
@@ -314,7 +359,9 @@ def label_pages(n: int = 600, seed: int = 7) -> list[tuple[Tree, list[int]]]:
         elif inside < 0.25:
             main += extra("share")
         wrap = rng.random()
-        if wrap < 0.55:
+        if wrap < 0.15:
+            main = f"<article><header><h1>{say(rng.randint(2, 12), True)}</h1></header>{main}</article>"
+        elif wrap < 0.55:
             main = f"<article>{main}</article>"
         elif wrap < 0.65:
             main = f"<main>{main}</main>"
