@@ -76,7 +76,7 @@ def mix(
     seed: str = "mix",
     quality_weights: tuple[float, float, float] = (2.0, 0.5, 1.0),
 ) -> DataFrame:
-    """docs (doc_id, text, source, ...) with size, source_size, target and taken, one row for each row of docs.
+    """doc_id, source, size, source_size, target and taken of docs (doc_id, text, source, ...), one row for each row of docs.
 
     quality (doc_id, quality) weighs documents by quality_weights: of quality 1, of quality 0, without a label.
     taken counts words with repeats: size for each complete epoch of the source, and once more for the documents of
@@ -84,8 +84,8 @@ def mix(
     one document, and no document is taken more than cap times.
     Null and empty texts have size 0 and take nothing; null is a source of its own; a source of size 0 has target 0;
     an empty table gives an empty result. A null doc_id gets its key from its text. Repeated rows have equal keys and
-    are told apart by nothing, so which of them is taken makes no difference to the result. Columns of docs named like
-    result columns are replaced; others are kept out, as the result joins back by doc_id."""
+    are told apart by nothing, so which of them is taken makes no difference to the result. Other columns of docs are left
+    out, whatever their names."""
     label = quality.groupBy("doc_id").agg(F.max("quality").alias("q"))
     d = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text")), F.lit("")).alias("name"))
     d = d.join(label, "doc_id", "left")

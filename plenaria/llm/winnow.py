@@ -173,22 +173,35 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, keep: list[str], windo
     lengths = [r[0] for r in counts.where((F.col("n") < window) & (F.col("n") > 0)).distinct().collect()]  # at most window - 1 rows
     ours = _fingerprints(docs, "__rid__", text, window, k, lengths)
     theirs = _fingerprints(items, "iid", "item", window, k, lengths)
+    # A fingerprint of very many documents is a key of this join alone, which Spark can split.
     pairs = ours.join(theirs, ["n", "fp"]).select("__rid__", "iid").distinct()
-    found = pairs.join(items, "iid").groupBy("__rid__").agg(F.collect_list(F.struct("item_id", "item")).alias("__items__"))
-    both = docs.join(found, "__rid__", "left").drop("__rid__")
-    source = both.select(*keep, F.col(text).cast("binary").alias("__text__"), "__items__")
-    schema = T.StructType([source.schema[i] for i in range(len(keep))] + FIELDS)
+    found = pairs.join(items, "iid").select("__rid__", F.lit(1).alias("__kind__"), "item_id", "item")
+    rows = docs.select(*keep, F.col(text).cast("binary").alias("__text__"), "__rid__", F.lit(0).alias("__kind__"))
+    both = rows.unionByName(found, allowMissingColumns=True).repartition("__rid__").sortWithinPartitions("__rid__", "__kind__")
+    schema = T.StructType([rows.schema[i] for i in range(len(keep))] + FIELDS)
+    at = len(keep)
 
     @trimmed
     def run(batches):
+        """A document, then its candidate items one by one."""
+        head, batch, hits = None, None, []
+
+        def done():
+            return pa.RecordBatch.from_arrays([head.column(c) for c in range(at)] + _report(batch.counts, hits), names=schema.names)
+
         for b in batches:
             for i in range(b.num_rows):
-                batch = Batch([b.column(len(keep))[i].as_py() or b""], _FOLD)
-                index = Index([(x["item_id"], x["item"]) for x in b.column(len(keep) + 1)[i].as_py() or []], window, k)
-                hits = [(0, index.ids[x], a, e) for _, x, a, e in index.hits(batch)] if index.ids else []
-                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, 1) for c in range(len(keep))] + _report(batch.counts, hits), names=schema.names)
-
-    return source.mapInArrow(run, schema)
+                if b.column(at + 2)[i].as_py() == 0:
+                    if head is not None:
+                        yield done()
+                    head, batch, hits = b.slice(i, 1), Batch([b.column(at)[i].as_py() or b""], _FOLD), []
+                else:
+                    index = Index([(b.column(at + 3)[i].as_py(), b.column(at + 4)[i].as_py())], window, k)
+                    hits += [(0, index.ids[x], a, e) for _, x, a, e in index.hits(batch)]
+        if head is not None:
+            yield done()
+
+    return both.mapInArrow(run, schema)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
