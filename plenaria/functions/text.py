@@ -68,6 +68,7 @@ TOPICS = [
     ("Landwirtschaft & Umwelt", ["landwirt", "umwelt", "tierschutz", "naturschutz"]),
 ]
 NO_TOPIC = "Sonstige / Verfahren"
+# Reactions by polarity.
 POSITIVE = ["Beifall", "Heiterkeit"]
 NEGATIVE_SESSION = ["Widerspruch", "Zwischenruf", "Missfallen", "Unruhe"]
 #: Over several sessions Missfallen is no negative reaction.
@@ -159,6 +160,7 @@ def reaction_type(text: Column) -> Column:
 
 def reaction_giver(text: Column) -> Column:
     """Who reacts, as far as the comment names them; a name with a slash is not caught."""
+    # Fixed value: the pattern of a giver.
     return first_group(text, r"(?U)(?:bei|von|der)\s+(?:der|dem)?\s*([A-ZÄÖÜ][\wäöüß .-]+?)(?:[:)]|$)")
 
 

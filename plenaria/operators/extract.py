@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .sequence import carried
 
+# The patterns by which records name agenda items, days, legal grounds and resolutions; the rules below look
+# for fixed words of the same records.
 _ITEM = r"(?U)Tagesordnungspunkt\s+(\d+)\s*(?:auf)?\s*[:,]?\s*(.*?)(?:\.|$)"
 _DAY = r"\d{1,2}\.\s*\w+\s*\d{4}"
 _LEGAL = r"(?U)(Paragraph\s+\d+\s+der\s+Gemeindeordnung)"
 _RESOLUTION = r"(?U)Beschluss\s+(\d{4}-\d{3})\s*[:,]?\s*(.*?)$"
-#: Meeting fields of an opening that names none.
-DEFAULTS = {"gremium": "Gemeinderat Musterbach", "datum": "2026-05-12", "ort": "Rathaus Musterbach, Sitzungssaal", "rechtsgrundlage": "GemO"}
 
 
 def _deadline(text: Column, order: str) -> Column:
@@ -42,19 +42,21 @@ def _src() -> Column:
     return F.array(F.col("idx")).alias("src")
 
 
-def extract(utterances: DataFrame) -> dict[str, DataFrame]:
-    """All record lists of the rules, by name."""
+def extract(utterances: DataFrame, defaults: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """All record lists of the rules, by name; defaults has the fields of a meeting (gremium, datum, ort, rechtsgrundlage)
+    that an opening doesn't name, empty where it has none."""
+    given = {k: (defaults or {}).get(k, "") for k in ("gremium", "datum", "ort", "rechtsgrundlage")}
     u = with_agenda(utterances)
     has = lambda *ws: F.expr("true") if not ws else _any(ws)
     opening = u.where(F.col("low").contains("eröffne") & F.col("low").contains("sitzung"))
     meeting = opening.groupBy("session_id").agg(
         F.max_by(
             F.struct(
-                F.lit(DEFAULTS["gremium"]).alias("gremium"),
-                F.coalesce(X.first_group(F.col("text"), rf"(?U)am\s+({_DAY})"), F.lit(DEFAULTS["datum"])).alias("datum"),
-                F.lit(DEFAULTS["ort"]).alias("ort"),
+                F.lit(given["gremium"]).alias("gremium"),
+                F.coalesce(X.first_group(F.col("text"), rf"(?U)am\s+({_DAY})"), F.lit(given["datum"])).alias("datum"),
+                F.lit(given["ort"]).alias("ort"),
                 F.col("low").contains("beschlussfähig").alias("beschlussfaehig"),
-                F.coalesce(X.first_group(F.col("text"), _LEGAL), F.lit(DEFAULTS["rechtsgrundlage"])).alias("rechtsgrundlage"),
+                F.coalesce(X.first_group(F.col("text"), _LEGAL), F.lit(given["rechtsgrundlage"])).alias("rechtsgrundlage"),
                 F.array("idx").alias("src"),
             ),
             "idx",

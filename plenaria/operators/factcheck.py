@@ -2,22 +2,70 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The verdicts, as the records name them.
 VERDICTS = ["bestätigt", "teilweise", "irreführend", "falsch", "unbelegt"]
 LEAST = 0.6
-#: Evidence rows up to which the corpus goes to every task.
-BROADCAST_ROWS = 50_000
-
-
-def matched_share(text: Column, keys: Column) -> Column:
-    """Share of the keys that stand in the lower-case text, also inside words."""
-    found = F.size(F.filter(keys, lambda k: F.contains(text, F.lower(k))))
-    return found / F.greatest(F.size(keys), F.lit(1))
+#: Bytes of evidence keys that go to every task at a time; a larger corpus is cut into slices of this size.
+SLICE_BYTES = 32 << 20
+
+_automata: dict[str, ahocorasick.Automaton] = {}
+
+
+def _best_match(spark: SparkSession, rows: list[tuple[int, list[str]]]) -> Callable[[Column], Column]:
+    """A function of lower-case texts to struct<score, ord>: the largest share of a row's keys that stand in the text, and
+    the negative index of the first row with it. rows is (index, lower-case keys), sorted."""
+    keys: dict[str, int] = {}
+    owner, key = [], []
+    for at, (_, own) in enumerate(rows):
+        for k in own:
+            if k is not None:  # a key that is missing is never matched
+                owner.append(at)
+                key.append(keys.setdefault(k, len(keys)))
+    order = np.argsort(key, kind="stable")
+    postings = np.array(owner, np.int64)[order] if len(order) else np.empty(0, np.int64)
+    cut = np.searchsorted(np.array(key, np.int64)[order], np.arange(len(keys) + 1)) if len(order) else np.zeros(1, np.int64)
+    size = np.array([max(1, len(own)) for _, own in rows], np.int64)
+    sent = spark.sparkContext.broadcast((list(keys), postings, cut, size, np.array([i for i, _ in rows], np.int64)))
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("score double, ord long")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        keys, postings, cut, size, index = sent.value
+        if name not in _automata:  # once for each worker
+            _automata.clear()
+            made = ahocorasick.Automaton()
+            for i, k in enumerate(keys):
+                if k:
+                    made.add_word(k, i)
+            if len(made):
+                made.make_automaton()
+            _automata[name] = made
+        found, always = _automata[name], [i for i, k in enumerate(keys) if not k]
+        out = []
+        for t in texts:
+            hit = {i for _, i in found.iter(t)} if t and len(found) else set()
+            hit.update(always if t is not None else ())
+            rows = np.concatenate([postings[cut[i] : cut[i + 1]] for i in hit]) if hit else postings[:0]
+            if len(rows):
+                at, n = np.unique(rows, return_counts=True)
+                share = n / size[at]
+                top = int(share.argmax())
+                out.append((float(share[top]), -int(index[at[top]])))
+            else:
+                out.append((0.0, -int(index[0])))
+        return pd.DataFrame(out, columns=["score", "ord"])
+
+    return best
 
 
 def check_statements(statements: DataFrame, evidence: DataFrame, by: list[str], corpus_date: str = "", corpus_url: str = "https://dip.bundestag.de/", least: float = LEAST) -> DataFrame:
@@ -25,40 +73,35 @@ def check_statements(statements: DataFrame, evidence: DataFrame, by: list[str],
 
     The evidence (ev_idx, keys, verdikt, begruendung, quelle) of the largest share of matched keys decides, the first
     of equals, from the least share on; else the verdict is unbelegt and the source is the corpus that was searched.
-    Keys match inside words, so there is no equality to join on: a statement meets every evidence row, as a broadcast
-    where the corpus is small, and only its best one leaves the task."""
-    small = evidence.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    e = evidence.select("ev_idx", "keys", F.struct("verdikt", "begruendung", "quelle").alias("ev"))
-    if small:
-        packed = e.agg(F.array_sort(F.collect_list(F.struct("ev_idx", "keys", "ev"))).alias("all"))
-        scored = statements.crossJoin(F.broadcast(packed)).withColumn("low", F.lower("text"))  # one row on the right
-        shares = F.transform("all", lambda x: F.struct(matched_share(F.col("low"), x["keys"]).alias("score"), (-x["ev_idx"]).alias("ord"), x["ev"].alias("ev")))
-        best = F.aggregate(shares, F.lit(None).cast(_best_type(evidence)), lambda a, x: F.when(a.isNull() | (x["score"] > a["score"]) | ((x["score"] == a["score"]) & (x["ord"] > a["ord"])), x).otherwise(a))
-        out = scored.withColumn("best", best).drop("all", "low")
-    else:
-        parts = e.withColumn("slice", F.pmod(F.xxhash64("ev_idx"), F.lit(64)))
-        s = statements.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).withColumn("low", F.lower("text"))
-        pairs = s.join(parts, "slice").where(F.exists("keys", lambda k: F.contains(F.col("low"), F.lower(k))))
-        top = pairs.groupBy(*by).agg(F.max(F.struct(matched_share(F.col("low"), F.col("keys")).alias("score"), (-F.col("ev_idx")).alias("ord"), F.col("ev"))).alias("best"))
-        out = statements.join(top, by, "left")
-    ok = F.coalesce(F.col("best.score") >= least, F.lit(False))
+    Keys match inside words: an automaton over all keys finds them in one pass of each text, and only evidence that holds
+    a found key is scored. Keys go to the tasks as a broadcast of at most SLICE_BYTES; a larger corpus gives several, whose
+    best rows are compared. A null text matches nothing, a null key is never matched; without evidence all is unbelegt."""
+    spark = statements.sparkSession
+    keys = evidence.select(F.col("ev_idx").cast("long").alias("ev_idx"), F.transform(F.coalesce("keys", F.array().cast("array<string>")), F.lower).alias("keys"))
+    size = keys.agg(F.sum(F.expr("64 + aggregate(keys, 0L, (a, k) -> a + 16 + coalesce(octet_length(k), 0))"))).first()[0]
+    slices = -(-(size or 0) // SLICE_BYTES)
+    best = []
+    for i in range(slices):
+        part = keys.where(F.pmod(F.xxhash64("ev_idx"), F.lit(slices)) == i).sort("ev_idx").collect()  # about SLICE_BYTES
+        if part:
+            best.append(_best_match(spark, [(r[0], r[1]) for r in part])(F.lower("text")))
+    empty = F.lit(None).cast("struct<score:double,ord:bigint>")
+    out = statements.withColumn("best", F.greatest(*best) if len(best) > 1 else best[0] if best else empty)
+    ev = evidence.select((-F.col("ev_idx").cast("long")).alias("ord"), F.struct("verdikt", "begruendung", "quelle").alias("ev"))
+    # Only rows at the threshold look their evidence up.
+    out = out.withColumn("ord", F.when(F.col("best.score") >= least, F.col("best.ord"))).join(ev, "ord", "left")
+    ok = F.col("ord").isNotNull()
     none = F.lit(f"Gegen den Evidenzkorpus (Stand {corpus_date}) geprüft; kein Beleg gefunden. 'Unbelegt' bedeutet nicht 'falsch'.")
     corpus = F.struct(F.lit("Evidenzkorpus durchsucht — kein Beleg gefunden").alias("titel"), F.lit(corpus_date).alias("stand"), F.lit(corpus_url).alias("url"))
     return out.select(
         *statements.columns,
-        F.when(ok, F.col("best.ev.verdikt")).otherwise("unbelegt").alias("verdikt"),
-        F.when(ok, F.col("best.ev.begruendung")).otherwise(none).alias("begruendung"),
-        F.when(ok, F.col("best.ev.quelle")).otherwise(corpus).alias("quelle"),
+        F.when(ok, F.col("ev.verdikt")).otherwise("unbelegt").alias("verdikt"),
+        F.when(ok, F.col("ev.begruendung")).otherwise(none).alias("begruendung"),
+        F.when(ok, F.col("ev.quelle")).otherwise(corpus).alias("quelle"),
         F.round(F.coalesce(F.col("best.score"), F.lit(0.0)), 2).alias("score"),
     )
 
 
-def _best_type(evidence: DataFrame) -> str:
-    kind = evidence.select(F.struct("verdikt", "begruendung", "quelle").alias("ev")).schema["ev"].dataType.simpleString()
-    order = evidence.schema["ev_idx"].dataType.simpleString()
-    return f"struct<score:double,ord:{order},ev:{kind}>"
-
-
 def unsourced(checks: DataFrame) -> DataFrame:
     """Checks that break the rule that each has a source; there must be none."""
     return checks.where(F.col("quelle").isNull() | F.col("quelle.titel").isNull())

@@ -210,13 +210,26 @@ def resolved_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def remapped(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes merged by a map (old, new): the longest label stays; loops and doubled edges that arise go."""
-    n = nodes.join(ids.withColumnRenamed("old", "id"), "id", "left").withColumn("id", F.coalesce("new", "id")).drop("new")
-    n = n.groupBy("id").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("label"), F.min("type").alias("type"))
+    """Nodes merged by a map (old, new): the longest label stays, the other columns are those of the node that keeps its id, or of the first id;
+    loops and doubled edges that arise go, the first properties of an edge stay. All columns are kept."""
+    n = nodes.join(ids.withColumnRenamed("old", "id"), "id", "left").withColumn("__old__", F.col("id")).withColumn("id", F.coalesce("new", "id")).drop("new")
+    rest = [c for c in nodes.columns if c not in ("id", "label", "props")]
+    has = "props" in nodes.columns
+    order = F.struct(F.col("__old__") != F.col("id"), F.col("__old__"), *[F.col(c) for c in rest])
+    label = F.max_by("label", F.struct(F.length("label"), "label")).alias("label")
+    kept = [F.min_by(F.struct(*rest, *(["props"] if has else [])), order).alias("own")] if rest or has else []
+    n = n.groupBy("id").agg(label, *kept).select(*[F.col(c) if c in ("id", "label") else F.col(f"own.{c}").alias(c) for c in nodes.columns])
     e = edges
     for end in ("source_id", "target_id"):
         e = e.join(ids.select(F.col("old").alias(end), "new"), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
-    return n, e.where("source_id != target_id").dropDuplicates(["source_id", "target_id", "relationship_type"])
+    key = ["source_id", "target_id", "relationship_type"]
+    rest = [c for c in edges.columns if c not in key]
+    plain = [c for c in rest if c != "props"]
+    if rest:
+        order = F.struct(F.lit(0), *plain, *([F.array_sort(F.map_entries("props"))] if "props" in rest else []))
+        e = e.where("source_id != target_id").groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("own")).select(*[F.col(c) if c in key else F.col(f"own.{c}").alias(c) for c in edges.columns])
+        return n, e
+    return n, e.where("source_id != target_id").dropDuplicates(key).select(*edges.columns)
 
 
 def reviewed(nodes: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,26 +15,29 @@ WER = "wer double, subs int, ins int, dels int, n_ref int"
 
 
 def _counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """(substitutions, insertions, deletions) of a shortest edit path; ties go to the diagonal, then to a deletion."""
-    table = np.zeros((len(ref) + 1, len(hyp) + 1), np.int32)
-    table[:, 0], table[0, :] = np.arange(len(ref) + 1), np.arange(len(hyp) + 1)
+    """(substitutions, insertions, deletions) of a shortest edit path; ties go to the diagonal, then to a deletion.
+
+    Each cell holds the deletions and insertions of its path, so one row at a time is kept: memory grows with hyp alone."""
     code: dict[str, int] = {}
-    a, b = (np.array([code.setdefault(w, len(code)) for w in ws], np.int64) for ws in (ref, hyp))
-    steps = np.arange(len(hyp) + 1)
-    for i in range(1, len(ref) + 1):
-        best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (b != a[i - 1]))
-        row = np.concatenate(([i], best)) - steps  # a run of insertions costs its length: a prefix minimum
-        table[i] = np.minimum.accumulate(row) + steps
-    i, j, s, n, d = len(ref), len(hyp), 0, 0, 0
-    while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            s += int(a[i - 1] != b[j - 1])
-            i, j = i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            d, i = d + 1, i - 1
-        else:
-            n, j = n + 1, j - 1
-    return s, n, d
+    a, b = (np.array([code.setdefault(w, len(code)) for w in ws], np.int32) for ws in (ref, hyp))
+    at = np.arange(len(b) + 1, dtype=np.int32)
+    cost, gone, new = at.copy(), np.zeros(len(b) + 1, np.int32), at.copy()
+    for i, word in enumerate(a, 1):
+        diagonal, down = cost[:-1] + (b != word), cost[1:] + 1
+        row = np.empty_like(cost)
+        row[0] = i
+        np.minimum(diagonal, down, out=row[1:])
+        row = np.minimum.accumulate(row - at) + at  # a run of insertions costs its length: a prefix minimum
+        by_diagonal = row[1:] == diagonal
+        by_deletion = ~by_diagonal & (row[1:] == down)
+        # Where a path comes from the left, it is that of the nearest cell that doesn't, and the insertions since.
+        left = np.zeros_like(at)
+        left[1:] = np.where(by_diagonal | by_deletion, at[1:], 0)
+        left = np.maximum.accumulate(left)
+        gone_here = np.concatenate(([i], np.where(by_diagonal, gone[:-1], gone[1:] + 1)))
+        new_here = np.concatenate(([0], np.where(by_diagonal, new[:-1], new[1:])))
+        cost, gone, new = row, gone_here[left], new_here[left] + (at - left)
+    return int(cost[-1] - gone[-1] - new[-1]), int(new[-1]), int(gone[-1])
 
 
 def word_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:

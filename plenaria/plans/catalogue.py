@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import algorithms, dashboards, factcheck, quality, resolve, retrieval, sequence, timejoin
 from ..operators import graph as G
+from ..operators.graph_queries import Graph
+from ..sources import sinks
+from ..streaming import incremental
 from .registry import query
 
 #: Subjects and evidence keys for invented prose: frequent tokens of the tables stand for keywords.
@@ -28,23 +31,41 @@ _WORDS = "len(string_split_regex(trim(regexp_replace(coalesce(text, ''), '[\\s\\
 _NWORDS = f"CASE WHEN trim(regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g')) = '' THEN 0 ELSE {_WORDS} END"
 
 
-@query("word_share", f"WITH w AS (SELECT lang AS fraktion, sum({_NWORDS})::BIGINT AS woerter FROM documents GROUP BY 1) SELECT fraktion, woerter, round(100 * woerter / sum(woerter) OVER (), 1)::DOUBLE AS prozent FROM w")
+def _lists(u: DataFrame) -> dict[str, DataFrame]:
+    """Record lists of utterances (session_id, idx, speaker_name, fraktion, text, top_nummer), each of which is a speech."""
+    u = u.withColumn("herkunft", F.lit("protokoll"))
+    speeches = u.select("session_id", "idx", F.col("speaker_name").alias("person"), "fraktion", "top_nummer", F.lit(False).alias("schriftlich"), F.array("idx").alias("src"))
+    tops = u.select("session_id", F.col("top_nummer").alias("nummer"), F.lit("").alias("titel")).distinct()
+    return {"utterances": u, "speeches": speeches, "tops": tops}
+
+
+def _speeches(spark, d):
+    """Documents as the speeches of one session."""
+    top = (F.col("doc_id") % 20).cast("int").alias("top_nummer")
+    return _lists(t(spark, d, "documents").select(F.lit("x").alias("session_id"), F.col("doc_id").alias("idx"), F.col("source").alias("speaker_name"), F.col("lang").alias("fraktion"), "text", top))
+
+
+def _talks(spark, d):
+    """Turns of conversations as speeches, a session each."""
+    return _lists(t(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), F.col("role").alias("speaker_name"), F.col("role").alias("fraktion"), "text", F.lit(1).alias("top_nummer")))
+
+
+@query("word_share", f"WITH w AS (SELECT lang AS fraktion, sum({_NWORDS})::BIGINT AS woerter FROM documents WHERE coalesce(lang, '') <> '' GROUP BY 1) SELECT fraktion, woerter, round(100 * woerter / sum(woerter) OVER (), 1)::DOUBLE AS prozent FROM w")
 def word_share(spark, d):
     """Share of words by party."""
-    w = t(spark, d, "documents").groupBy(F.col("lang").alias("fraktion")).agg(F.sum(X.words(F.col("text"))).alias("woerter"))
-    return w.withColumn("prozent", F.round(100 * F.col("woerter") / F.sum("woerter").over(W.partitionBy()), 1))
+    return dashboards.session_dashboard(_speeches(spark, d))["sprachanteil_fraktion"].select("fraktion", "woerter", "prozent")
 
 
-@query("speech_volume_topk", f"SELECT source, sum({_NWORDS})::BIGINT AS woerter, count(*) AS reden FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+@query("speech_volume_topk", f"SELECT source, sum({_NWORDS})::BIGINT AS woerter, count(*) AS reden FROM documents GROUP BY 1 HAVING sum({_NWORDS}) > 0 ORDER BY 2 DESC, min(doc_id) LIMIT 15")
 def speech_volume_topk(spark, d):
     """The report of the 15 speakers with most words."""
-    return t(spark, d, "documents").groupBy("source").agg(F.sum(X.words(F.col("text"))).alias("woerter"), F.count(F.lit(1)).alias("reden")).orderBy(F.desc("woerter"), "source").limit(15)
+    return dashboards.session_dashboard(_speeches(spark, d))["redner"].select(F.col("name").alias("source"), "woerter", "reden")
 
 
-@query("speaker_stats", f"SELECT role, count(*) AS reden, sum({_NWORDS})::BIGINT AS woerter, arg_max(length(text), row(conv_id, turn))::INT AS letzte FROM conversations GROUP BY 1")
+@query("speaker_stats", f"SELECT conv_id AS session_id, role AS name, count(*) AS reden, sum({_NWORDS})::BIGINT AS woerter, arg_max(role, turn) AS letzte FROM conversations GROUP BY 1, 2 HAVING sum({_NWORDS}) > 0")
 def speaker_stats(spark, d):
     """Figures by speaker, with an attribute of the last speech."""
-    return t(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("reden"), F.sum(X.words(F.col("text"))).alias("woerter"), F.max_by(F.length("text"), F.struct("conv_id", "turn")).alias("letzte"))
+    return dashboards.session_dashboard(_talks(spark, d))["redner"].select("session_id", "name", "reden", "woerter", F.col("fraktion").alias("letzte"))
 
 
 def _topic_sql() -> str:
@@ -73,11 +94,12 @@ def sentence_statements(spark, d):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("saetze"), F.count_if(X.is_statement(F.col("s"))).alias("aussagen"))
 
 
-_EVIDENCE = r"SELECT item_id AS ev_idx, list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[\p{L}]{3,}')))[1:4] AS keys FROM benchmark"
+_EVIDENCE = r"SELECT item_id AS ev_idx, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{9,}'))) AS keys FROM benchmark"
 
 
 def _evidence(spark, d):
-    keys = F.slice(F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 60)), F.lit(r"[\p{L}]{3,}"), F.lit(0)))), 1, 4)
+    """Benchmark items as evidence: their long words are the keys."""
+    keys = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{9,}"), F.lit(0))))
     source = F.struct(F.concat(F.lit("Quelle "), F.col("item_id").cast("string")).alias("titel"), F.lit("2026").alias("stand"), F.lit("https://example.org").alias("url"))
     verdict = F.element_at(F.array(*[F.lit(v) for v in factcheck.VERDICTS[:4]]), (F.col("item_id") % 4 + 1).cast("int"))
     return t(spark, d, "benchmark").select(F.col("item_id").alias("ev_idx"), keys.alias("keys"), verdict.alias("verdikt"), F.lit("").alias("begruendung"), source.alias("quelle"))
@@ -108,9 +130,18 @@ def verdict_counts(spark, d):
 
 @query("reaction_polarity", "SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'signup')) AS positiv, count(*) FILTER (event_type IN ('error', 'logout', 'click')) AS negativ FROM events GROUP BY 1")
 def reaction_polarity(spark, d):
-    """Conditional counts of two polarities."""
-    e = t(spark, d, "events")
-    return e.groupBy("user_id").agg(F.count_if(F.col("event_type").isin("purchase", "signup")).alias("positiv"), F.count_if(F.col("event_type").isin("error", "logout", "click")).alias("negativ"))
+    """Reactions counted by polarity."""
+    kinds = X.literal_map({"purchase": "Beifall", "signup": "Heiterkeit", "error": "Widerspruch", "logout": "Missfallen", "click": "Zwischenruf"})
+    p = X.polarity(kinds[F.col("event_type")])
+    return t(spark, d, "events").groupBy("user_id").agg(F.count_if(p == "positiv").alias("positiv"), F.count_if(p == "negativ").alias("negativ"))
+
+
+@query("reaction_polarity_corpus", "SELECT user_id, count(*) FILTER (event_type IN ('error', 'click')) AS negativ FROM events GROUP BY 1")
+def reaction_polarity_corpus(spark, d):
+    """Over several sessions disapproval is no negative reaction."""
+    kinds = X.literal_map({"purchase": "Beifall", "signup": "Heiterkeit", "error": "Widerspruch", "logout": "Missfallen", "click": "Zwischenruf"})
+    p = X.polarity(kinds[F.col("event_type")], X.NEGATIVE_CORPUS)
+    return t(spark, d, "events").groupBy("user_id").agg(F.count_if(p == "negativ").alias("negativ"))
 
 
 @query("forward_fill_topic", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM events")
@@ -198,43 +229,68 @@ def fifo_pairing(spark, d):
     return timejoin.kth_pairs(e.where("event_type = 'click'").select("user_id", "event_id", "o"), right, ["user_id"], "o").select("user_id", "k", "event_id", "partner")
 
 
+def _node(df, kind, nid, label=None, session=None):
+    empty = F.expr("map()").cast("map<string,string>")
+    return df.select((F.lit("x") if session is None else session).alias("session_id"), nid.alias("id"), (F.lit("") if label is None else label).alias("label"), F.lit(kind).alias("type"), F.lit("").alias("subtype"), F.lit("fallbezug").alias("schicht"), empty.alias("props"))
+
+
+def _edge(df, kind, source, target, session=None):
+    empty = F.expr("map()").cast("map<string,string>")
+    return df.select((F.lit("x") if session is None else session).alias("session_id"), source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("relationship_type"), empty.alias("props"))
+
+
 @query("provenance_anti", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def provenance_anti(spark, d):
     """Speeches that nothing backs."""
-    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    docs = t(spark, d, "documents")
+    doc = F.col("doc_id").cast("string")
+    g = Graph(_node(docs, "Redebeitrag", doc), _edge(t(spark, d, "labels"), "BELEGT_DURCH", doc, F.concat(F.lit("segment_"), doc)))
+    return g.unproven_speeches().select(F.col("speech").cast("long").alias("doc_id")).join(docs.select("doc_id", "source"), "doc_id")
 
 
-@query("review_overlay", "SELECT d.doc_id, 'unbelegt' AS verdikt, l.doc_id IS NOT NULL AS geprueft, CASE WHEN l.quality = 0 THEN 'korrigiert' END AS verdikt_mensch FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("review_overlay", "SELECT d.doc_id, l.doc_id IS NOT NULL AS geprueft, CASE WHEN l.quality = 0 THEN 'korrigiert' END AS verdikt_mensch FROM documents d LEFT JOIN labels l USING (doc_id)")
 def review_overlay(spark, d):
     """Human reviews beside the machine's verdict."""
-    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
-    return j.select("doc_id", F.lit("unbelegt").alias("verdikt"), F.col("quality").isNotNull().alias("geprueft"), F.when(F.col("quality") == 0, "korrigiert").alias("verdikt_mensch"))
+    nodes = _node(t(spark, d, "documents"), "Faktencheck", F.col("doc_id").cast("string"))
+    status = F.when(F.col("quality") == 0, "korrigiert").otherwise("bestaetigt")
+    r = t(spark, d, "labels").select(F.lit("x").alias("session_id"), F.col("doc_id").cast("string").alias("faktencheck_id"), F.lit("wer").alias("geprueft_von"), status.alias("status"), F.lit("korrigiert").alias("verdikt_neu"), F.lit("2026").alias("stand"), F.lit("").alias("notiz"))
+    return G.reviewed(nodes, r).select(F.col("id").cast("long").alias("doc_id"), F.col("menschlich_geprueft").alias("geprueft"), "verdikt_mensch")
 
 
 _CLICKERS, _BUYERS = "SELECT DISTINCT user_id FROM events WHERE event_type = 'click'", "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'"
 
 
 def _users(spark, d, kind):
-    return t(spark, d, "events").where(F.col("event_type") == kind).select("user_id").distinct()
+    """A ledger of sessions: the users with an event of a kind."""
+    return t(spark, d, "events").where(F.col("event_type") == kind).select(F.lit(21).alias("wp"), F.col("user_id").alias("nr")).distinct()
 
 
-@query("set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+@query("set_difference", "WITH a AS (SELECT lang, list_sort(list_distinct(list(source))) AS s FROM documents GROUP BY 1), b AS (SELECT lang, list_distinct(list(source)) AS s FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) SELECT a.lang, array_to_string(list_filter(a.s, lambda x: b.s IS NULL OR NOT list_contains(b.s, x)), ',') AS fehlend FROM a LEFT JOIN b ON a.lang = b.lang")
 def set_difference(spark, d):
-    """H1: members of one set only."""
-    return t(spark, d, "documents").select("doc_id").subtract(t(spark, d, "labels").select("doc_id"))
+    """H1: speakers of the record that the transcript lacks."""
+    docs = t(spark, d, "documents")
+    said = docs.join(t(spark, d, "labels").where("toxic = 1"), "doc_id").groupBy("lang").agg(F.collect_set("source").alias("t"))
+    j = docs.groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("r")).join(said, "lang", "left")
+    return j.select("lang", F.array_join(quality.missing_speakers(F.col("r"), F.coalesce("t", F.array().cast("array<string>"))), ",").alias("fehlend"))
 
 
 @query("set_intersection", f"{_CLICKERS} INTERSECT {_BUYERS}")
 def set_intersection(spark, d):
     """H2: keys of both ledgers."""
-    return _users(spark, d, "click").intersect(_users(spark, d, "purchase"))
+    return incremental.complete([_users(spark, d, "click"), _users(spark, d, "purchase")]).select(F.col("nr").alias("user_id"))
+
+
+@query("pending_keys", f"{_CLICKERS} EXCEPT {_BUYERS}")
+def pending_keys(spark, d):
+    """K2: keys that the ledger lacks."""
+    return incremental.pending(_users(spark, d, "click"), _users(spark, d, "purchase")).select(F.col("nr").alias("user_id"))
 
 
 @query("ledger_union", f"SELECT coalesce(a.user_id, b.user_id) AS user_id, a.user_id IS NOT NULL AS geklickt, b.user_id IS NOT NULL AS gekauft FROM ({_CLICKERS}) a FULL JOIN ({_BUYERS}) b ON a.user_id = b.user_id")
 def ledger_union(spark, d):
-    """Ledgers joined in full."""
-    a, b = _users(spark, d, "click").withColumn("geklickt", F.lit(True)), _users(spark, d, "purchase").withColumn("gekauft", F.lit(True))
-    return a.join(b, "user_id", "full").na.fill(False)
+    """The index of sessions over all ledgers."""
+    found = sinks.session_index({"geklickt": _users(spark, d, "click"), "gekauft": _users(spark, d, "purchase")})
+    return found.select(F.col("nr").alias("user_id"), "geklickt", "gekauft")
 
 
 def _graph(spark, d):
@@ -255,7 +311,7 @@ _GRAPH_BASE = "c AS (SELECT r_name AS session_id, c_custkey, c_name, c_mktsegmen
 
 @query("build_graph_nodes", f"WITH {_GRAPH_BASE} SELECT session_id, 'person_' || c_custkey AS id, c_name AS label, 'Person' AS type FROM c UNION ALL SELECT DISTINCT session_id, 'top_' || n_nationkey, n_name, 'Tagesordnungspunkt' FROM c")
 def build_graph_nodes(spark, d):
-    """Nodes, the first of each id."""
+    """H4: nodes, the first of each id."""
     return _graph(spark, d)[0].select("session_id", "id", "label", "type")
 
 
@@ -275,28 +331,37 @@ def edge_dedup(spark, d):
     return G.remapped(nodes, edges, ids)[1].select("source_id", "target_id")
 
 
-@query("graph_hop_agg", "SELECT r_name, n_name, count(DISTINCT o_orderkey) AS bestellungen, round(sum(l_extendedprice), 0) AS volumen FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query("graph_hop_agg", "SELECT r_name, n_name, count(DISTINCT o_orderkey) AS bestellungen FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
 def graph_hop_agg(spark, d):
     """A chain of hops and a count at its end."""
-    j = t(spark, d, "lineitem").select("l_orderkey", "l_extendedprice").join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    j = j.join(t(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("r_name", "n_name").agg(F.countDistinct("o_orderkey").alias("bestellungen"), F.round(F.sum("l_extendedprice"), 0).alias("volumen"))
+    text = lambda c: F.col(c).cast("string")
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    edges = _edge(t(spark, d, "orders"), "BESTELLT", text("o_custkey"), text("o_orderkey")).unionByName(_edge(t(spark, d, "customer"), "WOHNT_IN", text("c_custkey"), text("c_nationkey"))).unionByName(_edge(n, "LIEGT_IN", text("n_nationkey"), text("n_regionkey")))
+    g = Graph(_node(n, "Nation", text("n_nationkey"), F.col("n_name")).unionByName(_node(r, "Region", text("r_regionkey"), F.col("r_name"))), edges)
+    j = g.hop(g.hop(g.rel("BESTELLT", "c", "o"), "WOHNT_IN", "c", "n"), "LIEGT_IN", "n", "r")
+    j = j.join(g.of("Nation", "n"), ["session_id", "n"]).join(g.of("Region", "r"), ["session_id", "r"])
+    return j.groupBy(F.col("r_label").alias("r_name"), F.col("n_label").alias("n_name")).agg(F.countDistinct("o").alias("bestellungen"))
 
 
-@query("cross_session_speakers", "SELECT user_id, count(DISTINCT date_trunc('week', ts)) AS sitzungen, count(*) AS reden FROM events GROUP BY 1 HAVING count(DISTINCT date_trunc('week', ts)) > 3")
+@query("cross_session_speakers", "SELECT user_id::VARCHAR AS person, count(DISTINCT date_trunc('week', ts)) AS sitzungen, count(*) AS reden FROM events GROUP BY 1 HAVING count(DISTINCT date_trunc('week', ts)) > 3 ORDER BY 3 DESC, 1 LIMIT 25")
 def cross_session_speakers(spark, d):
-    """Persons in more than three sessions."""
-    e = t(spark, d, "events").groupBy("user_id").agg(F.countDistinct(F.date_trunc("week", "ts")).alias("sitzungen"), F.count(F.lit(1)).alias("reden"))
-    return e.where("sitzungen > 3")
+    """The report of persons in more than three sessions."""
+    e = t(spark, d, "events").select(F.date_trunc("week", "ts").cast("string").alias("session_id"), F.col("user_id").cast("string").alias("u"), "event_id")
+    nodes = _node(e.select("session_id", "u").distinct(), "Person", F.col("u"), F.col("u"), F.col("session_id"))
+    return Graph(nodes, _edge(e, "HAT_REDEBEITRAG", F.col("u"), F.col("event_id").cast("string"), F.col("session_id"))).speakers(4, 25).select("person", "sitzungen", "reden")
 
 
 _COSPEECH = "WITH o AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS t FROM lineitem) SELECT a.p AS source, b.p AS target, count(DISTINCT a.t) AS weight FROM o a JOIN o b ON a.t = b.t AND a.p < b.p GROUP BY 1, 2"
 
 
 def _co_speech(spark, d):
-    on = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("p"), F.col("l_partkey").alias("t")).distinct()
-    pairs = on.join(on.withColumnRenamed("p", "q"), "t").where("p < q")
-    return pairs.groupBy(F.col("p").alias("source"), F.col("q").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+    """Suppliers as persons, lines as speeches, parts as agenda items."""
+    i = t(spark, d, "lineitem")
+    name = F.format_string("%012d", F.col("l_suppkey"))  # ids of one length compare as their numbers do
+    speech = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    edges = _edge(i, "HAT_REDEBEITRAG", name, speech).unionByName(_edge(i, "ZU_TOP", speech, F.col("l_partkey").cast("string")))
+    g = Graph(_node(i.limit(0), "Person", name), edges)
+    return g.co_speech().select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "weight")
 
 
 @query("co_speech_projection", _COSPEECH)
@@ -336,8 +401,6 @@ def entity_clusters(spark, d):
 @query("schema_introspection", f"WITH {_GRAPH_BASE} SELECT 'Person' AS type, count(*) AS n FROM c UNION ALL SELECT 'Tagesordnungspunkt', count(DISTINCT (session_id, n_nationkey)) FROM c")
 def schema_introspection(spark, d):
     """Node types and their counts."""
-    from ..operators.graph_queries import Graph
-
     return Graph(*_graph(spark, d)).schema()[0].select("type", "n")
 
 
@@ -351,23 +414,16 @@ def wer_near_pairs(spark, d):
 
 @query(
     "content_gaps",
-    r"""WITH v AS (SELECT DISTINCT tok FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS tok FROM documents)),
-s AS (SELECT item_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS satz, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS pos FROM benchmark),
-k AS (SELECT item_id, pos, satz, unnest(regexp_extract_all(lower(satz), '[\p{L}\p{N}_]+')) AS tok FROM s WHERE len(regexp_extract_all(lower(satz), '[\p{L}\p{N}_]+')) >= 4),
-g AS (SELECT item_id, pos, satz, avg(CASE WHEN v.tok IS NULL THEN 0 ELSE 1 END) AS x FROM k LEFT JOIN v ON k.tok = v.tok GROUP BY 1, 2, 3)
-SELECT item_id, pos::INT AS pos, substr(satz, 1, 140) AS satz, round(x, 2) AS deckung FROM g WHERE x < 0.99""",
+    r"""WITH v AS (SELECT DISTINCT s, tok FROM (SELECT doc_id % 40 AS s, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS tok FROM documents)),
+s AS (SELECT item_id AS s, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS satz, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS pos FROM benchmark),
+k AS (SELECT s, pos, satz, unnest(regexp_extract_all(lower(satz), '[\p{L}\p{N}_]+')) AS tok FROM s WHERE len(regexp_extract_all(lower(satz), '[\p{L}\p{N}_]+')) >= 4),
+g AS (SELECT k.s, pos, satz, avg(CASE WHEN v.tok IS NULL THEN 0 ELSE 1 END) AS x FROM k LEFT JOIN v ON k.tok = v.tok AND k.s = v.s GROUP BY 1, 2, 3)
+SELECT s, pos::INT AS pos, substr(satz, 1, 140) AS satz, round(x, 2) AS deckung FROM g WHERE x < 0.6""",
 )
 def content_gaps(spark, d):
-    """Sentences of the record that the transcripts lack (a high limit, as the vocabularies are alike)."""
-    one = F.lit(1).alias("k")
-    ref = t(spark, d, "benchmark").select("item_id", "text")
-    hyp = t(spark, d, "documents").select(one, "text")
-    vocab = hyp.select(F.explode(X.tokens(F.col("text"))).alias("tok")).distinct().withColumn("there", F.lit(1))
-    marked = F.regexp_replace("text", r"(?U)([.!?])\s+", "$1\u0001")
-    s = ref.select("item_id", F.posexplode(F.split(marked, "\u0001")).alias("pos", "satz")).withColumn("toks", X.tokens(F.col("satz"))).where(F.size("toks") >= 4)
-    k = s.select("item_id", "pos", "satz", F.explode("toks").alias("tok")).join(vocab, "tok", "left")
-    g = k.groupBy("item_id", "pos", "satz").agg(F.avg(F.coalesce("there", F.lit(0))).alias("x")).where("x < 0.99")
-    return g.select("item_id", "pos", F.substring("satz", 1, 140).alias("satz"), F.round("x", 2).alias("deckung"))
+    """Sentences of a session's record that its transcripts lack."""
+    ref = t(spark, d, "benchmark").select(F.col("item_id").alias("s"), "text")
+    return quality.missing_passages(ref, t(spark, d, "documents").select((F.col("doc_id") % 40).alias("s"), "text"), ["s"])
 
 
 @query(
@@ -413,22 +469,21 @@ def reaction_pairs(spark, d):
     return dashboards.reaction_pairs(e, e.select("session_id", F.col("rede_index").alias("idx"), F.col("user_id").alias("person")), "r", 10)
 
 
-@query("kpi_summary", f"SELECT count(*) AS reden, count(DISTINCT conv_id) AS sitzungen, sum({_NWORDS})::BIGINT AS woerter, round_even(sum({_NWORDS}) / 130.0, 0)::BIGINT AS gesamtzeit_min FROM conversations")
+@query("kpi_summary", f"SELECT conv_id AS session_id, count(*) AS reden, sum({_NWORDS})::BIGINT AS woerter, round_even(sum({_NWORDS}) / 130.0, 0)::BIGINT AS gesamtzeit_min FROM conversations GROUP BY 1")
 def kpi_summary(spark, d):
-    """Figures of the whole."""
-    w = t(spark, d, "conversations").agg(F.count(F.lit(1)).alias("reden"), F.countDistinct("conv_id").alias("sitzungen"), F.sum(X.words(F.col("text"))).alias("woerter"))
-    return w.withColumn("gesamtzeit_min", F.rint(F.col("woerter") / X.WORDS_PER_MINUTE).cast("long"))
+    """Figures of each session."""
+    return dashboards.session_dashboard(_talks(spark, d))["kennzahlen"].select("session_id", "reden", "woerter", "gesamtzeit_min")
 
 
-@query("slug_ids", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+@query("slug_ids", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
 def slug_ids(spark, d):
     """Ids from labels."""
-    return t(spark, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return t(spark, d, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"))
 
 
 @query("html_structure", r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
 def html_structure(spark, d):
-    """A10: items of markup by pattern."""
+    """An extra of the engine: markup by pattern."""
     return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
 
 
@@ -442,10 +497,8 @@ def session_shares(spark, d):
 @query("reaction_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS polarity, count(*) AS n FROM events GROUP BY 1, 2")
 def reaction_windows(spark, d):
     """K: reactions by window, as the stream computes them."""
-    from ..streaming.incremental import reaction_windows as windows
-
     e = t(spark, d, "events").select("ts", F.lit("x").alias("session_id"), F.col("event_type").alias("polarity"))
-    return windows(e, "1 hour").select("start", "polarity", "n")
+    return incremental.reaction_windows(e, "1 hour").select("start", "polarity", "n")
 
 
 @query("revenue_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS menge FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -570,10 +623,10 @@ def session_ids(spark, d):
     return t(spark, d, "nation").withColumn("i", X.session_ids(F.lit(21), F.col("n_nationkey"))).select("n_nationkey", "i.file", "i.label")
 
 
-@query("thousands", "SELECT o_orderkey, replace(format('{:,}', (o_totalprice::BIGINT)), ',', '.') AS preis FROM orders WHERE o_totalprice = round(o_totalprice)")
+@query("thousands", "SELECT o_orderkey, replace(format('{:,}', floor(o_totalprice)::BIGINT), ',', '.') AS preis FROM orders")
 def thousands(spark, d):
-    """Thousands with points."""
-    return t(spark, d, "orders").where("o_totalprice = round(o_totalprice)").select("o_orderkey", X.thousands(F.col("o_totalprice").cast("long")).alias("preis"))
+    """Whole numbers with points between thousands."""
+    return t(spark, d, "orders").select("o_orderkey", X.thousands(F.floor("o_totalprice").cast("long")).alias("preis"))
 
 
 @query("ordered_numbers", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS nr FROM events WHERE event_type = 'signup'")

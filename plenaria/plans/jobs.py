@@ -44,7 +44,7 @@ def checked(lists: dict[str, DataFrame], evidence: DataFrame, allow_real_persons
 def build_session(spark: SparkSession, transcript: str, evidence: str | None = None, events: str | None = None, meta: tuple[str, str, str] = ("Sitzung", "", "")) -> dict[str, DataFrame]:
     """A diarised transcript to record lists, nodes, edges and dashboard tables."""
     u = inputs.utterances(inputs.read_transcripts(spark, transcript))
-    lists = extract.extract(u) | {"utterances": u}
+    lists = extract.extract(u, dict(zip(("gremium", "datum", "ort"), meta, strict=True))) | {"utterances": u}
     lists["meeting"] = default_meeting(lists, *meta)
     if events:
         session = u.select("session_id").distinct()
@@ -62,7 +62,7 @@ def ingest_captions(spark: SparkSession, path: str, meta: tuple[str, str, str],
     """Rolling captions to lists: segments of so many lines by one unknown speaker."""
     seg = inputs.rolling_segments(inputs.read_captions(spark, path), lines)
     u = seg.select("session_id", F.col("idx").cast("int").alias("idx"), "start", "end", F.lit("UNBEKANNT").alias("speaker_label"), F.lit("Unbekannt").alias("speaker_name"), F.lit("").alias("rolle"), F.lit(None).cast("string").alias("fraktion"), "text", F.lit("audio").alias("herkunft"))
-    lists = extract.extract(u) | {"utterances": u}
+    lists = extract.extract(u, dict(zip(("gremium", "datum", "ort"), meta, strict=True))) | {"utterances": u}
     lists["meeting"] = default_meeting(lists, *meta)
     return _finished(lists, None)
 

@@ -31,7 +31,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _catalogue():
-    from . import catalogue  # registers its queries when it is imported
+    from . import catalogue, records  # noqa: F401  both register their queries when they are imported
 
     return catalogue
 

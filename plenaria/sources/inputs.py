@@ -162,3 +162,22 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Human corrections, one row each; sessions with an id of another form are left out."""
     r = spark.read.schema(REVIEW).json(path, multiLine=True).where(F.col("sitzung").rlike(r"^amt_\d+_\d+\z"))
     return r.select(F.col("sitzung").alias("session_id"), "geprueft_von", F.explode("korrekturen").alias("k")).select("session_id", "geprueft_von", "k.*")
+
+
+GRAPH = "metadata struct<node_count:long,relationship_count:long>, nodes array<struct<id:string,label:string,type:string,subtype:string,schicht:string,props:map<string,string>>>, relationships array<struct<source_id:string,target_id:string,relationship_type:string,props:map<string,string>>>"
+
+
+def read_graph_json(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of graph documents (session_id, value), as sinks.graph_json writes them.
+
+    Keys of nodes and relationships beside the leading ones count as properties too; a document that can't be parsed or
+    that lacks a list gives no rows of it."""
+    def rows(name: str, lead: list[str]) -> DataFrame:
+        items = F.from_json(F.get_json_object("value", f"$.{name}"), "array<string>")
+        each = files.select("session_id", F.explode(items).alias("item"))
+        more = F.map_filter(F.from_json("item", "map<string,string>"), lambda k, _: ~k.isin([*lead, "props"]))
+        props = F.coalesce(F.from_json(F.get_json_object("item", "$.props"), "map<string,string>"), F.expr("map()").cast("map<string,string>"))
+        own = F.map_concat(F.map_filter(more, lambda k, _: ~F.map_contains_key(props, k)), props)
+        return each.select("session_id", *[F.get_json_object("item", f"$.{c}").alias(c) for c in lead], own.alias("props"))
+
+    return rows("nodes", ["id", "label", "type", "subtype", "schicht"]), rows("relationships", ["source_id", "target_id", "relationship_type"])

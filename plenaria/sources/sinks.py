@@ -13,13 +13,16 @@ _LEAD = {"node": ["id", "label", "type", "subtype", "schicht"], "edge": ["source
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(session_id, value): each session's graph as one document {metadata, nodes, relationships}."""
-    lead = ["id", "label", "type", "subtype", "schicht"]
-    own = F.array_sort(F.collect_list(F.struct(*lead, F.array_sort(F.map_entries("props")).alias("e"))))
-    n = nodes.groupBy("session_id").agg(F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in lead], F.map_from_entries(x["e"]).alias("props"))).alias("nodes"))
-    e = edges.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "target_id", "relationship_type"))).alias("relationships"))
-    both = n.join(e, "session_id", "left")
-    meta = F.struct(F.size("nodes").alias("node_count"), F.coalesce(F.size("relationships"), F.lit(0)).alias("relationship_count"))
+    """(session_id, value): each session's graph as one document {metadata, nodes, relationships}, with the properties of both.
+
+    read_graph_json of the inputs reads it back."""
+
+    def listed(df: DataFrame, lead: list[str], name: str) -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct(*lead, F.array_sort(F.map_entries("props")).alias("e"))))  # maps have no order, their entries do
+        return df.groupBy("session_id").agg(F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in lead], F.map_from_entries(x["e"]).alias("props"))).alias(name))
+
+    both = listed(nodes, _LEAD["node"], "nodes").join(listed(edges, _LEAD["edge"], "relationships"), "session_id", "left")
+    meta = F.struct(F.size("nodes").alias("node_count"), F.when(F.col("relationships").isNull(), 0).otherwise(F.size("relationships")).alias("relationship_count"))
     return both.select("session_id", F.to_json(F.struct(meta.alias("metadata"), "nodes", "relationships")).alias("value"))
 
 
@@ -40,20 +43,24 @@ def _quoted(c: Column) -> Column:
 
 
 def statements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(section, ord, statement, params): constraints by label, then nodes, then edges; unsafe labels and types are left out."""
+    """(section, ord, statement, params): constraints by label, then nodes, then edges with their properties; unsafe labels and types are left out.
+
+    $props are the params beside id, or beside source and target."""
     n, e = nodes.where(X.safe_label(F.col("type"))), edges.where(X.safe_label(F.col("relationship_type")))
     make = n.select("type").distinct().select(F.lit(0).alias("section"), F.col("type").alias("ord"), F.concat(F.lit("CREATE CONSTRAINT IF NOT EXISTS FOR (n:"), F.col("type"), F.lit(") REQUIRE n.id IS UNIQUE")).alias("statement"), F.expr("map()").cast("map<string,string>").alias("params"))
     own = F.map_concat(F.create_map(F.lit("id"), F.col("id"), F.lit("label"), F.col("label")), F.map_filter("props", lambda k, _: ~k.isin("id", "label")))
     put = n.select(F.lit(1).alias("section"), F.col("id").alias("ord"), F.concat(F.lit("MERGE (n:"), F.col("type"), F.lit(" {id: $id}) SET n += $props")).alias("statement"), own.alias("params"))
-    ends = F.create_map(F.lit("source"), F.col("source_id"), F.lit("target"), F.col("target_id"))
-    link = e.select(F.lit(2).alias("section"), F.concat_ws("|", "source_id", "relationship_type", "target_id").alias("ord"), F.concat(F.lit("MATCH (a {id: $source}), (b {id: $target}) MERGE (a)-[:"), F.col("relationship_type"), F.lit("]->(b)")).alias("statement"), ends.alias("params"))
+    ends = F.map_concat(F.create_map(F.lit("source"), F.col("source_id"), F.lit("target"), F.col("target_id")), F.map_filter("props", lambda k, _: ~k.isin("source", "target")))
+    put_own = F.when(F.size(F.map_filter("props", lambda k, _: ~k.isin("source", "target"))) > 0, " SET r += $props").otherwise("")
+    link = e.select(F.lit(2).alias("section"), F.concat_ws("|", "source_id", "relationship_type", "target_id").alias("ord"), F.concat(F.lit("MATCH (a {id: $source}), (b {id: $target}) MERGE (a)-[r:"), F.col("relationship_type"), F.lit("]->(b)"), put_own).alias("statement"), ends.alias("params"))
     return make.unionByName(put).unionByName(link)
 
 
 def script(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(section, ord, value): the same as lines of a script, all values quoted."""
     s = statements(nodes, edges)
-    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda x: F.concat(x["key"], F.lit(": "), _quoted(x["value"]))), ", ")
+    own = F.map_filter("params", lambda k, _: (F.col("section") != 2) | ~k.isin("source", "target"))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(own)), lambda x: F.concat(x["key"], F.lit(": "), _quoted(x["value"]))), ", ")
     text = F.replace(F.replace(F.replace(F.replace("statement", F.lit("$id"), _quoted(F.col("params")["id"])), F.lit("$props"), F.concat(F.lit("{"), pairs, F.lit("}"))), F.lit("$source"), _quoted(F.col("params")["source"])), F.lit("$target"), _quoted(F.col("params")["target"]))
     return s.select("section", "ord", F.concat(text, F.lit(";")).alias("value"))
 
