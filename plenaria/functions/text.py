@@ -293,6 +293,19 @@ def json_in(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
 
 
+def json_list_in(text: Column, schema: str) -> Column:
+    """The first to the last bracket of a text read as a list of JSON objects; an empty list where that fails or there is none."""
+    return F.coalesce(F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), f"array<{schema}>"), F.from_json(F.lit("[]"), f"array<{schema}>"))
+
+
+def as_text(value: Column, default: str = "") -> Column:
+    """A JSON value as text: the true parts of a list joined by commas, a text without quotes, else as it is written; the default for null and empty."""
+    t = F.trim(value)
+    parts = F.filter(F.from_json(t, "array<string>"), lambda x: x.isNotNull() & (x != "") & ~x.isin("0", "false"))
+    plain = F.when(t.rlike(r"(?s)^\[.*\]$"), F.array_join(parts, ", ")).when(t.rlike(r'(?s)^".*"$'), F.get_json_object(F.concat(F.lit('{"x":'), t, F.lit("}")), "$.x")).otherwise(t)
+    return F.when(value.isNull() | t.isin("", "null", '""'), F.lit(default)).otherwise(plain)
+
+
 def session_ids(period: Column, number: Column) -> Column:
     """Names of a session: file (amt_21_005), prefix and label."""
     name = F.format_string("amt_%d_%03d", period, number)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a checkpoint in the shared folder; one of our own only where none is set and the driver runs the tasks itself."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -22,14 +22,14 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     """(id, rank) after a fixed number of rounds; a node passes its rank on by the weight of its edges."""
     e = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("weight").cast("double").alias("w"))
     out = e.groupBy("s").agg(F.sum("w").alias("sum"))
-    e = _cut(e.join(out, "s").select("s", "t", (F.col("w") / F.col("sum")).alias("p")))
+    e = saved(e.join(out, "s").select("s", "t", (F.col("w") / F.col("sum")).alias("p")))
     rank = e.select(F.col("s").alias("id")).union(e.select("t")).distinct().withColumn("rank", F.lit(1.0 - damping))
-    nodes = _cut(rank.select("id"))
+    nodes = saved(rank.select("id"))
     for i in range(rounds):
         got = e.join(rank.withColumnRenamed("id", "s"), "s").groupBy(F.col("t").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("in"))
         rank = nodes.join(got, "id", "left").select("id", (F.lit(1.0 - damping) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if i % 5 == 4:
-            rank = _cut(rank)
+            rank = saved(rank)
     return rank
 
 
@@ -43,14 +43,14 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community) by label propagation: a node takes the label of the largest weight among its neighbours and
     itself, the smallest of equals. Deterministic; a stand-in for modularity optimisation."""
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionAll(edges.select("target", "source", "weight"))
-    both = _cut(both.groupBy("a", "b").agg(F.sum("weight").cast("double").alias("w")))
+    both = saved(both.groupBy("a", "b").agg(F.sum("weight").cast("double").alias("w")))
     label = both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
     for i in range(rounds):
         votes = both.join(label.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "community", "w").unionAll(label.select("id", "community", F.lit(0.5).alias("w")))
         sums = votes.groupBy("id", "community").agg(F.sum("w").alias("w"))
         label = sums.groupBy("id").agg(F.min_by("community", F.struct((-F.col("w")).alias("w"), F.col("community"))).alias("community"))
         if i % 3 == 2:
-            label = _cut(label)
+            label = saved(label)
     return label
 
 

@@ -92,12 +92,38 @@ def shares(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def plain_summary(lists: dict[str, DataFrame]) -> DataFrame:
-    """One text a session: agenda items, their speeches and reactions, line by line."""
+    """One text a session: its figures, agenda items, their speeches and reactions, line by line."""
     line = lambda df, section, order, text: df.select("session_id", F.lit(section).alias("sec"), order.cast("long").alias("ord"), text.alias("line"))
     rows = line(lists["meeting"], 0, F.lit(0), F.concat_ws(", ", "gremium", "datum", "ort"))
+    count = lambda name, as_: lists[name].groupBy("session_id").agg(F.count(F.lit(1)).alias(as_))
+    w = lists["utterances"].groupBy("session_id").agg(F.sum(X.words(F.col("text"))).alias("w"))
+    w = w.join(count("speeches", "s"), "session_id", "left").join(count("tops", "t"), "session_id", "left")
+    w = (w.join(count("reactions", "r"), "session_id", "left") if "reactions" in lists else w.withColumn("r", F.lit(0))).na.fill(0)
+    rows = rows.unionByName(line(w, 0, F.lit(1), F.format_string("Redebeiträge: %d; Tagesordnungspunkte: %d; Wörter: %d; Saalreaktionen: %d", "s", "t", "w", "r")))
     rows = rows.unionByName(line(lists["tops"], 1, F.col("ord"), F.concat(F.lit("TOP "), F.col("nummer").cast("string"), F.lit(": "), F.col("titel"))))
     rows = rows.unionByName(line(lists["speeches"], 2, F.col("idx"), F.concat_ws(" ", F.col("timecode"), F.col("person"), F.concat(F.lit("("), F.col("fraktion"), F.lit(")")))))
     if "reactions" in lists:
         rows = rows.unionByName(line(lists["reactions"], 3, F.col("i"), F.concat(F.col("typ"), F.coalesce(F.concat(F.lit(" von "), F.col("urheber")), F.lit("")))))
     parts = F.array_sort(F.collect_list(F.struct("sec", "ord", "line")))
     return rows.groupBy("session_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
+
+
+def session_counts(lists: dict[str, DataFrame]) -> DataFrame:
+    """(session_id, tops, reden, reaktionen) of each session that has utterances."""
+    out = lists["utterances"].select("session_id").distinct()
+    for name, col in (("tops", "tops"), ("speeches", "reden"), ("reactions", "reaktionen")):
+        n = lists[name].groupBy("session_id").agg(F.count(F.lit(1)).alias(col)) if name in lists else None
+        out = out.join(n, "session_id", "left") if n is not None else out.withColumn(col, F.lit(0).cast("long"))
+    return out.na.fill(0)
+
+
+def speaker_names(speeches: DataFrame) -> DataFrame:
+    """The distinct names of speakers, sorted; empty and null names are none."""
+    return speeches.where(F.coalesce("person", F.lit("")) != "").select("person").distinct().orderBy("person")
+
+
+def graph_verdicts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verdicts of each session of a graph (session_id, verdikt, n), those of all); sessions without checks have no rows."""
+    v = nodes.where("type = 'Faktencheck'").withColumn("verdikt", F.col("props")["verdikt"]).where(F.coalesce("verdikt", F.lit("")) != "")
+    each = v.groupBy("session_id", "verdikt").agg(F.count(F.lit(1)).alias("n"))
+    return each, each.groupBy("verdikt").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ import difflib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -102,6 +103,27 @@ def missing_passages(ref: DataFrame, hyp: DataFrame, by: list[str], least: float
     return g.where(F.col("x") < least).select(*by, "pos", F.substring("satz", 1, 140).alias("satz"), "deckung")
 
 
+def noisy(utterances: DataFrame, replaced: dict[str, str], dropped: str | None = None, where: str | None = None, unheard: list[str] | None = None) -> DataFrame:
+    """(session_id, text, speakers) as a careless transcript has them: wrong numbers, passages left out where a text holds
+    a word, all reactions and some speakers missed. Utterances without text are passed over."""
+    t = F.col("text")
+    for a, b in replaced.items():
+        t = F.replace(t, F.lit(a), F.lit(b))
+    if dropped:
+        t = F.when(F.contains(F.col("text"), F.lit(where or "")), F.regexp_replace(t, dropped, "")).otherwise(t)
+    u = utterances.where(F.coalesce("text", F.lit("")) != "").withColumn("said", t)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("idx", "said"))), lambda x: x["said"])
+    heard = F.collect_set(F.when(~F.col("speaker_name").isin(unheard or []), F.col("speaker_name")))
+    return u.groupBy("session_id").agg(F.array_join(said, " ").alias("text"), F.sort_array(heard).alias("speakers"))
+
+
+def divergences(errors: DataFrame, most: int = 8, shown: int = 6, least: float = 0.02) -> DataFrame:
+    """The speeches (session_id, idx, wer, ...) of the largest rates of each session: rang up to most, and whether their
+    differences are shown: the first few, as long as the rate reaches the least."""
+    rank = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("wer"), "idx"))
+    return errors.withColumn("rang", rank).where(F.col("rang") <= most).withColumn("gezeigt", (F.col("rang") <= shown) & (F.col("wer") >= least))
+
+
 def recall(found, expected):
     """Share of reactions that were found, 1.0 where there are none, three decimals."""
     return F.when(expected == 0, 1.0).otherwise(F.round(found / expected, 3))

@@ -82,14 +82,28 @@ def test_graph_measures(spark):
     assert rank["f"] > rank["d"] > rank["a"]
 
 
-def test_large_evidence_takes_the_other_way(spark, monkeypatch):
-    s = spark.createDataFrame([(1, "Wege sind kaputt"), (2, "nichts")], "i int, text string")
+def test_evidence_in_one_and_in_several_slices(spark, monkeypatch):
+    """The automaton against a plain count of keys, ties, repeated, empty and missing keys, null texts, no evidence."""
+    texts = [(1, "Wege sind kaputt"), (2, "nichts"), (3, None), (4, ""), (5, "WEGEbau, x"), (6, "umwege kaputtx x")]
+    s = spark.createDataFrame(texts, "i int, text string")
     q = F.struct(F.lit("t").alias("titel"), F.lit("").alias("stand"), F.lit("").alias("url")).alias("quelle")
-    e = spark.createDataFrame([(0, ["wege", "x"], "falsch", ""), (1, ["wege", "kaputt"], "teilweise", ""), (2, ["kaputt"], "bestätigt", "")], "ev_idx int, keys array<string>, verdikt string, begruendung string").select("*", q)
+    rows = [(0, ["wege", "x"], "falsch", ""), (1, ["Wege", "kaputt"], "teilweise", ""), (2, ["kaputt"], "bestätigt", ""), (3, ["x", "x", "y"], "irreführend", ""), (4, [None, "wege"], "falsch", ""), (5, None, "falsch", ""), (6, [], "falsch", "")]
+    e = spark.createDataFrame(rows, "ev_idx int, keys array<string>, verdikt string, begruendung string").select("*", q)
+    want = []
+    for i, t in texts:
+        best = (0.0, 0, "unbelegt")
+        for j, keys, v, _ in rows:
+            keys = keys or []
+            share = sum(t is not None and k is not None and k.lower() in t.lower() for k in keys) / max(1, len(keys))
+            if share > best[0]:
+                best = (share, j, v)
+        want.append((i, best[2] if best[0] >= 0.6 else "unbelegt", round(best[0], 2)))
     one = sorted(map(tuple, factcheck.check_statements(s, e, ["i"]).select("i", "verdikt", "score").collect()))
-    monkeypatch.setattr(factcheck, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(factcheck, "SLICE_BYTES", 100)
     two = sorted(map(tuple, factcheck.check_statements(s, e, ["i"]).select("i", "verdikt", "score").collect()))
-    assert one == two == [(1, "teilweise", 1.0), (2, "unbelegt", 0.0)]
+    assert one == two == want
+    none = factcheck.check_statements(s, e.limit(0), ["i"]).collect()
+    assert {(r.verdikt, r.score) for r in none} == {("unbelegt", 0.0)} and factcheck.unsourced(factcheck.check_statements(s, e, ["i"])).count() == 0
 
 
 def test_retrieval(spark):
@@ -101,3 +115,63 @@ def test_retrieval(spark):
     assert retrieval.embedded(todo, lambda ts: [[float(len(t))] for t in ts], "m").count() == 2
     d = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha"), (3, None)], "id int, text string")
     assert [r.id for r in retrieval.bm25(d, ["alpha"], 5).collect()] == [2, 1]
+
+
+def test_word_errors_match_a_full_table():
+    """Counts of one row at a time against the whole table walked back, ties to the diagonal, then to a deletion."""
+    import random
+
+    from plenaria.operators.quality import _counts
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        best = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = []  # (cost, order of precedence, counts)
+                if not i and not j:
+                    ways.append((0, 0, (0, 0, 0)))
+                if i and j:
+                    c, (s, n, d) = best[i - 1, j - 1]
+                    ways.append((c + (a[i - 1] != b[j - 1]), 0, (s + (a[i - 1] != b[j - 1]), n, d)))
+                if i:
+                    c, (s, n, d) = best[i - 1, j]
+                    ways.append((c + 1, 1, (s, n, d + 1)))
+                if j:
+                    c, (s, n, d) = best[i, j - 1]
+                    ways.append((c + 1, 2, (s, n + 1, d)))
+                c, _, counts = min(ways)
+                best[i, j] = c, counts
+        assert _counts(a, b) == best[len(a), len(b)][1]
+
+
+def test_word_errors_keep_one_row():
+    import tracemalloc
+
+    from plenaria.operators.quality import _counts
+
+    a = [f"w{i % 501}" for i in range(20_000)]
+    tracemalloc.start()
+    assert _counts(a[:300], a) == (0, 19_700, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+
+
+def test_noisy_divergences_and_samples(spark):
+    from plenaria.operators import dashboards, quality, sequence
+
+    u = spark.createDataFrame([("a", 0, "x", "es sind 150 von 200."), ("a", 1, "y", "kurz: weg damit. Ende"), ("a", 2, "z", None)], "session_id string, idx long, speaker_name string, text string")
+    r = quality.noisy(u, {"150": "130"}, r"weg.*?damit\.", "kurz", ["y"]).first()
+    assert (r.text, r.speakers) == ("es sind 130 von 200. kurz:  Ende", ["x"])
+    e = spark.createDataFrame([("a", i, w) for i, w in enumerate([0.5, 0.01, 0.3, 0.02, 0.0])], "session_id string, idx long, wer double")
+    assert [(x.idx, x.rang, x.gezeigt) for x in quality.divergences(e, 4, 2).orderBy("rang").collect()] == [(0, 1, True), (2, 2, True), (3, 3, False), (1, 4, False)]
+    rows = spark.range(0, 103).selectExpr("(id * 37) % 103 AS x")
+    for n in (1, 5, 10, 60, 200):
+        own = list(range(103))
+        step = max(1, 103 // n)
+        assert sorted(r.x for r in sequence.evenly(rows, n, ["x"]).collect()) == own[::step][:n]
+    assert sequence.evenly(rows.limit(0), 5, ["x"]).count() == 0
+    s = spark.createDataFrame([("b",), ("a",), (None,), ("",), ("a",)], "person string")
+    assert [r.person for r in dashboards.speaker_names(s).collect()] == ["a", "b"]

@@ -117,6 +117,46 @@ def test_sinks(spark, built, tmp_path):
     assert "<h2" in sinks.record_html(built).first().value
 
 
+def test_graph_documents_keep_all_properties(spark, built):
+    nodes, edges = built["nodes"], built["edges"]
+    n, e = inputs.read_graph_json(sinks.graph_json(nodes, edges))
+    flat = lambda df: sorted(str([dict(sorted(v.items())) if isinstance(v, dict) else v for v in r]) for r in df.select(sorted(df.columns)).collect())
+    assert flat(n) == flat(nodes) and flat(e) == flat(edges)
+    with_own = edges.where(F.size("props") > 0)
+    assert with_own.count() > 0
+    s = sinks.statements(nodes, edges).where("section = 2")
+    assert s.where("statement LIKE '% SET r += $props'").count() == with_own.count()
+    line = sinks.script(nodes, edges).where("value LIKE '%BEFANGEN_BEI%'").first().value
+    assert "SET r += {rechtsgrundlage: " in line and "source:" not in line
+    broken = spark.createDataFrame([("a", "{"), ("b", '{"nodes": [{"id": "1", "extra": "x"}]}')], "session_id string, value string")
+    n, e = inputs.read_graph_json(broken)
+    assert [(r.session_id, r.id, r.label, r.props) for r in n.collect()] == [("b", "1", None, {"extra": "x"})] and e.count() == 0
+
+
+def test_merged_nodes_keep_their_columns(spark, built):
+    from plenaria.operators import graph as G
+
+    nodes, edges = G.namespaced(built["nodes"], built["edges"])
+    two = [r.id for r in nodes.where("type = 'Person'").orderBy("id").limit(2).collect()]
+    ids = spark.createDataFrame([(two[0], two[1]), (two[1], two[1])], "old string, new string")
+    n, e = G.remapped(nodes, edges, ids)
+    assert n.columns == nodes.columns and e.columns == edges.columns and n.count() == nodes.count() - 1
+    kept, was = n.where(F.col("id") == two[1]).first(), nodes.where(F.col("id") == two[1]).first()
+    assert (kept.session_id, kept.schicht, kept.props) == (was.session_id, was.schicht, was.props)
+    assert e.where(F.col("source_id") == two[0]).count() == 0
+    assert sinks.graph_json(n, e).count() == 1
+
+
+def test_verdicts_and_counts(spark, built):
+    from plenaria.operators import dashboards
+
+    each, total = dashboards.graph_verdicts(built["nodes"])
+    assert sum(r.n for r in each.collect()) == sum(r.n for r in total.collect()) == built["nodes"].where("type = 'Faktencheck'").count()
+    c = dashboards.session_counts(built).first()
+    assert (c.tops, c.reden) == (built["tops"].count(), built["speeches"].count())
+    assert f"Redebeiträge: {c.reden}; Tagesordnungspunkte: {c.tops}; Wörter: " in plain_summary(built).first().text
+
+
 XML = """<dbtplenarprotokoll wahlperiode="21" sitzung-nr="5" sitzung-datum="01.02.2026"><vorspann><inhaltsverzeichnis>
 <ivz-block><ivz-block-titel>Tagesordnungspunkt 1:</ivz-block-titel><ivz-eintrag><redner/><ivz-eintrag-inhalt>R</ivz-eintrag-inhalt></ivz-eintrag><ivz-eintrag><ivz-eintrag-inhalt>Der  Haushalt</ivz-eintrag-inhalt></ivz-eintrag></ivz-block>
 </inhaltsverzeichnis></vorspann><sitzungsverlauf><sitzungsbeginn><name>Präsidentin Anna Müller:</name><kommentar>(Beifall bei der SPD)</kommentar></sitzungsbeginn>

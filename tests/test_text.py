@@ -88,3 +88,11 @@ def test_two_polarities(spark):
 @pytest.mark.parametrize("value, want", [("Person", True), ("_x1", True), ("1x", False), ("a b", False), ("Label\nINJECT", False), ("Label\n", False), ("", False), ("a-b", False)])
 def test_safe_labels(spark, value, want):
     assert one(spark, value, X.safe_label) is want
+
+
+def test_model_answers(spark):
+    rows = spark.createDataFrame([(1, 'Hier: ```json\n[{"a": "x"}, {"a": "y"}]\n``` Ende'), (2, "nichts"), (3, None), (4, "[kaputt")], "i int, t string")
+    got = {r.i: [x.a for x in r.v] for r in rows.select("i", X.json_list_in(F.col("t"), "struct<a:string>").alias("v")).collect()}
+    assert got == {1: ["x", "y"], 2: [], 3: [], 4: []}
+    rows = spark.createDataFrame([(1, '["a", "", "b", null]'), (2, '"wort"'), (3, "12"), (4, None), (5, '""'), (6, "plain")], "i int, t string")
+    assert {r.i: r.v for r in rows.select("i", X.as_text(F.col("t"), "-").alias("v")).collect()} == {1: "a, b", 2: "wort", 3: "12", 4: "-", 5: "-", 6: "plain"}
