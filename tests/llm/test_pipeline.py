@@ -29,4 +29,29 @@ def test_stages_keep_columns_and_take_effect(spark, data):
 
 
 def test_run_equals_the_stages(spark, data):
-    assert corpus_pipeline.run(spark, data).columns == ["doc_id", "size", "source_size", "target", "taken"]
+    docs = table(spark, data, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.staged(stage(spark, docs, data), f"t-{name}")
+    got = corpus_pipeline.run(spark, data)
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_stages_on_small_cases(spark, data):
+    """Nulls, empty texts, repeated rows, an empty table, and columns named like those that the stages add."""
+    long = " ".join(f"word{i % 97}" for i in range(3000))
+    rows = [(1, None, "en", "s", None), (2, "", "en", None, 0), (3, "some text of its own", None, "s", 20), (3, "some text of its own", None, "s", 20), (None, "no id here", "en", "t", 10), (4, long, "en", "s", len(long)), (5, long, "en", "s", len(long))]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score int, n_hit string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for d in (docs, docs.limit(0)):
+            out = stage(spark, d, data)
+            if name != "mixing_sources":
+                assert out.columns == d.columns, name
+            found = out.collect()
+            assert d is docs or not found, name
+            kept.setdefault(name, found)
+    assert all(r.score == 7 and r.n_hit == "x" for name in kept if name != "mixing_sources" for r in kept[name])
+    ids = sorted(str(r.doc_id) for r in kept["ngram_jaccard_join"])
+    assert ids == ["1", "2", "3", "4", "None"]
+    assert len(kept["benchmark_decontamination"]) == len(kept["secret_scans"]) == len(kept["mixing_sources"]) == len(rows)
