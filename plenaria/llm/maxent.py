@@ -284,7 +284,10 @@ def score(docs: DataFrame, known: int = KNOWN) -> DataFrame:
 
     Trains on the rows whose crc32(doc_id as text) mod 5 is not 1 (a null doc_id trains). Null and empty texts are one
     end token. Repeated rows each train and each get equal scores; with no training rows all tokens are unknown; an
-    empty table gives an empty result. Other columns are left out."""
+    empty table gives an empty result. Other columns are left out.
+    Counts, and so base_score, cover the whole corpus and are the same for any layout. The weights are averages over the
+    tasks, so score depends a little on how rows are split over them. Contexts tell the CLASSES * WIDTH most frequent
+    tokens apart; of the others they tell the rare class, inside which a token has its smoothed share of the counts."""
     d = docs.select("doc_id", F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     training = d.where(~F.col("held_out"))
     counts = staged(token_counts(training.select("text")), "lm-counts")

@@ -108,6 +108,66 @@ def test_lm_scores(spark):
     assert maxent.score(docs(spark, rows).limit(0)).count() == 0
 
 
+def _lexicon(texts):
+    c = Counter(w for t in texts for w in maxent.tokens(t))
+    rare = {}
+    for w, n in c.items():
+        r = maxent.rare_class(w)
+        rare[r] = (rare.get(r, (0, 0))[0] + n, rare.get(r, (0, 0))[1] + 1)
+    return maxent.Lexicon(sorted(c.items(), key=lambda x: (-x[1], x[0])), sum(c.values()), len(c), rare)
+
+
+def test_lm_round_equals_one_process(spark):
+    """A distributed round over one partition makes the same steps as a plain loop; over several it averages them by tokens."""
+    import numpy as np
+
+    rng = random.Random(4)
+    vocab = prose(80, rng=rng).split()
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(5, 80))).encode() for _ in range(60)]
+    lex = _lexicon(texts)
+
+    def alone(own):
+        w, seen = maxent.Weights(), (np.zeros(maxent.ROWS), np.zeros(maxent.ROWS))
+        split = [maxent.tokens(t) for t in own]
+        ids = lex.ids([x for s in split for x in s])
+        starts = np.concatenate(([0], np.cumsum([len(s) for s in split])[:-1]))
+        maxent.learn(lex, w, seen, ids, maxent.contexts(lex, ids, starts))
+        return w, len(ids)
+
+    df = spark.createDataFrame([(bytearray(t),) for t in texts], "t binary")
+    one, n = alone(texts)
+    got = maxent.train_round(df.coalesce(1), lex, maxent.Weights())
+    assert np.allclose(got.cls, one.cls, atol=1e-5) and np.allclose(got.word, one.word, atol=1e-5)
+    two = spark.createDataFrame(spark.sparkContext.parallelize([(bytearray(t),) for t in texts], 2), "t binary")
+    (a, x), (b, y) = alone(texts[:30]), alone(texts[30:])
+    got = maxent.train_round(two, lex, maxent.Weights())
+    want = (a.cls.astype(np.float64) * x + b.cls.astype(np.float64) * y) / (x + y)
+    assert two.rdd.getNumPartitions() == 2 and np.abs(got.cls - want).max() < 1e-4, (np.abs(got.cls - want).max(), x, y)
+
+
+def test_lm_beats_counts_on_held_out_texts(spark):
+    """Where a word tells which words follow, held-out texts score better than by counts alone, and shuffled ones worse than whole ones."""
+    rng = random.Random(8)
+    vocab = sorted({w for w in prose(200, rng=rng).split()})
+    after = {w: rng.sample(vocab, 3) for w in vocab}
+
+    def chain(n):
+        out = [rng.choice(vocab)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(chain(60)), "s") for i in range(900)]
+    got = maxent.score(docs(spark, rows)).where("held_out").collect()
+    assert len(got) > 100
+    base, model = (sum(getattr(r, c) for r in got) / sum(r.n_tokens for r in got) for c in ("base_score", "score"))
+    assert model > base + 0.2  # log10 a token
+    mixed = [(i, " ".join(rng.sample(t.split(), 60)) if i % 2 and zlib.crc32(str(i).encode()) % 5 == 1 else t, s) for i, t, s in rows]
+    got = {r.doc_id: r for r in maxent.score(docs(spark, mixed)).where("held_out").collect()}
+    mean = lambda odd: sum(r.score - r.base_score for i, r in got.items() if i % 2 == odd) / sum(i % 2 == odd for i in got)
+    assert mean(0) > mean(1)
+
+
 def test_lm_probabilities_sum_to_one():
     words = [f"w{i}".encode() for i in range(900)]
     counts = [(w, 900 - i) for i, w in enumerate(words)] + [(b"\n", 40)]
