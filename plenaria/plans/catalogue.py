@@ -376,7 +376,13 @@ def degree(spark, d):
     return algorithms.degree(_co_speech(spark, d))
 
 
-@query("pagerank")
+@query(
+    "pagerank",
+    f"""WITH RECURSIVE e AS ({_COSPEECH}), o AS (SELECT source, sum(weight) AS s FROM e GROUP BY 1), p AS (SELECT e.source, e.target, weight / s AS p FROM e JOIN o ON e.source = o.source),
+n AS (SELECT source AS id FROM e UNION SELECT target FROM e),
+r AS (SELECT 0 AS i, id, 0.15::DOUBLE AS rank FROM n UNION ALL SELECT i + 1, n.id, 0.15 + 0.85 * coalesce(g.got, 0) FROM (SELECT DISTINCT i FROM r) x, n LEFT JOIN (SELECT p.target, sum(r.rank * p.p) AS got FROM r JOIN p ON p.source = r.id GROUP BY 1) g ON g.target = n.id WHERE i < 20)
+SELECT id, round(rank, 6) AS rank FROM r WHERE i = 20""",
+)
 def pagerank(spark, d):
     """PageRank of the projection, 20 rounds."""
     return algorithms.pagerank(_co_speech(spark, d)).select("id", F.round("rank", 6).alias("rank"))
