@@ -47,9 +47,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def first_nodes(nodes: DataFrame, order: list[str]) -> DataFrame:
+def first_nodes(nodes: DataFrame, order: list[str], by: tuple[str, ...] = ("session_id", "id")) -> DataFrame:
     """One node for each session and id, the first of its order."""
-    w = W.partitionBy("session_id", "id").orderBy(*order)
+    w = W.partitionBy(*by).orderBy(*order)
     return nodes.withColumn("__rn__", F.row_number().over(w)).where("__rn__ = 1").drop("__rn__")
 
 
@@ -164,7 +164,8 @@ def build_graph(lists: dict[str, DataFrame], audio_file: str = "") -> tuple[Data
         if name in lists:
             rows = lists[name].withColumn("__entity__", entity).select("session_id", "__entity__", F.explode("src").alias("s"))
             g.edge(rows, F.col("__entity__"), _cat("segment_", F.col("s")), "BELEGT_DURCH")
-    nodes = first_nodes(_union(g.nodes), ["kind_no", "ord"])
+    # Ids of different types differ by their prefix; with the type as a key, a question for one type makes that type only.
+    nodes = first_nodes(_union(g.nodes), ["kind_no", "ord"], ("session_id", "type", "id"))
     return nodes.drop("kind_no", "ord"), _union(g.edges)
 
 

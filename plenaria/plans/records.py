@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dashboards, extract, factcheck
+from ..operators import algorithms, dashboards, extract, factcheck
 from ..operators import graph as G
 from ..operators.graph_queries import Graph, ask
 from .registry import query
@@ -82,6 +82,8 @@ def _sql(body: str) -> str:
 
 
 def utterances(spark, d) -> DataFrame:
+    """The transcripts. They are saved before they are read, as transcripts are: the optimizer spends ten seconds on the
+    conditions that it infers from the making of the sentences."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     for name, sql in _numbers("o_orderkey", "({0} div {1})", "STRING").items():
         o = o.withColumn(name, F.expr(sql))
@@ -90,7 +92,7 @@ def utterances(spark, d) -> DataFrame:
         parts = [F.col(x) if x in _FILL else F.lit(x) for x in _pieces(s)]
         said = said.when(F.col("kind") == i, F.concat(*parts))
     party = F.element_at(F.array(*[F.lit(p) for p in PARTIES]), F.expr("CAST((o_custkey div 60) % 5 + 1 AS INT)"))
-    return o.select(
+    made = o.select(
         F.concat(F.lit("s"), F.expr("CAST(o_custkey % 60 AS STRING)")).alias("session_id"),
         F.col("o_orderkey").alias("idx"),
         F.col("o_orderkey").cast("double").alias("start"),
@@ -101,6 +103,7 @@ def utterances(spark, d) -> DataFrame:
         said.alias("text"),
         F.lit("protokoll").alias("herkunft"),
     )
+    return algorithms.saved(made)
 
 
 def _pieces(saying: str) -> list[str]:
