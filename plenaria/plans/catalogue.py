@@ -390,10 +390,17 @@ def pagerank(spark, d):
 
 @query("communities")
 def communities(spark, d):
-    """Communities of the projection."""
+    """Communities of the projection by label propagation."""
     return algorithms.communities(_co_speech(spark, d))
 
 
+@query("louvain")
+def louvain(spark, d):
+    """Communities of suppliers and parts that lines join, by modularity."""
+    i = t(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
+    return algorithms.louvain(i.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")))
+
+
 @query("entity_clusters", "SELECT 'anna lieferant ' || chr((97 + s_nationkey)::INT) AS key, min(s_suppkey) AS target, count(*) - 1 AS n_others FROM supplier GROUP BY 1 HAVING count(*) > 1")
 def entity_clusters(spark, d):
     """Variants of a name, by its normal form."""

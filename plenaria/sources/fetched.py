@@ -132,6 +132,25 @@ def answered(prompts: DataFrame, chat: Callable[[str], str], prompt: str = "prom
     return prompts.join(found.select(F.col("key").alias(prompt), F.col("value").alias("answer"), "error"), prompt, "left")
 
 
+def heard(files: DataFrame, model: Callable[[bytes], list[tuple[float, float, str, str]]], tries: int = 1) -> DataFrame:
+    """(path, i, start, end, speaker, text, error) of audio files (path, content): what a speech or diarisation model hears.
+
+    The model returns (start, end, speaker, text) of each piece, with an empty text from a diarisation alone and an empty
+    speaker from a transcription alone. A file that fails has one row with its error, a silent one none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = retried(model, tries)
+        for frame in frames:
+            for path, content in frame[["path", "content"]].itertuples(index=False):
+                try:
+                    out = [(path, i, float(a), float(b), who, said, None) for i, (a, b, who, said) in enumerate(call(bytes(content)))]
+                except Exception as e:
+                    out = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])]
+                yield pd.DataFrame(out, columns=["path", "i", "start", "end", "speaker", "text", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, i int, start double, end double, speaker string, text string, error string")
+
+
 def settings(env: dict[str, str], providers: dict[str, str] | None = None) -> dict[str, str]:
     """A model's settings from an environment: base_url and api_key (required), provider, chat_model, embed_model, embed_dim.
 

@@ -68,3 +68,17 @@ def test_searches_answers_and_settings(spark):
     assert fetched.settings({"LLM_BASE_URL": "https://x", "LLM_API_KEY": "k", "LLM_PROVIDER": "p"})["provider"] == "p"
     with pytest.raises(ValueError):
         fetched.settings({"LLM_BASE_URL": "https://x"})
+
+
+def test_audio_files(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"xx")
+    (tmp_path / "b.wav").write_bytes(b"-")
+
+    def model(content):
+        if content == b"-":
+            raise ValueError("empty")
+        return [(0.0, 1.5, "S1", "guten tag"), (1.5, 2.0, "S2", "danke")]
+
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = sorted((r.path[-5:], r.i, r.start, r.speaker, r.text, r.error) for r in fetched.heard(files, model).collect())
+    assert got == [("a.wav", 0, 0.0, "S1", "guten tag", None), ("a.wav", 1, 1.5, "S2", "danke", None), ("b.wav", None, None, None, None, "ValueError: empty")]

@@ -82,6 +82,21 @@ def test_graph_measures(spark):
     assert rank["f"] > rank["d"] > rank["a"]
 
 
+def test_louvain_raises_modularity(spark):
+    """Two triangles and a ring of cliques, whose best communities are known; never worse than label propagation."""
+    triangles = [("a", "b", 5), ("b", "c", 5), ("a", "c", 5), ("d", "e", 5), ("e", "f", 5), ("d", "f", 5), ("c", "d", 1)]
+    ring = [(f"n{5 * q + i:02d}", f"n{5 * q + j:02d}", 1) for q in range(6) for j in range(5) for i in range(j)] + [(f"n{5 * q + 4:02d}", f"n{5 * ((q + 1) % 6):02d}", 1) for q in range(6)]
+    for rows, want in ((triangles, [set("abc"), set("def")]), (ring, [{f"n{5 * q + i:02d}" for i in range(5)} for q in range(6)])):
+        e = spark.createDataFrame(rows, "source string, target string, weight long")
+        found = algorithms.louvain(e)
+        groups = {}
+        for r in found.collect():
+            groups.setdefault(r.community, set()).add(r.id)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+        assert algorithms.modularity(e, found).first().modularity >= algorithms.modularity(e, algorithms.communities(e)).first().modularity - 1e-9
+    assert algorithms.louvain(spark.createDataFrame([], "source string, target string, weight long")).count() == 0
+
+
 def test_evidence_in_one_and_in_several_slices(spark, monkeypatch):
     """The automaton against a plain count of keys, ties, repeated, empty and missing keys, null texts, no evidence."""
     texts = [(1, "Wege sind kaputt"), (2, "nichts"), (3, None), (4, ""), (5, "WEGEbau, x"), (6, "umwege kaputtx x")]
