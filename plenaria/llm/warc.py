@@ -3,12 +3,14 @@
 The writer turns each row into one record and lets Spark's text writer put the records one after another. The
 reader lets Spark's text source split the files at the record magic, so that any task can start anywhere; a piece
 between two magics is a candidate record, and its header names the offset of its successor. Payloads may hold the
-magic too, so candidates are only believed if a chain of successors reaches them from the start of their file:
-pointer jumping doubles the reach of every link in each round and keeps the reachable candidates.
+magic too, so candidates are only believed if a chain of successors reaches them from the start of their file. A
+task follows the chains inside a split and leaves a link from where each comes in to where it goes out; pointer jumping
+over these few links doubles their reach in each round and tells where the file's own chain enters each split.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,7 +88,7 @@ _FIELDS = {"type": "WARC-Type", "id": "WARC-Record-ID", "url": "WARC-Target-URI"
 def _reachable(links: DataFrame) -> DataFrame:
     """Of links (file, off, succ): the offsets that a chain from the start of their file reaches.
 
-    Round i has links over 2^i records: the reached set doubles by following them, then the links are joined with
+    Round i has links over 2^i links: the reached set doubles by following them, then the links are joined with
     themselves. Both stay as large as the candidates; the rounds end when a round reaches nothing new."""
     marks = links.groupBy("file").agg(F.lit(0).cast("long").alias("off")).select("file", "off")
     jump, reached, size = links, marks, marks.count()
@@ -102,7 +104,9 @@ def _reachable(links: DataFrame) -> DataFrame:
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """Every piece with its offset, rec (the offset of the verified record that it belongs to) and size (that record's bytes); without payloads."""
+    """Every piece of a verified record, with its offset, rec (the offset of that record) and size (its bytes); without payloads.
+
+    What a task works on is one split, of a file of any size; the windows over a file hold a row for each split."""
     length = F.octet_length("piece").cast("long")
     content = F.expr("try_cast(content AS BIGINT)")
     p = _pieces(spark, path).withColumn("content", _header("Content-Length")).withColumn("content", F.when(F.col("content").rlike("^[0-9]{1,18}$"), content))
@@ -121,13 +125,64 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     # What stands before the first magic of a file is no record; the magic before a piece is where its record starts.
     placed = staged(placed.withColumn("off", F.col("base") + F.col("run") - len(MAGIC)).where("off >= 0").drop("base", "run"), "warc-placed")
     succ = F.col("off") + len(MAGIC) + F.col("h") + 4 + F.col("content") + 4
-    links = staged(placed.where(succ.isNotNull()).select("file", "off", succ.alias("succ")), "warc-links")
-    good = _reachable(links).join(links, ["file", "off"])
-    # A payload that holds the magic lies in several pieces: all up to the record's successor.
-    last = F.last("r", ignorenulls=True).over(W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0))
-    parts = placed.join(good.select("file", "off", F.struct("off", "succ").alias("r")), ["file", "off"], "left").withColumn("r", last)
-    parts = parts.where(F.col("off") < F.col("r.succ"))
-    return staged(parts.withColumn("rec", F.col("r.off")).withColumn("size", F.col("r.succ") - F.col("r.off")).drop("r"), "warc-parts")
+    walked = staged(_walked(placed.withColumn("succ", succ)), "warc-walked")
+    # Where chains can come into a split: at the start of a file, and where one goes out of another split.
+    entries = walked.where("exit IS NOT NULL").select("file", F.col("exit").alias("off")).union(walked.where("off = 0").select("file", "off")).distinct()
+    links = staged(walked.where("succ IS NOT NULL").join(entries, ["file", "off"]).select("file", "block", "off", "last", "last_succ", F.col("exit").alias("succ")), "warc-links")
+    own = _reachable(links.select("file", "off", "succ")).join(links, ["file", "off"]).select("file", "block", F.col("off").alias("entry"), F.struct("last", "last_succ").alias("l"))
+    # A row for each split: where the file's chain comes in, and the last record that began before it.
+    before = F.last("l", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    info = splits.select("file", "block").join(own, ["file", "block"], "left").withColumn("c", before).select("file", "block", "entry", F.col("c.last").alias("c_rec"), F.col("c.last_succ").alias("c_succ"))
+    return staged(_assigned(walked.join(info, ["file", "block"])), "warc-parts")
+
+
+def _walked(placed: DataFrame) -> DataFrame:
+    """Pieces with the chain that starts at each: its last piece in the split (last, last_succ), and exit, where it goes on behind the split.
+
+    A piece without a successor of its own is no record: no chain goes through it, and it has none."""
+    schema = T.StructType([*placed.schema.fields, T.StructField("last", T.LongType()), T.StructField("last_succ", T.LongType()), T.StructField("exit", T.LongType())])
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by("off")
+        off, succ = t.column("off").to_pylist(), t.column("succ").to_pylist()
+        place = {o: i for i, o in enumerate(off)}
+        last, end = [None] * len(off), [None] * len(off)
+        for i in range(len(off) - 1, -1, -1):
+            if succ[i] is not None:
+                j = place.get(succ[i])
+                on = j is not None and j > i and last[j] is not None
+                last[i], end[i] = (last[j], end[j]) if on else (off[i], succ[i])
+        final = off[-1] if off else 0
+        leaves = [e if e is not None and e > final else None for e in end]
+        for name, values in (("last", last), ("last_succ", end), ("exit", leaves)):
+            t = t.append_column(name, pa.array(values, pa.int64()))
+        return t
+
+    return placed.groupBy("file", "block").applyInArrow(walk, schema)
+
+
+def _assigned(walked: DataFrame) -> DataFrame:
+    """Pieces with rec, the offset of the record that each belongs to, and size, that record's bytes; others go.
+
+    entry is where the file's chain comes into the split; c_rec and c_succ are the last record before the split."""
+    keep = [f for f in walked.schema if f.name not in ("succ", "last", "last_succ", "exit", "entry", "c_rec", "c_succ")]
+    schema = T.StructType([*keep, T.StructField("rec", T.LongType()), T.StructField("size", T.LongType())])
+
+    def assign(t: pa.Table) -> pa.Table:
+        t = t.sort_by("off")
+        off, succ = t.column("off").to_pylist(), t.column("succ").to_pylist()
+        entry, rec, end = (t.column(c)[0].as_py() for c in ("entry", "c_rec", "c_succ"))
+        out, size = [], []
+        for o, e in zip(off, succ, strict=True):
+            if o == entry and e is not None:
+                rec, end, entry = o, e, e  # the next piece of the chain is where this one ends
+            on = rec is not None and o < end
+            out.append(rec if on else None)
+            size.append(end - rec if on else None)
+        t = t.select([f.name for f in keep]).append_column("rec", pa.array(out, pa.int64())).append_column("size", pa.array(size, pa.int64()))
+        return t.filter(t.column("rec").is_valid())
+
+    return walked.groupBy("file", "block").applyInArrow(assign, schema)
 
 
 def _bytes_of(spark: SparkSession, path: str, marks: DataFrame) -> DataFrame:
