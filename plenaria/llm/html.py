@@ -91,8 +91,12 @@ class Tree:
         return len(self.parent) - 1
 
 
-@lru_cache(4096)
 def _hints(attrs: str, whole: bool = False) -> tuple[str, ...]:
+    """_hints_of, remembered for short attributes."""
+    return (_remembered if len(attrs) < 500 else _hints_of)(attrs, whole)
+
+
+def _hints_of(attrs: str, whole: bool) -> tuple[str, ...]:
     """What an element's attributes say of it; with whole a name counts only if all its words are known, as in cookie-notice."""
     found = set()
     for m in _ATTR.finditer(attrs):
@@ -107,6 +111,9 @@ def _hints(attrs: str, whole: bool = False) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+_remembered = lru_cache(4096)(_hints_of)
+
+
 def _tag_end(page: str, at: int) -> int:
     """Where the tag ends whose name ends at that place: after a > that stands in no quoted value.
 
