@@ -161,7 +161,7 @@ def model_lists(spark, d):
     return _table(spark, d, "customer").select("c_custkey", F.size(found).alias("n"), F.get(found, F.lit(0))["a"].alias("erste"), X.as_text(field, "-").alias("text"))
 
 
-@query("registered_persons", "SELECT c_custkey AS id, c_custkey % 50 AS dip_id FROM customer")
+@query("registered_persons", "SELECT c_custkey AS id, s_suppkey AS dip_id FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 50")
 def registered_persons(spark, d):
     """Persons by last name, first name and period in a registry."""
     p = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Dr. A. Name"), F.translate((F.col("c_custkey") % 50).cast("string"), "0123456789", "abcdefghij")).alias("label"), F.lit("SPD").alias("fraktion"))
