@@ -21,6 +21,20 @@ SLICE_BYTES = 32 << 20
 _automata: dict[str, ahocorasick.Automaton] = {}
 
 
+def _automaton(name: str, keys: list[str]) -> ahocorasick.Automaton:
+    """The automaton over the keys, made once for each worker; key i is found as i, empty keys are left out."""
+    if name not in _automata:
+        _automata.clear()
+        made = ahocorasick.Automaton()
+        for i, k in enumerate(keys):
+            if k:
+                made.add_word(k, i)
+        if len(made):
+            made.make_automaton()
+        _automata[name] = made
+    return _automata[name]
+
+
 def _best_match(spark: SparkSession, rows: list[tuple[int, list[str]]]) -> Callable[[Column], Column]:
     """A function of lower-case texts to struct<score, ord>: the largest share of a row's keys that stand in the text, and
     the negative index of the first row with it. rows is (index, lower-case keys), sorted."""
@@ -41,16 +55,7 @@ def _best_match(spark: SparkSession, rows: list[tuple[int, list[str]]]) -> Calla
     @F.pandas_udf("score double, ord long")
     def best(texts: pd.Series) -> pd.DataFrame:
         keys, postings, cut, size, index = sent.value
-        if name not in _automata:  # once for each worker
-            _automata.clear()
-            made = ahocorasick.Automaton()
-            for i, k in enumerate(keys):
-                if k:
-                    made.add_word(k, i)
-            if len(made):
-                made.make_automaton()
-            _automata[name] = made
-        found, always = _automata[name], [i for i, k in enumerate(keys) if not k]
+        found, always = _automaton(name, keys), [i for i, k in enumerate(keys) if not k]
         out = []
         for t in texts:
             hit = {i for _, i in found.iter(t)} if t and len(found) else set()
@@ -73,7 +78,7 @@ def check_statements(statements: DataFrame, evidence: DataFrame, by: list[str],
 
     The evidence (ev_idx, keys, verdikt, begruendung, quelle) of the largest share of matched keys decides, the first
     of equals, from the least share on; else the verdict is unbelegt and the source is the corpus that was searched.
-    Keys match inside words: an automaton over all keys finds them in one pass of each text, and only evidence that holds
+    by names the key of a statement. Keys match inside words: an automaton over all keys finds them in one pass of each text, and only evidence that holds
     a found key is scored. Keys go to the tasks as a broadcast of at most SLICE_BYTES; a larger corpus gives several, whose
     best rows are compared. A null text matches nothing, a null key is never matched; without evidence all is unbelegt."""
     spark = statements.sparkSession
@@ -84,9 +89,14 @@ def check_statements(statements: DataFrame, evidence: DataFrame, by: list[str],
     for i in range(slices):
         part = keys.where(F.pmod(F.xxhash64("ev_idx"), F.lit(slices)) == i).sort("ev_idx").collect()  # about SLICE_BYTES
         if part:
-            best.append(_best_match(spark, [(r[0], r[1]) for r in part])(F.lower("text")))
-    empty = F.lit(None).cast("struct<score:double,ord:bigint>")
-    out = statements.withColumn("best", F.greatest(*best) if len(best) > 1 else best[0] if best else empty)
+            best.append(_best_match(spark, [(r[0], r[1]) for r in part])(F.lower("text")).alias("best"))
+    if len(best) > 1:  # each slice has tasks of its own, so that a worker holds one automaton
+        each = statements.select(*by, best[0])
+        for b in best[1:]:
+            each = each.unionAll(statements.select(*by, b))
+        out = statements.join(each.groupBy(*by).agg(F.max("best").alias("best")), by, "left")
+    else:
+        out = statements.withColumn("best", best[0] if best else F.lit(None).cast("struct<score:double,ord:bigint>"))
     ev = evidence.select((-F.col("ev_idx").cast("long")).alias("ord"), F.struct("verdikt", "begruendung", "quelle").alias("ev"))
     # Only rows at the threshold look their evidence up.
     out = out.withColumn("ord", F.when(F.col("best.score") >= least, F.col("best.ord"))).join(ev, "ord", "left")
