@@ -2,8 +2,10 @@
 
 P(token | history) = P(class | history) * P(token | class, history). Both factors are log-linear in hashed features
 of the history: the previous token, the one before it (a skip feature), and both together (an n-gram feature).
-The most frequent tokens have classes of WIDTH tokens; all others fall into RARE classes by their first bytes and
-have a smoothed unigram share inside their class, taken from the counts of the whole training corpus.
+The most frequent tokens have classes of WIDTH tokens. All others fall into RARE classes by their first bytes and inside
+these into groups of WIDTH, by their last bytes and then by a hash, as many levels deep as the vocabulary asks for: a
+group at the end has some LEAF tokens. Each level is a softmax of its own; inside the last group a token has a smoothed
+share of the counts of the whole training corpus.
 
 Training is distributed: in every round each task takes the weights, makes gradient steps over its own documents
 in minibatches and sends its weights back in blocks, which are averaged by the tokens seen. Each training document
@@ -26,8 +28,10 @@ from .common import staged, steps, table, trimmed
 
 #: The end of a text; no word holds white space.
 END = b"\n"
-#: Tokens with a softmax slot: CLASSES classes of WIDTH.
+#: Tokens with a softmax slot of their own: CLASSES classes of WIDTH; and the classes of all others.
 CLASSES, WIDTH, RARE = 24, 24, 8
+#: Tokens of the groups at the end, and the most levels (of hash digits) above them.
+LEAF, DEEPEST = 1 << 16, 4
 #: Rows of each hashed weight table.
 ROW_BITS = 14
 ROWS = 1 << ROW_BITS
@@ -50,8 +54,32 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def rare_class(token: bytes) -> int:
-    return zlib.crc32(token[:3]) % RARE
+def depth_of(distinct: int) -> int:
+    """Levels of groups below the rare classes, so that a group at the end has about LEAF tokens; at least one."""
+    levels = 1
+    while levels < DEEPEST and distinct > RARE * WIDTH**levels * LEAF:
+        levels += 1
+    return levels
+
+
+def leaf_of(token: bytes, depth: int) -> int:
+    """The group of a token: its rare class, then a digit for each level."""
+    leaf = (zlib.crc32(token[:3]) % RARE) * WIDTH + zlib.crc32(token[-2:]) % WIDTH
+    if depth > 1:
+        whole = zlib.crc32(token)
+        for _ in range(depth - 1):
+            leaf = leaf * WIDTH + whole % WIDTH
+            whole //= WIDTH
+    return leaf
+
+
+def _leaf_column(depth: int):
+    """leaf_of as a column of token."""
+    last = F.expr("substring(token, greatest(1, octet_length(token) - 1), 2)")
+    leaf = (F.crc32(F.substring("token", 1, 3)) % RARE) * WIDTH + F.crc32(last) % WIDTH
+    for level in range(depth - 1):
+        leaf = leaf * WIDTH + F.floor(F.crc32("token") / F.lit(WIDTH**level)) % WIDTH
+    return leaf.cast("int")
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -75,14 +103,14 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 class Index(dict):
-    """Token -> its place by frequency; a token beyond the known ones -> len(known) + its rare class."""
+    """Token -> its place by frequency; a token beyond the known ones -> len(known) + its group."""
 
-    def __init__(self, known: list[bytes]):
+    def __init__(self, known: list[bytes], depth: int):
         super().__init__(zip(known, range(len(known)), strict=True))
-        self.size, self.extra = len(known), 0
+        self.size, self.depth, self.extra = len(known), depth, 0
 
     def __missing__(self, token: bytes) -> int:
-        i = self.size + rare_class(token)
+        i = self.size + leaf_of(token, self.depth)
         if self.extra < 300_000:
             self.extra += 1
             self[token] = i
@@ -90,44 +118,63 @@ class Index(dict):
 
 
 class Lexicon:
-    """The frequent tokens with counts, and totals of the corpus; what every task needs to turn texts into numbers."""
+    """The frequent tokens with counts, and totals of the corpus; what every task needs to turn texts into numbers.
+
+    groups has (counts, distinct tokens) of each group by its number."""
 
-    def __init__(self, known: list[tuple[bytes, int]], total: int, distinct: int, rare: dict[int, tuple[int, int]]):
+    def __init__(self, known: list[tuple[bytes, int]], total: int, distinct: int, groups: dict[int, tuple[int, int]]):
         self.known, self.counts = [t for t, _ in known], np.array([c for _, c in known], np.float64)
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.depth = total, distinct, depth_of(distinct)
         slots = min(len(known), CLASSES * WIDTH)
         order = sorted(range(slots), key=lambda i: self.known[i])  # neighbours in spelling share a class
         each = max(1, -(-slots // CLASSES))
-        self.cls = np.array([CLASSES + rare_class(t) for t in self.known] + list(range(CLASSES, CLASSES + RARE)), np.int32)
-        self.slot = np.full(len(self.known) + RARE, -1, np.int32)
+        below = WIDTH**self.depth  # groups of a rare class
+        leaves = RARE * below
+        self.leaf = np.array([leaf_of(t, self.depth) for t in self.known] + list(range(leaves)), np.int32)
+        self.cls = (CLASSES + self.leaf // below).astype(np.int32)
+        self.slot = np.full(len(self.leaf), -1, np.int32)
         for place, i in enumerate(order):
             self.cls[i], self.slot[i] = place // each, place % each
-        # A rare class shares its mass among its tokens and one more for all unseen ones.
-        n, v = np.zeros(RARE), np.zeros(RARE)
-        for r, (c, d) in rare.items():
+        n, v = np.zeros(leaves), np.zeros(leaves)
+        for r, (c, d) in groups.items():
             n[r], v[r] = c, d
         for i in range(slots):
-            r = rare_class(self.known[i])
-            n[r] -= self.counts[i]
-            v[r] -= 1
+            n[self.leaf[i]] -= self.counts[i]
+            v[self.leaf[i]] -= 1
+        # A group shares its mass among its tokens and one more for all unseen ones.
         self.rare_mass = np.log10(n + 0.5 * (v + 1))
-        self.log_count = np.concatenate((np.log10(self.counts + 0.5), np.zeros(RARE)))  # beyond the known ones it is joined later
+        self.log_count = np.concatenate((np.log10(self.counts + 0.5), np.zeros(leaves)))  # beyond the known ones it is joined later
         mass = np.zeros(CLASSES + RARE)
         self.word_bias = np.full((CLASSES, WIDTH), -1e9, np.float32)
         for i in range(slots):
             mass[self.cls[i]] += self.counts[i]
             self.word_bias[self.cls[i], self.slot[i]] = math.log(self.counts[i] + 0.5)
-        mass[CLASSES:] = n
+        mass[CLASSES:] = n.reshape(RARE, below).sum(axis=1)
         self.word_bias[self.word_bias.max(axis=1) < -1e8, 0] = 0.0
         self.class_bias = np.log(mass + 0.5).astype(np.float32)
+        self.class_bias -= self.class_bias.max()
+        self.word_bias -= self.word_bias.max(axis=1, keepdims=True)
+        # Of each level: the logs of the masses of the groups, a row for each group above.
+        self.group_bias = [np.log(n.reshape(RARE * WIDTH**level, WIDTH, -1).sum(axis=2) + 0.5).astype(np.float32) for level in range(self.depth)]
+        for bias in self.group_bias:
+            bias -= bias.max(axis=1, keepdims=True)
         self.index: Index | None = None
 
+    def digits(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(group above, digit below it, number of the first group above) at each level, for tokens without a slot."""
+        leaf, out, first = self.leaf[ids], [], 0
+        for level in range(self.depth):
+            part = leaf // WIDTH ** (self.depth - 1 - level)
+            out.append((part // WIDTH, part % WIDTH, first))
+            first += RARE * WIDTH**level
+        return out
+
     def __getstate__(self):
         return self.__dict__ | {"index": None}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         if self.index is None:
-            self.index = Index(self.known)
+            self.index = Index(self.known, self.depth)
         return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
 
 
@@ -151,16 +198,56 @@ def rows_of(f: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
 
 
 class Weights:
-    """Two hashed tables: rows of class weights, and rows of token weights inside a class."""
+    """Three hashed tables: rows of class weights, of token weights inside a class, and of group weights inside a group."""
 
-    def __init__(self, cls: np.ndarray | None = None, word: np.ndarray | None = None):
+    def __init__(self, cls: np.ndarray | None = None, word: np.ndarray | None = None, group: np.ndarray | None = None):
         self.cls = np.zeros((ROWS, CLASSES + RARE), np.float32) if cls is None else cls
         self.word = np.zeros((ROWS, WIDTH), np.float32) if word is None else word
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        self.group = np.zeros((ROWS, WIDTH), np.float32) if group is None else group
+
+
+def _logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Sums of three rows of weights and a bias, whose largest is 0."""
+    z = w[rows[0]]
+    z += w[rows[1]]
+    z += w[rows[2]]
+    z += bias
+    return z
+
+
+def _normal(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp(z) in place of z, its sums by row); rows are moved by their largest only where a sum over- or underflows."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        sums = e.sum(axis=1)
+    odd = np.flatnonzero(~((sums > 1e-30) & (sums < 1e30)))
+    if len(odd):
+        e[odd] = np.exp(z[odd] - z[odd].max(axis=1, keepdims=True))
+        sums[odd] = e[odd].sum(axis=1)
+    return e, sums
+
+
+def _gradient(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Probabilities less one at the right answer."""
+    e, sums = _normal(z)
+    e *= (1 / sums)[:, None]
+    e[np.arange(len(y)), y] -= 1
+    return e
+
+
+def _log_prob(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    e, sums = _normal(z)
+    own = e[np.arange(len(y)), y].astype(np.float64)
+    low = own < 1e-30
+    if low.any():  # too small to be told from 0 without its logarithm
+        z = z[low].astype(np.float64)
+        top = z.max(axis=1)
+        exact = z[np.arange(len(z)), y[low]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        own[low] = 1.0
+        out = np.log(own) - np.log(sums.astype(np.float64))
+        out[low] = exact
+        return out
+    return np.log(own) - np.log(sums.astype(np.float64))
 
 
 def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -174,23 +261,26 @@ def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, g: np.ndarray, rate
         w[used] -= (rate / np.sqrt(seen[used] + 1.0))[:, None] * np.add.reduceat(g[order], first, axis=0)
 
 
-def learn(lex: Lexicon, w: Weights, seen: tuple[np.ndarray, np.ndarray], ids: np.ndarray, f: np.ndarray, rate: float = 0.25) -> None:
+def learn(lex: Lexicon, w: Weights, seen: tuple[np.ndarray, ...], ids: np.ndarray, f: np.ndarray, rate: float = 0.25) -> None:
     """Minibatch steps over the tokens of some documents, changing w."""
     cls, slot = lex.cls[ids], lex.slot[ids]
     for lo in range(0, len(ids), MINI):
         part = slice(lo, lo + MINI)
         y = cls[part]
         rows = rows_of(f[:, part], 0)
-        g = np.exp(_log_softmax(w.cls[rows[0]] + w.cls[rows[1]] + w.cls[rows[2]] + lex.class_bias))
-        g[np.arange(len(y)), y] -= 1
-        _step(w.cls, seen[0], rows, g, rate)
+        _step(w.cls, seen[0], rows, _gradient(_logits(w.cls, rows, lex.class_bias), y), rate)
+        own = f[:, part]
         at = np.flatnonzero(slot[part] >= 0)
         if len(at):
-            y, c = slot[part][at], cls[part][at]
-            rows = rows_of(f[:, part][:, at], c + 1)
-            g = np.exp(_log_softmax(w.word[rows[0]] + w.word[rows[1]] + w.word[rows[2]] + lex.word_bias[c]))
-            g[np.arange(len(y)), y] -= 1
-            _step(w.word, seen[1], rows, g, rate)
+            c = y[at]
+            rows = rows_of(own[:, at], c + 1)
+            _step(w.word, seen[1], rows, _gradient(_logits(w.word, rows, lex.word_bias[c]), slot[part][at]), rate)
+        at = np.flatnonzero(slot[part] < 0)
+        if len(at):
+            own = own[:, at]
+            for level, (above, digit, first) in enumerate(lex.digits(ids[part][at])):
+                rows = rows_of(own, above + (first + 1))
+                _step(w.group, seen[2], rows, _gradient(_logits(w.group, rows, lex.group_bias[level][above]), digit), rate)
 
 
 def log10_probs(lex: Lexicon, w: Weights, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -201,15 +291,21 @@ def log10_probs(lex: Lexicon, w: Weights, ids: np.ndarray, f: np.ndarray) -> np.
         part = slice(lo, lo + MINI)
         y = cls[part]
         rows = rows_of(f[:, part], 0)
-        p = _log_softmax(w.cls[rows[0]] + w.cls[rows[1]] + w.cls[rows[2]] + lex.class_bias)[np.arange(len(y)), y].astype(np.float64)
+        p = _log_prob(_logits(w.cls, rows, lex.class_bias), y)
+        own = f[:, part]
         at = np.flatnonzero(slot[part] >= 0)
         if len(at):
-            s, c = slot[part][at], y[at]
-            rows = rows_of(f[:, part][:, at], c + 1)
-            p[at] += _log_softmax(w.word[rows[0]] + w.word[rows[1]] + w.word[rows[2]] + lex.word_bias[c])[np.arange(len(s)), s]
+            c = y[at]
+            rows = rows_of(own[:, at], c + 1)
+            p[at] += _log_prob(_logits(w.word, rows, lex.word_bias[c]), slot[part][at])
+        at = np.flatnonzero(slot[part] < 0)
+        if len(at):
+            own = own[:, at]
+            for level, (above, digit, first) in enumerate(lex.digits(ids[part][at])):
+                p[at] += _log_prob(_logits(w.group, rows_of(own, above + (first + 1)), lex.group_bias[level][above]), digit)
         out[part] = p * (1 / math.log(10))
     rare = np.flatnonzero(slot < 0)
-    out[rare] += lex.log_count[ids[rare]] - lex.rare_mass[cls[rare] - CLASSES]
+    out[rare] += lex.log_count[ids[rare]] - lex.rare_mass[lex.leaf[ids[rare]]]
     return out
 
 
@@ -227,17 +323,17 @@ BLOCK = 1 << 9
 
 def train_round(texts: DataFrame, lex: Lexicon, w: Weights) -> Weights:
     """One round of gradient updates over texts (one binary column): the average of the tasks' weights by tokens seen."""
-    width = CLASSES + RARE + WIDTH
+    width = CLASSES + RARE + 2 * WIDTH
 
     @trimmed
     def run(batches):
-        mine, seen, n = Weights(w.cls.copy(), w.word.copy()), (np.zeros(ROWS), np.zeros(ROWS)), 0
+        mine, seen, n = Weights(w.cls.copy(), w.word.copy(), w.group.copy()), tuple(np.zeros(ROWS) for _ in range(3)), 0
         for b in batches:
             for _, _, ids, starts in _batches(lex, b.column(0)):
                 learn(lex, mine, seen, ids, contexts(lex, ids, starts))
                 n += len(ids)
         if n:
-            both = np.concatenate((mine.cls, mine.word), axis=1) * np.float32(n)
+            both = np.concatenate((mine.cls, mine.word, mine.group), axis=1) * np.float32(n)
             data = [both[i : i + BLOCK].tobytes() for i in range(0, ROWS, BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary()), pa.array([float(n)] * len(data))], names=["block", "data", "n"])
 
@@ -256,7 +352,8 @@ def train_round(texts: DataFrame, lex: Lexicon, w: Weights) -> Weights:
     if not found:
         return w
     both = np.concatenate([np.frombuffer(r[1], np.float32) for r in sorted(found)]).reshape(ROWS, width)
-    return Weights(np.ascontiguousarray(both[:, : CLASSES + RARE]), np.ascontiguousarray(both[:, CLASSES + RARE :]))
+    cut = CLASSES + RARE
+    return Weights(*(np.ascontiguousarray(x) for x in (both[:, :cut], both[:, cut : cut + WIDTH], both[:, cut + WIDTH :])))
 
 
 def _most_frequent(counts: DataFrame, known: int) -> list[tuple[bytes, int]]:
@@ -287,14 +384,15 @@ def score(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     empty table gives an empty result. Other columns are left out.
     Counts, and so base_score, cover the whole corpus and are the same for any layout. The weights are averages over the
     tasks, so score depends a little on how rows are split over them. Contexts tell the CLASSES * WIDTH most frequent
-    tokens apart; of the others they tell the rare class, inside which a token has its smoothed share of the counts."""
+    tokens apart, and the groups of the others, inside which a token has its smoothed share of the counts."""
     d = docs.select("doc_id", F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     training = d.where(~F.col("held_out"))
     counts = staged(token_counts(training.select("text")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    rare = {r[0]: (r[1], r[2]) for r in counts.groupBy((F.crc32(F.substring("token", 1, 3)) % RARE).cast("int")).agg(F.sum("c"), F.count(F.lit(1))).collect()}
+    depth = depth_of(distinct)
+    groups = {r[0]: (r[1], r[2]) for r in counts.groupBy(_leaf_column(depth).alias("leaf")).agg(F.sum("c"), F.count(F.lit(1))).collect()}  # RARE * WIDTH^depth rows at most
     top = _most_frequent(counts, known)
-    lex = Lexicon(top, total, distinct, rare)
+    lex = Lexicon(top, total, distinct, groups)
     first = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(FIRST)) == 0, F.lit(True))
     w = train_round(training.where(first).select("text"), lex, Weights())
     w = train_round(training.where(~first).select("text"), lex, w)

@@ -108,13 +108,13 @@ def test_lm_scores(spark):
     assert maxent.score(docs(spark, rows).limit(0)).count() == 0
 
 
-def _lexicon(texts):
+def _lexicon(texts, depth=1):
     c = Counter(w for t in texts for w in maxent.tokens(t))
-    rare = {}
+    groups = {}
     for w, n in c.items():
-        r = maxent.rare_class(w)
-        rare[r] = (rare.get(r, (0, 0))[0] + n, rare.get(r, (0, 0))[1] + 1)
-    return maxent.Lexicon(sorted(c.items(), key=lambda x: (-x[1], x[0])), sum(c.values()), len(c), rare)
+        r = maxent.leaf_of(w, depth)
+        groups[r] = (groups.get(r, (0, 0))[0] + n, groups.get(r, (0, 0))[1] + 1)
+    return maxent.Lexicon(sorted(c.items(), key=lambda x: (-x[1], x[0])), sum(c.values()), len(c), groups)
 
 
 def test_lm_round_equals_one_process(spark):
@@ -127,7 +127,7 @@ def test_lm_round_equals_one_process(spark):
     lex = _lexicon(texts)
 
     def alone(own):
-        w, seen = maxent.Weights(), (np.zeros(maxent.ROWS), np.zeros(maxent.ROWS))
+        w, seen = maxent.Weights(), [np.zeros(maxent.ROWS) for _ in range(3)]
         split = [maxent.tokens(t) for t in own]
         ids = lex.ids([x for s in split for x in s])
         starts = np.concatenate(([0], np.cumsum([len(s) for s in split])[:-1]))
@@ -137,7 +137,7 @@ def test_lm_round_equals_one_process(spark):
     df = spark.createDataFrame([(bytearray(t),) for t in texts], "t binary")
     one, n = alone(texts)
     got = maxent.train_round(df.coalesce(1), lex, maxent.Weights())
-    assert np.allclose(got.cls, one.cls, atol=1e-5) and np.allclose(got.word, one.word, atol=1e-5)
+    assert np.allclose(got.cls, one.cls, atol=1e-5) and np.allclose(got.word, one.word, atol=1e-5) and np.allclose(got.group, one.group, atol=1e-5)
     two = spark.createDataFrame(spark.sparkContext.parallelize([(bytearray(t),) for t in texts], 2), "t binary")
     (a, x), (b, y) = alone(texts[:30]), alone(texts[30:])
     got = maxent.train_round(two, lex, maxent.Weights())
@@ -168,26 +168,40 @@ def test_lm_beats_counts_on_held_out_texts(spark):
     assert mean(0) > mean(1)
 
 
-def test_lm_probabilities_sum_to_one():
-    words = [f"w{i}".encode() for i in range(900)]
-    counts = [(w, 900 - i) for i, w in enumerate(words)] + [(b"\n", 40)]
-    counts.sort(key=lambda x: (-x[1], x[0]))
-    rare = {}
-    for w, n in counts:
-        r = maxent.rare_class(w)
-        rare[r] = (rare.get(r, (0, 0))[0] + n, rare.get(r, (0, 0))[1] + 1)
-    lex = maxent.Lexicon(counts, sum(n for _, n in counts), len(counts), rare)
+@pytest.mark.parametrize("depth", [1, 2])
+def test_lm_probabilities_sum_to_one(monkeypatch, depth):
     import numpy as np
 
+    monkeypatch.setattr(maxent, "LEAF", 1 << 16 if depth == 1 else 1)
+    words = [f"w{i}".encode() for i in range(900)]
+    texts = [b" ".join([w] * (1 + (900 - i) // 9)) for i, w in enumerate(words)]
+    lex = _lexicon(texts, depth)
+    assert lex.depth == depth
     rng = np.random.default_rng(1)
-    w = maxent.Weights(rng.normal(size=(maxent.ROWS, maxent.CLASSES + maxent.RARE)).astype(np.float32), rng.normal(size=(maxent.ROWS, maxent.WIDTH)).astype(np.float32))
-    total = 0.0
-    for word, _ in counts:
+    shape = lambda n: rng.normal(size=(maxent.ROWS, n)).astype(np.float32)
+    w = maxent.Weights(shape(maxent.CLASSES + maxent.RARE), shape(maxent.WIDTH), shape(maxent.WIDTH))
+    total, seen = 0.0, set()
+    for word in [*words, b"\n"]:
         ids = lex.ids([b"w5", b"w700", word])
-        total += 10 ** maxent.log10_probs(lex, w, ids, maxent.contexts(lex, ids, np.array([0])))[2]
-    # Unseen words share the rest: one slot in each rare class.
-    unseen = 1 - total
-    assert 0 < unseen < 0.05
+        p = maxent.log10_probs(lex, w, ids, maxent.contexts(lex, ids, np.array([0])))[2]
+        total += 10**p
+        if lex.slot[ids[2]] < 0 and lex.leaf[ids[2]] not in seen:  # the place of unseen words in a group
+            seen.add(lex.leaf[ids[2]])
+            total += 10 ** (p - lex.log_count[ids[2]] + np.log10(0.5))
+    empty = set(range(maxent.RARE * maxent.WIDTH**depth)) - seen
+    for leaf in empty:
+        ids = np.append(lex.ids([b"w5", b"w700"]), len(lex.known) + leaf)
+        total += 10 ** (maxent.log10_probs(lex, w, ids, maxent.contexts(lex, ids, np.array([0])))[2] + np.log10(0.5))
+    assert abs(total - 1) < 1e-4
+
+
+def test_lm_groups_in_spark_equal_python(spark):
+    rng = random.Random(1)
+    words = [b"\n", b"a", "é".encode(), b"xy", *{prose(1, rng=rng).encode() for _ in range(200)}]
+    df = spark.createDataFrame([(bytearray(w),) for w in words], "token binary")
+    for depth in (1, 2, 3):
+        got = {bytes(r.token): r.leaf for r in df.select("token", maxent._leaf_column(depth).alias("leaf")).collect()}
+        assert got == {w: maxent.leaf_of(w, depth) for w in words}
 
 
 def test_mix(spark):
