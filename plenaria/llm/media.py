@@ -45,7 +45,7 @@ def payload_of(text: bytes) -> bytes:
 
 
 def wav(payload: bytes, rate: int = 8000) -> bytes:
-    """One channel of unsigned 8-bit samples."""
+    """One channel of unsigned 8-bit samples; the format ends at 4 GiB, a binary value of Spark at 2."""
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", len(payload)) + payload
 
 
