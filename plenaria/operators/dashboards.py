@@ -18,37 +18,55 @@ def _ranked(df: DataFrame, order: list, most: int | None) -> DataFrame:
     return out.where(F.col("rang") <= most) if most else out
 
 
-def session_dashboard(lists: dict[str, DataFrame], checks: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every table of a session's dashboard, for all sessions at once."""
+def session_dashboard(lists: dict[str, DataFrame], checks: DataFrame | None = None, only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Every table of a session's dashboard, or only the named ones, for all sessions at once."""
     u = lists["utterances"].withColumn("woerter", X.words(F.col("text")))
     spoken = u.where("herkunft != 'anlage'")
-    by_party = spoken.where(F.coalesce("fraktion", F.lit("")) != "").groupBy("session_id", "fraktion").agg(F.sum("woerter").alias("woerter"), F.min("idx").alias("ord"))
-    total = F.sum("woerter").over(W.partitionBy("session_id"))
-    share = by_party.withColumn("prozent", F.round(100 * F.col("woerter") / F.when(total == 0, 1).otherwise(total), 1))
-    s = _spoken(lists["speeches"]).select("session_id", "person", "fraktion", "top_nummer", F.explode("src").alias("idx")).join(u.select("session_id", "idx", "text", "woerter"), ["session_id", "idx"], "left")
-    titles = lists["tops"].select("session_id", F.col("nummer").alias("top_nummer"), "titel")
-    parts = F.array_sort(F.collect_list(F.struct("idx", "text")))
-    tops = s.groupBy("session_id", "top_nummer").agg(F.sum("woerter").alias("woerter"), F.min("idx").alias("ord"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("alles"))
-    tops = tops.join(titles, ["session_id", "top_nummer"], "left").withColumn("thema", X.topic(F.concat_ws(" ", "titel", "alles"))).drop("alles")
-    topics = tops.groupBy("session_id", F.coalesce("thema", F.lit(X.NO_TOPIC)).alias("thema")).agg(F.sum("woerter").alias("woerter"), F.min("ord").alias("ord"))
-    people = s.groupBy("session_id", F.col("person").alias("name")).agg(F.sum("woerter").alias("woerter"), F.count(F.lit(1)).alias("reden"), F.max_by("fraktion", "idx").alias("fraktion"), F.min("idx").alias("ord")).where("woerter > 0")
     r = lists.get("reactions")
-    out = {
-        "sprachanteil_fraktion": _ranked(share, [F.desc("woerter"), "ord"], None).drop("ord"),
-        "top_themen": _ranked(tops, [F.desc("woerter"), "ord"], 30).drop("ord"),
-        "sachthemen": _ranked(topics, [F.desc("woerter"), "ord"], None).drop("ord"),
-        "redner": _ranked(people, [F.desc("woerter"), "ord"], 15).drop("ord"),
+
+    def shares_of_words() -> DataFrame:
+        by_party = spoken.where(F.coalesce("fraktion", F.lit("")) != "").groupBy("session_id", "fraktion").agg(F.sum("woerter").alias("woerter"), F.min("idx").alias("ord"))
+        total = F.sum("woerter").over(W.partitionBy("session_id"))
+        share = by_party.withColumn("prozent", F.round(100 * F.col("woerter") / F.when(total == 0, 1).otherwise(total), 1))
+        return _ranked(share, [F.desc("woerter"), "ord"], None).drop("ord")
+
+    def said(*columns: str) -> DataFrame:
+        s = _spoken(lists["speeches"]).select("session_id", "person", "fraktion", "top_nummer", F.explode("src").alias("idx"))
+        return s.join(u.select("session_id", "idx", *columns), ["session_id", "idx"], "left")
+
+    def items() -> DataFrame:
+        titles = lists["tops"].select("session_id", F.col("nummer").alias("top_nummer"), "titel")
+        parts = F.array_sort(F.collect_list(F.struct("idx", "text")))
+        tops = said("text", "woerter").groupBy("session_id", "top_nummer").agg(F.sum("woerter").alias("woerter"), F.min("idx").alias("ord"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("alles"))
+        return tops.join(titles, ["session_id", "top_nummer"], "left").withColumn("thema", X.topic(F.concat_ws(" ", "titel", "alles"))).drop("alles")
+
+    def subjects() -> DataFrame:
+        topics = items().groupBy("session_id", F.coalesce("thema", F.lit(X.NO_TOPIC)).alias("thema")).agg(F.sum("woerter").alias("woerter"), F.min("ord").alias("ord"))
+        return _ranked(topics, [F.desc("woerter"), "ord"], None).drop("ord")
+
+    def speakers() -> DataFrame:
+        people = said("woerter").groupBy("session_id", F.col("person").alias("name")).agg(F.sum("woerter").alias("woerter"), F.count(F.lit(1)).alias("reden"), F.max_by("fraktion", "idx").alias("fraktion"), F.min("idx").alias("ord")).where("woerter > 0")
+        return _ranked(people, [F.desc("woerter"), "ord"], 15).drop("ord")
+
+    def feedback(key: str, received: bool = False) -> DataFrame:
+        rows = r.withColumn("pol", X.polarity(F.col("typ"))).where("pol IS NOT NULL")
+        if received:
+            rows = rows.join(u.select("session_id", F.col("idx").alias("rede_index"), F.col("fraktion").alias("empf")), ["session_id", "rede_index"], "left")
+        f = rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy("session_id", F.col(key).alias("key")).agg(F.count_if(F.col("pol") == "positiv").alias("positiv"), F.count_if(F.col("pol") == "negativ").alias("negativ"), F.min("i").alias("ord"))
+        return _ranked(f, [F.desc(F.col("positiv") + F.col("negativ")), "ord"], None).drop("ord")
+
+    makers = {
+        "sprachanteil_fraktion": shares_of_words,
+        "top_themen": lambda: _ranked(items(), [F.desc("woerter"), "ord"], 30).drop("ord"),
+        "sachthemen": subjects,
+        "redner": speakers,
     }
     if r is not None:
-        p = r.withColumn("pol", X.polarity(F.col("typ"))).where("pol IS NOT NULL")
-        got = p.join(u.select("session_id", F.col("idx").alias("rede_index"), F.col("fraktion").alias("empf")), ["session_id", "rede_index"], "left")
-        for name, key, rows in (("feedback_je_thema", "top_nummer", p), ("feedback_gegeben_fraktion", "urheber", p), ("feedback_erhalten_fraktion", "empf", got)):
-            f = rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy("session_id", F.col(key).alias("key")).agg(F.count_if(F.col("pol") == "positiv").alias("positiv"), F.count_if(F.col("pol") == "negativ").alias("negativ"), F.min("i").alias("ord"))
-            out[name] = _ranked(f, [F.desc(F.col("positiv") + F.col("negativ")), "ord"], None).drop("ord")
+        makers |= {"feedback_je_thema": lambda: feedback("top_nummer"), "feedback_gegeben_fraktion": lambda: feedback("urheber"), "feedback_erhalten_fraktion": lambda: feedback("empf", True)}
     if checks is not None:
-        out["faktencheck_bilanz"] = checks.groupBy("session_id", "verdikt").agg(F.count(F.lit(1)).alias("n"))
-    out["kennzahlen"] = _figures(lists, spoken, checks)
-    return out
+        makers["faktencheck_bilanz"] = lambda: checks.groupBy("session_id", "verdikt").agg(F.count(F.lit(1)).alias("n"))
+    makers["kennzahlen"] = lambda: _figures(lists, spoken, checks)
+    return {name: make() for name, make in makers.items() if only is None or name in only}
 
 
 def _figures(lists: dict[str, DataFrame], spoken: DataFrame, checks: DataFrame | None) -> DataFrame:

@@ -124,7 +124,8 @@ class Graph:
         on = self.hop(self.rel("HAT_REDEBEITRAG", "person", "speech"), "ZU_TOP", "speech", "top").select("session_id", "top", "person").distinct()
         other = on.select("session_id", "top", F.col("person").alias("target"))
         pairs = on.join(other, ["session_id", "top"]).where(F.col("person") < F.col("target"))
-        return pairs.groupBy(F.col("person").alias("source"), "target").agg(F.countDistinct("session_id", "top").alias("weight"))
+        # A person is on an item once, so a pair meets on an item once.
+        return pairs.groupBy(F.col("person").alias("source"), "target").agg(F.count(F.lit(1)).alias("weight"))
 
     def schema(self) -> tuple[DataFrame, DataFrame]:
         """Of each node type: count, property keys, layers; of each edge type: count and the pairs of types that it joins."""

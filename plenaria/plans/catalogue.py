@@ -53,19 +53,19 @@ def _talks(spark, d):
 @query("word_share", f"WITH w AS (SELECT lang AS fraktion, sum({_NWORDS})::BIGINT AS woerter FROM documents WHERE coalesce(lang, '') <> '' GROUP BY 1) SELECT fraktion, woerter, round(100 * woerter / sum(woerter) OVER (), 1)::DOUBLE AS prozent FROM w")
 def word_share(spark, d):
     """Share of words by party."""
-    return dashboards.session_dashboard(_speeches(spark, d))["sprachanteil_fraktion"].select("fraktion", "woerter", "prozent")
+    return dashboards.session_dashboard(_speeches(spark, d), only=("sprachanteil_fraktion",))["sprachanteil_fraktion"].select("fraktion", "woerter", "prozent")
 
 
 @query("speech_volume_topk", f"SELECT source, sum({_NWORDS})::BIGINT AS woerter, count(*) AS reden FROM documents GROUP BY 1 HAVING sum({_NWORDS}) > 0 ORDER BY 2 DESC, min(doc_id) LIMIT 15")
 def speech_volume_topk(spark, d):
     """The report of the 15 speakers with most words."""
-    return dashboards.session_dashboard(_speeches(spark, d))["redner"].select(F.col("name").alias("source"), "woerter", "reden")
+    return dashboards.session_dashboard(_speeches(spark, d), only=("redner",))["redner"].select(F.col("name").alias("source"), "woerter", "reden")
 
 
 @query("speaker_stats", f"SELECT conv_id AS session_id, role AS name, count(*) AS reden, sum({_NWORDS})::BIGINT AS woerter, arg_max(role, turn) AS letzte FROM conversations GROUP BY 1, 2 HAVING sum({_NWORDS}) > 0")
 def speaker_stats(spark, d):
     """Figures by speaker, with an attribute of the last speech."""
-    return dashboards.session_dashboard(_talks(spark, d))["redner"].select("session_id", "name", "reden", "woerter", F.col("fraktion").alias("letzte"))
+    return dashboards.session_dashboard(_talks(spark, d), only=("redner",))["redner"].select("session_id", "name", "reden", "woerter", F.col("fraktion").alias("letzte"))
 
 
 def _topic_sql() -> str:
@@ -485,7 +485,7 @@ def reaction_pairs(spark, d):
 @query("kpi_summary", f"SELECT conv_id AS session_id, count(*) AS reden, sum({_NWORDS})::BIGINT AS woerter, round_even(sum({_NWORDS}) / 130.0, 0)::BIGINT AS gesamtzeit_min FROM conversations GROUP BY 1")
 def kpi_summary(spark, d):
     """Figures of each session."""
-    return dashboards.session_dashboard(_talks(spark, d))["kennzahlen"].select("session_id", "reden", "woerter", "gesamtzeit_min")
+    return dashboards.session_dashboard(_talks(spark, d), only=("kennzahlen",))["kennzahlen"].select("session_id", "reden", "woerter", "gesamtzeit_min")
 
 
 @query("slug_ids", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")

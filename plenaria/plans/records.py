@@ -213,9 +213,10 @@ def record_checks(spark, d):
     return checks(record(spark, d)).select("session_id", "i", "verdikt", F.col("quelle.titel").alias("quelle"), "score")
 
 
-def _dash(spark, d, with_checks: bool = False) -> dict[str, DataFrame]:
+def _dash(spark, d, name: str, with_checks: bool = False) -> DataFrame:
+    """A table of the dashboards."""
     lists = record(spark, d)
-    return dashboards.session_dashboard(lists, checks(lists) if with_checks else None)
+    return dashboards.session_dashboard(lists, checks(lists) if with_checks else None, (name,))[name]
 
 
 _SHARE = "SELECT session_id, fraktion, sum(woerter)::BIGINT AS woerter, min(idx) AS ord FROM u WHERE fraktion <> '' GROUP BY 1, 2"
@@ -224,7 +225,7 @@ _SHARE = "SELECT session_id, fraktion, sum(woerter)::BIGINT AS woerter, min(idx)
 @query("dash_word_share", _sql(f"SELECT session_id, fraktion, woerter, round(100 * woerter / sum(woerter) OVER (PARTITION BY session_id), 1)::DOUBLE AS prozent, row_number() OVER (PARTITION BY session_id ORDER BY woerter DESC, ord)::INT AS rang FROM ({_SHARE})"))
 def dash_word_share(spark, d):
     """Share of words by party."""
-    return _dash(spark, d)["sprachanteil_fraktion"].select("session_id", "fraktion", "woerter", "prozent", "rang")
+    return _dash(spark, d, "sprachanteil_fraktion").select("session_id", "fraktion", "woerter", "prozent", "rang")
 
 
 _ITEMS = """it AS (SELECT s.session_id, s.top, sum(woerter)::BIGINT AS woerter, min(idx) AS ord, 1 + count(*) FILTER (kind = 0) AS hits FROM speeches s GROUP BY 1, 2)"""
@@ -233,13 +234,13 @@ _ITEMS = """it AS (SELECT s.session_id, s.top, sum(woerter)::BIGINT AS woerter,
 @query("dash_items", _sql(f", {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY woerter DESC, ord)::INT AS rang FROM it) SELECT session_id, top AS top_nummer, woerter, 'Haushalt ' || top AS titel, CASE WHEN hits >= 2 THEN 'Haushalt & Schulden' END AS thema, rang FROM r WHERE rang <= 30"))
 def dash_items(spark, d):
     """Words by agenda item, with title and subject."""
-    return _dash(spark, d)["top_themen"].select("session_id", "top_nummer", "woerter", "titel", "thema", "rang")
+    return _dash(spark, d, "top_themen").select("session_id", "top_nummer", "woerter", "titel", "thema", "rang")
 
 
 @query("dash_subjects", _sql(f", {_ITEMS} SELECT session_id, CASE WHEN hits >= 2 THEN 'Haushalt & Schulden' ELSE 'Sonstige / Verfahren' END AS thema, sum(woerter)::BIGINT AS woerter FROM it GROUP BY 1, 2"))
 def dash_subjects(spark, d):
     """Words by subject."""
-    return _dash(spark, d)["sachthemen"].select("session_id", "thema", "woerter")
+    return _dash(spark, d, "sachthemen").select("session_id", "thema", "woerter")
 
 
 @query(
@@ -249,7 +250,7 @@ def dash_subjects(spark, d):
 )
 def dash_speakers(spark, d):
     """The speakers of most words, with the party of their last speech."""
-    return _dash(spark, d)["redner"].select("session_id", "name", "woerter", "reden", "fraktion", "rang")
+    return _dash(spark, d, "redner").select("session_id", "name", "woerter", "reden", "fraktion", "rang")
 
 
 _POLAR = "count(*) FILTER (typ IN ('Beifall', 'Heiterkeit')) AS positiv, count(*) FILTER (typ IN ('Zwischenruf', 'Widerspruch', 'Missfallen')) AS negativ"
@@ -258,19 +259,19 @@ _POLAR = "count(*) FILTER (typ IN ('Beifall', 'Heiterkeit')) AS positiv, count(*
 @query("dash_feedback_items", _sql(f"SELECT session_id, top AS key, {_POLAR} FROM reactions GROUP BY 1, 2"))
 def dash_feedback_items(spark, d):
     """Reactions of both polarities by agenda item."""
-    return _dash(spark, d)["feedback_je_thema"].select("session_id", "key", "positiv", "negativ")
+    return _dash(spark, d, "feedback_je_thema").select("session_id", "key", "positiv", "negativ")
 
 
 @query("dash_feedback_given", _sql(f"SELECT session_id, urheber AS key, {_POLAR} FROM reactions WHERE urheber IS NOT NULL GROUP BY 1, 2"))
 def dash_feedback_given(spark, d):
     """By who gives them."""
-    return _dash(spark, d)["feedback_gegeben_fraktion"].select("session_id", "key", "positiv", "negativ")
+    return _dash(spark, d, "feedback_gegeben_fraktion").select("session_id", "key", "positiv", "negativ")
 
 
 @query("dash_feedback_received", _sql(f"SELECT r.session_id, u.fraktion AS key, {_POLAR} FROM reactions r JOIN u ON u.session_id = r.session_id AND u.idx = r.rede_index WHERE u.fraktion <> '' GROUP BY 1, 2"))
 def dash_feedback_received(spark, d):
     """By the party of who was interrupted."""
-    return _dash(spark, d)["feedback_erhalten_fraktion"].select("session_id", "key", "positiv", "negativ")
+    return _dash(spark, d, "feedback_erhalten_fraktion").select("session_id", "key", "positiv", "negativ")
 
 
 
@@ -282,13 +283,13 @@ LEFT JOIN (SELECT session_id, count(*) AS n FROM reactions GROUP BY 1) r USING (
 )
 def dash_figures(spark, d):
     """The figures of each session."""
-    return _dash(spark, d, True)["kennzahlen"].select("session_id", "woerter", "reden", "schriftliche_beitraege", "tops", "saalreaktionen", "gepruefte_aussagen", "gesamtzeit_min")
+    return _dash(spark, d, "kennzahlen", True).select("session_id", "woerter", "reden", "schriftliche_beitraege", "tops", "saalreaktionen", "gepruefte_aussagen", "gesamtzeit_min")
 
 
 @query("dash_verdicts", _sql(f", {_CHECKS} SELECT session_id, verdikt, count(*) AS n FROM checks GROUP BY 1, 2"))
 def dash_verdicts(spark, d):
     """Verdicts of each session."""
-    return _dash(spark, d, True)["faktencheck_bilanz"].select("session_id", "verdikt", "n")
+    return _dash(spark, d, "faktencheck_bilanz", True).select("session_id", "verdikt", "n")
 
 
 @query("corpus_speakers", _sql("SELECT name AS person, sum(woerter)::BIGINT AS woerter, count(DISTINCT session_id) AS sitzungen FROM speeches GROUP BY 1"))
@@ -301,7 +302,7 @@ def corpus_speakers(spark, d):
 @query("corpus_figures", _sql("SELECT (SELECT sum(woerter)::BIGINT FROM u) AS woerter, (SELECT count(*) FROM speeches) AS reden, (SELECT count(*) FROM tops) AS tops, (SELECT count(*) FROM reactions) AS saalreaktionen"))
 def corpus_figures(spark, d):
     """Sums of the figures over sessions."""
-    return dashboards.corpus_dashboard(_dash(spark, d))["kennzahlen"].select("woerter", "reden", "tops", "saalreaktionen")
+    return dashboards.corpus_dashboard(dashboards.session_dashboard(record(spark, d)))["kennzahlen"].select("woerter", "reden", "tops", "saalreaktionen")
 
 
 def _graph(spark, d, with_checks: bool = False) -> tuple[DataFrame, DataFrame]:
