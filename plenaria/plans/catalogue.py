@@ -394,11 +394,14 @@ def communities(spark, d):
     return algorithms.communities(_co_speech(spark, d))
 
 
-@query("louvain")
+@query("louvain", "SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS community FROM nation")
 def louvain(spark, d):
-    """Communities of suppliers and parts that lines join, by modularity."""
-    i = t(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
-    return algorithms.louvain(i.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")))
+    """Communities by modularity of nations, which are joined to those of their region, and weakly to the next number."""
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_regionkey")
+    m = n.withColumnRenamed("k", "m")
+    near = n.join(m, "n_regionkey").where("k < m").select(F.col("k").alias("source"), F.col("m").alias("target"), F.lit(5).alias("weight"))
+    found = algorithms.louvain(near.unionAll(n.where("k > 0").select("k", F.col("k") - 1, F.lit(1))), levels=2, rounds=4)
+    return found.select(F.col("id").alias("n_nationkey"), F.min("id").over(W.partitionBy("community")).alias("community"))
 
 
 @query("entity_clusters", "SELECT 'anna lieferant ' || chr((97 + s_nationkey)::INT) AS key, min(s_suppkey) AS target, count(*) - 1 AS n_others FROM supplier GROUP BY 1 HAVING count(*) > 1")
