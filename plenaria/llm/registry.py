@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, jaccard, maxent, media, mixing, passages, secrets, toxicity, warc, winnow
+from . import html, jaccard, maxent, media, middle, mixing, names, passages, rulelist, secrets, toxicity, warc, winnow
 from .common import tune
 
 _QUERIES = [
@@ -16,6 +16,9 @@ _QUERIES = [
     secrets.op8_secret_scans,
     jaccard.op9_ngram_jaccard_join,
     toxicity.op10_toxicity,
+    middle.op11_fill_in_middle,
+    rulelist.op12_quality_rules,
+    names.op13_edit_distance_name_join,
 ]
 _ORACLES = {
     "op2_warc": warc.ORACLE,
@@ -23,6 +26,7 @@ _ORACLES = {
     "op5_html_extraction": html.ORACLE,
     "op6_decontamination": winnow.ORACLE,
     "op9_ngram_jaccard_join": jaccard.ORACLE,
+    "op11_fill_in_middle": middle.ORACLE,
 }
 
 
