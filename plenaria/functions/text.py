@@ -6,6 +6,8 @@ otherwise. Regular expressions carry (?U) where German letters must count as let
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from itertools import chain
 
 from pyspark.sql import Column
@@ -141,11 +143,29 @@ def votes_before(text: Column, noun: str) -> Column:
     return F.coalesce(number_word(F.regexp_extract(text, rf"(?iuU)(\w+)\s+{noun}", 1)), F.lit(0))
 
 
-def office_free(name: Column) -> Column:
-    """A name without no-break spaces, leading offices and repeated spaces; academic titles stay.
+@functools.cache
+def _compositions() -> tuple[str, str]:
+    """Pairs of a letter and a combining mark, one behind another, and the letters that they make, by Unicode's rule, for
+    Latin letters and the common marks."""
+    bases = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    both = [(b + chr(m), unicodedata.normalize("NFC", b + chr(m))) for b in bases for m in range(0x300, 0x32A)]
+    return "".join(p for p, one in both if len(one) == 1), "".join(one for _, one in both if len(one) == 1)
+
+
+def composed(text: Column) -> Column:
+    """Latin letters with their combining marks as one code point (the NFC form); texts without marks aren't touched."""
+    pairs, ones = map(F.lit, _compositions())
+    for _ in range(2):  # a letter may have two marks
+        parts = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}|."), F.lit(0))
+        at = lambda x: F.instr(pairs, x)
+        one = lambda x: F.when((F.length(x) == 2) & (at(x) > 0), F.substring(ones, F.shiftright(at(x) + 1, 1), F.lit(1))).otherwise(x)
+        text = F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    return text
 
-    Unicode composition has no built-in function: names are composed where they are read."""
-    plain = F.regexp_replace(F.coalesce(name, F.lit("")), " ", " ")
+
+def office_free(name: Column) -> Column:
+    """A name in composed letters without no-break spaces, leading offices and repeated spaces; academic titles stay."""
+    plain = F.regexp_replace(composed(F.coalesce(name, F.lit(""))), " ", " ")
     office = r"(?iuU)^(\s*((alters|vize)?präsident(in)?|schriftführer(in)?)\b)+"
     return F.trim(F.regexp_replace(F.regexp_replace(plain, office, ""), r"(?U)\s+", " "))
 

@@ -1,20 +1,16 @@
-"""Official plenary records (XML). Spark's XML reader groups children by tag and loses their order, so documents are
-parsed whole inside tasks, one row for each item in document order; a broken document gives an error row, not a
-failed job."""
+"""Official plenary records (XML), read as parts in document order: every part belongs to one item (a block, a speech, a
+comment, a chair, a line of the contents), and windows carry blocks over their items. A broken document gives an error row,
+not a failed job."""
 
 from __future__ import annotations
 
-import unicodedata
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.extract import statements
+from .markup import attribute, parts, well_formed
 
 BLOCKS = {"sitzungsbeginn": "Sitzungseröffnung", "tagesordnungspunkt": "", "zusatzpunkt": "", "sitzungsende": "Sitzungsende"}
 ANNEX = "Schriftliche Beiträge zu Protokoll (Anlagen)"
@@ -25,72 +21,123 @@ SCHEMA = (
 )
 
 
-def _all_text(e: ET.Element | None) -> str:
-    return "" if e is None else unicodedata.normalize("NFC", "".join(e.itertext()).strip())
-
-
-def _child_text(e: ET.Element | None, tag: str) -> str:
-    found = e.find(tag) if e is not None else None
-    return unicodedata.normalize("NFC", (found.text or "").strip()) if found is not None else ""
-
-
-def _speech(e: ET.Element) -> dict:
-    name = e.find(".//redner/name")
-    full = " ".join(x for x in (_child_text(name, t) for t in ("titel", "vorname", "nachname")) if x)
-    role = _all_text(name.find("rolle/rolle_lang")) if name is not None else ""
-    spoken = " ".join(t for t in (_all_text(p) for p in e.findall("p") if p.get("klasse") != "redner") if t)
-    return {"kind": "speech", "name": full or "Unbekannt", "rolle": role or ("Abgeordneter" if name is not None else "Redner"), "fraktion": _child_text(name, "fraktion") or None, "text": spoken}
-
-
-def _items(root: ET.Element) -> Iterator[dict]:
-    """Contents, blocks, speeches, comments and chairs in document order."""
-    for block in root.iterfind(".//inhaltsverzeichnis/ivz-block"):
-        for entry in block.iterfind("ivz-eintrag"):
-            if entry.find(".//redner") is None and (said := _all_text(entry.find("ivz-eintrag-inhalt"))):
-                yield {"kind": "contents", "block_key": _all_text(block.find("ivz-block-titel")), "text": said}
-                break
-    course, number = root.find("sitzungsverlauf"), 0
-    for block in root.iter("tagesordnungspunkt") if course is None else course:
-        if block.tag not in BLOCKS or (block.find("rede") is None and block.find("kommentar") is None):
-            continue
-        number += 1
-        own = {"block_no": number, "block_tag": block.tag, "herkunft": "protokoll"}
-        yield own | {"kind": "block", "block_key": block.get("top-id", ""), "block_title": _all_text(block.find("top-titel"))}
-        for child in block:
-            if child.tag == "rede":
-                yield own | _speech(child)
-                for comment in child.iterfind("kommentar"):
-                    yield own | {"kind": "comment", "text": _all_text(comment)}
-            elif child.tag == "kommentar":
-                yield own | {"kind": "block comment", "text": _all_text(child)}
-            elif child.tag == "name":
-                yield own | {"kind": "chair", "name": _all_text(child).rstrip(":")}
-    annex = [e for part in root.findall("anlagen")[:1] for e in part.iter("rede")]
-    if annex:
-        own = {"block_no": number + 1, "block_tag": "anlagen", "herkunft": "anlage"}
-        yield own | {"kind": "block", "block_key": "", "block_title": ANNEX}
-        for e in annex:
-            yield own | _speech(e)
-            for comment in e.iterfind("kommentar"):
-                yield own | {"kind": "comment", "text": _all_text(comment)}
+#: Written contributions stand after all blocks, wherever the annex is in the file.
+_AFTER = 1 << 30
+#: Before paragraphs, and before those that name the speaker, while texts are put together; XML allows no such characters.
+_MARK, _ASIDE = "\x01", "\x02"
+
+
+def _stripped(text: Column) -> Column:
+    return X.composed(F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", ""))
+
+
+def _owned(documents: DataFrame) -> DataFrame:
+    """Parts of the documents that belong to an item: session_id, pos, owner (place of the item), kind (of the item), block, annex, role, holder, tag, text."""
+    session = W.partitionBy("session_id")
+    at = lambda i: F.get("within", i)
+    opens = F.col("kind") == "open"
+    name_of = lambda x: x.getField("name")
+    first = lambda name: F.min(F.when(opens & (F.size("within") == 2) & (name_of(at(F.lit(1))) == name), F.col("pos"))).over(session)
+    p = parts(documents).where("kind != 'close'").withColumn("course", first("sitzungsverlauf")).withColumn("annexed", first("anlagen"))
+    top, named = F.get("within", F.lit(1)), F.transform("within", name_of)
+    # The depth of the block around a part: below the course, or of an agenda item where a record has no course.
+    place = F.when(F.col("course").isNull(), F.array_position(named, "tagesordnungspunkt").cast("int") - 1)
+    place = F.when((top.getField("pos") == F.col("course")) & name_of(at(F.lit(2))).isin(*BLOCKS), 2).otherwise(F.when(place >= 0, place))
+    annex = F.coalesce(top.getField("pos") == F.col("annexed"), F.lit(False))
+    speech = F.array_position(named, "rede").cast("int") - 1
+    p = p.withColumn("annex", annex).withColumn("block_at", F.when(~F.col("annex"), place)).withColumn("speech_at", F.when(speech >= 0, speech))
+    child = at(F.col("block_at") + 1)
+    spoken = F.col("speech_at").isNotNull() & (F.col("annex") | (F.col("speech_at") == F.col("block_at") + 1))
+    below = at(F.col("speech_at") + 1)
+    contents = F.array_position(named, "inhaltsverzeichnis").cast("int")
+    line = F.when((contents > 0) & (name_of(at(contents)) == "ivz-block"), at(contents))
+    entry = at(contents + 1)
+    last = F.get("within", F.size("within") - 1)
+    up = lambda n: name_of(F.get("within", F.size("within") - 1 - n))
+    kind = (
+        F.when(spoken & (name_of(below) == "kommentar"), "comment")
+        .when(spoken, "speech")
+        .when(name_of(child) == "kommentar", "block comment")
+        .when(name_of(child) == "name", "chair")
+        .when(F.col("block_at").isNotNull() & (child.isNull() | (name_of(child) == "top-titel")), "block")
+        .when(line.isNotNull(), "contents")
+        .when(opens & (F.size("within") == 1), "session")
+    )
+    owner = F.when(F.col("item") == "comment", below).when(F.col("item") == "speech", at(F.col("speech_at"))).when(F.col("item").isin("block comment", "chair"), child)
+    owner = owner.when(F.col("item") == "block", at(F.col("block_at"))).when(F.col("item") == "contents", line).otherwise(at(F.lit(0)))
+    named_at = F.array_position(named, "name").cast("int")  # of a speaker's name, counted from 1
+    of_name = (named_at > 1) & (name_of(F.get("within", named_at - 2)) == "redner")
+    part = name_of(F.get("within", named_at))
+    role = (
+        F.when((F.col("item") == "speech") & (name_of(below) == "p") & opens & (F.size("within") == F.col("speech_at") + 2), F.when(F.coalesce(attribute(F.col("tag"), "klasse"), F.lit("")) == "redner", "aside").otherwise("p"))
+        .when((F.col("item") == "speech") & of_name & opens & (named_at == F.size("within")), "name")
+        .when((F.col("item") == "speech") & of_name & ~opens & part.isin("titel", "vorname", "nachname", "fraktion") & (named_at + 1 == F.size("within")), part)
+        .when((F.col("item") == "speech") & of_name & ~opens & (part == "rolle") & (name_of(F.get("within", named_at + 1)) == "rolle_lang"), "rolle")
+        .when((F.col("item") == "speech") & (name_of(below) == "p") & ~opens, "said")
+        .when((F.col("item") == "contents") & (name_of(entry) == "ivz-block-titel"), "title")
+        .when((F.col("item") == "contents") & (name_of(entry) == "ivz-eintrag") & opens & (up(0) == "redner"), "speaker")
+        .when((F.col("item") == "contents") & (name_of(entry) == "ivz-eintrag") & (name_of(at(contents + 2)) == "ivz-eintrag-inhalt"), "entry")
+        .when(~F.col("item").isin("speech", "contents"), F.when(opens & (last.getField("pos") == F.col("owner.pos")), "self").otherwise("said"))
+    )
+    holder = F.when(F.col("role").isin("name", "titel", "vorname", "nachname", "fraktion", "rolle"), F.get("within", named_at - 1)).when(F.col("role").isin("p", "aside", "said"), below).otherwise(entry)
+    p = p.withColumn("item", kind).where("item IS NOT NULL").withColumn("owner", owner).withColumn("role", role).withColumn("holder", holder.getField("pos"))
+    block = F.when(F.col("annex"), _AFTER).otherwise(at(F.col("block_at")).getField("pos"))
+    return p.select("session_id", "pos", F.col("owner.pos").alias("owner"), F.col("owner.name").alias("owner_name"), F.col("item").alias("kind"), block.alias("block"), "annex", "role", "holder", F.when(F.col("role") == "self", F.col("tag")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def parse_records(documents: DataFrame) -> DataFrame:
-    """Items of records: documents is (session_id, xml). A broken document has one row of kind error."""
+    """Items of records, in document order by seq: documents is (session_id, xml), one row a session.
+
+    Blocks without a speech or a comment of their own are left out with all they hold; contributions of the annex are a block
+    of their own behind the others. A document that isn't well formed (null and empty ones too) has one row of kind error."""
+    own = _owned(documents)
+    piece = F.struct("pos", "role", "holder", "text")
+    whole = own.groupBy("session_id", "owner", "kind").agg(
+        F.max("owner_name").alias("owner_name"), F.max("block").alias("block"), F.max("annex").alias("annex"), F.max("tag").alias("tag"), F.sort_array(F.collect_list(piece)).alias("own")
+    )
+    of = lambda *roles: F.filter("own", lambda x: x.getField("role").isin(*roles))
+    joined = lambda xs: F.array_join(F.transform(xs, lambda x: x.getField("text")), "")
+    # A paragraph's texts follow its opening tag, those of an aside (the line that names the speaker) go with it.
+    marked = F.array_join(F.transform(of("p", "aside", "said"), lambda x: F.when(x.getField("role") == "p", F.lit(_MARK)).when(x.getField("role") == "aside", F.lit(_ASIDE)).otherwise(x.getField("text"))), "")
+    paragraphs = F.transform(F.split(F.regexp_replace(marked, f"{_ASIDE}[^{_MARK}{_ASIDE}]*", ""), _MARK, -1), _stripped)
+    said = F.array_join(F.filter(paragraphs, lambda x: x != ""), " ")
+    names = of("name", "titel", "vorname", "nachname", "fraktion", "rolle")
+    which = F.array_min(F.transform(of("name"), lambda x: x.getField("holder")))
+    of_name = lambda role: F.filter(names, lambda x: (x.getField("role") == role) & (x.getField("holder") == which))
+    first = lambda role: F.coalesce(_stripped(F.get(of_name(role), F.lit(0)).getField("text")), F.lit(""))
+    full = F.array_join(F.filter(F.array(first("titel"), first("vorname"), first("nachname")), lambda x: x != ""), " ")
+    role = _stripped(joined(of_name("rolle")))
+    spoken = F.col("kind") == "speech"
+    # The first entry of the contents that has a text and names no speaker.
+    speakers = F.transform(of("speaker"), lambda x: x.getField("holder"))
+    entries = F.array_distinct(F.filter(F.transform(of("entry"), lambda x: x.getField("holder")), lambda h: ~F.array_contains(speakers, h)))
+    texts = F.filter(F.transform(entries, lambda h: _stripped(joined(F.filter(of("entry"), lambda x: x.getField("holder") == h)))), lambda t: t != "")
+    text = _stripped(joined(of("said")))
+    kind_is = lambda *kinds: F.col("kind").isin(*kinds)
+    i = whole.select(
+        "session_id", "owner", "kind", "block", "annex",
+        F.when(kind_is("block"), F.col("owner_name")).alias("block_tag"),
+        F.when(kind_is("block"), F.coalesce(attribute(F.col("tag"), "top-id"), F.lit(""))).when(kind_is("contents"), _stripped(joined(of("title")))).alias("block_key"),
+        F.when(kind_is("block"), text).alias("block_title"),
+        *[F.when(kind_is("session"), F.coalesce(attribute(F.col("tag"), a), F.lit(other))).alias(c) for c, a, other in (("wahlperiode", "wahlperiode", ""), ("sitzung_nr", "sitzung-nr", ""), ("datum", "sitzung-datum", ""), ("ort", "sitzung-ort", "Berlin"))],
+        F.when(spoken, F.coalesce(F.nullif(full, F.lit("")), F.lit("Unbekannt"))).when(kind_is("chair"), F.regexp_replace(text, ":+$", "")).alias("name"),
+        F.when(spoken, F.coalesce(F.nullif(role, F.lit("")), F.when(F.size(of("name")) > 0, "Abgeordneter").otherwise("Redner"))).alias("rolle"),
+        F.when(spoken, F.nullif(first("fraktion"), F.lit(""))).alias("fraktion"),
+        F.when(spoken, said).when(kind_is("contents"), F.get(texts, F.lit(0))).when(kind_is("comment", "block comment"), text).alias("text"),
+    ).where("kind != 'contents' OR text IS NOT NULL")
+    in_block = W.partitionBy("session_id", "block")
+    i = i.withColumn("full", F.max((kind_is("speech", "block comment") & ~F.col("annex")) | (kind_is("speech") & F.col("annex"))).over(in_block)).where("block IS NULL OR full")
+    added = i.where("annex").groupBy("session_id").agg(F.lit(_AFTER).alias("owner"), F.lit("block").alias("kind"), F.lit(_AFTER).alias("block"), F.lit(False).alias("annex"), F.lit("anlagen").alias("block_tag"), F.lit("").alias("block_key"), F.lit(ANNEX).alias("block_title"))
+    i = i.drop("full").unionByName(added, allowMissingColumns=True)
+    number = F.when(F.col("block").isNotNull(), F.dense_rank().over(W.partitionBy("session_id", F.col("block").isNull()).orderBy("block")))
+    seq = (F.col("owner") + F.when(F.col("annex"), F.lit(_AFTER + 1)).otherwise(0)).cast("long")
+    origin = F.when(F.col("block") == _AFTER, "anlage").when(F.col("block").isNotNull(), "protokoll")
+    i = i.withColumn("seq", seq).withColumn("block_no", number).withColumn("herkunft", origin).withColumn("error", F.lit(None).cast("string"))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for session, xml in zip(frame["session_id"], frame["xml"], strict=True):
-                try:
-                    root = ET.fromstring(xml or "")
-                    head = {"wahlperiode": root.get("wahlperiode", ""), "sitzung_nr": root.get("sitzung-nr", ""), "datum": root.get("sitzung-datum", ""), "ort": root.get("sitzung-ort", "Berlin")}
-                    rows = [{"kind": "session"} | head, *_items(root)]
-                except ET.ParseError as e:
-                    rows = [{"kind": "error", "error": str(e)}]
-                yield pd.DataFrame([{"session_id": session, "seq": i} | r for i, r in enumerate(rows)], columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    return documents.select("session_id", "xml").mapInPandas(run, SCHEMA)
+    # Items of a block carry its tag, as their rows are read without it.
+    i = i.withColumn("block_tag", F.max("block_tag").over(in_block)).select(*names)
+    broken = documents.where(~well_formed(F.col("xml"))).select("session_id", F.lit(0).cast("long").alias("seq"), F.lit("error").alias("kind"), F.lit("not well-formed XML").alias("error"))
+    return i.unionByName(broken, allowMissingColumns=True).select(*[F.col(n).cast(t) for n, t in (c.split() for c in SCHEMA.split(", "))])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -175,17 +175,18 @@ def test_record(spark):
     assert rows(l["statements"], "i", "person") == [(0, "Dr. Otto X")]
 
 
-@pytest.mark.parametrize("bad", ["", "   ", "<a>", "<a><b></a>", "kein xml", "<a/><b/>"])
-def test_broken_records_give_an_error_row(spark, bad):
-    items = record.parse_records(spark.createDataFrame([("x", bad), ("y", XML)], "session_id string, xml string"))
+def test_broken_records_give_an_error_row(spark):
+    bad = ["", "   ", "<a>", "<a><b></a>", "kein xml", "<a/><b/>", "<a>&nbsp;</a>"]
+    items = record.parse_records(spark.createDataFrame([(f"x{i}", x) for i, x in enumerate(bad)] + [("y", XML)], "session_id string, xml string")).cache()
     l = record.tables(items)
-    assert [r.session_id for r in l["errors"].collect()] == ["x"] and l["tops"].where("session_id = 'y'").count() == 3
+    assert sorted(r.session_id for r in l["errors"].collect()) == [f"x{i}" for i in range(len(bad))]
+    assert l["tops"].where("session_id = 'y'").count() == 3 and items.where("kind = 'session'").count() == 1
 
 
-@pytest.mark.parametrize("empty", ["<dbtplenarprotokoll/>", "<dbtplenarprotokoll><sitzungsverlauf/></dbtplenarprotokoll>", "<x><sitzungsverlauf><tagesordnungspunkt/></sitzungsverlauf></x>", "<x><anlagen/></x>"])
-def test_empty_records(spark, empty):
-    l = record.tables(record.parse_records(spark.createDataFrame([("x", empty)], "session_id string, xml string")))
-    assert l["tops"].count() == l["speeches"].count() == l["errors"].count() == 0 and l["meeting"].count() == 1
+def test_empty_records(spark):
+    empty = ["<dbtplenarprotokoll/>", "<dbtplenarprotokoll><sitzungsverlauf/></dbtplenarprotokoll>", "<x><sitzungsverlauf><tagesordnungspunkt/></sitzungsverlauf></x>", "<x><anlagen/></x>"]
+    items = record.parse_records(spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(empty)], "session_id string, xml string"))
+    assert [(r.session_id, r.kind) for r in items.orderBy("session_id").collect()] == [(f"s{i}", "session") for i in range(4)]
 
 
 VTT = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000\nAnna M: Guten <b>Tag</b>\n\n00:00:02.000 --> 00:00:03.500\nAnna M: zusammen\nhier\n\n00:00:04.000 --> 00:00:05.000\nohne Namen\n\nkaputt\n"
@@ -230,3 +231,20 @@ def test_upsert_overlays_properties(spark):
     n = spark.createDataFrame([("a", "p", "L", "T", "", "x", {"k": "1", "j": "0"}, 1), ("b", "p", "M", "T", "", "x", {"k": "2"}, 2)], "session_id string, id string, label string, type string, subtype string, schicht string, props map<string,string>, ord int")
     got = graph.upserted(n, "ord").first()
     assert got.label == "M" and got.props == {"k": "2", "j": "0"}
+
+
+def test_records_of_odd_shapes(spark):
+    annex_first = '<x><anlagen><anlage><rede><p klasse="redner"/><p>A &#228; &lt;b&gt;</p><kommentar>(Beifall)</kommentar></rede></anlage></anlagen><sitzungsverlauf><tagesordnungspunkt top-id="T &quot;1&quot;"><kommentar>(Unruhe)</kommentar><rede><p>über <![CDATA[<rede>]]></p><p> </p></rede></tagesordnungspunkt><tagesordnungspunkt><name>Leer</name></tagesordnungspunkt></sitzungsverlauf></x>'
+    no_course = "<x><y><tagesordnungspunkt top-id='7'><rede><p>eins</p></rede></tagesordnungspunkt></y></x>"
+    l = record.tables(record.parse_records(spark.createDataFrame([("a", annex_first), ("n", no_course), ("o", None)], "session_id string, xml string")).cache())
+    assert [tuple(r) for r in l["tops"].select("session_id", "nummer", "titel").orderBy("session_id", "nummer").collect()] == [("a", 1, 'T "1"'), ("a", 2, "Schriftliche Beiträge zu Protokoll (Anlagen)"), ("n", 1, "7")]
+    assert [(r.session_id, r.idx, r.rolle, r.text) for r in l["utterances"].orderBy("session_id", "idx").collect()] == [("a", 0, "Redner", "über <rede>"), ("a", 1, "Redner", "A ä <b>"), ("n", 0, "Redner", "eins")]
+    assert [(r.typ, r.rede_index) for r in l["reactions"].orderBy("session_id", "i").collect()] == [("Unruhe", -1), ("Beifall", 1)]
+    assert [r.session_id for r in l["errors"].collect()] == ["o"]
+
+
+def test_record_of_many_parts_needs_no_python(spark):
+    long = "<x><sitzungsverlauf><tagesordnungspunkt>" + "".join(f"<rede><p>Wort {i}</p></rede>" for i in range(4000)) + "</tagesordnungspunkt></sitzungsverlauf></x>"
+    items = record.parse_records(spark.createDataFrame([("s", long)], "session_id string, xml string"))
+    assert items.where("kind = 'speech'").count() == 4000
+    assert "Python" not in items._jdf.queryExecution().executedPlan().toString()
