@@ -15,30 +15,54 @@ from ..functions import text as X
 WER = "wer double, subs int, ins int, dels int, n_ref int"
 
 
+#: Width of the first band of an alignment; a band that is too narrow is made so many times wider.
+BAND, WIDER = 64, 4
+
+
+def _banded(a: np.ndarray, b: np.ndarray, w: int) -> tuple[int, int, int]:
+    """(edits, insertions, deletions) of the best path that stays within w of the diagonal; ties go to the diagonal, then to a deletion.
+
+    Place k of a row of the band is hyp's word i - w + k. One row at a time is kept, and each cell holds the deletions and
+    insertions of its path, so memory grows with the band and time with ref times the band."""
+    n, m, wide = len(a), len(b), 2 * w + 1
+    far = np.int32(n + m + 1)
+    at = np.arange(wide, dtype=np.int32)
+    padded = np.full(m + n + 2 * wide, -1, np.int32)  # hyp with nothing on both sides; its word j stands at j + w
+    padded[w + 1 : w + 1 + m] = b
+    j = at - w
+    cost, new = np.where((j >= 0) & (j <= m), j, far).astype(np.int32), np.where(j >= 0, j, 0).astype(np.int32)
+    gone = np.zeros(wide, np.int32)
+    for i, word in enumerate(a, 1):
+        j = at + (i - w)
+        diagonal = np.where(j >= 1, cost + (padded[i : i + wide] != word), far)
+        down = np.append(cost[1:] + 1, far)
+        row = np.where((j >= 0) & (j <= m), np.minimum(diagonal, down), far)
+        row = np.minimum.accumulate(row - at) + at  # a run of insertions costs its length: a prefix minimum
+        by_diagonal = row == diagonal
+        by_deletion = ~by_diagonal & (row == down)
+        # Where a path comes from the left, it is that of the nearest cell that doesn't, and the insertions since.
+        left = np.maximum.accumulate(np.where(by_diagonal | by_deletion, at, 0))
+        gone_here = np.where(by_diagonal, gone, np.append(gone[1:], 0) + 1)
+        new_here = np.where(by_diagonal, new, np.append(new[1:], 0))
+        cost, gone, new = np.minimum(np.where(j <= m, row, far), far), gone_here[left], new_here[left] + (at - left)
+    k = m - n + w
+    return int(cost[k]), int(new[k]), int(gone[k])
+
+
 def _counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """(substitutions, insertions, deletions) of a shortest edit path; ties go to the diagonal, then to a deletion.
 
-    Each cell holds the deletions and insertions of its path, so one row at a time is kept: memory grows with hyp alone."""
+    A path of d edits never leaves the diagonal by more than d, so the best path of a band is the best of all as soon as it
+    has no more edits than the band is wide: near texts of any length take time by their differences, not by their product."""
     code: dict[str, int] = {}
     a, b = (np.array([code.setdefault(w, len(code)) for w in ws], np.int32) for ws in (ref, hyp))
-    at = np.arange(len(b) + 1, dtype=np.int32)
-    cost, gone, new = at.copy(), np.zeros(len(b) + 1, np.int32), at.copy()
-    for i, word in enumerate(a, 1):
-        diagonal, down = cost[:-1] + (b != word), cost[1:] + 1
-        row = np.empty_like(cost)
-        row[0] = i
-        np.minimum(diagonal, down, out=row[1:])
-        row = np.minimum.accumulate(row - at) + at  # a run of insertions costs its length: a prefix minimum
-        by_diagonal = row[1:] == diagonal
-        by_deletion = ~by_diagonal & (row[1:] == down)
-        # Where a path comes from the left, it is that of the nearest cell that doesn't, and the insertions since.
-        left = np.zeros_like(at)
-        left[1:] = np.where(by_diagonal | by_deletion, at[1:], 0)
-        left = np.maximum.accumulate(left)
-        gone_here = np.concatenate(([i], np.where(by_diagonal, gone[:-1], gone[1:] + 1)))
-        new_here = np.concatenate(([0], np.where(by_diagonal, new[:-1], new[1:])))
-        cost, gone, new = row, gone_here[left], new_here[left] + (at - left)
-    return int(cost[-1] - gone[-1] - new[-1]), int(new[-1]), int(gone[-1])
+    w = max(BAND, abs(len(a) - len(b)))
+    while True:
+        w = min(w, max(len(a), len(b), 1))
+        edits, new, gone = _banded(a, b, w)
+        if edits <= w or w == max(len(a), len(b), 1):
+            return edits - gone - new, new, gone
+        w *= WIDER
 
 
 def word_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:

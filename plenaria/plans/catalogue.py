@@ -420,7 +420,18 @@ def schema_introspection(spark, d):
     return Graph(*_graph(spark, d)).schema()[0].select("type", "n")
 
 
-@query("wer_near_pairs")
+@query(
+    "wer_near_pairs",
+    r"""WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{N}_]+') AS r, text FROM conversations),
+p AS (SELECT * FROM (SELECT conv_id, turn, r, lead(r) OVER w AS h, lead(text) OVER w AS x, len(r) AS nr FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE x IS NOT NULL),
+rec AS (SELECT conv_id, turn, 0 AS i, nr, r, h, [{'c': j, 'g': 0, 'n': j} for j in range(0, len(h) + 1)] AS cells FROM p
+UNION ALL SELECT conv_id, turn, i + 1, nr, r, h, list_reduce(range(1, len(h) + 1), lambda acc, j: list_append(acc, CASE
+  WHEN cells[j].c + (h[j] <> r[i + 1])::INT <= least(cells[j + 1].c, acc[j].c) + 1 THEN {'c': cells[j].c + (h[j] <> r[i + 1])::INT, 'g': cells[j].g, 'n': cells[j].n}
+  WHEN cells[j + 1].c <= acc[j].c THEN {'c': cells[j + 1].c + 1, 'g': cells[j + 1].g + 1, 'n': cells[j + 1].n}
+  ELSE {'c': acc[j].c + 1, 'g': acc[j].g, 'n': acc[j].n + 1} END), [{'c': (i + 1)::BIGINT, 'g': (i + 1)::BIGINT, 'n': 0::BIGINT}]) FROM rec WHERE i < nr),
+f AS (SELECT conv_id, turn, nr, cells[len(cells)] AS e FROM rec WHERE i = nr)
+SELECT conv_id, turn, round_even(e.c / greatest(nr, 1), 3) AS wer, (e.c - e.g - e.n)::INT AS subs, e.n::INT AS ins, e.g::INT AS dels, nr::INT AS n_ref FROM f""",
+)
 def wer_near_pairs(spark, d):
     """Word error rates of consecutive turns of a conversation."""
     c = t(spark, d, "conversations")

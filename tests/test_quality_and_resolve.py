@@ -190,3 +190,42 @@ def test_noisy_divergences_and_samples(spark):
     assert sequence.evenly(rows.limit(0), 5, ["x"]).count() == 0
     s = spark.createDataFrame([("b",), ("a",), (None,), ("",), ("a",)], "person string")
     assert [r.person for r in dashboards.speaker_names(s).collect()] == ["a", "b"]
+
+
+def plain_counts(r, h):
+    d = [[(j, 0, j) for j in range(len(h) + 1)]]
+    for i in range(1, len(r) + 1):
+        row = [(i, i, 0)]
+        for j in range(1, len(h) + 1):
+            (c, g, n), (cd, gd, nd), (cl, gl, nl) = d[i - 1][j - 1], d[i - 1][j], row[j - 1]
+            c += r[i - 1] != h[j - 1]
+            row.append((c, g, n) if c <= min(cd, cl) + 1 else (cd + 1, gd + 1, nd) if cd <= cl else (cl + 1, gl, nl + 1))
+        d.append(row)
+    c, g, n = d[-1][-1]
+    return c - g - n, n, g
+
+
+@pytest.mark.parametrize("band", [1, 3, 64])
+def test_banded_word_errors_equal_the_whole_table(monkeypatch, band):
+    import random
+
+    monkeypatch.setattr(quality, "BAND", band)
+    rng = random.Random(band)
+    for _ in range(300):
+        r, h = (["abcd"[rng.randrange(4)] for _ in range(rng.randint(0, 13))] for _ in range(2))
+        assert quality._counts(r, h) == plain_counts(r, h)
+
+
+def test_word_errors_of_long_texts_take_memory_by_the_band():
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    ref = [str(rng.randrange(3000)) for _ in range(20_000)]
+    hyp = [w for i, w in enumerate(ref) if i % 500 != 7]
+    hyp[100] = "x"
+    tracemalloc.start()
+    got = quality._counts(ref, hyp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == (1, 0, 40) and peak < 4e6
