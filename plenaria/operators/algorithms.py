@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import shared
+
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a checkpoint in the shared folder; one of our own only where none is set and the driver runs the tasks itself."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plenaria-"))
+    """Cuts the lineage at a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

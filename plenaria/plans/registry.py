@@ -31,7 +31,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _catalogue():
-    from . import catalogue, forms, official, records  # noqa: F401  they register their queries when they are imported
+    from . import catalogue, forms, official, records, streams  # noqa: F401  they register their queries when they are imported
 
     return catalogue
 

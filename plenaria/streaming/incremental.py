@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..sources.record import parse_records
 
@@ -56,3 +58,43 @@ def reaction_windows(events: DataFrame, every: str = "5 minutes", late: str = "1
     """Reactions (ts, session_id, polarity) by window; the same function for a stream and for a table."""
     e = events.withWatermark("ts", late) if streaming else events
     return e.groupBy(F.window("ts", every).alias("w"), "session_id", "polarity").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "session_id", "polarity", "n")
+
+
+def carried(utterances: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream of utterances (session_id, id, ts, opens) as (session_id, id, n, item): its number in the session and the
+    agenda item that is open then; opens names the item that an utterance opens, null if none.
+
+    The state of a session is its open item, its count, and the utterances that came but that the watermark (so much
+    behind the latest time) hasn't passed: these wait, so that what comes out of order by less than that is put in order of (ts, id)
+    before it counts. What comes later than the watermark is left out, and so is an id that waits already. State
+    outlives a restart on the same checkpoint; it grows with what waits, not with the session."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        item, n, ids, times, opens = state.get if state.exists else (None, 0, [], [], [])
+        passed = state.getCurrentWatermarkMs()
+        waiting = dict(zip(ids, zip(times, opens, strict=True), strict=True))
+        if not state.hasTimedOut:
+            for f in frames:
+                for i, micros, opened in zip(f["id"].tolist(), f["micros"].tolist(), f["opens"].tolist(), strict=True):
+                    if micros // 1000 >= passed:
+                        waiting.setdefault(i, (micros, opened if isinstance(opened, str) else None))
+        out = []
+        for i, (micros, opened) in sorted(waiting.items(), key=lambda x: (x[1][0], x[0])):
+            if micros // 1000 >= passed:
+                break
+            item, n = opened or item, n + 1
+            out.append((key[0], i, n, item))
+            del waiting[i]
+        state.update((item, n, list(waiting), [m for m, _ in waiting.values()], [o for _, o in waiting.values()]))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(m for m, _ in waiting.values()) // 1000, passed + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "id", "n", "item"])
+
+    schema, held = "session_id string, id long, n long, item string", "item string, n long, ids array<long>, times array<long>, opens array<string>"
+    return utterances.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts")).groupBy("session_id").applyInPandasWithState(step, schema, held, "append", "EventTimeTimeout")
+
+
+def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Takes all that a stream's source has now into Parquet files; the next run on the same checkpoint goes on from there."""
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -1,4 +1,7 @@
 import random
+import tracemalloc
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -134,7 +137,6 @@ def test_retrieval(spark):
 
 def test_word_errors_match_a_full_table():
     """Counts of one row at a time against the whole table walked back, ties to the diagonal, then to a deletion."""
-    import random
 
     from plenaria.operators.quality import _counts
 
@@ -162,7 +164,6 @@ def test_word_errors_match_a_full_table():
 
 
 def test_word_errors_keep_one_row():
-    import tracemalloc
 
     from plenaria.operators.quality import _counts
 
@@ -207,7 +208,6 @@ def plain_counts(r, h):
 
 @pytest.mark.parametrize("band", [1, 3, 64])
 def test_banded_word_errors_equal_the_whole_table(monkeypatch, band):
-    import random
 
     monkeypatch.setattr(quality, "BAND", band)
     rng = random.Random(band)
@@ -217,8 +217,6 @@ def test_banded_word_errors_equal_the_whole_table(monkeypatch, band):
 
 
 def test_word_errors_of_long_texts_take_memory_by_the_band():
-    import random
-    import tracemalloc
 
     rng = random.Random(2)
     ref = [str(rng.randrange(3000)) for _ in range(20_000)]

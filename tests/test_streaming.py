@@ -44,3 +44,25 @@ def test_stream_and_table_agree(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("reaction_test").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("reaction_test").collect())) == sorted(map(tuple, incremental.reaction_windows(df).collect()))
+
+
+def test_items_carry_over_restarts_and_late_rows_are_left_out(spark, tmp_path):
+    from datetime import UTC, datetime, timedelta
+
+    from plenaria.streaming import incremental
+
+    day = datetime(2024, 1, 1, tzinfo=UTC)
+    source, target, checkpoint = (str(tmp_path / x) for x in ("source", "target", "checkpoint"))
+    schema = "session_id string, id long, ts timestamp, opens string"
+
+    def come(*rows):
+        made = [(s, i, day + timedelta(minutes=m), o) for s, i, m, o in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.run_to_end(incremental.carried(spark.readStream.schema(schema).parquet(source), "10 minutes"), target, checkpoint)
+        return sorted(tuple(r) for r in spark.read.parquet(target).collect())
+
+    come(("a", 1, 0, "TOP 1"), ("a", 3, 20, None), ("b", 9, 0, None), ("b", 9, 0, None))
+    got = come(("a", 2, 15, "TOP 2"), ("a", 3, 20, None), ("a", 4, 40, None), ("b", 10, 41, "TOP 5"))
+    assert got == [("a", 1, 1, "TOP 1"), ("a", 2, 2, "TOP 2"), ("a", 3, 3, "TOP 2"), ("b", 9, 1, None)]
+    got = come(("a", 5, 5, "late"), ("a", 6, 90, None), ("b", 11, 95, None))
+    assert got[3:] == [("a", 4, 4, "TOP 2"), ("b", 9, 1, None), ("b", 10, 2, "TOP 5")]
