@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..folders import fresh
 from ..functions import text as X
-from ..operators import algorithms, dashboards, factcheck, quality, resolve, retrieval, sequence, timejoin
+from ..operators import algorithms, dashboards, factcheck, index, quality, resolve, retrieval, sequence, timejoin, vectors
 from ..operators import graph as G
 from ..operators.graph_queries import Graph
 from ..sources import sinks
@@ -482,6 +483,49 @@ def bm25_topk(spark, d):
     return retrieval.bm25(t(spark, d, "documents"), TERMS, 25, key="doc_id")
 
 
+@query(
+    "index_topk",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), x AS (SELECT doc_id, len(w) AS dl, w FROM d WHERE len(w) > 0),
+m AS (SELECT count(*) AS n, avg(dl) AS mean FROM x), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
+f AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(w) AS term FROM x) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM q JOIN f USING (term) JOIN g USING (term), m GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+)
+def index_topk(spark, d):
+    """The best documents for every benchmark text, from a stored index."""
+    path = fresh(spark, "full-text")
+    index.build(t(spark, d, "documents"), path, key="doc_id")
+    found = index.search(spark, path, t(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text"), 10)
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+def _vector_index(spark, d) -> tuple[str, DataFrame]:
+    """A stored index of all embeddings, and the queries: every vector whose id is divisible by 50."""
+    path, v = fresh(spark, "vectors"), t(spark, d, "embeddings")
+    vectors.build(v, path, key="vec_id")
+    return path, v.where("vec_id % 50 = 0")
+
+
+@query(
+    "vector_index_exact",
+    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+)
+def vector_index_exact(spark, d):
+    """The nearest vectors of many, all lists of the index searched."""
+    path, queries = _vector_index(spark, d)
+    return vectors.search(spark, path, queries, 10, True, key="vec_id").withColumnRenamed("key", "vec_id")
+
+
+@query("vector_index_topk")
+def vector_index_topk(spark, d):
+    """The same with as many lists as the index has tuned itself to, and the share of the exact ones among them."""
+    path, queries = _vector_index(spark, d)
+    found = algorithms.saved(vectors.search(spark, path, queries, 10, key="vec_id"))
+    by_query = vectors.recall(found, vectors.search(spark, path, queries, 10, True, key="vec_id"))
+    return found.join(by_query, "query").select("query", "rank", F.col("key").alias("vec_id"), "score", "recall")
+
+
 @query("vector_topk", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 25")
 def vector_topk(spark, d):
     """The nearest vectors to one."""

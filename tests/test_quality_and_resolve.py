@@ -227,3 +227,41 @@ def test_word_errors_of_long_texts_take_memory_by_the_band():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got == (1, 0, 40) and peak < 4e6
+
+
+def test_index_equals_scan_and_leaves_ranges_out(spark, tmp_path):
+    from plenaria.operators import index
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, weights=range(300, 0, -1), k=rng.randint(1, 40)))) for i in range(900)] + [(900, None), (901, "...")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    index.build(docs, str(tmp_path), size=50)
+    queries = spark.createDataFrame([(0, "w299 w298 w1"), (1, "w0"), (2, "nowhere"), (3, None), (4, "w290 W290 w5")], "query long, text string")
+    got = index.search(spark, str(tmp_path), queries, 5).collect()
+    for i, terms in ((0, ["w299", "w298", "w1"]), (1, ["w0"]), (4, ["w290", "w5"])):
+        want = [(r.id, r.score) for r in retrieval.bm25(docs, terms, 5).collect()]
+        assert [(r.key, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query == i] == want
+    assert {r.query for r in got} == {0, 1, 4}
+    _, promise = index.promised(spark, str(tmp_path), queries)
+    least = {r.query: r.score for r in got if r.rank == 5}
+    assert promise.where("query = 0").count() > sum(r.at_most + 1e-6 >= least[0] for r in promise.where("query = 0").collect())
+
+
+def test_vector_index(spark, tmp_path):
+    from plenaria.operators import vectors
+
+    rng = random.Random(4)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.2) for x in middles[i % 12]]) for i in range(600)] + [(600, None), (601, [0.0] * 8), (602, [])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    vectors.build(v, str(tmp_path))
+    q = v.where("id % 50 = 0")
+    exact, found = vectors.search(spark, str(tmp_path), q, 5, exact=True), vectors.search(spark, str(tmp_path), q, 5)
+    best = {r.query: [(x.key, x.score) for x in sorted(exact.where(f"query = {r.query}").collect(), key=lambda x: x.rank)] for r in exact.select("query").distinct().limit(3).collect()}
+    for i, hits in best.items():
+        assert [(r.id, r.score) for r in retrieval.nearest(v.where("id < 600"), rows[i][1], 5).collect()] == hits
+    r = vectors.recall(found, exact).collect()
+    assert len(r) == 12 and sum(x.hits for x in r) >= 0.9 * sum(x.wanted for x in r)
+    vectors.build(v.limit(0), str(tmp_path / "none"))
+    assert vectors.search(spark, str(tmp_path / "none"), q, 5).count() == 0
