@@ -86,10 +86,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int, exact:
 
     As many lists are probed for each query as the index says; exact searches all of them. Scores have six decimals."""
     held = sorted(spark.read.parquet(f"{path}/centroids").collect())  # LISTS rows at most
-    c = np.array([r.v for r in held]).reshape(len(held), -1)
     kind = queries.schema[key].dataType.simpleString()
     if not held:
         return spark.createDataFrame([], f"query {kind}, rank int, key {kind}, score double")
+    c = np.array([r.v for r in held])
     q = _near(queries, key, vector, c, len(held) if exact else held[0].probes).select(F.col("key").alias("query"), F.col("v").alias("q"), "list")
     lists = spark.read.schema(f"key {kind}, v array<double>, list int").parquet(f"{path}/lists")
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

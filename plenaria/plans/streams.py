@@ -1,10 +1,11 @@
-"""Queries that stream: a table comes in files, a query with state runs over them, is started anew, and goes on."""
+"""Queries that stream or load: a table comes in files or batches, and a start or a batch may be repeated."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..folders import fresh
+from ..sources import store
 from ..streaming import incremental
 from .registry import query
 
@@ -39,3 +40,21 @@ def streamed_items(spark, d):
         stream = spark.readStream.schema("session_id string, id long, ts timestamp, opens string").parquet(source)
         incremental.run_to_end(incremental.carried(stream), target, checkpoint)
     return spark.read.schema("session_id string, id long, n long, item string").parquet(target)
+
+
+@query(
+    "loaded_properties",
+    """WITH c AS (SELECT 'n|' || client_id AS key, lpad(coalesce(seq, 0)::VARCHAR, 12, '0') || lpad(change_id::VARCHAR, 12, '0') AS ord, unnest(['city', 'op', 'segment']) AS prop, unnest([city, op, segment]) AS value FROM client_changes WHERE client_id IS NOT NULL)
+SELECT key, prop, max({'o': ord, 'v': value}).v AS value FROM c WHERE value IS NOT NULL GROUP BY 1, 2""",
+)
+def loaded_properties(spark, d):
+    """The changes of clients come in three batches whose orders overlap, and the second comes again; the last value of each property holds."""
+    path = fresh(spark, "store")
+    c = spark.read.parquet(f"{d}/client_changes.parquet").where("client_id IS NOT NULL")
+    ord = F.concat(F.lpad(F.coalesce("seq", F.lit(0)).cast("string"), 12, "0"), F.lpad(F.col("change_id").cast("string"), 12, "0"))
+    props = F.map_entries(F.create_map(*[x for p in ("city", "op", "segment") for x in (F.lit(p), F.col(p))]))
+    rows = c.select("change_id", F.concat(F.lit("n|"), "client_id").alias("key"), ord.alias("ord"), F.explode(props).alias("e")).select("change_id", "key", F.col("e.key").alias("prop"), F.col("e.value").alias("value"), "ord")
+    for batch in (2, 0, 1, 0):
+        store.upsert(rows.where(F.col("change_id") % 3 == batch), path, f"batch {batch}")
+    store.vacuum(spark, path)
+    return store.read(spark, path).select("key", "prop", "value")
