@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .algorithms import saved
 
 WER = "wer double, subs int, ins int, dels int, n_ref int"
 
@@ -167,46 +168,60 @@ def bag_overlap(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return both.join(size(l, "a"), [*by, "a"]).join(size(r, "b"), [*by, "b"]).withColumn("ratio", 2 * F.col("shared") / (F.col("size_a") + F.col("size_b")))
 
 
-def matched_captions(speeches: DataFrame, clips: DataFrame) -> DataFrame:
-    """Speeches (session_id, key, idx, text) with one caption each (session_id, key, clip, text): in order of speech the
-    unused clip of the same key of the largest bag similarity, no longer than 3 times the speech and 50 words; speeches
-    of fewer than 20 words have none. Sequential by nature, so a task does one key of a session, which is small."""
-    both = speeches.select("session_id", "key", F.lit(0).alias("side"), F.col("idx").alias("no"), X.tokens(F.col("text")).alias("toks")).unionByName(clips.select("session_id", "key", F.lit(1).alias("side"), F.col("clip").alias("no"), X.tokens(F.col("text")).alias("toks")))
+def in_turn(pairs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(what each idx takes, the pairs that are still open) of pairs (by, idx, clip, want): in order of idx, the clip of the
+    largest want that is left; wants of one idx differ.
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        from collections import Counter
+    Every idx asks for the best clip that hasn't turned it down, and a clip turns all down but the least idx that asks; as all
+    clips prefer the lesser idx, the rounds end with what one idx after another would take. Rounds are joins: no task
+    holds a whole group."""
+    pairs = saved(pairs)
+    while True:
+        best = pairs.groupBy(*by, "idx").agg(F.max(F.struct("want", "clip")).alias("b")).select(*by, "idx", "b.clip", "b.want")
+        asked = saved(best.withColumn("first", F.min("idx").over(W.partitionBy(*by, "clip"))))
+        refused = asked.where("idx != first").select(*by, "idx", "clip")
+        if refused.isEmpty():
+            return asked.drop("first"), pairs
+        pairs = saved(pairs.join(refused, [*by, "idx", "clip"], "left_anti"))
 
-        free = {n: (Counter(t), len(t)) for n, t in frame[frame.side == 1].sort_values("no")[["no", "toks"]].itertuples(index=False)}
-        out = []
-        for no, toks in frame[frame.side == 0].sort_values("no")[["no", "toks"]].itertuples(index=False):
-            if len(toks) < 20:
-                continue
-            own = Counter(toks)
-            best = max(((2 * sum((own & c).values()) / (len(toks) + k), -n) for n, (c, k) in free.items() if k <= 3 * len(toks) + 50), default=None)
-            if best:
-                free.pop(-best[1])
-                out.append((frame.session_id.iloc[0], frame.key.iloc[0], no, -best[1], best[0]))
-        return pd.DataFrame(out, columns=["session_id", "key", "idx", "clip", "ratio"])
 
-    return both.groupBy("session_id", "key").applyInPandas(match, "session_id string, key string, idx long, clip long, ratio double")
+def matched_captions(speeches: DataFrame, clips: DataFrame) -> DataFrame:
+    """Speeches (session_id, key, idx, text) with one caption each (session_id, key, clip, text): in order of speech the
+    unused clip of the same key of the largest bag similarity, the first of equals, no longer than 3 times the speech and
+    50 words; speeches of fewer than 20 words have none.
+
+    Pairs are those that share a word; only a speech that all these clips turn down meets the other clips of its key."""
+    by = ["session_id", "key"]
+    size = lambda df, i: df.select(*by, i, F.size(X.tokens(F.col("text"))).alias(f"size_{i}"))
+    said, heard = size(speeches, "idx").where(F.col("size_idx") >= 20), size(clips, "clip")
+    fits = F.col("size_clip") <= 3 * F.col("size_idx") + 50
+    count = lambda df, i: df.select(*by, i, F.explode(X.tokens(F.col("text"))).alias("t")).groupBy(*by, i, "t").agg(F.count(F.lit(1)).alias(f"n_{i}"))
+    shared = count(speeches, "idx").join(count(clips, "clip"), [*by, "t"]).groupBy(*by, "idx", "clip").agg(F.sum(F.least("n_idx", "n_clip")).alias("shared"))
+    want = lambda ratio: F.struct(ratio.alias("ratio"), (-F.col("clip")).alias("first")).alias("want")
+    ratio = 2 * F.col("shared") / (F.col("size_idx") + F.col("size_clip"))
+    met = saved(shared.join(said, [*by, "idx"]).join(heard, [*by, "clip"]).where(fits).select(*by, "idx", "clip", want(ratio)))
+    asked, pairs = in_turn(met, by)
+    widened = said.select(*by, "idx").limit(0)
+    while True:  # who is left without a clip asks for those that it shares no word with, and may turn out others
+        alone = saved(said.join(asked.select(*by, "idx"), [*by, "idx"], "left_anti").join(widened, [*by, "idx"], "left_anti"))
+        more = alone.join(heard, by).where(fits).join(met.select(*by, "idx", "clip"), [*by, "idx", "clip"], "left_anti")
+        more = saved(more.select(*by, "idx", "clip", want(F.lit(0.0))))
+        if more.isEmpty():
+            return asked.select(*by, "idx", "clip", F.col("want.ratio").alias("ratio"))
+        widened = saved(widened.unionByName(alone.select(*by, "idx")))
+        asked, pairs = in_turn(pairs.unionByName(more), by)
 
 
 def linked_videos(speeches: DataFrame, clips: DataFrame) -> DataFrame:
     """Speeches (session_id, idx, person_key) with the clip (session_id, ord, person_key, url) that belongs to them.
 
-    A name's clips go to its speeches in order; a name without clips left takes the next one of a name of the same last
-    word. The queues are shared, so a session is one group."""
-    both = speeches.select("session_id", F.lit(0).alias("side"), F.col("idx").alias("no"), F.col("person_key").alias("key"), F.lit(None).cast("string").alias("url")).unionByName(clips.select("session_id", F.lit(1).alias("side"), F.col("ord").alias("no"), F.col("person_key").alias("key"), "url"))
-
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        queues: dict[str, list[str]] = {}
-        for key, url in frame[frame.side == 1].sort_values("no")[["key", "url"]].itertuples(index=False):
-            queues.setdefault(key, []).append(url)
-        out = []
-        for no, key in frame[frame.side == 0].sort_values("no")[["no", "key"]].itertuples(index=False):
-            queue = queues.get(key) or next((q for k, q in queues.items() if q and k.split()[-1:] == key.split()[-1:]), None)
-            if queue:
-                out.append((frame.session_id.iloc[0], no, queue.pop(0)))
-        return pd.DataFrame(out, columns=["session_id", "idx", "url"])
-
-    return both.groupBy("session_id").applyInPandas(link, "session_id string, idx long, url string")
+    A name's clips go to its speeches in order; a name without clips left takes the next one of the first name of the same last
+    word that has one, which that name then lacks. So a speech wants its own name's clips, then the others' by the first clip of
+    their name, each name's in order; who speaks earlier takes first. Null keys have no clip."""
+    last = F.element_at(F.split("person_key", " "), -1).alias("last")
+    said = speeches.where("person_key IS NOT NULL").select("session_id", last, "idx", F.col("person_key").alias("own"))
+    queue = F.min("ord").over(W.partitionBy("session_id", "person_key"))
+    held = clips.where("person_key IS NOT NULL").select("session_id", last, F.col("ord").alias("clip"), F.col("person_key").alias("other"), queue.alias("queue"))
+    want = F.struct((F.col("own") == F.col("other")).alias("own"), (-F.col("queue")).alias("queue"), (-F.col("clip")).alias("clip")).alias("want")
+    taken, _ = in_turn(said.join(held, ["session_id", "last"]).select("session_id", "last", "idx", "clip", want), ["session_id", "last"])
+    return taken.join(clips.select("session_id", F.col("ord").alias("clip"), "url"), ["session_id", "clip"]).select("session_id", "idx", "url")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..folders import fresh
 from ..functions import text as X
-from ..operators import algorithms, dashboards, factcheck, index, quality, resolve, retrieval, sequence, timejoin, vectors
+from ..operators import algorithms, components, dashboards, factcheck, index, quality, resolve, retrieval, sequence, timejoin, vectors
 from ..operators import graph as G
 from ..operators.graph_queries import Graph
 from ..sources import sinks
@@ -526,6 +526,60 @@ def vector_index_topk(spark, d):
     return found.join(by_query, "query").select("query", "rank", F.col("key").alias("vec_id"), "score", "recall")
 
 
+@query(
+    "matched_captions",
+    r"""WITH RECURSIVE c AS (SELECT conv_id // 10 AS s, turn % 2 AS k, conv_id % 2 AS side, conv_id * 100 + turn AS no, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM conversations),
+n AS (SELECT s, k, side, no, t, count(*) AS n FROM (SELECT s, k, side, no, unnest(w) AS t FROM c) GROUP BY ALL),
+shared AS (SELECT a.s, a.k, a.no AS idx, b.no AS clip, sum(least(a.n, b.n)) AS shared FROM n a JOIN n b ON a.s = b.s AND a.k = b.k AND a.t = b.t WHERE a.side = 0 AND b.side = 1 GROUP BY ALL),
+e AS (SELECT a.s, a.k, a.no AS idx, b.no AS clip, 2 * coalesce(shared, 0) / (len(a.w) + len(b.w)) AS ratio FROM c a JOIN c b ON a.s = b.s AND a.k = b.k LEFT JOIN shared h ON h.s = a.s AND h.k = a.k AND h.idx = a.no AND h.clip = b.no
+  WHERE a.side = 0 AND b.side = 1 AND len(a.w) >= 20 AND len(b.w) <= 3 * len(a.w) + 50),
+l AS (SELECT s, k, idx, list({'clip': clip, 'ratio': ratio} ORDER BY ratio DESC, clip) AS wants, row_number() OVER (PARTITION BY s, k ORDER BY idx) AS nth FROM e GROUP BY s, k, idx),
+r AS (SELECT s, k, 0::BIGINT AS nth, NULL::BIGINT AS idx, NULL::STRUCT(clip BIGINT, ratio DOUBLE) AS got, []::BIGINT[] AS used FROM (SELECT DISTINCT s, k FROM l)
+UNION ALL SELECT s, k, nth, idx, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.clip) END FROM (
+  SELECT r.s, r.k, l.nth, l.idx, r.used, list_filter(l.wants, lambda x: NOT list_contains(r.used, x.clip))[1] AS got FROM r JOIN l ON l.s = r.s AND l.k = r.k AND l.nth = r.nth + 1))
+SELECT s AS session_id, k AS key, idx, got.clip AS clip, round(got.ratio, 6) AS ratio FROM r WHERE got IS NOT NULL""",
+)
+def matched_captions(spark, d):
+    """One caption for each speech, no caption twice."""
+    c = t(spark, d, "conversations").select(F.expr("conv_id div 10").alias("session_id"), (F.col("turn") % 2).alias("key"), (F.col("conv_id") % 2).alias("side"), (F.col("conv_id") * 100 + F.col("turn")).alias("no"), F.coalesce("text", F.lit("")).alias("text"))
+    one = lambda side, name: c.where(F.col("side") == side).withColumnRenamed("no", name).drop("side")
+    return quality.matched_captions(one(0, "idx"), one(1, "clip")).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(
+    "linked_videos",
+    """WITH RECURSIVE c AS (SELECT conv_id // 10 AS s, conv_id % 2 AS side, conv_id * 100 + turn AS no, 'l' || (conv_id // 2 % 2) AS last, 'n' || (turn % 3) AS own FROM conversations),
+q AS (SELECT *, min(no) OVER (PARTITION BY s, last, own) AS queue FROM c WHERE side = 1),
+l AS (SELECT s, last, idx, wants, row_number() OVER (PARTITION BY s, last ORDER BY idx) AS nth FROM (
+  SELECT a.s, a.last, a.no AS idx, list(b.no ORDER BY a.own <> b.own, b.queue, b.no) AS wants FROM c a JOIN q b ON a.s = b.s AND a.last = b.last WHERE a.side = 0 GROUP BY 1, 2, 3)),
+r AS (SELECT s, last, 0::BIGINT AS nth, NULL::BIGINT AS idx, NULL::BIGINT AS got, []::BIGINT[] AS used FROM (SELECT DISTINCT s, last FROM l)
+UNION ALL SELECT s, last, nth, idx, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END FROM (
+  SELECT r.s, r.last, l.nth, l.idx, r.used, list_filter(l.wants, lambda x: NOT list_contains(r.used, x))[1] AS got FROM r JOIN l ON l.s = r.s AND l.last = r.last AND l.nth = r.nth + 1))
+SELECT s AS session_id, idx, 'u' || got AS url FROM r WHERE got IS NOT NULL""",
+)
+def linked_videos(spark, d):
+    """Clips by name in order, and the next one of a namesake where a name has none left."""
+    c = t(spark, d, "conversations").select(F.expr("conv_id div 10").alias("session_id"), (F.col("conv_id") % 2).alias("side"), (F.col("conv_id") * 100 + F.col("turn")).alias("no"), F.expr("concat('n', turn % 3, ' l', (conv_id div 2) % 2)").alias("person_key"))
+    speeches, clips = (c.where(F.col("side") == s) for s in (0, 1))
+    return quality.linked_videos(speeches.withColumnRenamed("no", "idx"), clips.withColumnRenamed("no", "ord").withColumn("url", F.concat(F.lit("u"), "ord")))
+
+
+@query(
+    "merged_components",
+    """WITH RECURSIVE k AS (SELECT client_id AS a, min(client_id) OVER (PARTITION BY email) AS b FROM clients WHERE email IS NOT NULL
+UNION SELECT client_id, min(client_id) OVER (PARTITION BY lower(name)) FROM clients WHERE name IS NOT NULL UNION SELECT client_id, master_id FROM clients WHERE master_id IS NOT NULL),
+e AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT client_id AS id, client_id AS seen FROM clients UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT id, min(seen) AS component FROM r GROUP BY 1""",
+)
+def merged_components(spark, d):
+    """Clients that one email, one name or one master record makes the same person, however long the chain."""
+    c = t(spark, d, "clients").select("client_id", "master_id", "email", F.lower("name").alias("name"))
+    same = lambda by: c.where(F.col(by).isNotNull()).join(c.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("client_id").alias("b")), by).select(F.col("client_id").alias("a"), "b")
+    links = same("email").unionByName(same("name")).unionByName(c.select(F.col("client_id").alias("a"), F.col("master_id").alias("b")))
+    found = components.components(links)
+    return c.select(F.col("client_id").alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 @query("vector_topk", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 25")
 def vector_topk(spark, d):
     """The nearest vectors to one."""

@@ -5,8 +5,6 @@ import pytest
 
 from plenaria.plans import registry
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 def plain(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
@@ -16,9 +14,9 @@ def plain(rows, names):
 @pytest.fixture(scope="session")
 def duck(data):
     c = duckdb.connect()
-    for t in TABLES:
-        p = f"{data}/{t}.parquet"
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
+    for name in sorted(os.listdir(data)):
+        p = f"{data}/{name}"
+        c.execute(f"CREATE VIEW {name.partition('.')[0]} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return c
 
 

@@ -265,3 +265,42 @@ def test_vector_index(spark, tmp_path):
     assert len(r) == 12 and sum(x.hits for x in r) >= 0.9 * sum(x.wanted for x in r)
     vectors.build(v.limit(0), str(tmp_path / "none"))
     assert vectors.search(spark, str(tmp_path / "none"), q, 5).count() == 0
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from plenaria.operators import components
+
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(50)] + [(200, 200), (300, 301), (301, 300), (None, 1), (5, None)]
+    links += [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(110)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_merges_that_chain_end_in_one_person(spark):
+    from plenaria.operators import components
+
+    people = spark.createDataFrame([("p1", 1), ("p2", 5), ("p3", 5), ("p4", 0)], "id string, deg int")
+    names = spark.createDataFrame([("p1", ["p2"])], "target string, others array<string>")
+    registry = spark.createDataFrame([("p2", ["p3"]), ("gone", ["p4"])], "target string, others array<string>")
+    got = {(r.old, r.new) for r in components.merged_ids([names, registry], people).collect()}
+    assert got == {("p1", "p2"), ("p3", "p2"), ("gone", "p4")}
+
+
+def test_matching_meets_clips_without_shared_words(spark):
+    w = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    speeches = spark.createDataFrame([("s", "k", 0, w("a", 25)), ("s", "k", 1, w("a", 25)), ("s", "k", 2, w("b", 30)), ("s", "k", 3, w("c", 30))], "session_id string, key string, idx long, text string")
+    clips = spark.createDataFrame([("s", "k", 0, w("b", 30)), ("s", "k", 1, w("a", 24)), ("s", "k", 2, w("z", 500))], "session_id string, key string, clip long, text string")
+    assert sorted((r.idx, r.clip, r.ratio) for r in quality.matched_captions(speeches, clips).collect()) == [(0, 1, 48 / 49), (1, 0, 0.0)]
