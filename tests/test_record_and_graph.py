@@ -248,3 +248,28 @@ def test_record_of_many_parts_needs_no_python(spark):
     items = record.parse_records(spark.createDataFrame([("s", long)], "session_id string, xml string"))
     assert items.where("kind = 'speech'").count() == 4000
     assert "Python" not in items._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audio_frames_of_all_widths_and_broken_files(spark, tmp_path):
+    import io
+    import wave
+
+    def wav(width, channels, values):
+        held = io.BytesIO()
+        with wave.open(held, "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(width)
+            w.setframerate(10)
+            w.writeframes(b"".join((v + 128).to_bytes(1, "little") if width == 1 else v.to_bytes(width, "little", signed=True) for v in values))
+        return held.getvalue()
+
+    half = lambda width: 1 << (8 * width - 2)
+    files = [(f"w{k}", wav(k, 1, [half(k)] * 10 + [0] * 10 + [-half(k)] * 5)) for k in (1, 2, 3, 4)]
+    files += [("stereo", wav(2, 2, [half(2), -half(2)] * 10)), ("none", wav(2, 1, [])), ("broken", b"RIFF"), ("null", None)]
+    f = inputs.audio_frames(spark.createDataFrame(files, "session_id string, content binary"), 1.0).collect()
+    for k in (1, 2, 3, 4):
+        assert [(r.frame, r.at, r.width, r.power) for r in f if r.session_id == f"w{k}"] == [(0, 0.0, 1.0, 0.25), (1, 1.0, 1.0, 0.0), (2, 2.0, 0.5, 0.25)]
+    assert [r.power for r in f if r.session_id == "stereo"] == [0.0]
+    assert sorted(r.session_id for r in f if r.error) == ["broken", "null"] and not any(r.session_id == "none" for r in f)
+    (tmp_path / "a.wav").write_bytes(files[1][1])
+    assert inputs.audio_frames(inputs.read_audio(spark, str(tmp_path)), 1.0).count() == 3
