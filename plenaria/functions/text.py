@@ -37,6 +37,20 @@ PARTIES = [
     ("sahra wagenknecht", "BSW"),
     ("fraktionslos", "fraktionslos"),
 ]
+# Parties as media feeds name them, in order of precedence.
+FEED_PARTIES = [
+    ("cdu/csu", "CDU/CSU"),
+    ("b90/grüne", "BÜNDNIS 90/DIE GRÜNEN"),
+    ("bündnis 90", "BÜNDNIS 90/DIE GRÜNEN"),
+    ("grüne", "BÜNDNIS 90/DIE GRÜNEN"),
+    ("afd", "AfD"),
+    ("spd", "SPD"),
+    ("fdp", "FDP"),
+    ("die linke", "Die Linke"),
+    ("linke", "Die Linke"),
+    ("bsw", "BSW"),
+    ("fraktionslos", "fraktionslos"),
+]
 # Classes of sounds by reaction.
 SOUNDS = {
     "Applause": "Beifall",
@@ -147,7 +161,7 @@ def votes_before(text: Column, noun: str) -> Column:
 def _compositions() -> tuple[str, str]:
     """Pairs of a letter and a combining mark, one behind another, and the letters that they make, by Unicode's rule, for
     Latin letters and the common marks."""
-    bases = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    bases = [chr(c) for c in (*range(0x41, 0x250), *range(0x1E00, 0x1F00)) if chr(c).isalpha()]
     both = [(b + chr(m), unicodedata.normalize("NFC", b + chr(m))) for b in bases for m in range(0x300, 0x32A)]
     return "".join(p for p, one in both if len(one) == 1), "".join(one for _, one in both if len(one) == 1)
 
@@ -200,10 +214,10 @@ def party(text: Column) -> Column:
 
 
 def known_party(text: Column) -> Column:
-    """The canonical party, null if none is named (media feeds)."""
+    """The canonical party by the names that media feeds use, null if none is named."""
     low = F.lower(text)
     out = F.when(F.lit(False), F.lit(""))
-    for part, canonical in PARTIES:
+    for part, canonical in FEED_PARTIES:
         out = out.when(low.contains(part), F.lit(canonical))
     return out
 
@@ -275,6 +289,11 @@ def names_agree(first: Column, other: Column) -> Column:
     return F.startswith(a, b) | F.startswith(b, a)
 
 
+def registry_url(registry_id: Column) -> Column:
+    """The public page of a person of the registry."""
+    return F.concat(F.lit("https://dip.bundestag.de/person/"), registry_id.cast("string"))
+
+
 def safe_label(text: Column) -> Column:
     """Whether a label or type may stand in a graph statement."""
     return text.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z")

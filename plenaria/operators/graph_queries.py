@@ -121,11 +121,19 @@ class Graph:
 
     def co_speech(self) -> DataFrame:
         """Pairs of persons (source < target) by the distinct agenda items that both speak to."""
-        on = self.hop(self.rel("HAT_REDEBEITRAG", "person", "speech"), "ZU_TOP", "speech", "top").select("session_id", "top", "person").distinct()
-        other = on.select("session_id", "top", F.col("person").alias("target"))
-        pairs = on.join(other, ["session_id", "top"]).where(F.col("person") < F.col("target"))
+        # Pairs meet and are counted by 64-bit hashes, as there are many more of them than persons.
+        number = F.xxhash64
+        spoken = self.rel("HAT_REDEBEITRAG", "person", "speech")
+        talk = spoken.select(number("session_id", "speech").alias("s"), number("person").alias("a"))
+        to = self.rel("ZU_TOP", "speech", "top").select(number("session_id", "speech").alias("s"), number("session_id", "top").alias("top"))
+        on = talk.join(to, "s").select("top", "a").distinct()
+        pairs = on.join(on.select("top", F.col("a").alias("b")), "top").where("a < b")
         # A person is on an item once, so a pair meets on an item once.
-        return pairs.groupBy(F.col("person").alias("source"), "target").agg(F.count(F.lit(1)).alias("weight"))
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+        who = spoken.select("person").distinct()
+        for end in ("a", "b"):
+            counted = counted.join(who.select(number("person").alias(end), F.col("person").alias(f"person_{end}")), end)
+        return counted.select(F.least("person_a", "person_b").alias("source"), F.greatest("person_a", "person_b").alias("target"), "weight")
 
     def schema(self) -> tuple[DataFrame, DataFrame]:
         """Of each node type: count, property keys, layers; of each edge type: count and the pairs of types that it joins."""

@@ -25,7 +25,7 @@ def id_map(found: DataFrame) -> DataFrame:
 
 
 def registered(persons: DataFrame, registry: DataFrame, period: int = 21) -> DataFrame:
-    """Persons (id, label, fraktion) with the registry id (dip_id) that is theirs for certain, else null.
+    """Persons (id, label, fraktion) with the registry id (dip_id) that is theirs for certain and its page (dip_url), else null.
 
     Candidates share the last name; those of the period come before others; first names must agree; several are told
     apart by the party."""
@@ -37,7 +37,7 @@ def registered(persons: DataFrame, registry: DataFrame, period: int = 21) -> Dat
     c = c.withColumn("any_now", F.max("now").over(w)).where(F.col("now") | ~F.col("any_now"))
     c = c.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("mine", F.coalesce(F.exists("fraktionen", lambda f: X.party(f) == F.col("fraktion")), F.lit(False)))
     c = c.withColumn("n_mine", F.sum(F.col("mine").cast("int")).over(w)).where((F.col("n") == 1) | (F.col("mine") & (F.col("n_mine") == 1)))
-    return persons.join(c.select("id", "dip_id"), "id", "left")
+    return persons.join(c.select("id", "dip_id", X.registry_url(F.col("dip_id")).alias("dip_url")), "id", "left")
 
 
 def registry_clusters(persons: DataFrame) -> DataFrame:

@@ -358,7 +358,7 @@ _COSPEECH = "WITH o AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS t FROM line
 def _co_speech(spark, d):
     """Suppliers as persons, lines as speeches, parts as agenda items."""
     i = t(spark, d, "lineitem")
-    name = F.format_string("%012d", F.col("l_suppkey"))  # ids of one length compare as their numbers do
+    name = F.lpad(F.col("l_suppkey").cast("string"), 12, "0")  # ids of one length compare as their numbers do
     speech = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     edges = _edge(i, "HAT_REDEBEITRAG", name, speech).unionByName(_edge(i, "ZU_TOP", speech, F.col("l_partkey").cast("string")))
     g = Graph(_node(i.limit(0), "Person", name), edges)

@@ -41,14 +41,25 @@ def checked(lists: dict[str, DataFrame], evidence: DataFrame, allow_real_persons
     return factcheck.check_statements(s, evidence.select("ev_idx", "keys", "verdikt", "begruendung", "quelle"), ["session_id", "i"], stand, url)
 
 
+def of_sessions(events: DataFrame, utterances: DataFrame) -> DataFrame:
+    """Events with the session that they belong to: the only one there is, else the one that their file names; an error if there is none."""
+    sessions = utterances.select("session_id").distinct()
+    some = sessions.limit(2).collect()
+    if len(some) == 1:
+        return events.withColumn("session_id", F.lit(some[0].session_id))
+    lost = events.join(sessions, "session_id", "left_anti").select("session_id").first()
+    if lost:
+        raise ValueError(f"events of {lost.session_id}, which none of several sessions is named")
+    return events
+
+
 def build_session(spark: SparkSession, transcript: str, evidence: str | None = None, events: str | None = None, meta: tuple[str, str, str] = ("Sitzung", "", "")) -> dict[str, DataFrame]:
-    """A diarised transcript to record lists, nodes, edges and dashboard tables."""
+    """Diarised transcripts to record lists, nodes, edges and dashboard tables; sound events go to the session that of_sessions says."""
     u = inputs.utterances(inputs.read_transcripts(spark, transcript))
     lists = extract.extract(u, dict(zip(("gremium", "datum", "ort"), meta, strict=True))) | {"utterances": u}
     lists["meeting"] = default_meeting(lists, *meta)
     if events:
-        session = u.select("session_id").distinct()
-        lists["reactions"] = heard(lists, inputs.read_sound_events(spark, events).drop("session_id").crossJoin(F.broadcast(session.limit(1))))  # one file, one session
+        lists["reactions"] = heard(lists, of_sessions(inputs.read_sound_events(spark, events), u))
     return _finished(lists, inputs.read_evidence(spark, evidence) if evidence else None)
 
 
@@ -112,7 +123,8 @@ def corpus_errors(errors: DataFrame) -> DataFrame:
 
 
 def load_sessions(sessions: list[dict[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of several built sessions with namespaced ids, shared nodes once."""
+    """Nodes and edges of built lists with namespaced ids, shared nodes once. Lists hold any number of sessions, so there is
+    one entry for each kind of source, not for each session."""
     nodes = edges = None
     for lists in sessions:
         n, e = graph.namespaced(lists["nodes"], lists["edges"])

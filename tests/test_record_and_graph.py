@@ -273,3 +273,12 @@ def test_audio_frames_of_all_widths_and_broken_files(spark, tmp_path):
     assert sorted(r.session_id for r in f if r.error) == ["broken", "null"] and not any(r.session_id == "none" for r in f)
     (tmp_path / "a.wav").write_bytes(files[1][1])
     assert inputs.audio_frames(inputs.read_audio(spark, str(tmp_path)), 1.0).count() == 3
+
+
+def test_events_find_their_session(spark):
+    events = spark.createDataFrame([("a", 0), ("b", 1)], "session_id string, i int")
+    u = lambda *s: spark.createDataFrame([(x,) for x in s], "session_id string")
+    assert rows(jobs.of_sessions(events, u("rat", "rat")), "i", "session_id") == [(0, "rat"), (1, "rat")]
+    assert rows(jobs.of_sessions(events, u("a", "b", "c")), "i", "session_id") == [(0, "a"), (1, "b")]
+    with pytest.raises(ValueError, match="events of b"):
+        jobs.of_sessions(events, u("a", "c"))
