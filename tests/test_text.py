@@ -28,7 +28,7 @@ def one(spark, value, f, kind="string"):
         (X.known_party, "Alternative für alle", None),
         (X.known_party, "Eva Y (B90/Grüne)", "BÜNDNIS 90/DIE GRÜNEN"),
         (X.office_free, "Pra\u0308sidentin Jo Mu\u0308ller", "Jo Müller"),
-        (X.composed, "e\u0323\u0302 a\u0308 x\u0308", "\u1ec7 ä x\u0308"),
+        (X.composed, "e\u0323\u0302 a\u0308 q\u0308", "\u1ec7 ä q\u0308"),
         (X.registry_url, "7", "https://dip.bundestag.de/person/7"),
         (X.known_party, "Otto X", None),
         (X.reaction_type, "(Heiterkeit und Beifall)", "Beifall"),
