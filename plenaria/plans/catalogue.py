@@ -18,6 +18,7 @@ from ..operators import graph as G
 from ..operators.graph_queries import Graph
 from ..sources import inputs, sinks
 from ..streaming import incremental
+from . import jobs
 from .registry import query
 
 #: Subjects and evidence keys for invented prose: frequent tokens of the tables stand for keywords.
@@ -584,6 +585,61 @@ def audio_events(spark, d):
     return inputs.detected_events(scored, 0.68).select(F.col("session_id").alias("doc_id"), "start_sec", "end_sec", "score", "db", "typ", "intensitaet")
 
 
+@query(
+    "passage_texts",
+    """WITH c AS (SELECT conv_id, conv_id * 100 + turn AS idx, role, coalesce(text, '') AS text, floor((row_number() OVER w - 1) / greatest(1, floor(count(*) OVER (PARTITION BY conv_id) / 3)))::BIGINT AS passage FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id AS session_id, passage, min(idx) AS idx, arg_min(role, idx) AS person, substring(string_agg(text, ' ' ORDER BY idx), 1, 500) AS text FROM c WHERE passage < 3 GROUP BY 1, 2""",
+)
+def passage_texts(spark, d):
+    """Passages for a model that finds claims: texts in order, cut to so many letters, by the first one's speaker."""
+    u = t(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("idx"), F.coalesce("role", F.lit("")).alias("speaker_name"), F.coalesce("text", F.lit("")).alias("text"))
+    return jobs.bucketed_claims(u, 3, 500)
+
+
+@query(
+    "session_media",
+    """SELECT client_id AS fvid, strftime(updated_at, '%d.%m.%Y') AS datum, strftime(updated_at, '%H:%M') AS uhr, name AS text, row_number() OVER (PARTITION BY strftime(updated_at, '%d.%m.%Y') ORDER BY strftime(updated_at, '%H:%M'), client_id::VARCHAR)::INT AS nth
+FROM clients WHERE nation_id = 7 AND length(name) > 0 AND updated_at IS NOT NULL""",
+)
+def session_media(spark, d):
+    """The clips of a session by date, time and id as texts, numbered within a day."""
+    c = t(spark, d, "clients").where("updated_at IS NOT NULL").select(F.col("client_id").cast("string").alias("fvid"), F.date_format("updated_at", "dd.MM.yyyy").alias("datum"), F.date_format("updated_at", "HH:mm").alias("uhr"), F.col("nation_id").cast("int").alias("nr"), F.col("name").alias("text"))
+    nth = F.row_number().over(W.partitionBy("datum").orderBy("uhr", "fvid"))
+    return inputs.session_clips(c, 7).withColumn("nth", nth).select(F.col("fvid").cast("long").alias("fvid"), "datum", "uhr", "text", "nth")
+
+
+@query(
+    "joined_evidence",
+    """WITH s AS (SELECT client_id AS k, 0 AS src, row_number() OVER (PARTITION BY client_id ORDER BY sale_id) AS rank, 'sale ' || sale_id AS titel FROM sales WHERE client_id IS NOT NULL AND status = 'open'
+UNION ALL SELECT client_id, 1, row_number() OVER (PARTITION BY client_id ORDER BY change_id, seq, op), 'change ' || change_id FROM client_changes WHERE client_id IS NOT NULL)
+SELECT k, titel, row_number() OVER (PARTITION BY k ORDER BY src, rank)::INT AS n FROM s QUALIFY n <= 5""",
+)
+def joined_evidence(spark, d):
+    """H7: evidence of two sources, those of the first one first, five for each claim at most."""
+    first = t(spark, d, "sales").where("client_id IS NOT NULL AND status = 'open'").select(F.col("client_id").alias("k"), F.row_number().over(W.partitionBy("client_id").orderBy("sale_id")).alias("rank"), F.concat(F.lit("sale "), "sale_id").alias("titel"))
+    second = t(spark, d, "client_changes").where("client_id IS NOT NULL").select(F.col("client_id").alias("k"), F.row_number().over(W.partitionBy("client_id").orderBy("change_id", "seq", "op")).alias("rank"), F.concat(F.lit("change "), "change_id").alias("titel"))
+    return factcheck.combined_evidence([first, second], ["k"]).select("k", "titel", "n")
+
+
+@query(
+    "transcript_report",
+    r"""WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM conversations WHERE turn < 2),
+p AS (SELECT a.conv_id, a.w AS r, b.w AS h, len(a.w) AS nr FROM t a JOIN t b ON a.conv_id = b.conv_id WHERE a.turn = 0 AND b.turn = 1),
+rec AS (SELECT conv_id, 0 AS i, nr, r, h, range(0, len(h) + 1) AS cells FROM p
+UNION ALL SELECT conv_id, i + 1, nr, r, h, list_reduce(range(1, len(h) + 1), lambda acc, j: list_append(acc, least(cells[j] + (h[j] <> r[i + 1])::INT, cells[j + 1] + 1, acc[j] + 1)), [(i + 1)::BIGINT]) FROM rec WHERE i < nr),
+f AS (SELECT conv_id % 20 AS session_id, sum(cells[len(cells)]) AS edits, sum(nr) AS n_ref FROM rec WHERE i = nr GROUP BY 1), s AS (SELECT *, edits / greatest(n_ref, 1) AS wer FROM f)
+SELECT round(avg(wer), 6) AS wer_mittel, round(min(wer), 6) AS wer_min, round(max(wer), 6) AS wer_max, round(sum(edits) / sum(n_ref), 6) AS wer_gesamt, sum(n_ref)::BIGINT AS woerter FROM s""",
+)
+def transcript_report(spark, d):
+    """Word errors of the corpus: mean, least and most of the sessions, and all edits by all words."""
+    c = t(spark, d, "conversations").where("turn < 2")
+    turn = lambda i, name: c.where(F.col("turn") == i).select("conv_id", F.coalesce("text", F.lit("")).alias(name))
+    e = quality.word_errors(turn(0, "ref").join(turn(1, "hyp"), "conv_id"))
+    errors = e.select((F.col("conv_id") % 20).alias("session_id"), (F.col("subs") + F.col("ins") + F.col("dels")).alias("edits"), "n_ref")
+    r = jobs.corpus_errors(errors)
+    return r.select(*[F.round(x, 6).alias(x) for x in ("wer_mittel", "wer_min", "wer_max", "wer_gesamt")], "woerter")
+
+
 @query(
     "merged_components",
     """WITH RECURSIVE k AS (SELECT client_id AS a, min(client_id) OVER (PARTITION BY email) AS b FROM clients WHERE email IS NOT NULL
