@@ -640,6 +640,25 @@ def transcript_report(spark, d):
     return r.select(*[F.round(x, 6).alias(x) for x in ("wer_mittel", "wer_min", "wer_max", "wer_gesamt")], "woerter")
 
 
+@query(
+    "vector_hits_explained",
+    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q),
+h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 6)
+SELECT 's' || vec_id % 5 AS session_id, 'v' || vec_id AS seg, 'Text ' || vec_id AS text, CASE WHEN vec_id % 4 > 0 THEN 'P' || vec_id % 4 END AS sprecher, CASE WHEN vec_id % 3 > 0 AND vec_id // 5 % 2 = 0 THEN 'top' || vec_id // 5 % 7 END AS top, score FROM h""",
+)
+def vector_hits_explained(spark, d):
+    """The best segments for each query with their text and speaker, and the agenda item of the speech that they back, if they back one."""
+    path, queries = _vector_index(spark, d)
+    found = vectors.search(spark, path, queries, 6, True, key="vec_id")
+    v = t(spark, d, "embeddings").select(F.concat(F.lit("s"), F.col("vec_id") % 5).alias("session_id"), F.concat(F.lit("v"), "vec_id").alias("seg"), "vec_id", F.concat(F.lit("r"), F.expr("vec_id div 5"), F.lit("_"), F.col("vec_id")).alias("x"))
+    props = F.map_filter(F.create_map(F.lit("text"), F.concat(F.lit("Text "), "vec_id"), F.lit("sprecher"), F.when(F.col("vec_id") % 4 > 0, F.concat(F.lit("P"), F.col("vec_id") % 4))), lambda _, x: x.isNotNull())
+    nodes = _node(v, "Transkriptsegment", F.col("seg"), F.col("seg"), F.col("session_id")).drop("props").join(v.select("session_id", F.col("seg").alias("id"), props.alias("props")), ["session_id", "id"])
+    backs = _edge(v.where("vec_id % 3 > 0"), "BELEGT_DURCH", F.col("x"), F.col("seg"), F.col("session_id"))
+    to = _edge(v.where("vec_id div 5 % 2 = 0"), "ZU_TOP", F.col("x"), F.concat(F.lit("top"), F.expr("vec_id div 5 % 7")), F.col("session_id"))
+    hits = found.select(F.concat(F.lit("s"), F.col("key") % 5).alias("session_id"), F.concat(F.lit("v"), "key").alias("seg"), "score")
+    return Graph(nodes, backs.unionByName(to)).evidence_path(hits)
+
+
 @query(
     "merged_components",
     """WITH RECURSIVE k AS (SELECT client_id AS a, min(client_id) OVER (PARTITION BY email) AS b FROM clients WHERE email IS NOT NULL
