@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..operators import algorithms, components, dashboards, factcheck, index, quality, resolve, retrieval, sequence, timejoin, vectors
 from ..operators import graph as G
 from ..operators.graph_queries import Graph
-from ..sources import inputs, sinks
+from ..sources import inputs, sinks, store
 from ..streaming import incremental
 from . import jobs
 from .registry import query
@@ -659,6 +659,23 @@ def vector_hits_explained(spark, d):
     return Graph(nodes, backs.unionByName(to)).evidence_path(hits)
 
 
+@query(
+    "published_graph",
+    f"""WITH {_GRAPH_BASE} SELECT 'person_' || c_custkey AS id, c_name AS label, 'Person' AS type, c_mktsegment AS subtype FROM c UNION ALL SELECT DISTINCT session_id || ':top_' || n_nationkey, n_name, 'Tagesordnungspunkt', '' FROM c
+UNION ALL SELECT 'person_' || c_custkey || '>' || session_id || ':top_' || n_nationkey, NULL, 'ZU_TOP', NULL FROM c""",
+)
+def published_graph(spark, d):
+    """Graphs of many sessions loaded in two batches, one of them twice, and read back."""
+    path = fresh(spark, "published")
+    nodes, edges = _graph(spark, d)
+    for batch, ord in (("A", "1"), ("B", "2"), ("A", "1")):
+        own = lambda df: df.where(F.substring("session_id", 1, 1).isin("A") if batch == "A" else ~F.substring("session_id", 1, 1).isin("A"))  # noqa: E731, B023
+        jobs.publish({"nodes": own(nodes), "edges": own(edges)}, path, f"batch {batch}", ord)
+    n, e = store.graph(spark, path)
+    links = e.select(F.concat("source_id", F.lit(">"), "target_id").alias("id"), F.lit(None).cast("string").alias("label"), F.col("relationship_type").alias("type"), F.lit(None).cast("string").alias("subtype"))
+    return n.select("id", "label", "type", "subtype").unionByName(links)
+
+
 @query(
     "merged_components",
     """WITH RECURSIVE k AS (SELECT client_id AS a, min(client_id) OVER (PARTITION BY email) AS b FROM clients WHERE email IS NOT NULL

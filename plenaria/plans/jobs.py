@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import extract, factcheck, graph, quality, sequence, timejoin
 from ..operators.dashboards import session_dashboard
-from ..sources import inputs, record
+from ..sources import inputs, record, store
 
 
 def heard(lists: dict[str, DataFrame], events: DataFrame) -> DataFrame:
@@ -122,6 +122,13 @@ def corpus_errors(errors: DataFrame) -> DataFrame:
     return s.agg(F.avg("wer").alias("wer_mittel"), F.min("wer").alias("wer_min"), F.max("wer").alias("wer_max"), (F.sum("edits") / F.sum("n_ref")).alias("wer_gesamt"), F.sum("n_ref").alias("woerter"))
 
 
+def publish(lists: dict[str, DataFrame], path: str, batch: str, ord: str) -> bool:
+    """Loads built lists of any number of sessions into a store in one call: ids get their session, what is shared merges, and of a
+    property the value of the greatest ord holds. False if that batch is in already; a batch that died comes again."""
+    nodes, edges = graph.namespaced(lists["nodes"], lists["edges"])
+    return store.upsert(store.graph_rows(nodes, edges, F.lit(ord)), path, batch)
+
+
 def load_sessions(sessions: list[dict[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of built lists with namespaced ids, shared nodes once. Lists hold any number of sessions, so there is
     one entry for each kind of source, not for each session."""

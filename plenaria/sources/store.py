@@ -93,10 +93,25 @@ def vacuum(spark: SparkSession, path: str) -> None:
             fs.delete(s.getPath(), True)
 
 
+_NODE, _EDGE = ("id", "label", "type", "subtype", "schicht"), ("source_id", "relationship_type", "target_id")
+
+
 def graph_rows(nodes: DataFrame, edges: DataFrame, ord: Column) -> DataFrame:
-    """Nodes and edges of a namespaced graph as rows of a store; an edge's key names its ends and its type."""
-    lead = lambda *cs: F.create_map(*[x for c in cs for x in (F.lit(c), F.col(c).cast("string"))])
-    entries = lambda own: F.explode(F.map_entries(F.map_concat(F.map_filter(F.col("props"), lambda k, _: ~k.isin("label", "type", "subtype", "schicht")), own))).alias("e")
-    n = nodes.select(F.concat(F.lit("n|"), "id").alias("key"), ord.alias("ord"), entries(lead("label", "type", "subtype", "schicht")))
-    e = edges.select(F.concat(F.lit("e|"), F.concat_ws("|", "source_id", "relationship_type", "target_id")).alias("key"), ord.alias("ord"), F.explode(F.map_entries(F.map_concat(F.col("props"), F.create_map(F.lit("type"), F.col("relationship_type"))))).alias("e"))
-    return n.unionByName(e).select("key", F.col("e.key").alias("prop"), F.col("e.value").alias("value"), "ord")
+    """Nodes and edges of a namespaced graph as rows of a store; an edge's key names its ends and its type.
+
+    Properties named like a column of their own are left out, as the column has that name."""
+
+    def entries(df: DataFrame, key: Column, own: tuple[str, ...]) -> DataFrame:
+        lead = F.create_map(*[x for c in own for x in (F.lit(c), F.col(c).cast("string"))])
+        rest = F.map_filter(F.coalesce("props", F.expr("map()").cast("map<string,string>")), lambda k, _: ~k.isin(*own))
+        return df.select(key.alias("key"), ord.alias("ord"), F.explode(F.map_entries(F.map_concat(rest, lead))).alias("e")).select("key", F.col("e.key").alias("prop"), F.col("e.value").alias("value"), "ord")
+
+    n = entries(nodes, F.concat(F.lit("n|"), "id"), _NODE)
+    return n.unionByName(entries(edges, F.concat(F.lit("e|"), F.concat_ws("|", *_EDGE)), _EDGE))
+
+
+def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a store that graph_rows were loaded into, with the other properties as a map."""
+    whole = read(spark, path).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("prop", "value"))).alias("p"))
+    of = lambda start, own: whole.where(F.startswith("key", F.lit(start))).select(*[F.col("p")[c].alias(c) for c in own], F.map_filter("p", lambda k, _: ~k.isin(*own)).alias("props"))
+    return of("n|", _NODE), of("e|", _EDGE)

@@ -57,8 +57,15 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert numbers == [0] and store.applied(spark, path) == ["first"] and state(spark, path) == {("x", "p"): "1"}
 
 
-def test_graph_rows(spark):
-    n = spark.createDataFrame([("a", "L", "T", "s", "c", {"k": "1", "label": "no"})], "id string, label string, type string, subtype string, schicht string, props map<string,string>")
-    e = spark.createDataFrame([("a", "b", "R", {"w": "2"})], "source_id string, target_id string, relationship_type string, props map<string,string>")
-    got = {(r.key, r.prop): r.value for r in store.graph_rows(n, e, F.lit("1")).collect()}
-    assert got == {("n|a", "label"): "L", ("n|a", "type"): "T", ("n|a", "subtype"): "s", ("n|a", "schicht"): "c", ("n|a", "k"): "1", ("e|a|R|b", "w"): "2", ("e|a|R|b", "type"): "R"}
+def test_graphs_are_published_and_read_back(spark, tmp_path):
+    from plenaria.plans import jobs
+
+    path = str(tmp_path / "g")
+    kinds = "session_id string, id string, label string, type string, subtype string, schicht string, props map<string,string>"
+    n = lambda label, **p: spark.createDataFrame([("s", "a", label, "Rede", "x", "c", {**p, "label": "no"}), ("s", "p", "P", "Person", "", "c", None)], kinds)
+    e = spark.createDataFrame([("s", "p", "a", "R", {"w": "2", "source_id": "no"})], "session_id string, source_id string, target_id string, relationship_type string, props map<string,string>")
+    assert jobs.publish({"nodes": n("new", k="2"), "edges": e}, path, "two", "2") and jobs.publish({"nodes": n("old", k="1", j="1"), "edges": e}, path, "one", "1")
+    assert not jobs.publish({"nodes": n("old", k="1"), "edges": e}, path, "one", "1")
+    nodes, edges = store.graph(spark, path)
+    assert sorted((r.id, r.label, r.type, r.props) for r in nodes.collect()) == [("p", "P", "Person", {}), ("s:a", "new", "Rede", {"j": "1", "k": "2"})]
+    assert [tuple(r) for r in edges.collect()] == [("p", "R", "s:a", {"w": "2"})]
