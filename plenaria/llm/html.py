@@ -27,7 +27,8 @@ from .common import map_text, table, without
 # Fixed values of the HTML standard: elements that hold no children, whose content is raw text, that stand in a
 # line of text, and that end an open paragraph.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript template".split())
+_TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])", re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -200,7 +201,7 @@ def parse(page: str) -> Tree:
         if tag == "hr":
             continue
         if tag in RAW:  # never text of the page
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            end = _template_end(page, at) if tag == "template" else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = page.find(">", end.end()) + 1 or n if end else n
             continue
         if tag == "header" and places.get("article"):
@@ -215,6 +216,16 @@ def parse(page: str) -> Tree:
     return t
 
 
+def _template_end(page: str, at: int) -> re.Match | None:
+    """The closing tag of a template whose content begins at a place; templates may hold templates."""
+    open_ = 1
+    for m in _TEMPLATE.finditer(page, at):
+        open_ += -1 if m[1] else 1
+        if not open_:
+            return m
+    return None
+
+
 def features(t: Tree) -> list[list[str]]:
     """What each node sees of itself."""
     out = []

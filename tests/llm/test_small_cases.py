@@ -293,6 +293,15 @@ def test_html(spark):
     assert html.extract(df).count() == 6 and html.extract(df.limit(0)).count() == 0
 
 
+def test_html_templates_are_no_text(spark):
+    inner = "<p>This sentence is kept for scripts, and no reader sees it.</p>"
+    page = f"<article><p>The first sentence of the page, as long as others.</p><template id=a>{inner}<template>{inner}</template>{inner}</TEMPLATE ><p>The <template>hidden</template>second sentence of the page, as long as others.</p></article>"
+    rows = [(1, "u", page), (2, "u", f"<article><p>The only sentence of this page is here.</p></article><template>{inner}"), (3, "u", "<templates><p>The only sentence of this page is here.</p></templates>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "The first sentence of the page, as long as others.\nThe second sentence of the page, as long as others."
+    assert got[2] == got[3] == "The only sentence of this page is here."
+
+
 def test_html_marginals_are_exact():
     """Sum-product against the sum over all labellings of a small tree."""
     from itertools import product
