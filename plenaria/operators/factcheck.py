@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .algorithms import saved
+from .substrings import keys_in_texts
+
 # The verdicts, as the records name them.
 VERDICTS = ["bestätigt", "teilweise", "irreführend", "falsch", "unbelegt"]
 LEAST = 0.6
-#: Bytes of evidence keys that go to every task at a time; a larger corpus is cut into slices of this size.
-SLICE_BYTES = 32 << 20
+#: Most bytes of evidence keys that go to every task; beyond, keys and texts are joined.
+BROADCAST_BYTES = 32 << 20
+_BEST = "struct<score:double,ord:bigint>"
 
 _automata: dict[str, ahocorasick.Automaton] = {}
 
@@ -73,30 +77,55 @@ def _best_match(spark: SparkSession, rows: list[tuple[int, list[str]]]) -> Calla
     return best
 
 
+def _best_joined(statements: DataFrame, evidence: DataFrame) -> DataFrame:
+    """statements with best, as _best_match gives it, by joins: evidence (ev_idx, keys) of any size.
+
+    Equal texts and equal lists of keys count once. Evidence meets the texts that hold any of its keys but the most
+    frequent one; what that key gives alone is one row a key. So a key that much of the evidence has, and many texts
+    hold, doesn't pair them all."""
+    score = lambda hits: F.struct((hits / F.col("n")).alias("score"), (-F.col("ev")).alias("ord"))
+    sets = evidence.groupBy(F.sort_array("keys").alias("keys")).agg(F.min("ev_idx").alias("ev"))
+    sets = sets.select("ev", "keys", F.greatest(F.size("keys"), F.lit(1)).alias("n"), F.size(F.filter("keys", lambda k: k == "")).alias("empty"))
+    # Empty keys stand in every text that isn't null; without any hit the first evidence has a share of 0.
+    rest = sets.agg(F.max(score(F.col("empty"))).alias("text"), F.max(score(F.lit(0))).alias("null")).first()
+    given = lambda r: F.struct(F.lit(r.score).alias("score"), F.lit(r.ord).cast("long").alias("ord"))
+    own = sets.select("ev", "n", "empty", F.explode("keys").alias("key")).where("key <> ''").groupBy("ev", "n", "empty", "key").agg(F.count(F.lit(1)).alias("times"))
+    own = saved(own)
+    of = own.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    ranked = own.join(of, "key")
+    hottest = ranked.groupBy("ev").agg(F.max_by(F.struct("key", "times"), F.struct("rows", "key")).alias("hot"))
+    ranked = saved(own.join(hottest, "ev").select("ev", "n", "empty", "key", "times", F.col("hot.key").alias("hot"), F.col("hot.times").alias("hot_times")))
+    alone = ranked.where("key = hot").groupBy("key").agg(F.max(score(F.col("times") + F.col("empty"))).alias("best"))
+
+    low = statements.select(F.lower("text").alias("text")).where("text IS NOT NULL").select(F.md5("text").alias("tid"), "text").dropDuplicates(["tid"])
+    hits = saved(keys_in_texts(low, of.select("key")))
+    met = hits.join(ranked.where("key <> hot"), "key").groupBy("tid", "ev", "n", "empty", "hot", "hot_times").agg(F.sum("times").alias("times"))
+    also = hits.select("tid", F.col("key").alias("hot"), F.lit(1).alias("hit"))
+    met = met.join(also, ["tid", "hot"], "left").select("tid", score(F.col("times") + F.col("empty") + F.when(F.col("hit").isNotNull(), F.col("hot_times")).otherwise(0)).alias("best"))
+    best = met.unionAll(hits.join(alone, "key").select("tid", "best")).groupBy("tid").agg(F.max("best").alias("met"))
+    out = statements.withColumn("__tid__", F.md5(F.lower("text"))).join(best.withColumnRenamed("tid", "__tid__"), "__tid__", "left")
+    least = F.when(F.col("text").isNull(), given(rest["null"])).otherwise(given(rest["text"]))
+    return out.select(*statements.columns, F.greatest(F.col("met").cast(_BEST), least.cast(_BEST)).alias("best"))
+
+
 def check_statements(statements: DataFrame, evidence: DataFrame, by: list[str], corpus_date: str = "", corpus_url: str = "https://dip.bundestag.de/", least: float = LEAST) -> DataFrame:
     """statements (by, text, ...) with verdikt, begruendung, quelle (titel, stand, url) and score.
 
     The evidence (ev_idx, keys, verdikt, begruendung, quelle) of the largest share of matched keys decides, the first
     of equals, from the least share on; else the verdict is unbelegt and the source is the corpus that was searched.
     by names the key of a statement. Keys match inside words: an automaton over all keys finds them in one pass of each text, and only evidence that holds
-    a found key is scored. Keys go to the tasks as a broadcast of at most SLICE_BYTES; a larger corpus gives several, whose
-    best rows are compared. A null text matches nothing, a null key is never matched; without evidence all is unbelegt."""
+    a found key is scored. That automaton goes to the tasks if the keys have BROADCAST_BYTES at most, by counted bytes; more
+    evidence is joined to the texts by anchors of its keys, with the same result. A null text matches nothing, a null key is never matched; without evidence all is unbelegt."""
     spark = statements.sparkSession
     keys = evidence.select(F.col("ev_idx").cast("long").alias("ev_idx"), F.transform(F.coalesce("keys", F.array().cast("array<string>")), F.lower).alias("keys"))
     size = keys.agg(F.sum(F.expr("64 + aggregate(keys, 0L, (a, k) -> a + 16 + coalesce(octet_length(k), 0))"))).first()[0]
-    slices = -(-(size or 0) // SLICE_BYTES)
-    best = []
-    for i in range(slices):
-        part = keys.where(F.pmod(F.xxhash64("ev_idx"), F.lit(slices)) == i).sort("ev_idx").collect()  # about SLICE_BYTES
-        if part:
-            best.append(_best_match(spark, [(r[0], r[1]) for r in part])(F.lower("text")).alias("best"))
-    if len(best) > 1:  # each slice has tasks of its own, so that a worker holds one automaton
-        each = statements.select(*by, best[0])
-        for b in best[1:]:
-            each = each.unionAll(statements.select(*by, b))
-        out = statements.join(each.groupBy(*by).agg(F.max("best").alias("best")), by, "left")
+    if not size:
+        out = statements.withColumn("best", F.lit(None).cast(_BEST))
+    elif size <= BROADCAST_BYTES:
+        rows = keys.sort("ev_idx").collect()  # BROADCAST_BYTES at most
+        out = statements.withColumn("best", _best_match(spark, [(r[0], r[1]) for r in rows])(F.lower("text")))
     else:
-        out = statements.withColumn("best", best[0] if best else F.lit(None).cast("struct<score:double,ord:bigint>"))
+        out = _best_joined(statements, keys)
     ev = evidence.select((-F.col("ev_idx").cast("long")).alias("ord"), F.struct("verdikt", "begruendung", "quelle").alias("ev"))
     # Only rows at the threshold look their evidence up.
     out = out.withColumn("ord", F.when(F.col("best.score") >= least, F.col("best.ord"))).join(ev, "ord", "left")

@@ -5,8 +5,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plenaria.operators import algorithms, factcheck, quality, resolve, retrieval
-from plenaria.plans import jobs
+from plenaria.operators import algorithms, factcheck, quality, resolve, retrieval, substrings
+from plenaria.plans import jobs, registry
 
 
 def plain_distance(a, b):
@@ -100,12 +100,12 @@ def test_louvain_raises_modularity(spark):
     assert algorithms.louvain(spark.createDataFrame([], "source string, target string, weight long")).count() == 0
 
 
-def test_evidence_in_one_and_in_several_slices(spark, monkeypatch):
-    """The automaton against a plain count of keys, ties, repeated, empty and missing keys, null texts, no evidence."""
-    texts = [(1, "Wege sind kaputt"), (2, "nichts"), (3, None), (4, ""), (5, "WEGEbau, x"), (6, "umwege kaputtx x")]
+def test_evidence_by_automaton_and_by_joins(spark, monkeypatch):
+    """The automaton and the joins against a plain count of keys, ties, repeated, empty and missing keys, null texts, no evidence."""
+    texts = [(1, "Wege sind kaputt"), (2, "nichts"), (3, None), (4, ""), (5, "WEGEbau, x"), (6, "umwege kaputtx x"), (7, "Umwege KAPUTTX x"), (8, "Straßenbeleuchtung 🙂 y"), (9, "nichts")]
     s = spark.createDataFrame(texts, "i int, text string")
     q = F.struct(F.lit("t").alias("titel"), F.lit("").alias("stand"), F.lit("").alias("url")).alias("quelle")
-    rows = [(0, ["wege", "x"], "falsch", ""), (1, ["Wege", "kaputt"], "teilweise", ""), (2, ["kaputt"], "bestätigt", ""), (3, ["x", "x", "y"], "irreführend", ""), (4, [None, "wege"], "falsch", ""), (5, None, "falsch", ""), (6, [], "falsch", "")]
+    rows = [(0, ["wege", "x"], "falsch", ""), (1, ["Wege", "kaputt"], "teilweise", ""), (2, ["kaputt"], "bestätigt", ""), (3, ["x", "x", "y"], "irreführend", ""), (4, [None, "wege"], "falsch", ""), (5, None, "falsch", ""), (6, [], "falsch", ""), (7, ["straßenbeleuchtung", "🙂 y", "fehlt"], "falsch", ""), (8, ["🙂 y", "fehlt", "straßenbeleuchtung"], "bestätigt", "")]
     e = spark.createDataFrame(rows, "ev_idx int, keys array<string>, verdikt string, begruendung string").select("*", q)
     want = []
     for i, t in texts:
@@ -117,13 +117,39 @@ def test_evidence_in_one_and_in_several_slices(spark, monkeypatch):
                 best = (share, j, v)
         want.append((i, best[2] if best[0] >= 0.6 else "unbelegt", round(best[0], 2)))
     one = sorted(map(tuple, factcheck.check_statements(s, e, ["i"]).select("i", "verdikt", "score").collect()))
-    monkeypatch.setattr(factcheck, "SLICE_BYTES", 100)
+    monkeypatch.setattr(factcheck, "BROADCAST_BYTES", 100)
     two = sorted(map(tuple, factcheck.check_statements(s, e, ["i"]).select("i", "verdikt", "score").collect()))
     assert one == two == want
+    spaces = e.where("ev_idx = 0").select(F.lit(9).alias("ev_idx"), F.array(F.lit(""), F.lit("wege"), F.lit("weg")).alias("keys"), "verdikt", "begruendung", "quelle")
+    both = [{(r.i, r.score) for r in factcheck.check_statements(s, spaces, ["i"]).collect()}]
+    monkeypatch.setattr(factcheck, "BROADCAST_BYTES", 1 << 20)
+    both.append({(r.i, r.score) for r in factcheck.check_statements(s, spaces, ["i"]).collect()})
+    assert both[0] == both[1] == {(i, 0.0 if t is None else 1.0 if "wege" in t.lower() else 0.33) for i, t in texts}
     none = factcheck.check_statements(s, e.limit(0), ["i"]).collect()
     assert {(r.verdikt, r.score) for r in none} == {("unbelegt", 0.0)} and factcheck.unsourced(factcheck.check_statements(s, e, ["i"])).count() == 0
 
 
+def test_evidence_query_by_joins(spark, data, monkeypatch):
+    """The whole query gives the same rows either way, in no more jobs for more evidence."""
+    ask = registry.queries()["evidence_factcheck"]
+    one = sorted(map(tuple, ask(spark, data).collect()))
+    monkeypatch.setattr(factcheck, "BROADCAST_BYTES", 100)
+    assert sorted(map(tuple, ask(spark, data).collect())) == one
+
+
+def test_keys_in_texts(spark):
+    """Every key of 1 to 9 letters against a plain search, over letters so few that grams repeat everywhere."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abß🙂") for _ in range(n))
+    texts = [(str(i), word(rng.randint(0, 60))) for i in range(60)] + [("null", None)]
+    keys = {word(rng.randint(1, 9)) for _ in range(150)}
+    t = spark.createDataFrame(texts, "tid string, text string")
+    k = spark.createDataFrame([(x,) for x in [*keys, "", None]], "key string")
+    got = [tuple(r) for r in substrings.keys_in_texts(t, k).collect()]
+    assert sorted(got) == sorted((i, x) for i, own in texts if own is not None for x in keys if x in own)
+    assert substrings.keys_in_texts(t, k.where("key = ''")).count() == substrings.keys_in_texts(t.limit(0), k).count() == 0
+
+
 def test_retrieval(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None)], "id int, embedding array<float>")
     assert [(r.id, r.score) for r in retrieval.nearest(v, [1.0, 0.0], 2).collect()] == [(0, 1.0), (2, 0.707107)]
