@@ -2,8 +2,9 @@
 
 Candidates are runs of token characters that hold a digit or begin like a known kind of token, values assigned to a
 telling name, and private-key blocks as far as their lines of base64 go. The forest sees a candidate's length, its
-characters and their transitions, how much of it dictionary words cover, the words before it, and the path that it
-comes from; it is trained on labelled findings, which label_findings() draws by rule: keys, tokens and passwords, and
+characters, how likely its letters follow each other, how much of it words cover, the words before it, and the path
+that it comes from. Words and letters' transitions are learned from all documents (learn()). The forest is trained on
+labelled findings, which label_findings() draws by rule, with words of the documents: keys, tokens and passwords, and
 what is often taken for them. Candidates and their surroundings are seen whole, however long.
 """
 
@@ -14,17 +15,25 @@ import re
 import string
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, table, without
+from .common import forget, map_text, staged, table, tune, without, written
 
 #: Least vote of the forest for a secret.
 THRESHOLD = 0.5
+#: A word of the dictionary stands in this share of the documents, and in this many.
+SHARE, LEAST = 1e-4, 3
+#: The dictionary's bit table has 2 to this many bits (2 MiB), two of them set for each word.
+BITS = 24
+#: So many of the most frequent words may stand in drawn findings.
+DRAWN = 2000
 NAMES = rb"(?:pass(?:word|wd|phrase)?|pwd|pw|secret|token|bearer|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key|client[_-]?secret)"
 _GAP = rb"(?:\s|\\[rn])*+"
 _CANDIDATE = re.compile(
@@ -42,7 +51,7 @@ FOR = frozenset(b"password passwd pwd pw pass passphrase secret token bearer key
 AGAINST = frozenset(
     b"commit sha md5 checksum digest hash uuid guid revision build version isbn order invoice phone tel fax card iban id serial ticket page figure line image base integrity etag object blob tree parent http https www com org net html".split()
 )
-#: Words that cover names, placeholders and identifiers, longest first.
+#: Words of placeholders and identifiers, longest first.
 WORDS = tuple(
     sorted(
         b"example sample changeme placeholder password secret token your test dummy fake redacted xxxx user admin name data image file version build index node module script style color background border content header footer title value default config server client public private master branch release update number order invoice page chapter figure table section article session member report public minute hour date time year month week http https www com html json xml pdf png jpg".split(),
@@ -55,7 +64,7 @@ _PATH = {"test": re.compile(r"(?i)test|spec|fixture|mock"), "sample": re.compile
 _PREFIX = re.compile(rb"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|xox[abprs]-|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.|glpat-|-----BEGIN")
 _UUID = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "entropy", "hex", "transitions", "vowels", "run", "covered", "prefix", "uuid", "assigned", "quoted", "for", "against", "near_for", "in_path", "path_test", "path_sample", "path_lock"]
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "entropy", "hex", "transitions", "vowels", "run", "likely", "covered", "placeholder", "prefix", "uuid", "assigned", "quoted", "for", "against", "near_for", "in_path", "path_test", "path_sample", "path_lock"]
 
 
 _HEX, _VOWELS = b"0123456789abcdefABCDEF", b"aeiouAEIOU"
@@ -63,6 +72,84 @@ _HEX, _VOWELS = b"0123456789abcdefABCDEF", b"aeiouAEIOU"
 _KINDS = bytes(0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 for c in range(256))
 
 
+#: Whole words of 4 to 16 letters: nothing that stands in a name, a path, a token or an assigned value.
+_WHOLE = r"(?<![\p{L}\p{N}_+/=:@.\"'-])[a-z]{4,16}(?![\p{L}\p{N}_+/=@\"'-])"
+_LETTERS = re.compile(rb"[a-z]{4,}")
+
+
+def _bits(h: int) -> tuple[int, int]:
+    return h & (1 << BITS) - 1, h >> BITS & (1 << BITS) - 1
+
+
+class Lexicon:
+    """A dictionary as a bit table, how much likelier than by chance a letter follows another (in bits), and frequent words.
+
+    Of 100,000 words the table takes one in 7,000 others for a word, of a million one in 80."""
+
+    def __init__(self, table: np.ndarray, pairs: dict[str, int], frequent: list[str]):
+        self.table, self.frequent = table.copy(), frequent
+        for w in WORDS:
+            if 4 <= len(w) <= 16:
+                for at in _bits(xxhash.xxh64_intdigest(w, 42)):
+                    self.table[at >> 6] |= np.uint64(1 << (at & 63))
+        count = np.ones((26, 26))
+        for p, n in pairs.items():
+            count[ord(p[0]) - 97, ord(p[1]) - 97] += n
+        self.pairs = np.log2(count / count.sum(axis=1, keepdims=True)) + np.log2(26)
+
+    @classmethod
+    def plain(cls) -> Lexicon:
+        """That of the words of the module, where there are no documents."""
+        pairs: dict[str, int] = {}
+        for w in WORDS:
+            for i in range(len(w) - 1):
+                two = w[i : i + 2].decode()
+                pairs[two] = pairs.get(two, 0) + 1
+        return cls(np.zeros(1 << BITS - 6, np.uint64), pairs, [w.decode() for w in WORDS])
+
+    def holds(self, word: bytes) -> bool:
+        return all(int(self.table[at >> 6]) >> (at & 63) & 1 for at in _bits(xxhash.xxh64_intdigest(word, 42)))
+
+    def covered(self, own: bytes) -> float:
+        """The share of the characters that words cover, from left to right the longest first."""
+        n = 0
+        for m in _LETTERS.finditer(own.lower()):
+            run, at = m[0], 0
+            while at + 4 <= len(run):
+                k = next((k for k in range(min(16, len(run) - at), 3, -1) if self.holds(run[at : at + k])), 0)
+                n += k
+                at += k or 1
+        return n / len(own)
+
+    def likely(self, own: bytes) -> float:
+        """The mean over neighbouring letters; 0 without any."""
+        c = np.frombuffer(own.lower(), np.uint8).astype(np.int64) - 97
+        ok = (c >= 0) & (c < 26)
+        both = np.flatnonzero(ok[1:] & ok[:-1])
+        return float(self.pairs[c[both], c[both + 1]].mean()) if len(both) else 0.0
+
+
+def learn(docs: DataFrame, text: str = "text", share: float = SHARE, least: int = LEAST) -> Lexicon:
+    """The lexicon of all whole texts: the words that at least this share of the documents hold, and least of them.
+
+    What reaches the driver is bounded: a bit table, a count for each pair of letters, DRAWN words. Null and empty texts
+    have no words; copies count as documents; without words there are those of the module."""
+    spark, before = docs.sparkSession, written()
+    own = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(_WHOLE), F.lit(0)))
+    words = docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    words = staged(words.where(F.col("docs") >= max(least, share * docs.count())), "words")
+    h = F.xxhash64("word")
+    place = F.explode(F.array(h.bitwiseAND((1 << BITS) - 1), F.shiftrightunsigned(h, BITS).bitwiseAND((1 << BITS) - 1))).alias("place")
+    rows = words.select(place).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toPandas()
+    found = np.zeros(1 << BITS - 6, np.uint64)
+    found[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    two = F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))")).alias("two")
+    pairs = {r.two: r.n for r in words.select(two, "docs").groupBy("two").agg(F.sum("docs").alias("n")).collect()}
+    frequent = [r.word for r in words.orderBy(F.desc("docs"), "word").limit(DRAWN).collect()]
+    forget(spark, before)
+    return Lexicon(found, pairs, frequent) if frequent else Lexicon.plain()
+
+
 def candidates(text: bytes) -> Iterator[tuple[int, int]]:
     """(start, end) in bytes of each candidate, in order, none inside another."""
     spans = {m.span() for m in _CANDIDATE.finditer(text)}
@@ -80,8 +167,9 @@ def words_of(text: bytes) -> tuple[list[int], list[bytes]]:
     return [e for e, _ in found], [w for _, w in found]
 
 
-def features(text: bytes, a: int, b: int, path: str = "", words: tuple[list[int], list[bytes]] | None = None) -> list[float]:
+def features(text: bytes, a: int, b: int, path: str = "", words: tuple[list[int], list[bytes]] | None = None, lexicon: Lexicon | None = None) -> list[float]:
     """What the forest sees of the candidate text[a:b]; words are words_of(text), where several candidates need them."""
+    lexicon = lexicon or _plain()
     own = text[a:b]
     n = len(own)
     ends, names = words or words_of(text)
@@ -106,6 +194,8 @@ def features(text: bytes, a: int, b: int, path: str = "", words: tuple[list[int]
         float((kinds[1:] != kinds[:-1]).sum()) / max(1, n - 1),
         (n - len(own.translate(None, _VOWELS))) / n,
         float(np.diff(other).max()) / n,
+        lexicon.likely(own),
+        lexicon.covered(own),
         sum(len(m) for m in _WORD.findall(own.lower())) / n,
         float(bool(_PREFIX.match(own))),
         float(bool(_UUID.match(own))),
@@ -119,6 +209,11 @@ def features(text: bytes, a: int, b: int, path: str = "", words: tuple[list[int]
     ]
 
 
+@cache
+def _plain() -> Lexicon:
+    return Lexicon.plain()
+
+
 class Forest:
     """Trees over bootstrap samples; at each split a random few features, each with thresholds at quantiles, by Gini gain."""
 
@@ -168,8 +263,11 @@ class Forest:
         return out / len(self.trees)
 
 
-def label_findings(n: int = 2400, seed: int = 11) -> list[tuple[bytes, int, int, str, int]]:
-    """Labelled findings (text, start, end, path, 1 for a secret), half of them secrets, drawn by rule."""
+def label_findings(n: int = 2400, seed: int = 11, words: list[str] | None = None) -> list[tuple[bytes, int, int, str, int]]:
+    """Labelled findings (text, start, end, path, 1 for a secret), half of them secrets, drawn by rule.
+
+    Prose and names are of the given words, and in part of none, as names are."""
+    words = words or _plain().frequent
     rng = random.Random(seed)
     hexa, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
 
@@ -177,7 +275,7 @@ def label_findings(n: int = 2400, seed: int = 11) -> list[tuple[bytes, int, int,
         return "".join(rng.choice(chars) for _ in range(k))
 
     def prose(k: int) -> str:
-        return " ".join("".join(rng.choice("aeinrstlohd") for _ in range(rng.randint(2, 9))) for _ in range(k))
+        return " ".join(rng.choice(words) if rng.random() < 0.7 else "".join(rng.choice("aeinrstlohd") for _ in range(rng.randint(2, 9))) for _ in range(k))
 
     def secret() -> tuple[str, str]:
         name = rng.choice(["password", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "passwd", "pwd", "client_secret", "bearer"])
@@ -238,10 +336,14 @@ def label_findings(n: int = 2400, seed: int = 11) -> list[tuple[bytes, int, int,
     return out
 
 
-def train(found: list[tuple[bytes, int, int, str, int]] | None = None) -> Forest:
-    found = label_findings() if found is None else found
-    x = np.array([features(t, a, b, path) for t, a, b, path, _ in found])
-    return Forest(x, np.array([y for *_, y in found], np.float64))
+def train(lexicon: Lexicon | None = None, found: list[tuple[bytes, int, int, str, int]] | None = None) -> Forest:
+    """A forest of the findings, or of drawn ones; it keeps the lexicon, by which it judges."""
+    lexicon = lexicon or _plain()
+    found = label_findings(words=lexicon.frequent) if found is None else found
+    x = np.array([features(t, a, b, path, None, lexicon) for t, a, b, path, _ in found])
+    forest = Forest(x, np.array([y for *_, y in found], np.float64))
+    forest.lexicon = lexicon
+    return forest
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
@@ -254,22 +356,32 @@ def _found(forest: Forest, texts: list[bytes], paths: list[str], threshold: floa
     rows = []
     for t, own, p in zip(texts, spans, paths, strict=True):
         words = words_of(t) if own else None
-        rows += [features(t, a, b, p, words) for a, b in own]
+        rows += [features(t, a, b, p, words, forest.lexicon) for a, b in own]
     scores = iter(forest.scores(np.array(rows)).tolist() if rows else [])
     return [(len(own), [(a, b, s) for a, b in own if (s := next(scores)) >= threshold]) for own in spans]
 
 
+def _points(text: bytes, own: list[tuple[int, int, float]]) -> list[dict]:
+    """The spans in code points, each byte decoded once."""
+    out, at, n = [], 0, 0
+    for a, b, s in own:
+        start = n + len(text[at:a].decode("utf-8", "replace"))
+        at, n = b, start + len(text[a:b].decode("utf-8", "replace"))
+        out.append({"start": start, "end": n, "score": s})
+    return out
+
+
 def scan(docs: DataFrame, forest: Forest | None = None, text: str = "text", threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
     """docs with n_candidates, n_secrets and secrets: the spans (code points) and scores of what the forest takes for secrets.
 
-    The forest sees the column path, if one is named; a null path is an empty one. Null and empty texts have no secrets;
+    Without a forest one is trained, with the lexicon of these documents. It sees the column path, if one is named; a null path is an empty one. Null and empty texts have no secrets;
     texts are scanned whole; repeated rows get equal results; an empty table gives an empty result. Columns named like
     result columns are replaced."""
-    forest = forest or train()
+    sent = docs.sparkSession.sparkContext.broadcast(forest or train(learn(docs, text)))
 
     def work(texts: list[bytes], paths: list[str] | None = None) -> list[pa.Array]:
-        found = _found(forest, texts, paths or [""] * len(texts), threshold)
-        spans = [[{"start": len(t[:a].decode("utf-8", "replace")), "end": len(t[:b].decode("utf-8", "replace")), "score": s} for a, b, s in own] for t, (_, own) in zip(texts, found, strict=True)]
+        found = _found(sent.value, texts, paths or [""] * len(texts), threshold)
+        spans = [_points(t, own) for t, (_, own) in zip(texts, found, strict=True)]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         return [pa.array([n for n, _ in found], pa.int64()), pa.array([len(own) for _, own in found], pa.int64()), pa.array(spans, kind)]
 
@@ -278,14 +390,14 @@ def scan(docs: DataFrame, forest: Forest | None = None, text: str = "text", thre
 
 def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]", path: str | None = None) -> DataFrame:
     """docs with each secret in the text replaced by the mark; null texts stay null, all other columns and rows as they are."""
-    forest = forest or train()
+    sent = docs.sparkSession.sparkContext.broadcast(forest or train(learn(docs, text)))
 
     def work(texts: list[bytes], paths: list[str] | None = None) -> list[pa.Array]:
         out = []
-        for t, (_, own) in zip(texts, _found(forest, texts, paths or [""] * len(texts), threshold), strict=True):
-            for a, b, _ in reversed(own):
-                t = t[:a] + mark.encode() + t[b:]
-            out.append(t.decode("utf-8", "replace"))
+        for t, (_, own) in zip(texts, _found(sent.value, texts, paths or [""] * len(texts), threshold), strict=True):
+            ends = [0, *(b for _, b, _ in own)]
+            begins = [*(a for a, _, _ in own), len(t)]
+            out.append(mark.encode().join(t[a:b] for a, b in zip(ends, begins, strict=True)).decode("utf-8", "replace"))
         return [pa.array(out, pa.string())]
 
     new = T.StructField("__new__", T.StringType(), False)
@@ -295,4 +407,5 @@ def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text", th
 
 def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
     """The whole texts of documents; the path of a document is its source."""
+    tune(spark)
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source").drop("text", "source")

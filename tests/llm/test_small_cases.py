@@ -437,6 +437,47 @@ def test_planted_secrets_are_found(spark, data):
     assert sum(bool(got[i][1]) for i in clean) <= 0.02 * len(clean)
 
 
+def test_secret_lexicon_against_plain_counts(spark):
+    """Words and pairs of letters against plain counts: copies, words in names, paths and values, letters with marks, null and empty texts."""
+    import re
+
+    texts = ["Umbrella stands here. token=wordless", "umbrella x-umbrella stands", "Umbrella, stands\u00e9 stands/there", None, "", "here here umbrella", "here we go"]
+    d = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    whole = r"(?<![^\W_]|[_+/=:@.\"'-])[a-z]{4,16}(?![^\W_]|[_+/=@\"'-])"
+    count = {}
+    for t in texts:
+        for w in set(re.findall(whole, (t or "").lower())):
+            count[w] = count.get(w, 0) + 1
+    want = {w for w, n in count.items() if n >= 3}
+    assert want == {"umbrella", "here"}
+    lex = secrets.learn(d)
+    assert set(lex.frequent) == want and all(lex.holds(w.encode()) for w in want)
+    assert not any(lex.holds(w) for w in (b"wordless", b"stands", b"there"))
+    assert lex.covered(b"umbrellahere12345678") == 12 / 20 and lex.covered(b"1234") == 0.0
+    pairs = {}
+    for w in want:
+        for i in range(len(w) - 1):
+            pairs[w[i : i + 2]] = pairs.get(w[i : i + 2], 0) + count[w]
+    assert abs(lex.likely(b"re") - secrets.Lexicon(lex.table, pairs, []).likely(b"re")) < 1e-12 and lex.likely(b"re") > 0 > lex.likely(b"rq")
+    assert secrets.learn(d.limit(0)).frequent == secrets.Lexicon.plain().frequent
+
+
+def test_secrets_of_a_text_in_linear_time(spark):
+    """Spans and redaction of a text with 20,000 secrets, each in its place, by one pass."""
+    import time
+
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    one = f'\u00e9 token = "{token}" '
+    f = secrets.train()
+    own = [(m, m + 40, 1.0) for m in range(12, 12 + 20000 * len(one.encode()), len(one.encode()))]
+    began = time.time()
+    spans = secrets._points((one * 20000).encode(), own)
+    assert time.time() - began < 1
+    assert [(s["start"], s["end"]) for s in spans] == [(11 + i * len(one), 51 + i * len(one)) for i in range(20000)]
+    red = secrets.redact(docs(spark, [(1, one * 3000, "s")]), f).first().text
+    assert red == '\u00e9 token = "[SECRET]" ' * 3000
+
+
 def test_secret_forest_on_held_out_findings():
     import numpy as np
 
