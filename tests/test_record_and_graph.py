@@ -282,3 +282,22 @@ def test_events_find_their_session(spark):
     assert rows(jobs.of_sessions(events, u("a", "b", "c")), "i", "session_id") == [(0, "a"), (1, "b")]
     with pytest.raises(ValueError, match="events of b"):
         jobs.of_sessions(events, u("a", "c"))
+
+
+def test_pairs_of_persons_are_counted_from_lists(spark, monkeypatch):
+    """Blocks and parts of any size give each pair its items; no exchange is by pairs, of which there are many more than lines."""
+    import itertools
+    from collections import Counter
+
+    from plenaria.operators import graph_queries
+
+    monkeypatch.setattr(graph_queries, "BLOCK", 3)
+    monkeypatch.setattr(graph_queries, "PART", 2)
+    spoken = [(p, t) for p in range(12) for t in range(9) if (p * 7 + t * t) % 3]
+    empty = F.expr("map()").cast("map<string,string>")
+    made = spark.createDataFrame([(f"p{p:02}", f"r{p}-{t}", f"t{t}") for p, t in spoken], "p string, r string, t string")
+    edge = lambda a, b, kind: made.select(F.lit("x").alias("session_id"), F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("relationship_type"), empty.alias("props"))
+    found = graph_queries.Graph(None, edge("p", "r", "HAT_REDEBEITRAG").unionByName(edge("r", "t", "ZU_TOP"))).co_speech()
+    want = Counter((f"p{a:02}", f"p{b:02}") for t in range(9) for a, b in itertools.combinations(sorted(p for p, x in spoken if x == t), 2))
+    assert {(r.source, r.target): r.weight for r in found.collect()} == want
+    assert "hashpartitioning(a, b," not in __import__("re").sub(r"#\d+L?", "", found._jdf.queryExecution().toString())
