@@ -8,21 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.algorithms import stored
+
+#: Nodes and relationships that a document of a graph holds, about.
+PAGE = 2048
 
 _LEAD = {"node": ["id", "label", "type", "subtype", "schicht"], "edge": ["source_id", "target_id", "relationship_type"]}
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(session_id, value): each session's graph as one document {metadata, nodes, relationships}, with the properties of both.
+    """(session_id, value): each session's graph as a document {metadata, nodes, relationships}, with the properties of both.
 
-    read_graph_json of the inputs reads it back."""
+    Sessions of more than PAGE nodes or relationships have several documents, each with some of both; metadata counts the
+    whole graph, and says which part of how many a document is. read_graph_json of the inputs reads them back."""
+    nodes, edges = stored(nodes, "nodes"), stored(edges, "relationships")  # they are counted, then dealt
+    size = nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).join(edges.groupBy("session_id").agg(F.count(F.lit(1)).alias("m")), "session_id", "left")
+    size = size.select("session_id", "n", F.coalesce("m", F.lit(0)).alias("m")).withColumn("parts", F.ceil(F.greatest("n", "m") / PAGE))
 
     def listed(df: DataFrame, lead: list[str], name: str) -> DataFrame:
-        own = F.array_sort(F.collect_list(F.struct(*lead, F.array_sort(F.map_entries("props")).alias("e"))))  # maps have no order, their entries do
-        return df.groupBy("session_id").agg(F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in lead], F.map_from_entries(x["e"]).alias("props"))).alias(name))
-
-    both = listed(nodes, _LEAD["node"], "nodes").join(listed(edges, _LEAD["edge"], "relationships"), "session_id", "left")
-    meta = F.struct(F.size("nodes").alias("node_count"), F.when(F.col("relationships").isNull(), 0).otherwise(F.size("relationships")).alias("relationship_count"))
+        entries = F.array_sort(F.map_entries("props")).alias("e")  # maps have no order, their entries do
+        df = df.join(size, "session_id").select("session_id", F.pmod(F.xxhash64(*lead, F.map_entries("props")), "parts").alias("part"), F.struct(*lead, entries).alias("own"))
+        own = F.array_sort(F.collect_list("own"))
+        return df.groupBy("session_id", "part").agg(F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in lead], F.map_from_entries(x["e"]).alias("props"))).alias(name))
+
+    both = listed(nodes, _LEAD["node"], "nodes").join(listed(edges, _LEAD["edge"], "relationships"), ["session_id", "part"], "full").join(size, "session_id")
+    of = [F.when(F.col("parts") > 1, F.col(c)).alias(c) for c in ("part", "parts")]
+    meta = F.struct(F.col("n").alias("node_count"), F.col("m").alias("relationship_count"), *of)
     return both.select("session_id", F.to_json(F.struct(meta.alias("metadata"), "nodes", "relationships")).alias("value"))
 
 

@@ -301,3 +301,19 @@ def test_pairs_of_persons_are_counted_from_lists(spark, monkeypatch):
     want = Counter((f"p{a:02}", f"p{b:02}") for t in range(9) for a, b in itertools.combinations(sorted(p for p, x in spoken if x == t), 2))
     assert {(r.source, r.target): r.weight for r in found.collect()} == want
     assert "hashpartitioning(a, b," not in __import__("re").sub(r"#\d+L?", "", found._jdf.queryExecution().toString())
+
+
+def test_large_graphs_have_several_documents(spark, monkeypatch):
+    """No document holds a whole session whatever its size; all together hold every node and relationship, as they were."""
+    monkeypatch.setattr(sinks, "PAGE", 10)
+    props = F.create_map(F.lit("k"), F.col("id").cast("string"))
+    at = lambda n: spark.range(n).select(F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("session_id"), "id", props.alias("props"))
+    nodes = at(100).select("session_id", F.concat(F.lit("n"), "id").alias("id"), F.lit("l").alias("label"), F.lit("T").alias("type"), F.lit("").alias("subtype"), F.lit("s").alias("schicht"), "props")
+    edges = at(300).select("session_id", F.lit("n0").alias("source_id"), F.concat(F.lit("n"), F.col("id") % 7).alias("target_id"), F.lit("R").alias("relationship_type"), "props")
+    files = sinks.graph_json(nodes, edges)
+    docs = [json.loads(r.value) for r in files.collect()]
+    assert len(docs) > 10 and max(len(d.get("nodes", [])) + len(d.get("relationships", [])) for d in docs) < 50
+    assert {(d["metadata"]["node_count"], d["metadata"]["relationship_count"]) for d in docs} == {(75, 225), (25, 75)}
+    plain = lambda df: sorted(str({k: (dict(v) if isinstance(v, dict) else v) for k, v in sorted(r.asDict().items())}) for r in df.collect())
+    for back, was in zip(inputs.read_graph_json(files), (nodes, edges)):
+        assert plain(back) == plain(was.select(*back.columns))
