@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.algorithms import stored
 from ..operators.extract import statements
-from .markup import attribute, parts, well_formed
+from .markup import attribute, parts
 
 BLOCKS = {"sitzungsbeginn": "Sitzungseröffnung", "tagesordnungspunkt": "", "zusatzpunkt": "", "sitzungsende": "Sitzungsende"}
 ANNEX = "Schriftliche Beiträge zu Protokoll (Anlagen)"
@@ -25,64 +26,75 @@ SCHEMA = (
 _AFTER = 1 << 30
 #: Before paragraphs, and before those that name the speaker, while texts are put together; XML allows no such characters.
 _MARK, _ASIDE = "\x01", "\x02"
+#: White space that is stripped, and characters of XML that a partition of documents holds.
+_WHITE, _HELD = r"\s\p{Z}\x1c-\x1f\x85", 8 << 20
+#: Elements that have a meaning, by their numbers from 1 on.
+NAMES = [
+    *BLOCKS, "sitzungsverlauf", "anlagen", "rede", "kommentar", "name", "top-titel", "inhaltsverzeichnis", "ivz-block", "ivz-block-titel", "ivz-eintrag", "ivz-eintrag-inhalt",
+    "redner", "p", "titel", "vorname", "nachname", "fraktion", "rolle", "rolle_lang",
+]
 
 
 def _stripped(text: Column) -> Column:
-    return X.composed(F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", ""))
+    return F.regexp_replace(text, rf"^[{_WHITE}]+|[{_WHITE}]+$", "")
+
+
+def _is(number: Column, *names: str) -> Column:
+    return number.isin(*[NAMES.index(n) + 1 for n in names])
+
+
+def _depth(name: str) -> Column:
+    """How deep the first element of a name around a part is; null if there is none."""
+    return F.nullif(F.array_position("named", F.lit(NAMES.index(name) + 1)), F.lit(0)).cast("int") - 1
 
 
 def _owned(documents: DataFrame) -> DataFrame:
-    """Parts of the documents that belong to an item: session_id, pos, owner (place of the item), kind (of the item), block, annex, role, holder, tag, text."""
+    """Parts of the documents with their items: session_id, pos, owner (place of the item), kind (of the item, null where none is), block, annex, role, holder, tag, text."""
     session = W.partitionBy("session_id")
-    at = lambda i: F.get("within", i)
-    opens = F.col("kind") == "open"
-    name_of = lambda x: x.getField("name")
-    first = lambda name: F.min(F.when(opens & (F.size("within") == 2) & (name_of(at(F.lit(1))) == name), F.col("pos"))).over(session)
-    p = parts(documents).where("kind != 'close'").withColumn("course", first("sitzungsverlauf")).withColumn("annexed", first("anlagen"))
-    top, named = F.get("within", F.lit(1)), F.transform("within", name_of)
+    at, named = lambda i: F.get("within", i), lambda i: F.get("named", i)
+    first = lambda name: F.min(F.when((F.col("kind") == "open") & (F.size("within") == 2) & _is(named(F.lit(1)), name), F.col("pos"))).over(session)
+    p = parts(documents, NAMES).where("kind != 'close'").withColumns({"course": first("sitzungsverlauf"), "annexed": first("anlagen")})
+    p = p.withColumns({"opens": F.col("kind") == "open", "deep": F.size("within"), "annex": F.coalesce(at(F.lit(1)) == F.col("annexed"), F.lit(False))})
     # The depth of the block around a part: below the course, or of an agenda item where a record has no course.
-    place = F.when(F.col("course").isNull(), F.array_position(named, "tagesordnungspunkt").cast("int") - 1)
-    place = F.when((top.getField("pos") == F.col("course")) & name_of(at(F.lit(2))).isin(*BLOCKS), 2).otherwise(F.when(place >= 0, place))
-    annex = F.coalesce(top.getField("pos") == F.col("annexed"), F.lit(False))
-    speech = F.array_position(named, "rede").cast("int") - 1
-    p = p.withColumn("annex", annex).withColumn("block_at", F.when(~F.col("annex"), place)).withColumn("speech_at", F.when(speech >= 0, speech))
-    child = at(F.col("block_at") + 1)
+    place = F.when(F.col("course").isNull(), _depth("tagesordnungspunkt")).when((at(F.lit(1)) == F.col("course")) & _is(named(F.lit(2)), *BLOCKS), 2)
+    p = p.withColumns({"block_at": F.when(~F.col("annex"), place), "speech_at": _depth("rede"), "contents": _depth("inhaltsverzeichnis"), "named_at": _depth("name")})
+    p = p.withColumns({"child": named(F.col("block_at") + 1), "below": named(F.col("speech_at") + 1), "entry": named(F.col("contents") + 2), "part": named(F.col("named_at") + 1)})
     spoken = F.col("speech_at").isNotNull() & (F.col("annex") | (F.col("speech_at") == F.col("block_at") + 1))
-    below = at(F.col("speech_at") + 1)
-    contents = F.array_position(named, "inhaltsverzeichnis").cast("int")
-    line = F.when((contents > 0) & (name_of(at(contents)) == "ivz-block"), at(contents))
-    entry = at(contents + 1)
-    last = F.get("within", F.size("within") - 1)
-    up = lambda n: name_of(F.get("within", F.size("within") - 1 - n))
     kind = (
-        F.when(spoken & (name_of(below) == "kommentar"), "comment")
+        F.when(F.col("kind") == "broken", "error")
+        .when(spoken & _is(F.col("below"), "kommentar"), "comment")
         .when(spoken, "speech")
-        .when(name_of(child) == "kommentar", "block comment")
-        .when(name_of(child) == "name", "chair")
-        .when(F.col("block_at").isNotNull() & (child.isNull() | (name_of(child) == "top-titel")), "block")
-        .when(line.isNotNull(), "contents")
-        .when(opens & (F.size("within") == 1), "session")
+        .when(_is(F.col("child"), "kommentar"), "block comment")
+        .when(_is(F.col("child"), "name"), "chair")
+        .when(F.col("block_at").isNotNull() & (F.col("child").isNull() | _is(F.col("child"), "top-titel")), "block")
+        .when(_is(named(F.col("contents") + 1), "ivz-block"), "contents")
+        .when(F.col("opens") & (F.col("deep") == 1), "session")
     )
-    owner = F.when(F.col("item") == "comment", below).when(F.col("item") == "speech", at(F.col("speech_at"))).when(F.col("item").isin("block comment", "chair"), child)
-    owner = owner.when(F.col("item") == "block", at(F.col("block_at"))).when(F.col("item") == "contents", line).otherwise(at(F.lit(0)))
-    named_at = F.array_position(named, "name").cast("int")  # of a speaker's name, counted from 1
-    of_name = (named_at > 1) & (name_of(F.get("within", named_at - 2)) == "redner")
-    part = name_of(F.get("within", named_at))
-    role = (
-        F.when((F.col("item") == "speech") & (name_of(below) == "p") & opens & (F.size("within") == F.col("speech_at") + 2), F.when(F.coalesce(attribute(F.col("tag"), "klasse"), F.lit("")) == "redner", "aside").otherwise("p"))
-        .when((F.col("item") == "speech") & of_name & opens & (named_at == F.size("within")), "name")
-        .when((F.col("item") == "speech") & of_name & ~opens & part.isin("titel", "vorname", "nachname", "fraktion") & (named_at + 1 == F.size("within")), part)
-        .when((F.col("item") == "speech") & of_name & ~opens & (part == "rolle") & (name_of(F.get("within", named_at + 1)) == "rolle_lang"), "rolle")
-        .when((F.col("item") == "speech") & (name_of(below) == "p") & ~opens, "said")
-        .when((F.col("item") == "contents") & (name_of(entry) == "ivz-block-titel"), "title")
-        .when((F.col("item") == "contents") & (name_of(entry) == "ivz-eintrag") & opens & (up(0) == "redner"), "speaker")
-        .when((F.col("item") == "contents") & (name_of(entry) == "ivz-eintrag") & (name_of(at(contents + 2)) == "ivz-eintrag-inhalt"), "entry")
-        .when(~F.col("item").isin("speech", "contents"), F.when(opens & (last.getField("pos") == F.col("owner.pos")), "self").otherwise("said"))
+    p = p.withColumn("item", kind)
+    owner_at = F.when(F.col("item") == "comment", F.col("speech_at") + 1).when(F.col("item") == "speech", F.col("speech_at")).when(F.col("item").isin("block comment", "chair"), F.col("block_at") + 1)
+    owner_at = owner_at.when(F.col("item") == "block", F.col("block_at")).when(F.col("item") == "contents", F.col("contents") + 1).otherwise(0)
+    p = p.withColumn("owner_at", owner_at)
+    speech, contents, opens = F.col("item") == "speech", F.col("item") == "contents", F.col("opens")
+    of_name = speech & (F.col("named_at") > 0) & _is(named(F.col("named_at") - 1), "redner")
+    speaker = F.when(opens & (F.col("named_at") + 1 == F.col("deep")), "name")
+    for n in ("titel", "vorname", "nachname", "fraktion"):
+        speaker = speaker.when(~opens & _is(F.col("part"), n) & (F.col("named_at") + 2 == F.col("deep")), n)
+    speaker = speaker.when(~opens & _is(F.col("part"), "rolle") & _is(named(F.col("named_at") + 2), "rolle_lang"), "rolle")
+    said = F.when(opens & (F.col("deep") == F.col("speech_at") + 2), F.when(F.coalesce(attribute(F.col("tag"), "klasse"), F.lit("")) == "redner", "aside").otherwise("p"))
+    listed = (
+        F.when(_is(F.col("entry"), "ivz-block-titel"), "title")
+        .when(_is(F.col("entry"), "ivz-eintrag") & opens & _is(named(F.col("deep") - 1), "redner"), "speaker")
+        .when(_is(F.col("entry"), "ivz-eintrag") & _is(named(F.col("contents") + 3), "ivz-eintrag-inhalt"), "entry")
     )
-    holder = F.when(F.col("role").isin("name", "titel", "vorname", "nachname", "fraktion", "rolle"), F.get("within", named_at - 1)).when(F.col("role").isin("p", "aside", "said"), below).otherwise(entry)
-    p = p.withColumn("item", kind).where("item IS NOT NULL").withColumn("owner", owner).withColumn("role", role).withColumn("holder", holder.getField("pos"))
-    block = F.when(F.col("annex"), _AFTER).otherwise(at(F.col("block_at")).getField("pos"))
-    return p.select("session_id", "pos", F.col("owner.pos").alias("owner"), F.col("owner.name").alias("owner_name"), F.col("item").alias("kind"), block.alias("block"), "annex", "role", "holder", F.when(F.col("role") == "self", F.col("tag")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    p = p.withColumns({"speaker": F.when(of_name, speaker), "said": F.when(speech & _is(F.col("below"), "p"), said.when(~opens, "said"))})
+    role = F.when(speech, F.coalesce(F.when(F.col("said") != "said", F.col("said")), "speaker", "said")).when(contents, listed)
+    role = role.otherwise(F.when(opens & (F.col("owner_at") + 1 == F.col("deep")), "self").otherwise("said"))
+    p = p.withColumn("role", role)
+    holder_at = F.when(F.col("role") == F.col("speaker"), F.col("named_at")).when(contents, F.col("contents") + 2)
+    block = F.when(F.col("annex"), _AFTER).otherwise(at(F.col("block_at")))
+    own = F.when(F.col("role") == "self", F.col("tag"))
+    owner = F.when(F.col("item") == "error", 0).otherwise(at(F.col("owner_at")))
+    return p.select("session_id", "pos", owner.alias("owner"), F.col("item").alias("kind"), block.alias("block"), "annex", "role", at(holder_at).alias("holder"), own.alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def parse_records(documents: DataFrame) -> DataFrame:
@@ -90,54 +102,67 @@ def parse_records(documents: DataFrame) -> DataFrame:
 
     Blocks without a speech or a comment of their own are left out with all they hold; contributions of the annex are a block
     of their own behind the others. A document that isn't well formed (null and empty ones too) has one row of kind error."""
-    own = _owned(documents)
-    piece = F.struct("pos", "role", "holder", "text")
-    whole = own.groupBy("session_id", "owner", "kind").agg(
-        F.max("owner_name").alias("owner_name"), F.max("block").alias("block"), F.max("annex").alias("annex"), F.max("tag").alias("tag"), F.sort_array(F.collect_list(piece)).alias("own")
-    )
-    of = lambda *roles: F.filter("own", lambda x: x.getField("role").isin(*roles))
-    joined = lambda xs: F.array_join(F.transform(xs, lambda x: x.getField("text")), "")
+    documents = stored(documents.select("session_id", "xml"), "records")
+    size = documents.agg(F.sum(F.length("xml"))).first()[0] or 0
+    # Documents are dealt once, by counted characters; all that is made of them stays where they are.
+    own = _owned(documents.repartition(max(documents.sparkSession.sparkContext.defaultParallelism, -(-size // _HELD)), "session_id"))
+    role, text = F.col("role"), F.col("text")
+    listed = lambda roles, *cols: F.sort_array(F.collect_list(F.when(role.isin(*roles), F.struct("pos", *cols))))
+    earliest = lambda name: F.min(F.when(role == name, F.struct("holder", "pos", "text"))).alias(name)
     # A paragraph's texts follow its opening tag, those of an aside (the line that names the speaker) go with it.
-    marked = F.array_join(F.transform(of("p", "aside", "said"), lambda x: F.when(x.getField("role") == "p", F.lit(_MARK)).when(x.getField("role") == "aside", F.lit(_ASIDE)).otherwise(x.getField("text"))), "")
-    paragraphs = F.transform(F.split(F.regexp_replace(marked, f"{_ASIDE}[^{_MARK}{_ASIDE}]*", ""), _MARK, -1), _stripped)
-    said = F.array_join(F.filter(paragraphs, lambda x: x != ""), " ")
-    names = of("name", "titel", "vorname", "nachname", "fraktion", "rolle")
-    which = F.array_min(F.transform(of("name"), lambda x: x.getField("holder")))
-    of_name = lambda role: F.filter(names, lambda x: (x.getField("role") == role) & (x.getField("holder") == which))
-    first = lambda role: F.coalesce(_stripped(F.get(of_name(role), F.lit(0)).getField("text")), F.lit(""))
-    full = F.array_join(F.filter(F.array(first("titel"), first("vorname"), first("nachname")), lambda x: x != ""), " ")
-    role = _stripped(joined(of_name("rolle")))
-    spoken = F.col("kind") == "speech"
+    piece = F.when(role == "p", F.lit(_MARK)).when(role == "aside", F.lit(_ASIDE)).otherwise(text).alias("piece")
+    whole = own.groupBy("session_id", "owner", "kind").agg(
+        F.count("kind").alias("parts"), F.max("block").alias("block"), F.max("annex").alias("annex"), F.max("tag").alias("tag"), F.min(F.when(role == "name", F.col("holder"))).alias("which"),
+        listed(("p", "aside", "said"), piece).alias("said"), listed(("rolle",), "holder", "text").alias("rolle"), listed(("title", "speaker", "entry"), "role", "holder", "text").alias("listed"),
+        *map(earliest, ("titel", "vorname", "nachname", "fraktion")),
+    ).where("parts > 0")  # not by kind, which would be asked of each part before, by all that it is made of; fmt: skip
+    kind_is = lambda *kinds: F.col("kind").isin(*kinds)
+    spoken = kind_is("speech")
+    joined = lambda xs, of="text": F.array_join(F.transform(xs, lambda x: x.getField(of)), "")
+    first = lambda name: F.when(F.col(f"{name}.holder") == F.col("which"), F.col(f"{name}.text"))
+    i = whole.select(
+        "session_id", "owner", "kind", "block", "annex", "tag", "which", "listed", joined("said", "piece").alias("text"),
+        *[F.coalesce(_stripped(first(n)), F.lit("")).alias(n) for n in ("titel", "vorname", "nachname", "fraktion")],
+        F.when(F.size("rolle") > 0, _stripped(joined(F.filter("rolle", lambda x: x.getField("holder") == F.col("which"))))).alias("rolle"),
+    )
+    paragraphs = F.regexp_replace(F.regexp_replace("text", f"{_ASIDE}[^{_MARK}{_ASIDE}]*", ""), rf"(?<![{_WHITE}])[{_WHITE}]*+{_MARK}[{_WHITE}{_MARK}]*+", " ")
     # The first entry of the contents that has a text and names no speaker.
+    of = lambda *roles: F.filter("listed", lambda x: x.getField("role").isin(*roles))
     speakers = F.transform(of("speaker"), lambda x: x.getField("holder"))
     entries = F.array_distinct(F.filter(F.transform(of("entry"), lambda x: x.getField("holder")), lambda h: ~F.array_contains(speakers, h)))
     texts = F.filter(F.transform(entries, lambda h: _stripped(joined(F.filter(of("entry"), lambda x: x.getField("holder") == h)))), lambda t: t != "")
-    text = _stripped(joined(of("said")))
-    kind_is = lambda *kinds: F.col("kind").isin(*kinds)
-    i = whole.select(
+    text = F.when(kind_is("contents"), F.get(texts, F.lit(0))).otherwise(_stripped(F.when(spoken, paragraphs).otherwise(F.col("text"))))
+    i = i.withColumns({"text": text, "title": F.when(kind_is("contents"), _stripped(joined(of("title"))))})
+    i = i.withColumns({c: X.composed(F.col(c)) for c in ("text", "title", "titel", "vorname", "nachname", "fraktion", "rolle")})
+    full = F.array_join(F.filter(F.array("titel", "vorname", "nachname"), lambda x: x != ""), " ")
+    tag_name = F.regexp_extract("tag", r"^<([^\s/>]+)", 1)
+    i = i.select(
         "session_id", "owner", "kind", "block", "annex",
-        F.when(kind_is("block"), F.col("owner_name")).alias("block_tag"),
-        F.when(kind_is("block"), F.coalesce(attribute(F.col("tag"), "top-id"), F.lit(""))).when(kind_is("contents"), _stripped(joined(of("title")))).alias("block_key"),
-        F.when(kind_is("block"), text).alias("block_title"),
+        F.when(kind_is("block"), tag_name).alias("block_tag"),
+        F.when(kind_is("block"), F.coalesce(attribute(F.col("tag"), "top-id"), F.lit(""))).when(kind_is("contents"), F.col("title")).alias("block_key"),
+        F.when(kind_is("block"), F.col("text")).alias("block_title"),
         *[F.when(kind_is("session"), F.coalesce(attribute(F.col("tag"), a), F.lit(other))).alias(c) for c, a, other in (("wahlperiode", "wahlperiode", ""), ("sitzung_nr", "sitzung-nr", ""), ("datum", "sitzung-datum", ""), ("ort", "sitzung-ort", "Berlin"))],
-        F.when(spoken, F.coalesce(F.nullif(full, F.lit("")), F.lit("Unbekannt"))).when(kind_is("chair"), F.regexp_replace(text, ":+$", "")).alias("name"),
-        F.when(spoken, F.coalesce(F.nullif(role, F.lit("")), F.when(F.size(of("name")) > 0, "Abgeordneter").otherwise("Redner"))).alias("rolle"),
-        F.when(spoken, F.nullif(first("fraktion"), F.lit(""))).alias("fraktion"),
-        F.when(spoken, said).when(kind_is("contents"), F.get(texts, F.lit(0))).when(kind_is("comment", "block comment"), text).alias("text"),
-    ).where("kind != 'contents' OR text IS NOT NULL")
+        F.when(spoken, F.coalesce(F.nullif(full, F.lit("")), F.lit("Unbekannt"))).when(kind_is("chair"), F.regexp_replace("text", ":+$", "")).alias("name"),
+        F.when(spoken, F.coalesce(F.nullif("rolle", F.lit("")), F.when(F.col("which").isNotNull(), "Abgeordneter").otherwise("Redner"))).alias("rolle"),
+        F.when(spoken, F.nullif("fraktion", F.lit(""))).alias("fraktion"),
+        F.when(kind_is("speech", "contents", "comment", "block comment"), F.col("text")).alias("text"),
+    )
     in_block = W.partitionBy("session_id", "block")
-    i = i.withColumn("full", F.max((kind_is("speech", "block comment") & ~F.col("annex")) | (kind_is("speech") & F.col("annex"))).over(in_block)).where("block IS NULL OR full")
-    added = i.where("annex").groupBy("session_id").agg(F.lit(_AFTER).alias("owner"), F.lit("block").alias("kind"), F.lit(_AFTER).alias("block"), F.lit(False).alias("annex"), F.lit("anlagen").alias("block_tag"), F.lit("").alias("block_key"), F.lit(ANNEX).alias("block_title"))
-    i = i.drop("full").unionByName(added, allowMissingColumns=True)
+    counts = (kind_is("speech", "block comment") & ~F.col("annex")) | (kind_is("speech") & F.col("annex"))
+    # Items of a block carry its tag, as their rows are read without it.
+    tag_of = F.when(F.col("annex"), "anlagen").otherwise(F.max("block_tag").over(in_block))
+    i = i.withColumns({"full": F.max(counts).over(in_block), "block_tag": tag_of, "nth": F.row_number().over(in_block.orderBy("owner", "kind"))}).where("(block IS NULL OR full) AND (kind != 'contents' OR text IS NOT NULL)")
+    # The block of the annex, beside the first of its items.
+    i = i.withColumn("added", F.explode(F.when(F.col("annex") & (F.col("nth") == 1), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     number = F.when(F.col("block").isNotNull(), F.dense_rank().over(W.partitionBy("session_id", F.col("block").isNull()).orderBy("block")))
-    seq = (F.col("owner") + F.when(F.col("annex"), F.lit(_AFTER + 1)).otherwise(0)).cast("long")
+    seq = F.when(F.col("added"), F.lit(_AFTER)).otherwise(F.col("owner") + F.when(F.col("annex"), F.lit(_AFTER + 1)).otherwise(0)).cast("long")
     origin = F.when(F.col("block") == _AFTER, "anlage").when(F.col("block").isNotNull(), "protokoll")
-    i = i.withColumn("seq", seq).withColumn("block_no", number).withColumn("herkunft", origin).withColumn("error", F.lit(None).cast("string"))
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    # Items of a block carry its tag, as their rows are read without it.
-    i = i.withColumn("block_tag", F.max("block_tag").over(in_block)).select(*names)
-    broken = documents.where(~well_formed(F.col("xml"))).select("session_id", F.lit(0).cast("long").alias("seq"), F.lit("error").alias("kind"), F.lit("not well-formed XML").alias("error"))
-    return i.unionByName(broken, allowMissingColumns=True).select(*[F.col(n).cast(t) for n, t in (c.split() for c in SCHEMA.split(", "))])
+    values = {
+        "seq": seq, "kind": F.when(F.col("added"), "block").otherwise(F.col("kind")), "block_no": number, "herkunft": origin, "error": F.when(kind_is("error"), "not well-formed XML"),
+        "block_key": F.when(F.col("added"), "").otherwise(F.col("block_key")), "block_title": F.when(F.col("added"), ANNEX).otherwise(F.col("block_title")),
+        **{c: F.when(~F.col("added"), F.col(c)) for c in ("name", "rolle", "fraktion", "text")},
+    }
+    return i.select(*[values.get(n, F.col(n)).cast(t).alias(n) for n, t in (c.split() for c in SCHEMA.split(", "))])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

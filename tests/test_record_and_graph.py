@@ -250,6 +250,14 @@ def test_record_of_many_parts_needs_no_python(spark):
     assert "Python" not in items._jdf.queryExecution().executedPlan().toString()
 
 
+def test_records_are_parsed_once_where_their_documents_are(spark):
+    texts = "<x><sitzungsverlauf><zusatzpunkt><rede><p klasse='redner'>Wer:</p><p> a <i> b</i>\t</p><p> </p><p>&#228;&amp;lt; e\u0301</p></rede></zusatzpunkt></sitzungsverlauf><anlagen><rede><p>c</p></rede></anlagen></x>"
+    items = record.parse_records(spark.createDataFrame([("s", texts), ("t", "<x>")], "session_id string, xml string"))
+    assert [(r.session_id, r.kind, r.block_no, r.text) for r in items.orderBy("session_id", "seq").collect()] == [("s", "session", None, None), ("s", "block", 1, None), ("s", "speech", 1, "a  b ä&lt; é"), ("s", "block", 2, None), ("s", "speech", 2, "c"), ("t", "error", None, None)]
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("posexplode(") == 1 and plan.count("Exchange ") == 1
+
+
 def test_audio_frames_of_all_widths_and_broken_files(spark, tmp_path):
     import io
     import wave
