@@ -32,11 +32,13 @@ def registered(persons: DataFrame, registry: DataFrame, period: int = 21) -> Dat
     words = lambda c: F.split(X.person_key(F.col(c)), " ")
     p = persons.select("id", "label", "fraktion", F.element_at(words("label"), 1).alias("first"), F.element_at(words("label"), -1).alias("last"))
     r = registry.select(F.col("id").alias("dip_id"), F.lower("vorname").alias("rf"), F.lower("nachname").alias("last"), F.array_contains("wp", period).alias("now"), "fraktionen")
-    c = p.join(r, "last").where(X.names_agree(F.col("first"), F.element_at(F.split("rf", " "), 1)))
+    # Entries that a person can't tell apart are one row with their number; the id counts where that is one.
+    r = r.groupBy("last", F.element_at(F.split("rf", " "), 1).alias("rf"), "now", "fraktionen").agg(F.count(F.lit(1)).alias("alike"), F.min("dip_id").alias("dip_id"))
+    c = p.join(r, "last").where(X.names_agree(F.col("first"), F.col("rf")))
     w = W.partitionBy("id")
     c = c.withColumn("any_now", F.max("now").over(w)).where(F.col("now") | ~F.col("any_now"))
-    c = c.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("mine", F.coalesce(F.exists("fraktionen", lambda f: X.party(f) == F.col("fraktion")), F.lit(False)))
-    c = c.withColumn("n_mine", F.sum(F.col("mine").cast("int")).over(w)).where((F.col("n") == 1) | (F.col("mine") & (F.col("n_mine") == 1)))
+    c = c.withColumn("n", F.sum("alike").over(w)).withColumn("mine", F.coalesce(F.exists("fraktionen", lambda f: X.party(f) == F.col("fraktion")), F.lit(False)))
+    c = c.withColumn("n_mine", F.sum(F.when(F.col("mine"), F.col("alike"))).over(w)).where((F.col("n") == 1) | (F.col("mine") & (F.col("n_mine") == 1)))
     return persons.join(c.select("id", "dip_id", X.registry_url(F.col("dip_id")).alias("dip_url")), "id", "left")
 
 

@@ -356,3 +356,16 @@ def test_rounds_read_stored_edges(spark):
     found = algorithms.communities(df)
     assert {r.id: r.community for r in found.collect()} == label
     assert all("FileScan parquet" in x._jdf.queryExecution().toString() for x in (got, found))
+
+
+def test_registry_entries_that_are_alike_meet_a_person_once(spark):
+    from plenaria.operators import resolve
+
+    entries = [(i, "Anna Maria", "Klein", [20], ["SPD"]) for i in range(50)] + [(50, "Anna", "Klein", [21], ["SPD"]), (51, "Anna", "Groß", [21], ["SPD"]), (52, "Anna Eva", "Groß", [21], ["SPD"]), (53, "Anna", "Groß", [21], ["FDP"]), (54, "Bo", "Alt", None, None)]
+    registry = spark.createDataFrame(entries, "id long, vorname string, nachname string, wp array<int>, fraktionen array<string>")
+    persons = spark.createDataFrame([(1, "Dr. Anna Klein", "SPD"), (2, "Anna Groß", "SPD"), (3, "Anna Groß", "FDP"), (4, "Bo Alt", None), (5, "Cy Neu", "SPD")], "id long, label string, fraktion string")
+    found = resolve.registered(persons, registry)
+    assert {r.id: r.dip_id for r in found.collect()} == {1: 50, 2: None, 3: 53, 4: None, 5: None}
+    found._jdf.queryExecution().executedPlan()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "alike" in plan and plan.count("Aggregate") == 1  # before the join, of 50 entries one row
