@@ -293,6 +293,27 @@ def test_vector_index(spark, tmp_path):
     assert vectors.search(spark, str(tmp_path / "none"), q, 5).count() == 0
 
 
+def test_vector_search_over_many_parts_with_ties(spark, tmp_path, monkeypatch):
+    from plenaria.operators import vectors
+
+    monkeypatch.setattr(vectors, "PART", 16)
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    rows = [(i, base[i % 60]) for i in range(300)] + [(300 + i, base[0]) for i in range(60)]  # each vector several times, one in 65 copies
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    vectors.build(v, str(tmp_path))
+    held = spark.read.parquet(f"{tmp_path}/centroids").collect()
+    assert max(r.parts for r in held) > 1 and sum(r.parts for r in held) >= len({r.part for r in held}) > 5
+    unit = [[x / sum(y * y for y in w) ** 0.5 for x in w] for _, w in rows]
+    got = vectors.search(spark, str(tmp_path), v.where("id % 50 = 0"), 7, exact=True).collect()
+    for q in range(0, 360, 50):
+        scores = sorted((-round(sum(a * b for a, b in zip(unit[q], w, strict=True)), 6), i) for i, w in enumerate(unit))[:7]
+        assert [(-r.score, r.key) for r in sorted(got, key=lambda r: r.rank) if r.query == q] == scores
+    # A query goes once to each part, so what moves grows with queries and parts, not with pairs.
+    asked = vectors._asked(vectors._given(v.where("id % 50 = 0"), "id", "embedding"), vectors.np.array([r.v for r in held]), [(r.part, r.parts) for r in held], 3)
+    assert asked.groupBy("key", "part").count().where("count > 1").isEmpty()
+
+
 def test_components_of_chains_stars_and_loops(spark):
     from plenaria.operators import components
 
