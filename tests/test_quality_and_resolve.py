@@ -274,6 +274,23 @@ def test_index_equals_scan_and_leaves_ranges_out(spark, tmp_path):
     assert promise.where("query = 0").count() > sum(r.at_most + 1e-6 >= least[0] for r in promise.where("query = 0").collect())
 
 
+def test_full_text_index_moves_texts_and_blocks_once(spark, tmp_path):
+    from plenaria.operators import index
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(400)], "id long, text string").repartition(4)
+    index.build(docs, str(tmp_path), size=32)
+    blocks = spark.read.parquet(f"{tmp_path}/blocks")
+    assert blocks.groupBy("term", "range").count().where("count > 1").isEmpty() and blocks.select("range").distinct().count() == 13
+    queries = spark.createDataFrame([(i, " ".join(rng.sample(words, 30))) for i in range(20)], "query long, text string")
+    wanted, promise = index.promised(spark, str(tmp_path), queries)
+    plan = index._scored(promise, wanted, blocks, 5)._jdf.queryExecution().executedPlan().toString()
+    # What is exploded by queries and documents is counted and ranked where it is.
+    after = plan[: plan.index("Generate explode(arrays_zip")]
+    assert "Exchange" not in after
+
+
 def test_vector_index(spark, tmp_path):
     from plenaria.operators import vectors
 
