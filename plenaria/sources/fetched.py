@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..streaming.incremental import pending
 
+#: Pages, and characters of them, that a task gathers before it passes them on.
+ROWS, CHARS = 4096, 8 << 20
+
 
 def retried(call: Callable[..., Any], tries: int = 5, interval: float = 0.0, most_wait: float = 30.0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time) -> Callable[..., Any]:
     """A function that calls at most once an interval (in its process) and, after an error, again after 1, 2, 4, ... seconds."""
@@ -65,22 +68,31 @@ def pages(listings: DataFrame, fetch: Callable[[str, str | None], tuple[str | No
     newest-first feeds are left once they are past the session that is looked for."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = retried(fetch, tries)
+        call, out, size = retried(fetch, tries), [], 0
         for frame in frames:
             for listing in frame["listing"]:
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
                 token, number = None, 0
                 while number < most:
                     try:
                         value, token = call(listing, token)
                     except Exception as e:
-                        yield pd.DataFrame([(listing, number, None, f"{type(e).__name__}: {e}"[:300])], columns=names)
+                        out.append((listing, number, None, f"{type(e).__name__}: {e}"[:300]))
                         break
                     if not value:
                         break
-                    yield pd.DataFrame([(listing, number, value, None)], columns=names)
+                    out.append((listing, number, value, None))
+                    size += len(value)
                     number += 1
+                    if len(out) >= ROWS or size >= CHARS:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
                     if token is None or past is not None and past(value):
                         break
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     names = ["listing", "page", "value", "error"]
     return listings.select(F.col("listing").cast("string").alias("listing")).distinct().mapInPandas(run, "listing string, page int, value string, error string")

@@ -28,6 +28,32 @@ def test_retries_wait_and_give_up():
     assert waits == [1.5]
 
 
+def test_pages_are_passed_on_many_at_a_time():
+    import pandas as pd
+
+    class Listings:
+        """Stands for a table; keeps the function that tasks run."""
+
+        select = distinct = lambda self, *_: self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run
+
+    def fetch(listing, token):
+        if listing == "broken":
+            raise OSError
+        n = int(token or 0)
+        return ("x" * (3 << 20) if listing == "large" else f"{listing}-{n}", str(n + 1))
+
+    run = fetched.pages(Listings(), fetch, most=10, tries=1)
+    names = [str(i) for i in range(1000)]
+    got = list(run([pd.DataFrame({"listing": names[:500]}), pd.DataFrame({"listing": names[500:]})]))
+    assert [tuple(x) for x in pd.concat(got)[["listing", "page", "value"]].to_numpy().tolist()] == [(x, n, f"{x}-{n}") for x in names for n in range(10)]
+    assert len(got) <= 4 and max(map(len, got)) <= fetched.ROWS
+    assert [len(x) for x in run([pd.DataFrame({"listing": ["large"]})])] == [3, 3, 3, 1]
+    assert [len(x) for x in run([pd.DataFrame({"listing": ["broken"] * 5000})])] == [fetched.ROWS, 5000 - fetched.ROWS]
+
+
 def test_pages_end(spark):
     def fetch(listing, token):
         n = int(token or 0)
