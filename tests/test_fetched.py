@@ -28,7 +28,7 @@ def test_retries_wait_and_give_up():
     assert waits == [1.5]
 
 
-def test_pages_are_passed_on_many_at_a_time():
+def test_pages_are_passed_on_many_at_a_time(spark):
     import pandas as pd
 
     class Listings:
