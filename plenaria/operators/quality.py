@@ -18,6 +18,8 @@ WER = "wer double, subs int, ins int, dels int, n_ref int"
 
 #: Width of the first band of an alignment; a band that is too narrow is made so many times wider.
 BAND, WIDER = 64, 4
+#: Words of a text that is aligned beside others, at most, and cells of a row of such alignments.
+SHORT, CELLS = 512, 1 << 15
 
 
 def _banded(a: np.ndarray, b: np.ndarray, w: int) -> tuple[int, int, int]:
@@ -66,16 +68,65 @@ def _counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
         w *= WIDER
 
 
+def _side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(edits, insertions, deletions) of each pair of short runs of codes, by whole tables that are filled row by row side by side; ties as in _banded."""
+    n, m = (np.array([len(p[k]) for p in pairs], np.int32) for k in (0, 1))
+    a, b = np.full((int(n.max()), len(pairs)), -2, np.int32), np.full((len(pairs), int(m.max()) + 1), -1, np.int32)
+    for i, (x, y) in enumerate(pairs):
+        a[: len(x), i], b[i, 1 : len(y) + 1] = x, y
+    at = np.arange(b.shape[1], dtype=np.int32)
+    begin = (np.arange(len(pairs)) * len(at))[:, None]
+    cost, new, gone = np.tile(at, (len(pairs), 1)), np.tile(at, (len(pairs), 1)), np.zeros(b.shape, np.int32)
+    out = np.stack([m, m, np.zeros_like(m)], axis=1)
+    diagonal = np.full(b.shape, np.int32(1 << 30))
+    for i, word in enumerate(a, 1):
+        np.add(cost[:, :-1], b[:, 1:] != word[:, None], out=diagonal[:, 1:])
+        down = cost + 1
+        cost = np.minimum.accumulate(np.minimum(diagonal, down) - at, axis=1) + at
+        by_diagonal = cost == diagonal
+        left = np.maximum.accumulate(np.where(by_diagonal | (cost == down), at, 0), axis=1)
+        gone_here, new_here = gone + 1, new.copy()
+        np.copyto(gone_here[:, 1:], gone[:, :-1], where=by_diagonal[:, 1:])
+        np.copyto(new_here[:, 1:], new[:, :-1], where=by_diagonal[:, 1:])
+        from_ = left + begin
+        gone, new = gone_here.reshape(-1)[from_], new_here.reshape(-1)[from_] + (at - left)
+        if len(done := np.flatnonzero(n == i)):
+            out[done] = np.stack([x[done, m[done]] for x in (cost, new, gone)], axis=1)
+    return out
+
+
+def _all_counts(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, int]]:
+    """_counts of many pairs; those of short texts are aligned side by side, in order of their lengths."""
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    short = []
+    for i, (x, y) in enumerate(pairs):
+        if max(len(x), len(y)) > SHORT:
+            out[i] = _counts(x, y)
+        else:
+            short.append(i)
+    short.sort(key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    code: dict[str, int] = {}
+    at = 0
+    while at < len(short):
+        end, wide = at, 0
+        while end < len(short) and (end == at or (wide := max(wide, len(pairs[short[end]][1]) + 1)) * (end + 1 - at) <= CELLS):
+            wide = max(wide, len(pairs[short[end]][1]) + 1)
+            end += 1
+        code.clear()
+        coded = [tuple(np.array([code.setdefault(w, len(code)) for w in ws], np.int32) for ws in pairs[i]) for i in short[at:end]]
+        for i, (edits, new, gone) in zip(short[at:end], _side_by_side(coded).tolist(), strict=True):
+            out[i] = (edits - gone - new, new, gone)
+        at = end
+    return out
+
+
 def word_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """pairs with wer (three decimals), subs, ins, dels and n_ref of lower-case word tokens."""
 
     @F.pandas_udf(WER)
     def errors(r: pd.Series, h: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(r, h, strict=True):
-            x, y = list(x if x is not None else []), list(y if y is not None else [])
-            s, n, d = _counts(x, y)
-            out.append((round((s + n + d) / max(len(x), 1), 3), s, n, d, len(x)))
+        pairs = [(list(x if x is not None else []), list(y if y is not None else [])) for x, y in zip(r, h, strict=True)]
+        out = [(round((s + n + d) / max(len(x), 1), 3), s, n, d, len(x)) for (x, _), (s, n, d) in zip(pairs, _all_counts(pairs), strict=True)]
         return pd.DataFrame(out, columns=["wer", "subs", "ins", "dels", "n_ref"])
 
     return pairs.withColumn("e", errors(X.tokens(F.col(ref)), X.tokens(F.col(hyp)))).select(*pairs.columns, "e.*")

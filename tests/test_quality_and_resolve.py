@@ -274,6 +274,14 @@ def test_index_equals_scan_and_leaves_ranges_out(spark, tmp_path):
     assert promise.where("query = 0").count() > sum(r.at_most + 1e-6 >= least[0] for r in promise.where("query = 0").collect())
 
 
+def test_word_errors_side_by_side():
+    rng = random.Random(9)
+    pairs = [([str(rng.randrange(6)) for _ in range(rng.randint(0, 40))], [str(rng.randrange(6)) for _ in range(rng.randint(0, 40))]) for _ in range(400)]
+    near = [str(rng.randrange(50)) for _ in range(600)]
+    pairs += [(near, near[:300] + near[310:]), ([], []), (["a"], []), ([], ["a"])]
+    assert quality._all_counts(pairs) == [quality._counts(*p) for p in pairs]
+
+
 def test_full_text_index_moves_texts_and_blocks_once(spark, tmp_path):
     from plenaria.operators import index
 
