@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .algorithms import saved
+from .algorithms import stored
 
 WER = "wer double, subs int, ins int, dels int, n_ref int"
 
@@ -223,17 +223,17 @@ def in_turn(pairs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """(what each idx takes, the pairs that are still open) of pairs (by, idx, clip, want): in order of idx, the clip of the
     largest want that is left; wants of one idx differ.
 
-    Every idx asks for the best clip that hasn't turned it down, and a clip turns all down but the least idx that asks; as all
-    clips prefer the lesser idx, the rounds end with what one idx after another would take. Rounds are joins: no task
-    holds a whole group."""
-    pairs = saved(pairs)
+    Every idx asks for the best clip that hasn't turned it down, and a clip that is asked turns down all that come after the
+    least idx that asks, asked or not yet, as what it has in the end is never later; the rounds end with what one idx after
+    another would take. Rounds are joins: no task holds a whole group."""
+    pairs = stored(pairs, "pairs")
     while True:
         best = pairs.groupBy(*by, "idx").agg(F.max(F.struct("want", "clip")).alias("b")).select(*by, "idx", "b.clip", "b.want")
-        asked = saved(best.withColumn("first", F.min("idx").over(W.partitionBy(*by, "clip"))))
-        refused = asked.where("idx != first").select(*by, "idx", "clip")
-        if refused.isEmpty():
+        asked = stored(best.withColumn("first", F.min("idx").over(W.partitionBy(*by, "clip"))), "asked")
+        if asked.where("idx != first").isEmpty():
             return asked.drop("first"), pairs
-        pairs = saved(pairs.join(refused, [*by, "idx", "clip"], "left_anti"))
+        held = asked.where("idx = first").select(*by, "clip", "first")
+        pairs = stored(pairs.join(held, [*by, "clip"], "left").where("first IS NULL OR idx <= first").select(*pairs.columns), "pairs")
 
 
 def matched_captions(speeches: DataFrame, clips: DataFrame) -> DataFrame:
@@ -250,16 +250,16 @@ def matched_captions(speeches: DataFrame, clips: DataFrame) -> DataFrame:
     shared = count(speeches, "idx").join(count(clips, "clip"), [*by, "t"]).groupBy(*by, "idx", "clip").agg(F.sum(F.least("n_idx", "n_clip")).alias("shared"))
     want = lambda ratio: F.struct(ratio.alias("ratio"), (-F.col("clip")).alias("first")).alias("want")
     ratio = 2 * F.col("shared") / (F.col("size_idx") + F.col("size_clip"))
-    met = saved(shared.join(said, [*by, "idx"]).join(heard, [*by, "clip"]).where(fits).select(*by, "idx", "clip", want(ratio)))
+    met = stored(shared.join(said, [*by, "idx"]).join(heard, [*by, "clip"]).where(fits).select(*by, "idx", "clip", want(ratio)), "met")
     asked, pairs = in_turn(met, by)
     widened = said.select(*by, "idx").limit(0)
     while True:  # who is left without a clip asks for those that it shares no word with, and may turn out others
-        alone = saved(said.join(asked.select(*by, "idx"), [*by, "idx"], "left_anti").join(widened, [*by, "idx"], "left_anti"))
+        alone = stored(said.join(asked.select(*by, "idx"), [*by, "idx"], "left_anti").join(widened, [*by, "idx"], "left_anti"), "alone")
         more = alone.join(heard, by).where(fits).join(met.select(*by, "idx", "clip"), [*by, "idx", "clip"], "left_anti")
-        more = saved(more.select(*by, "idx", "clip", want(F.lit(0.0))))
+        more = stored(more.select(*by, "idx", "clip", want(F.lit(0.0))), "more")
         if more.isEmpty():
             return asked.select(*by, "idx", "clip", F.col("want.ratio").alias("ratio"))
-        widened = saved(widened.unionByName(alone.select(*by, "idx")))
+        widened = stored(widened.unionByName(alone.select(*by, "idx")), "widened")
         asked, pairs = in_turn(pairs.unionByName(more), by)
 
 

@@ -274,6 +274,25 @@ def test_index_equals_scan_and_leaves_ranges_out(spark, tmp_path):
     assert promise.where("query = 0").count() > sum(r.at_most + 1e-6 >= least[0] for r in promise.where("query = 0").collect())
 
 
+def test_clips_turn_down_all_later_speeches_at_once(spark, monkeypatch):
+    rng = random.Random(10)
+    wants = {i: rng.sample(range(25), 20) for i in range(25)}
+    wants |= {100 + i: list(range(12)) for i in range(12)}  # all of them want the same clips in the same order
+    rows = [(i // 100, i, c, -n) for i, own in wants.items() for n, c in enumerate(own)]
+    made, stored = [], quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: made.append(name) or stored(df, name))
+    got = {r.idx: r.clip for r in quality.in_turn(spark.createDataFrame(rows, "g int, idx int, clip int, want int"), ["g"])[0].collect()}
+    taken, want = set(), {}
+    for i, own in sorted(wants.items()):
+        left = [c for c in own if (i // 100, c) not in taken]
+        if left:
+            want[i] = left[0]
+            taken.add((i // 100, left[0]))
+    assert got == want
+    pairs = [n for n in made if n == "pairs"]
+    assert len(pairs) <= 13
+
+
 def test_word_errors_side_by_side():
     rng = random.Random(9)
     pairs = [([str(rng.randrange(6)) for _ in range(rng.randint(0, 40))], [str(rng.randrange(6)) for _ in range(rng.randint(0, 40))]) for _ in range(400)]
