@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .algorithms import stored
 from .sequence import carried
 
 # The patterns by which records name agenda items, days, legal grounds and resolutions; the rules below look
@@ -44,9 +45,11 @@ def _src() -> Column:
 
 def extract(utterances: DataFrame, defaults: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """All record lists of the rules, by name; defaults has the fields of a meeting (gremium, datum, ort, rechtsgrundlage)
-    that an opening doesn't name, empty where it has none."""
+    that an opening doesn't name, empty where it has none.
+
+    The open items are carried once, into files that all lists are read from."""
     given = {k: (defaults or {}).get(k, "") for k in ("gremium", "datum", "ort", "rechtsgrundlage")}
-    u = with_agenda(utterances)
+    u = stored(with_agenda(utterances).drop("low"), "agenda").withColumn("low", F.lower("text"))
     has = lambda *ws: F.expr("true") if not ws else _any(ws)
     opening = u.where(F.col("low").contains("eröffne") & F.col("low").contains("sitzung"))
     meeting = opening.groupBy("session_id").agg(

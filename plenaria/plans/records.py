@@ -103,7 +103,7 @@ def utterances(spark, d) -> DataFrame:
         said.alias("text"),
         F.lit("protokoll").alias("herkunft"),
     )
-    return algorithms.saved(made)
+    return algorithms.stored(made, "utterances")
 
 
 def _pieces(saying: str) -> list[str]:
@@ -305,8 +305,11 @@ def corpus_figures(spark, d):
     return dashboards.corpus_dashboard(dashboards.session_dashboard(record(spark, d)))["kennzahlen"].select("woerter", "reden", "tops", "saalreaktionen")
 
 
-def _graph(spark, d, with_checks: bool = False) -> tuple[DataFrame, DataFrame]:
+def _graph(spark, d, with_checks: bool = False, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The graph of all sessions; statements, which several kinds of nodes and edges are made of, are stored where the whole graph is asked for."""
     lists = record(spark, d)
+    if with_checks or whole:
+        lists["statements"] = algorithms.stored(lists["statements"], "statements")
     return G.build_graph(lists | ({"checks": checks(lists)} if with_checks else {}))
 
 
@@ -454,14 +457,14 @@ def graph_reviewed(spark, d):
 @query("graph_person_degrees", _sql("SELECT 'Person' AS type, (SELECT count(DISTINCT name) FROM people) AS n, (SELECT count(*) FROM people WHERE fraktion <> '') + (SELECT count(*) FROM people WHERE rolle = 'Vorsitz') + 2 * (SELECT count(*) FROM recusals) + (SELECT count(*) FROM speeches) + (SELECT count(*) FROM questions) + (SELECT count(*) FROM statements) AS deg"))
 def graph_person_degrees(spark, d):
     """Degrees of the persons, in any direction."""
-    g = Graph(*_graph(spark, d)).degrees("Person")
+    g = Graph(*_graph(spark, d, whole=True)).degrees("Person")
     return g.agg(F.lit("Person").alias("type"), F.count(F.lit(1)).alias("n"), F.sum("deg").alias("deg"))
 
 
 @query("graph_merged_persons", _sql("SELECT session_id, 'Fraktion' AS type, count(DISTINCT fraktion) AS n FROM people WHERE fraktion <> '' GROUP BY 1"))
 def graph_merged_persons(spark, d):
     """Nodes merged by a map keep their session and all other columns."""
-    nodes, edges = G.namespaced(*_graph(spark, d), shared=[])
+    nodes, edges = G.namespaced(*_graph(spark, d, whole=True), shared=[])
     ids = nodes.where("type = 'Person'").select(F.col("id").alias("old"), F.regexp_replace("id", r"_\d$", "_9").alias("new"))
     merged, _ = G.remapped(nodes, edges, ids)
     return merged.where("type = 'Fraktion' AND schicht = 'fallbezug' AND subtype = 'Ratsfraktion'").groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -325,3 +325,14 @@ def test_large_graphs_have_several_documents(spark, monkeypatch):
     plain = lambda df: sorted(str({k: (dict(v) if isinstance(v, dict) else v) for k, v in sorted(r.asDict().items())}) for r in df.collect())
     for back, was in zip(inputs.read_graph_json(files), (nodes, edges)):
         assert plain(back) == plain(was.select(*back.columns))
+
+
+def test_open_items_are_carried_once_for_all_lists(spark):
+    from plenaria.operators import extract
+
+    said = [(0, "Ich rufe Tagesordnungspunkt 3 auf: Haushalt."), (1, "Die Kosten stiegen um 12 Prozent."), (2, "Ich erkläre mich für befangen.")]
+    u = spark.createDataFrame([("s", i, float(i), i + 1.0, "A", "Mitglied", "SPD", t, "protokoll") for i, t in said], "session_id string, idx long, start double, end double, speaker_name string, rolle string, fraktion string, text string, herkunft string")
+    lists = extract.extract(u)
+    for name in ("speeches", "recusals", "votes"):
+        assert "Window" not in lists[name]._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.idx, r.top_nummer) for r in lists["recusals"].collect()] == [(2, 3)]
