@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState
 
 from ..sources.record import parse_records
 
+#: Groups that sessions of a stream are dealt to; a checkpoint holds for one number.
+BUCKETS = 256
+
 
 def ingest_records(spark: SparkSession, source: str, target: str, checkpoint: str, most: int | None = None) -> int:
     """Parses record files that are new since the last run into target/items; returns the number of rows that this run added.
@@ -67,32 +71,43 @@ def carried(utterances: DataFrame, late: str = "1 hour") -> DataFrame:
     The state of a session is its open item, its count, and the utterances that came but that the watermark (so much
     behind the latest time) hasn't passed: these wait, so that what comes out of order by less than that is put in order of (ts, id)
     before it counts. What comes later than the watermark is left out, and so is an id that waits already. State
-    outlives a restart on the same checkpoint; it grows with what waits, not with the session."""
+    outlives a restart on the same checkpoint; it grows with what waits, not with the session. Sessions are dealt to
+    BUCKETS groups, whose sessions go through a step side by side."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        item, n, ids, times, opens = state.get if state.exists else (None, 0, [], [], [])
+        sessions, items, counts, *held = state.get if state.exists else ([],) * 7
         passed = state.getCurrentWatermarkMs()
-        waiting = dict(zip(ids, zip(times, opens, strict=True), strict=True))
+        parts = [pd.DataFrame(dict(zip(columns, held, strict=True)), columns=columns)]
         if not state.hasTimedOut:
-            for f in frames:
-                for i, micros, opened in zip(f["id"].tolist(), f["micros"].tolist(), f["opens"].tolist(), strict=True):
-                    if micros // 1000 >= passed:
-                        waiting.setdefault(i, (micros, opened if isinstance(opened, str) else None))
-        out = []
-        for i, (micros, opened) in sorted(waiting.items(), key=lambda x: (x[1][0], x[0])):
-            if micros // 1000 >= passed:
-                break
-            item, n = opened or item, n + 1
-            out.append((key[0], i, n, item))
-            del waiting[i]
-        state.update((item, n, list(waiting), [m for m, _ in waiting.values()], [o for _, o in waiting.values()]))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(m for m, _ in waiting.values()) // 1000, passed + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "id", "n", "item"])
-
-    schema, held = "session_id string, id long, n long, item string", "item string, n long, ids array<long>, times array<long>, opens array<string>"
-    return utterances.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts")).groupBy("session_id").applyInPandasWithState(step, schema, held, "append", "EventTimeTimeout")
+            parts += [f.loc[f["micros"] // 1000 >= passed, columns] for f in frames]
+        rows = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+        codes, known = pd.factorize(pd.Series([*sessions, *rows["session_id"]], dtype=object), use_na_sentinel=False)
+        item, n = list(items), list(counts)
+        item += [None] * (len(known) - len(sessions))
+        n += [0] * (len(known) - len(sessions))
+        rows["code"] = codes[len(sessions) :]
+        rows = rows.drop_duplicates(["code", "id"])  # what waits is first
+        ready = rows["micros"] // 1000 < passed
+        waiting, out = rows[~ready], rows[ready].sort_values(["code", "micros", "id"])
+        if len(out):
+            own = out["opens"].where(out["opens"].map(lambda x: isinstance(x, str) and x != "")).groupby(out["code"]).ffill()
+            before = pd.Series(item, dtype=object)[out["code"]].set_axis(out.index)
+            out["item"] = own.where(own.notna(), before).astype(object)
+            out["n"] = out.groupby("code").cumcount() + 1 + np.array(n, np.int64)[out["code"]]
+            for c, i, m in zip(*(out.drop_duplicates("code", keep="last")[x].tolist() for x in ("code", "item", "n")), strict=True):
+                item[c], n[c] = (i if isinstance(i, str) else None), m
+        plain = lambda x: [v if isinstance(v, str) else None for v in x]
+        state.update((plain(known), item, n, plain(waiting["session_id"]), waiting["id"].tolist(), waiting["micros"].tolist(), plain(waiting["opens"])))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["micros"].min()) // 1000, passed + 1))
+        if len(out):
+            yield out[["session_id", "id", "n", "item"]]
+
+    columns = ["session_id", "id", "micros", "opens"]
+    schema = "session_id string, id long, n long, item string"
+    held = "sessions array<string>, items array<string>, counts array<long>, waiting array<string>, ids array<long>, times array<long>, opens array<string>"
+    dealt = utterances.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts")).withColumn("bucket", F.pmod(F.hash("session_id"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, schema, held, "append", "EventTimeTimeout")
 
 
 def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> None:

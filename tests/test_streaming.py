@@ -66,3 +66,26 @@ def test_items_carry_over_restarts_and_late_rows_are_left_out(spark, tmp_path):
     assert got == [("a", 1, 1, "TOP 1"), ("a", 2, 2, "TOP 2"), ("a", 3, 3, "TOP 2"), ("b", 9, 1, None)]
     got = come(("a", 5, 5, "late"), ("a", 6, 90, None), ("b", 11, 95, None))
     assert got[3:] == [("a", 4, 4, "TOP 2"), ("b", 9, 1, None), ("b", 10, 2, "TOP 5")]
+
+
+def test_many_sessions_go_through_one_state(spark, tmp_path):
+    """Items and counts of 400 sessions, a null one included, over three starts against a plain run; few groups for all sessions."""
+    import random
+    from datetime import UTC, datetime, timedelta
+
+    rng, day = random.Random(4), datetime(2024, 1, 1, tzinfo=UTC)
+    source, target, checkpoint = (str(tmp_path / x) for x in ("source", "target", "checkpoint"))
+    schema = "session_id string, id long, ts timestamp, opens string"
+    rows = [(rng.choice([None, *(f"s{k}" for k in range(399))]), i, day + timedelta(seconds=rng.randrange(7200)), rng.choice([None, None, "", "TOP 1", "TOP 2"])) for i in range(1500)]
+    rows.append(("last", 9999, day + timedelta(hours=5), None))
+    for start in (rows[:700], rows[600:1400], rows[1400:]):
+        spark.createDataFrame(start, schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.run_to_end(incremental.carried(spark.readStream.schema(schema).parquet(source), "3 hours"), target, checkpoint)
+    assert spark.read.format("statestore").load(checkpoint).count() <= 256
+    want = []
+    for s in {r[0] for r in rows}:
+        item = None
+        for n, (_, i, _, o) in enumerate(sorted((r for r in rows[:-1] if r[0] == s), key=lambda r: (r[2], r[1])), 1):
+            item = o or item
+            want.append((s, i, n, item))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in spark.read.parquet(target).collect())
