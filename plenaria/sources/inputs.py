@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.sequence import buckets, carried, merged_runs, without_repeats, with_runs
 
+#: Rows of recordings that a task passes on at a time.
+FRAMES = 10_000
+
 TRANSCRIPT = (
     "audio_file string, language string, duration_sec double, asr_model string, diarization_model string, "
     "speaker_map map<string, struct<name: string, rolle: string, fraktion: string>>, "
@@ -121,27 +124,55 @@ def audio_frames(files: DataFrame, seconds: float = 0.1) -> DataFrame:
     kind = files.schema["session_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["session_id", "frame", "at", "width", "power", "error"]
-        for f in frames:
-            for session, content in zip(f["session_id"], f["content"], strict=True):
-                try:
-                    with wave.open(io.BytesIO(content or b""), "rb") as w:
-                        rate, size, channels, number = w.getframerate(), w.getsampwidth(), w.getnchannels(), 0
-                        many = max(1, round(rate * seconds))
-                        while data := w.readframes(many * 1024):
-                            x = _samples(data, size).reshape(-1, channels).mean(axis=1)
-                            starts = np.arange(0, len(x), many)
-                            widths = np.diff(np.append(starts, len(x)))
-                            power = np.add.reduceat(x * x, starts) / widths / float(1 << (16 * size - 2))
-                            at = (number + np.arange(len(starts))) * many / rate
-                            yield pd.DataFrame({"session_id": session, "frame": number + np.arange(len(starts)), "at": at, "width": widths / rate, "power": power, "error": None}, columns=columns)
-                            number += len(starts)
-                except (wave.Error, EOFError, ValueError) as e:
-                    yield pd.DataFrame([(session, None, None, None, None, str(e) or "no WAV file")], columns=columns)
+        return _frames((x for f in frames for x in zip(f["session_id"], f["content"], strict=True)), seconds)
 
     return files.select("session_id", "content").mapInPandas(run, f"session_id {kind}, frame long, at double, width double, power double, error string")
 
 
+def _frames(files: Iterable[tuple[object, bytes]], seconds: float) -> Iterator[pd.DataFrame]:
+    """The rows of audio_frames, those of short files together, some FRAMES at a time."""
+    held, size = [], 0
+
+    def taken() -> pd.DataFrame:
+        sessions, errors, *numbers = zip(*held, strict=True)
+        of = np.repeat(np.arange(len(held)), [len(x) for x in numbers[0]])
+        out = {c: np.concatenate(x) for c, x in zip(("frame", "at", "width", "power"), numbers, strict=True)}
+        broken = np.array([e is not None for e in errors])[of]
+        pick = lambda x: pd.Series([x[i] for i in of.tolist()], dtype=object)
+        out = pd.DataFrame({"session_id": pick(sessions), **out, "error": pick(errors)})
+        if broken.any():
+            out["frame"] = out["frame"].astype("Int64").mask(broken)
+            for c in ("at", "width", "power"):
+                out[c] = out[c].astype("Float64").mask(broken)
+        return out
+
+    for session, content in files:
+        try:
+            with wave.open(io.BytesIO(content or b""), "rb") as w:
+                rate, width, channels, number = w.getframerate(), w.getsampwidth(), w.getnchannels(), 0
+                many = max(1, round(rate * seconds))
+                while data := w.readframes(many * 1024):
+                    x = _samples(data, width)
+                    x = x.reshape(-1, channels).mean(axis=1) if channels > 1 else x
+                    starts = np.arange(0, len(x), many)
+                    widths = np.diff(np.append(starts, len(x)))
+                    power = np.add.reduceat(x * x, starts) / widths / float(1 << (16 * width - 2))
+                    frame = number + np.arange(len(starts))
+                    held.append((session, None, frame, frame * many / rate, widths / rate, power))
+                    number, size = number + len(starts), size + len(starts)
+                    if size >= FRAMES:
+                        yield taken()
+                        held, size = [], 0
+        except (wave.Error, EOFError, ValueError) as e:
+            held.append((session, str(e) or "no WAV file", np.zeros(1, np.int64), *[np.zeros(1)] * 3))
+            size += 1
+            if size >= FRAMES:
+                yield taken()
+                held, size = [], 0
+    if held:
+        yield taken()
+
+
 def _samples(data: bytes, size: int) -> np.ndarray:
     """Samples of PCM data around 0, as floating numbers of the file's own scale."""
     if size == 1:

@@ -336,3 +336,25 @@ def test_open_items_are_carried_once_for_all_lists(spark):
     for name in ("speeches", "recusals", "votes"):
         assert "Window" not in lists[name]._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.idx, r.top_nummer) for r in lists["recusals"].collect()] == [(2, 3)]
+
+
+def test_frames_of_short_files_come_together():
+    """A thousand short recordings and some broken ones in one table of rows, not one each; values as before."""
+    import io
+    import wave
+
+    def made(samples):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(10)
+            w.writeframes(bytes(samples))
+        return out.getvalue()
+
+    files = [(i, made([128 + 64] * (i % 20 + 1)) if i % 100 else b"x") for i in range(1000)]
+    got = list(inputs._frames(iter(files), 1.0))
+    assert len(got) == 1 and len(got[0]) == 10 + sum(1 + (i % 20 + 1 > 10) for i in range(1000) if i % 100)
+    f = got[0]
+    assert f[f["error"].notna()]["session_id"].tolist() == list(range(0, 1000, 100)) and f[f["error"].notna()]["frame"].isna().all()
+    assert f[f["session_id"] == 19][["frame", "at", "width", "power"]].values.tolist() == [[0, 0.0, 1.0, 0.25], [1, 1.0, 1.0, 0.25]]
