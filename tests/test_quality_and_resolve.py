@@ -129,6 +129,18 @@ def test_evidence_by_automaton_and_by_joins(spark, monkeypatch):
     assert {(r.verdikt, r.score) for r in none} == {("unbelegt", 0.0)} and factcheck.unsourced(factcheck.check_statements(s, e, ["i"])).count() == 0
 
 
+def test_evidence_texts_come_to_python_in_small_batches(spark):
+    name, q = "spark.sql.execution.arrow.maxRecordsPerBatch", F.struct(F.lit("t").alias("titel"), F.lit("").alias("stand"), F.lit("").alias("url")).alias("quelle")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        e = spark.createDataFrame([(0, ["wege"], "falsch", "")], "ev_idx int, keys array<string>, verdikt string, begruendung string").select("*", q)
+        got = factcheck.check_statements(spark.range(1200).select("id", F.lit("Wege").alias("text")).coalesce(1), e, ["id"])
+        assert int(spark.conf.get(name)) <= 500 and got.where("verdikt = 'falsch'").count() == 1200
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_evidence_query_by_joins(spark, data, monkeypatch):
     """The whole query gives the same rows either way, in no more jobs for more evidence."""
     ask = registry.queries()["evidence_factcheck"]
