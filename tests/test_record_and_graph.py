@@ -358,3 +358,53 @@ def test_frames_of_short_files_come_together():
     f = got[0]
     assert f[f["error"].notna()]["session_id"].tolist() == list(range(0, 1000, 100)) and f[f["error"].notna()]["frame"].isna().all()
     assert f[f["session_id"] == 19][["frame", "at", "width", "power"]].values.tolist() == [[0, 0.0, 1.0, 0.25], [1, 1.0, 1.0, 0.25]]
+
+
+def test_projection_sends_pairs_as_packed_lists(spark, monkeypatch):
+    """Groups of any size, larger than a batch and than a row, give each pair its groups once; pairs cross tasks packed, two bytes each or fewer."""
+    import itertools
+    from collections import Counter
+
+    import numpy as np
+
+    from plenaria.operators import projection
+
+    spoken = [(t, (p * (t + 3)) % 101) for t in range(30) for p in range(3 + 7 * t)] + [(99, p) for p in range(400)]
+    on = spark.createDataFrame(spoken * 2, "top long, a int").repartition(3, "top").sortWithinPartitions("top", "a")
+    want = Counter(x for t in {t for t, _ in spoken} for x in itertools.combinations(sorted({a for u, a in spoken if u == t}), 2))
+    monkeypatch.setattr(projection, "CHUNK", 500)
+    monkeypatch.setattr(projection, "SHARE", 3000)
+    for block in (3, 50, 1 << 16):
+        items = projection.lists(on, block).cache()
+        assert items.agg(F.max(F.length("sizes") + F.length("members"))).first()[0] <= 8 * max(block, 401)
+        got = [tuple(r) for r in projection.counted(items, 1000).collect()]
+        assert {r[:2]: r[2] for r in got} == want and len(got) == len(want)
+    assert projection.counted(projection.lists(on.limit(0), 9), 9).count() == 0
+    keys = np.unique(np.random.default_rng(1).integers(0, 1000, (400_000, 2)), axis=0).astype(np.uint64)
+    keys = np.sort(keys[:, 0] << np.uint64(32) | keys[:, 1])
+    packed = projection._packed(keys)
+    assert (projection._unpacked(*packed) == keys).all() and len(__import__("zlib").compress(b"".join(packed), 1)) < 2 * len(keys)
+    names = spark.createDataFrame([(f"p{i % 50:02}",) for i in range(200)] + [(None,)], "name string")
+    assert rows(projection.numbered(names, "name"), "n", "name") == [(i, f"p{i:02}") for i in range(50)]
+
+
+@pytest.mark.parametrize("measure", ["pagerank", "communities"])
+def test_rounds_over_edges_move_nodes_only(spark, monkeypatch, measure):
+    """Edges lie in buckets of the node that is summed for, so no round exchanges them or their sums; too many nodes to broadcast give the same."""
+    from plenaria.operators import algorithms
+
+    edges = spark.createDataFrame([(i, (i * i + 3) % 40, i % 3 + 1) for i in range(60)], "source long, target long, weight long")
+    plans, was = [], algorithms.stored
+    monkeypatch.setattr(algorithms, "stored", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), was(df, name))[1])
+    found = sorted(map(tuple, getattr(algorithms, measure)(edges).collect()))
+    own = [p for name, p in plans if name in ("ranks", "labels")]
+    assert own and not any("Exchange hashpartitioning(a#" in p or "Exchange hashpartitioning(t#" in p or "Exchange hashpartitioning(b#" in p or "Exchange hashpartitioning(s#" in p for p in own)
+    if measure == "communities":
+        assert not any("Exchange hash" in p for p in own)
+        plans.clear()
+        whole = spark.createDataFrame([(i, j, 1) for i in range(6) for j in range(i)], "source long, target long, weight long")
+        assert {r.community for r in algorithms.communities(whole).collect()} == {0}
+        assert sum(name == "labels" for name, _ in plans) < 10  # it ends when no label changes
+        assert algorithms.communities(edges, 0).where("id = community").count() == len(found)
+    monkeypatch.setattr(algorithms, "NODES", 1)
+    assert [(a, round(b, 9)) for a, b in sorted(map(tuple, getattr(algorithms, measure)(edges).collect()))] == [(a, round(b, 9)) for a, b in found]
