@@ -28,6 +28,8 @@ _AFTER = 1 << 30
 _MARK, _ASIDE = "\x01", "\x02"
 #: White space that is stripped, and characters of XML that a partition of documents holds.
 _WHITE, _HELD = r"\s\p{Z}\x1c-\x1f\x85", 8 << 20
+#: Bytes of a generated method that the JVM compiles; a larger one is interpreted, row by row.
+_COMPILED = 8000
 #: Elements that have a meaning, by their numbers from 1 on.
 NAMES = [
     *BLOCKS, "sitzungsverlauf", "anlagen", "rede", "kommentar", "name", "top-titel", "inhaltsverzeichnis", "ivz-block", "ivz-block-titel", "ivz-eintrag", "ivz-eintrag-inhalt",
@@ -102,10 +104,14 @@ def parse_records(documents: DataFrame) -> DataFrame:
 
     Blocks without a speech or a comment of their own are left out with all they hold; contributions of the annex are a block
     of their own behind the others. A document that isn't well formed (null and empty ones too) has one row of kind error."""
+    spark = documents.sparkSession
+    # Expressions of a part are many: beyond that size Spark makes methods of each instead of one of all.
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(limit, str(min(_COMPILED, int(spark.conf.get(limit)))))
     documents = stored(documents.select("session_id", "xml"), "records")
     size = documents.agg(F.sum(F.length("xml"))).first()[0] or 0
     # Documents are dealt once, by counted characters; all that is made of them stays where they are.
-    own = _owned(documents.repartition(max(documents.sparkSession.sparkContext.defaultParallelism, -(-size // _HELD)), "session_id"))
+    own = _owned(documents.repartition(max(spark.sparkContext.defaultParallelism, -(-size // _HELD)), "session_id"))
     role, text = F.col("role"), F.col("text")
     listed = lambda roles, *cols: F.sort_array(F.collect_list(F.when(role.isin(*roles), F.struct("pos", *cols))))
     earliest = lambda name: F.min(F.when(role == name, F.struct("holder", "pos", "text"))).alias(name)

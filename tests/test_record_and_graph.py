@@ -408,3 +408,17 @@ def test_rounds_over_edges_move_nodes_only(spark, monkeypatch, measure):
         assert algorithms.communities(edges, 0).where("id = community").count() == len(found)
     monkeypatch.setattr(algorithms, "NODES", 1)
     assert [(a, round(b, 9)) for a, b in sorted(map(tuple, getattr(algorithms, measure)(edges).collect()))] == [(a, round(b, 9)) for a, b in found]
+
+
+def test_parts_of_records_run_compiled(spark):
+    """Expressions of a part are too many for one method that the JVM compiles; a limit that is lower already stays."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    docs = spark.createDataFrame([("a", "<dbtplenarprotokoll/>"), ("b", "<a>")], "session_id string, xml string")
+    was = spark.conf.get(limit)
+    try:
+        for before, after in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(limit, before)
+            assert rows(record.parse_records(docs).select("session_id", "kind"), "session_id") == [("a", "session"), ("b", "error")]
+            assert spark.conf.get(limit) == after
+    finally:
+        spark.conf.set(limit, was)
