@@ -21,20 +21,27 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Sessions of more than PAGE nodes or relationships have several documents, each with some of both; metadata counts the
     whole graph, and says which part of how many a document is. read_graph_json of the inputs reads them back."""
-    nodes, edges = stored(nodes, "nodes"), stored(edges, "relationships")  # they are counted, then dealt
-    size = nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).join(edges.groupBy("session_id").agg(F.count(F.lit(1)).alias("m")), "session_id", "left")
-    size = size.select("session_id", "n", F.coalesce("m", F.lit(0)).alias("m")).withColumn("parts", F.ceil(F.greatest("n", "m") / PAGE))
+    nodes, edges = (stored(df.where("session_id IS NOT NULL"), name) for df, name in ((nodes, "nodes"), (edges, "relationships")))  # they are counted, then dealt
+    count = lambda df, name: df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name))
+    size = count(nodes, "n").join(count(edges, "m"), "session_id", "full").na.fill(0, ["n", "m"]).withColumn("parts", F.ceil(F.greatest("n", "m") / PAGE))
+    # Most sessions are one document, whose lists are counted where they are; only of the others numbers are joined.
+    large = stored(size.where("parts > 1"), "large")
 
     def listed(df: DataFrame, lead: list[str], name: str) -> DataFrame:
-        entries = F.array_sort(F.map_entries("props")).alias("e")  # maps have no order, their entries do
-        df = df.join(size, "session_id").select("session_id", F.pmod(F.xxhash64(*lead, F.map_entries("props")), "parts").alias("part"), F.struct(*lead, entries).alias("own"))
-        own = F.array_sort(F.collect_list("own"))
-        return df.groupBy("session_id", "part").agg(F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in lead], F.map_from_entries(x["e"]).alias("props"))).alias(name))
-
-    both = listed(nodes, _LEAD["node"], "nodes").join(listed(edges, _LEAD["edge"], "relationships"), ["session_id", "part"], "full").join(size, "session_id")
-    of = [F.when(F.col("parts") > 1, F.col(c)).alias(c) for c in ("part", "parts")]
-    meta = F.struct(F.col("n").alias("node_count"), F.col("m").alias("relationship_count"), *of)
-    return both.select("session_id", F.to_json(F.struct(meta.alias("metadata"), "nodes", "relationships")).alias("value"))
+        entries = F.array_sort(F.map_entries("props"))  # maps have no order, their entries do
+        own = F.to_json(F.struct(*lead, F.map_from_entries(entries).alias("props"))).alias("own")  # takes fewer bytes than a map
+        part = F.pmod(F.xxhash64(*lead, F.map_entries("props")), F.coalesce("parts", F.lit(1))).alias("part")
+        df = df.join(large, "session_id", "left").select("session_id", part, "n", "m", "parts", own)
+        return df.groupBy("session_id", "part").agg(*[F.max(c).alias(f"{c}_{name}") for c in ("n", "m", "parts")], F.sort_array(F.collect_list("own")).alias(name))
+
+    both = listed(nodes, _LEAD["node"], "nodes").join(listed(edges, _LEAD["edge"], "relationships"), ["session_id", "part"], "full")
+    both = both.select("session_id", "part", "nodes", "relationships", *[F.coalesce(f"{c}_nodes", f"{c}_relationships").alias(c) for c in ("n", "m", "parts")])
+    both = both.where("coalesce(n, size(nodes)) > 0")  # relationships of a session without nodes are left out
+    held = lambda c, name: F.coalesce(c, F.when(F.col(name).isNotNull(), F.size(name)), F.lit(0)).cast("long")
+    meta = F.to_json(F.struct(held("n", "nodes").alias("node_count"), held("m", "relationships").alias("relationship_count"), F.when(F.col("parts") > 1, F.col("part")).alias("part"), "parts"))
+    array = lambda c: F.concat(F.lit(f'"{c}":['), F.array_join(c, ","), F.lit("]"))
+    value = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"metadata":'), meta), array("nodes"), array("relationships")), F.lit("}"))
+    return both.select("session_id", value.alias("value"))
 
 
 def flat(df: DataFrame, kind: str) -> DataFrame:

@@ -418,7 +418,26 @@ def test_parts_of_records_run_compiled(spark):
     try:
         for before, after in (("65535", "8000"), ("4000", "4000")):
             spark.conf.set(limit, before)
-            assert rows(record.parse_records(docs).select("session_id", "kind"), "session_id") == [("a", "session"), ("b", "error")]
+            assert rows(record.parse_records(docs).select("session_id", "kind"), "session_id", "kind") == [("a", "session"), ("b", "error")]
             assert spark.conf.get(limit) == after
     finally:
         spark.conf.set(limit, was)
+
+
+def test_graph_documents_move_their_entries_once(spark, monkeypatch):
+    """Each list is dealt by session and part and never again; documents are what one to_json of the whole would write."""
+    monkeypatch.setattr(sinks, "PAGE", 4)
+    props = F.create_map(F.lit("z"), F.lit('quote " and \\'), F.lit("a"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")))
+    at = lambda n, to: spark.range(n).select(F.when(F.col("id") < 2, "small").when(F.col("id") < to, "large").when(F.col("id") % 2 == 0, "only").alias("session_id"), "id", props.alias("props"))
+    nodes = at(14, 14).select("session_id", F.concat(F.lit("n"), "id").alias("id"), F.lit(None).cast("string").alias("label"), F.lit("T").alias("type"), F.lit("").alias("subtype"), F.lit("s").alias("schicht"), "props")
+    edges = at(80, 40).select("session_id", F.lit("n0").alias("source_id"), F.col("id").cast("string").alias("target_id"), F.lit("R").alias("relationship_type"), "props")
+    found = sinks.graph_json(nodes, edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    docs = {(r.session_id, d["metadata"].get("part")): d for r in found.collect() for d in [json.loads(r.value)]}
+    assert {k[0] for k in docs} == {"small", "large"}  # neither relationships without nodes nor rows without a session
+    assert docs["small", None]["metadata"] == {"node_count": 2, "relationship_count": 2} and [n["id"] for n in docs["small", None]["nodes"]] == ["n0", "n1"]
+    large = [d for k, d in docs.items() if k[0] == "large"]
+    assert {tuple(sorted((k, v) for k, v in d["metadata"].items() if k != "part")) for d in large} == {(("node_count", 12), ("parts", 10), ("relationship_count", 38))}
+    assert sum(len(d.get("nodes", [])) for d in large) == 12 and sum(len(d.get("relationships", [])) for d in large) == 38
+    assert docs["small", None]["nodes"][1] == {"id": "n1", "type": "T", "subtype": "", "schicht": "s", "props": {"a": None, "z": 'quote " and \\'}}
